@@ -138,13 +138,6 @@ def forward_fill(w: WindowSpec, value: Column) -> Column:
     )
 
 
-def backward_fill(w: WindowSpec, value: Column) -> Column:
-    """Next known value from the current row on."""
-    return F.first(value, ignorenulls=True).over(
-        w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    )
-
-
 def days_since_last(w: WindowSpec, date: Column, happened: Column) -> Column:
     """Days since the latest earlier row where `happened`; NULL before the first one."""
     seen = F.max(F.when(happened, date)).over(w.rowsBetween(Window.unboundedPreceding, -1))

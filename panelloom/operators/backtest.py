@@ -75,8 +75,11 @@ def hysteresis(periods: DataFrame, delta: float) -> DataFrame:
     best = periods.groupBy("signal_date").agg(
         F.min_by(F.struct("asset", "prob"), order).alias("__b")
     ).select("signal_date", F.col("__b.asset").alias("best_asset"), F.col("__b.prob").alias("best_prob"))
+    # Dates walked downwards: a growing frame over the later dates, one step per row.
     later = (
-        Window.partitionBy("asset").orderBy("signal_date").rowsBetween(1, Window.unboundedFollowing)
+        Window.partitionBy("asset")
+        .orderBy(F.col("signal_date").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     given_up = F.when(F.col("best_prob") - F.col("prob") > delta, F.col("signal_date"))
     pointers = (

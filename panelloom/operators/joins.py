@@ -77,13 +77,12 @@ def asof_join(
     merged = probe.select(*by, on, F.lit(True).alias("__probe")).unionByName(
         side.withColumn("__probe", F.lit(False)), allowMissingColumns=True
     )
-    w = Window.partitionBy(*by) if by else None
-    # Values sort before the probe of the same date (backward) or after it (forward).
-    order = [F.col(on), F.col("__probe")] if direction == "backward" else [F.col(on), F.col("__probe").desc()]
-    w = w.orderBy(*order) if w is not None else Window.orderBy(*order)
-    fill = R.forward_fill if direction == "backward" else R.backward_fill
+    # A forward fill walks the dates downwards, so that both directions use a growing frame (one
+    # step per row) and never a shrinking one; on one date the values come before the probe.
+    walk = F.col(on) if direction == "backward" else F.col(on).desc()
+    w = Window.partitionBy(*by).orderBy(walk, "__probe") if by else Window.orderBy(walk, "__probe")
     filled = (
-        merged.withColumn("__value", fill(w, F.col("__value")))
+        merged.withColumn("__value", R.forward_fill(w, F.col("__value")))
         .where("__probe")
         .select(*by, on, *[F.col(f"__value.{c}").alias(c) for c in columns])
     )

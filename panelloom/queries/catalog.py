@@ -1,4 +1,12 @@
 """Imports every query module, which fills the registry."""
 
-from panelloom.queries import windows  # noqa: F401
+from panelloom.queries import (  # noqa: F401
+    aggregates,
+    joining,
+    measuring,
+    quality,
+    scalar,
+    splitting,
+    windows,
+)
 from panelloom.queries.registry import ORACLES, QUERIES  # noqa: F401

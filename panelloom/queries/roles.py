@@ -6,6 +6,8 @@ and divided once, so a role's values do not depend on the order of the rows.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ from panelloom.functions.scalars import month_start
 from panelloom.operators import calendar as cal
 from panelloom.operators import features as feat
 from panelloom.operators import joins
-from panelloom.operators import ranking
+from panelloom.operators import explain
 from panelloom.operators import returns as ret
+from panelloom.sources.tables import materialise
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -29,8 +32,8 @@ def exact_mean(column: str) -> Column:
     return F.sum(cents(column)) / (F.count(F.lit(1)) * 100.0)
 
 
-def panel(spark, sf) -> DataFrame:
-    """(asset, date, close, adj_close, volume): close is the price of the last order key."""
+def price_cells(spark, sf) -> DataFrame:
+    """(asset, date, close, adj_close, volume, cents): close is the price of the last order key."""
     return (
         table(spark, sf, "orders")
         .groupBy(F.col("o_orderpriority").alias("asset"), F.to_date("o_orderdate").alias("date"))
@@ -38,12 +41,32 @@ def panel(spark, sf) -> DataFrame:
             F.max_by("o_totalprice", "o_orderkey").alias("close"),
             F.min("o_totalprice").alias("adj_close"),
             F.count(F.lit(1)).alias("volume"),
+            F.sum(cents("o_totalprice")).alias("cents"),
         )
     )
 
 
+def prices(spark, sf) -> DataFrame:
+    """The price cells as a written table, for queries that need the panel and its benchmark: the
+    orders are then scanned once. It has at most one row per asset and calendar day."""
+    return materialise(price_cells(spark, sf), "prices")
+
+
+def panel_of(cells: DataFrame) -> DataFrame:
+    return cells.drop("cents")
+
+
+def panel(spark, sf) -> DataFrame:
+    """(asset, date, close, adj_close, volume)."""
+    return panel_of(price_cells(spark, sf))
+
+
+def bench_of(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("date").agg((F.sum("cents") / (F.sum("volume") * 100.0)).alias("close"))
+
+
 def bench(spark, sf) -> DataFrame:
-    """(date, close)."""
+    """(date, close): mean order price per date."""
     return table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(
         exact_mean("o_totalprice").alias("close")
     )
@@ -84,36 +107,59 @@ def macro_monthly(spark, sf) -> DataFrame:
     ).agg(exact_mean("l_tax").alias("macro_c"), (F.sum(cents("l_extendedprice")) / 1e8).alias("macro_d"))
 
 
-def total_returns(spark, sf, on_missing_session: str = "drop") -> DataFrame:
-    return ret.total_returns(
-        panel(spark, sf), dividends(spark, sf), on_missing_session=on_missing_session
-    )
+def total_returns(spark, sf, cells: DataFrame | None = None, on_missing_session: str = "drop") -> DataFrame:
+    own = panel(spark, sf) if cells is None else panel_of(cells)
+    return ret.total_returns(own, dividends(spark, sf), on_missing_session=on_missing_session)
 
 
-def bench_returns(spark, sf) -> DataFrame:
+def bench_returns(cells: DataFrame) -> DataFrame:
     """(date, bench_close, bench_return)."""
-    return ret.benchmark_returns(bench(spark, sf))
+    return ret.benchmark_returns(bench_of(cells))
 
 
-def return_panel(spark, sf) -> DataFrame:
-    """(asset, date, total_return, prob): small daily returns and a score, from line items."""
+def _line_cells(spark, sf) -> DataFrame:
+    """(asset, date, cents, lines, last_order) of the line items shipped that day."""
     return shipped(spark, sf).groupBy("asset", "date").agg(
-        (exact_mean("l_discount") - 0.05).alias("total_return"),
-        ((F.max("l_orderkey") * 7919 % 1000) / 1000.0).alias("prob"),
+        F.sum(cents("l_discount")).alias("cents"),
+        F.count(F.lit(1)).alias("lines"),
+        F.max("l_orderkey").alias("last_order"),
     )
 
 
-def return_bench(spark, sf) -> DataFrame:
-    """(date, bench_return) over all line items."""
-    return table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("date")).agg(
-        (exact_mean("l_discount") - 0.05).alias("bench_return")
+def _returns_of(cells: DataFrame) -> DataFrame:
+    return cells.select(
+        "asset",
+        "date",
+        (F.col("cents") / (F.col("lines") * 100.0) - 0.05).alias("total_return"),
+        ((F.col("last_order") * 7919 % 1000) / 1000.0).alias("prob"),
     )
 
 
-def predictions(spark, sf) -> DataFrame:
+def return_cells(spark, sf) -> DataFrame:
+    """(asset, date, total_return, prob): small daily returns and a score, from line items."""
+    return _returns_of(_line_cells(spark, sf))
+
+
+@dataclass(frozen=True)
+class Market:
+    """The return panel and its benchmark, both read from one written table of cells."""
+
+    returns: DataFrame  # asset, date, total_return, prob
+    bench: DataFrame  # date, bench_return
+
+
+def market(spark, sf) -> Market:
+    """Scans and joins the line items once; the cells number at most one per asset and day."""
+    cells = materialise(_line_cells(spark, sf), "cells")
+    whole = cells.groupBy("date").agg(
+        (F.sum("cents") / (F.sum("lines") * 100.0) - 0.05).alias("bench_return")
+    )
+    return Market(_returns_of(cells), whole)
+
+
+def predictions(m: Market) -> DataFrame:
     """(signal_date, execution_date, asset, prob, target, alpha): whole 7-session horizons."""
-    own = return_panel(spark, sf)
-    labelled = feat.forward_targets(own, return_bench(spark, sf), 7)
+    labelled = feat.forward_targets(m.returns, m.bench, 7)
     return (
         cal.next_session(labelled)
         .where(F.col("target_7d").isNotNull())
@@ -128,16 +174,16 @@ def predictions(spark, sf) -> DataFrame:
     )
 
 
-def rebalances(spark, sf) -> DataFrame:
+def rebalances(m: Market) -> DataFrame:
     """Predictions on every 7th session of the prediction calendar."""
-    preds = predictions(spark, sf)
+    preds = predictions(m)
     dates = cal.every_nth_session(cal.sessions(preds, "signal_date"), 7).select("signal_date")
     return preds.join(dates, "signal_date")
 
 
-def periods(spark, sf) -> DataFrame:
+def periods(m: Market) -> DataFrame:
     """Rebalances with the return of the 7 sessions after execution."""
-    return joins.holding_returns(rebalances(spark, sf), return_panel(spark, sf), 7)
+    return joins.holding_returns(rebalances(m), m.returns, 7)
 
 
 def scored_orders(spark, sf) -> DataFrame:
@@ -153,11 +199,10 @@ def scored_orders(spark, sf) -> DataFrame:
     )
 
 
-def features_frame(spark, sf) -> DataFrame:
+def features_frame(m: Market) -> DataFrame:
     """The return panel with trailing features and its target, for models."""
-    own = return_panel(spark, sf)
-    side = return_bench(spark, sf)
-    full = feat.volatility(feat.trailing_returns(own, (7, 30)), (30,))
+    side = m.bench
+    full = feat.volatility(feat.trailing_returns(m.returns, (7, 30)), (30,))
     full = joins.attach_series(
         full,
         feat.benchmark_trailing(side, (7, 30)),
@@ -187,12 +232,6 @@ def line_rows(spark, sf) -> DataFrame:
 
 
 def attributions(spark, sf) -> DataFrame:
-    from panelloom.operators import explain
-
     return explain.linear_contributions(
         line_rows(spark, sf), LINEAR, ["row_id", "asset", "date", "prob", "label"]
     )
-
-
-def ranked_predictions(spark, sf) -> DataFrame:
-    return ranking.rank_by_score(predictions(spark, sf))

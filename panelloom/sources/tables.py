@@ -24,6 +24,29 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Writes df once under the scratch folder and returns the written table.
+
+    For a small intermediate result that several branches of a query read: each branch would
+    otherwise repeat the scans and shuffles below it, and a lost executor would repeat them
+    again. Unlike checkpoint() the written table keeps column pruning and size statistics.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, label)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def literal_table(spark: SparkSession, schema: str, rows: Sequence[tuple]) -> DataFrame:
+    """A short table known to the driver as an inline expression: one JVM task, no Python rows."""
+    fields = [part.split() for part in schema.split(",")]
+    structs = [
+        F.struct(*[F.lit(value).cast(kind).alias(name) for value, (name, kind) in zip(row, fields)])
+        for row in rows
+    ]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+
+
 def table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
