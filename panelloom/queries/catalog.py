@@ -2,6 +2,9 @@
 
 from panelloom.queries import (  # noqa: F401
     aggregates,
+    backtesting,
+    explaining,
+    ingesting,
     joining,
     measuring,
     quality,

@@ -29,9 +29,11 @@ def sql(needs: str, body: str) -> str:
     if not ordered:
         return body
     parts = ",\n".join(f"{name} AS ({CTES[name][1]})" for name in ordered)
-    joiner = ",\n" if body.lstrip().upper().startswith("WITH ") else "\n"
-    rest = body.lstrip()[5:] if joiner == ",\n" else body
-    return f"WITH {parts}{joiner}{rest}"
+    text = body.lstrip()
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if text.startswith(head):
+            return f"{head}{parts},\n{text[len(head):]}"
+    return f"WITH {parts}\n{text}"
 
 
 def query(name: str, oracle: str | None = None):

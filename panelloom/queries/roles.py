@@ -220,9 +220,14 @@ GROUPS = {"size": ["l_quantity", "l_extendedprice"], "rate": ["l_discount", "l_t
 
 
 def line_rows(spark, sf) -> DataFrame:
-    """Every line item as an explained row: (row_id, asset, date, prob, label, LINEAR columns)."""
+    """Every line item as an explained row: (row_id, asset, date, prob, label, LINEAR columns).
+
+    Order and line number repeat in the given table, so the key adds part, supplier and price.
+    """
     return table(spark, sf, "lineitem").select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+        F.concat_ws(
+            "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents("l_extendedprice")
+        ).alias("row_id"),
         F.col("l_returnflag").alias("asset"),
         F.to_date("l_shipdate").alias("date"),
         ((F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 31) % 1000 / 1000.0).alias("prob"),

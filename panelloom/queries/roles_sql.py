@@ -203,7 +203,7 @@ CTES: dict[str, tuple[str, str]] = {
     "line_rows": (
         "",
         """
-  SELECT l_orderkey * 10 + l_linenumber AS row_id, l_returnflag AS asset, CAST(l_shipdate AS DATE) AS date,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS row_id, l_returnflag AS asset, CAST(l_shipdate AS DATE) AS date,
          ((l_orderkey * 7919 + l_linenumber * 31) % 1000) / 1000e0 AS prob, l_linestatus = 'F' AS label,
          l_quantity, l_discount, l_tax, l_extendedprice
   FROM lineitem""",
