@@ -65,15 +65,16 @@ def asof_join(
 ) -> DataFrame:
     """Last known right value on or before (`backward`) or on or after (`forward`) each date.
 
-    The two sides are unioned and filled along one window, so nothing is matched pairwise. With
-    `by` keys the fill runs per key. Without them only the distinct left dates enter the window
-    (a calendar, bounded by time) and the result is joined back on the date.
+    The two sides are unioned and filled along one window, so nothing is matched pairwise. Both
+    are first reduced to one row per (by, date): several right rows of one date count as the
+    largest of them, and a key that holds very many rows is cut down map-side to at most one
+    probe and one value per date. The result is joined back on (by, date).
     """
     if direction not in ("backward", "forward"):
         raise ValueError("direction is 'backward' or 'forward'")
     by = list(by)
     probe = left.select(*by, on).distinct()
-    side = right.select(*by, on, F.struct(*columns).alias("__value"))
+    side = right.groupBy(*by, on).agg(F.max(F.struct(*columns)).alias("__value"))
     merged = probe.select(*by, on, F.lit(True).alias("__probe")).unionByName(
         side.withColumn("__probe", F.lit(False)), allowMissingColumns=True
     )

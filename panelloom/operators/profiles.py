@@ -132,21 +132,18 @@ def exact_quantiles(
         )
         .withColumn("rank", F.col("prob") * (F.col("n") - 1))
     )
-    cells = (
+    # The brackets are len(columns) * len(probs) rows by construction, hence the broadcast.
+    # Everything under a bracket falls into one NULL-valued row per task before the shuffle.
+    kept = (
         df.select(*[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot([], columns, "column", "value")
         .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    # The brackets are len(columns) * len(probs) rows by construction, hence the broadcast.
-    kept = (
-        cells.join(F.broadcast(brackets), "column")
+        .join(F.broadcast(brackets), "column")
         .where(F.col("value") <= F.col("hi"))
         .groupBy(
             "column", "prob", "rank", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value")
         )
-        .agg(F.sum("copies").alias("copies"))
+        .agg(F.count(F.lit(1)).alias("copies"))
     )
     w = (
         Window.partitionBy("column", "prob")

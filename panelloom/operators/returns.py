@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,10 +52,14 @@ def total_returns(
     events: DataFrame,
     keys: PanelKeys = KEYS,
     on_missing_session: str = "drop",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Prices (asset, date, close, volume) and events -> the total-return table."""
+    """Prices (asset, date, close, volume) and events -> the total-return table.
+
+    `keep` names further price columns to carry along.
+    """
     paid = events_on_sessions(events, prices, keys, on_missing_session=on_missing_session)
-    joined = prices.select(*keys.pair, "close", "volume").join(paid, keys.pair, "left")
+    joined = prices.select(*keys.pair, "close", "volume", *keep).join(paid, keys.pair, "left")
     w = keys.history()
     previous = F.lag("close", 1).over(w)
     based = joined.select(
@@ -63,6 +69,7 @@ def total_returns(
         "volume",
         flag(F.col("volume") > 0).alias("has_trading"),
         F.coalesce(F.col("dividend_value"), F.lit(0.0)).alias("dividend_value"),
+        *keep,
     )
     base = F.nullif(F.col("close_prev"), F.lit(0.0))
     price_part = (F.col("close") - F.col("close_prev")) / base

@@ -7,9 +7,11 @@ from panelloom.queries import (  # noqa: F401
     ingesting,
     joining,
     measuring,
+    modelling,
     quality,
     scalar,
     splitting,
+    tables,
     windows,
 )
 from panelloom.queries.registry import ORACLES, QUERIES  # noqa: F401
