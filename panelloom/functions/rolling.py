@@ -1,160 +1,208 @@
-"""Window expressions over an ordered window `w` (see `PanelKeys.history`).
+"""Window expressions over an ordered window (see `PanelKeys.history`).
 
-Every operator takes `min_periods`, the number of known values its frame must hold. The
-default is the whole frame; `min_periods=1` accepts partial frames at the start of a series.
-Expressions with the same window share one shuffle and one sort when selected together.
+Every operator with a span takes `min_periods`, the number of known values the span must hold.
+The default is the whole span; `min_periods=1` accepts partial spans at the start of a series.
+
+Two rules keep a wide set of features cheap. Spark evaluates every window expression it is given,
+equal ones too, so the span operators ask a `Frames` object for window values and each distinct
+value is computed once per pass. And Spark re-aggregates a sliding frame for every row, so sums
+and counts are taken as the difference of two frames that only grow: one step per row for any
+span. Spreads, slopes and extremes keep the sliding frame; their difference form would lose
+digits or does not exist.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+_FIRST = Window.unboundedPreceding
 
-def before(w: WindowSpec, n: int) -> WindowSpec:
-    """The n rows before the current one."""
-    return w.rowsBetween(-n, -1)
 
+class Frames:
+    """Window values over one ordered window, each distinct one computed once.
 
-def upto(w: WindowSpec, n: int) -> WindowSpec:
-    """The last n rows, the current one included."""
-    return w.rowsBetween(-(n - 1), Window.currentRow)
+    The methods return references to columns that `select` adds; the expressions built from them
+    must be passed through `select` of the same object.
+    """
 
+    def __init__(self, w: WindowSpec):
+        self._w = w
+        self._made: dict[str, tuple[str, Column]] = {}
 
-def ahead(w: WindowSpec, n: int) -> WindowSpec:
-    """The n rows after the current one."""
-    return w.rowsBetween(1, n)
+    def _take(self, key: str, value: Column) -> Column:
+        if key not in self._made:
+            self._made[key] = (f"__frame_{len(self._made)}", value)
+        return F.col(self._made[key][0])
 
+    def rows(self, agg: Column, first: int, last: int) -> Column:
+        """Aggregate over the rows first..last around the current one."""
+        return self._take(f"rows {agg} {first} {last}", agg.over(self._w.rowsBetween(first, last)))
 
-def guarded(value: Column, counted: Column, frame: WindowSpec, need: int) -> Column:
-    """`value` only where the frame holds at least `need` known values."""
-    return F.when(F.count(counted).over(frame) >= need, value)
+    def days(self, agg: Column, first: int, last: int) -> Column:
+        """Aggregate over order values first..last around the current one (a day number)."""
+        return self._take(f"days {agg} {first} {last}", agg.over(self._w.rangeBetween(first, last)))
 
+    def lag(self, value: Column, n: int = 1) -> Column:
+        return self._take(f"lag {value} {n}", F.lag(value, n).over(self._w))
 
-def simple_return(w: WindowSpec, price: Column) -> Column:
-    previous = F.lag(price, 1).over(w)
-    return (price - previous) / F.nullif(previous, F.lit(0.0))
+    def lead(self, value: Column, n: int = 1) -> Column:
+        return self._take(f"lead {value} {n}", F.lead(value, n).over(self._w))
 
+    def count(self, value: Column, first: int, last: int) -> Column:
+        """Known values on rows first..last."""
+        return self.rows(F.count(value), _FIRST, last) - self.rows(F.count(value), _FIRST, first - 1)
 
-def _compound_over(returns: Column, frame: WindowSpec, need: int) -> Column:
-    growth = F.product(returns + F.lit(1.0)).over(frame) - F.lit(1.0)
-    return guarded(growth, returns, frame, need)
+    def sum(self, value: Column, first: int, last: int) -> Column:
+        """Sum of the known values on rows first..last; 0 without any."""
+        zero = F.lit(0.0)
+        return F.coalesce(self.rows(F.sum(value), _FIRST, last), zero) - F.coalesce(
+            self.rows(F.sum(value), _FIRST, first - 1), zero
+        )
 
+    def select(self, df: DataFrame, *columns: Column) -> DataFrame:
+        """All columns of df plus the given ones."""
+        staged = df.select("*", *[value.alias(name) for name, value in self._made.values()])
+        return staged.select(*df.columns, *columns)
 
-def trailing_compound(
-    w: WindowSpec, returns: Column, n: int, min_periods: int | None = None
-) -> Column:
+
+# Operators on spans, over Frames.
+
+
+def _compound(fr: Frames, returns: Column, first: int, last: int, need: int) -> Column:
+    """Compounded return of rows first..last; a return of -1 or less is a total loss."""
+    logs = F.log1p(F.when(returns > -1.0, returns))
+    lost = fr.count(F.when(returns <= -1.0, 1), first, last) > 0
+    growth = F.when(lost, F.lit(-1.0)).otherwise(F.expm1(fr.sum(logs, first, last)))
+    return F.when(fr.count(returns, first, last) >= need, growth)
+
+
+def trailing_compound(fr: Frames, returns: Column, n: int, min_periods: int | None = None) -> Column:
     """Compounded return of the n sessions before today."""
-    return _compound_over(returns, before(w, n), n if min_periods is None else min_periods)
+    return _compound(fr, returns, -n, -1, n if min_periods is None else min_periods)
 
 
-def forward_compound(
-    w: WindowSpec, returns: Column, n: int, min_periods: int | None = None
-) -> Column:
+def forward_compound(fr: Frames, returns: Column, n: int, min_periods: int | None = None) -> Column:
     """Compounded return of the n sessions after today."""
-    return _compound_over(returns, ahead(w, n), n if min_periods is None else min_periods)
+    return _compound(fr, returns, 1, n, n if min_periods is None else min_periods)
 
 
-def trailing_volatility(
-    w: WindowSpec, returns: Column, n: int, min_periods: int | None = None
-) -> Column:
+def trailing_volatility(fr: Frames, returns: Column, n: int, min_periods: int | None = None) -> Column:
     """Sample standard deviation over the n sessions before today."""
-    frame = before(w, n)
-    need = n if min_periods is None else min_periods
-    return guarded(F.stddev_samp(returns).over(frame), returns, frame, need)
+    known = fr.count(returns, -n, -1)
+    return F.when(
+        known >= (n if min_periods is None else min_periods), fr.rows(F.stddev_samp(returns), -n, -1)
+    )
 
 
-def moving_average(w: WindowSpec, value: Column, n: int, min_periods: int | None = None) -> Column:
-    frame = upto(w, n)
-    return guarded(F.avg(value).over(frame), value, frame, n if min_periods is None else min_periods)
+def moving_average(fr: Frames, value: Column, n: int, min_periods: int | None = None) -> Column:
+    """Mean of the last n sessions, the current one included."""
+    known = fr.count(value, 1 - n, 0)
+    mean = fr.sum(value, 1 - n, 0) / F.nullif(known, F.lit(0))
+    return F.when(known >= (n if min_periods is None else min_periods), mean)
 
 
-def distance_to_average(
-    w: WindowSpec, price: Column, n: int, min_periods: int | None = None
-) -> Column:
-    mean = moving_average(w, price, n, min_periods)
+def distance_to_average(fr: Frames, price: Column, n: int, min_periods: int | None = None) -> Column:
+    mean = moving_average(fr, price, n, min_periods)
     return (price - mean) / F.nullif(mean, F.lit(0.0))
 
 
-def drawdown_from_peak(
-    w: WindowSpec, price: Column, n: int, min_periods: int | None = None
-) -> Column:
+def drawdown_from_peak(fr: Frames, price: Column, n: int, min_periods: int | None = None) -> Column:
     """Share lost since the highest price of the last n sessions."""
-    frame = upto(w, n)
-    peak = F.max(price).over(frame)
+    peak = fr.rows(F.max(price), 1 - n, 0)
     share = (peak - price) / F.nullif(peak, F.lit(0.0))
-    return guarded(share, price, frame, n if min_periods is None else min_periods)
+    known = fr.count(price, 1 - n, 0)
+    return F.when(known >= (n if min_periods is None else min_periods), share)
 
 
 def outperformance_rate(
-    w: WindowSpec, returns: Column, reference: Column, n: int, min_periods: int | None = None
+    fr: Frames, returns: Column, reference: Column, n: int, min_periods: int | None = None
 ) -> Column:
     """Share of the last n sessions whose return beat the reference.
 
     A session where either return is unknown counts as not beaten, so the guard counts rows.
     """
-    frame = upto(w, n)
-    beaten = F.when(returns > reference, F.lit(1.0)).otherwise(F.lit(0.0))
-    return guarded(F.avg(beaten).over(frame), F.lit(1), frame, n if min_periods is None else min_periods)
+    rows = fr.count(F.lit(1), 1 - n, 0)
+    beaten = fr.count(F.when(returns > reference, 1), 1 - n, 0)
+    return F.when(rows >= (n if min_periods is None else min_periods), beaten / rows)
 
 
 def rolling_beta(
-    w: WindowSpec, returns: Column, reference: Column, n: int, min_obs: int = 60
+    fr: Frames, returns: Column, reference: Column, n: int, min_obs: int = 60
 ) -> Column:
     """Slope of returns on reference over the last n sessions.
 
     Only sessions where both are known enter, into numerator and denominator alike; NULL under
     `min_obs` such pairs or when the reference does not vary.
     """
-    frame = upto(w, n)
     paired = F.when(returns.isNotNull() & reference.isNotNull(), reference)
-    pairs = F.count(paired).over(frame)
-    varies = F.var_pop(paired).over(frame) > 0
-    slope = F.regr_slope(returns, reference).over(frame)
-    return F.when((pairs >= min_obs) & varies, slope)
+    pairs = fr.count(paired, 1 - n, 0)
+    # A slope over a reference that does not vary is NULL by itself.
+    return F.when(pairs >= min_obs, fr.rows(F.regr_slope(returns, reference), 1 - n, 0))
 
 
 def rsi_from_moves(
-    w: WindowSpec, gain: Column, loss: Column, n: int, min_periods: int | None = None
+    fr: Frames, gain: Column, loss: Column, n: int, min_periods: int | None = None
 ) -> Column:
     """Relative strength index from columns that hold the gain and the loss of each session."""
-    frame = upto(w, n)
-    up, down = F.avg(gain).over(frame), F.avg(loss).over(frame)
-    index = F.when(down == 0, F.lit(100.0)).otherwise(
-        F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + up / F.nullif(down, F.lit(0.0)))
+    first = 1 - n
+    up, down = fr.sum(gain, first, 0), fr.sum(loss, first, 0)
+    index = F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + up / F.nullif(down, F.lit(0.0)))
+    # Whether there was any loss is a count, which the difference of sums cannot blur.
+    fell = fr.count(F.when(loss > 0, 1), first, 0) > 0
+    known = fr.count(gain, first, 0)
+    return F.when(
+        known >= (n if min_periods is None else min_periods), F.when(fell, index).otherwise(F.lit(100.0))
     )
-    return guarded(index, gain, frame, n if min_periods is None else min_periods)
 
 
-def valid_count(frame: WindowSpec, value: Column) -> Column:
-    return F.count(value).over(frame)
+def days_since_last(fr: Frames, date: Column, happened: Column) -> Column:
+    """Days since the latest earlier row where `happened`; NULL before the first one."""
+    return F.datediff(date, fr.rows(F.max(F.when(happened, date)), _FIRST, -1))
 
 
-def forward_fill(w: WindowSpec, value: Column) -> Column:
-    """Last known value up to and including the current row."""
-    return F.last(value, ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def history_days(fr: Frames, date: Column) -> Column:
+    """Days since the first row of the partition."""
+    return F.datediff(date, fr.rows(F.min(date), _FIRST, 0))
+
+
+def trailing_days_count(fr: Frames, value: Column, days: int) -> Column:
+    """Known values on the `days` calendar days before today (order = day number)."""
+    return fr.days(F.count(value), _FIRST, -1) - fr.days(F.count(value), _FIRST, -days - 1)
+
+
+def trailing_days_sum(fr: Frames, value: Column, days: int) -> Column:
+    """Sum of the values on the `days` calendar days before today (order = day number).
+
+    Exactly zero when none of them is non-zero, and NULL when the span has no row at all.
+    """
+    hits = trailing_days_count(fr, F.nullif(value, F.lit(0.0)), days)
+    total = fr.days(F.sum(value), _FIRST, -1) - F.coalesce(
+        fr.days(F.sum(value), _FIRST, -days - 1), F.lit(0.0)
+    )
+    return F.when(
+        trailing_days_count(fr, value, days) > 0, F.when(hits > 0, total).otherwise(F.lit(0.0))
     )
 
 
-def days_since_last(w: WindowSpec, date: Column, happened: Column) -> Column:
-    """Days since the latest earlier row where `happened`; NULL before the first one."""
-    seen = F.max(F.when(happened, date)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return F.datediff(date, seen)
+# Single window expressions, over a plain window.
+
+
+def simple_return(w: WindowSpec, price: Column) -> Column:
+    previous = F.lag(price, 1).over(w)
+    return price / F.nullif(previous, F.lit(0.0)) - 1.0
 
 
-def history_days(partition: WindowSpec, date: Column) -> Column:
-    """Days since the first row of the partition (`partition` has no order)."""
-    return F.datediff(date, F.min(date).over(partition))
+def forward_fill(w: WindowSpec, value: Column) -> Column:
+    """Last known value up to and including the current row."""
+    return F.last(value, ignorenulls=True).over(w.rowsBetween(_FIRST, Window.currentRow))
 
 
 def running_compound(w: WindowSpec, returns: Column) -> Column:
     """Growth factor from the start of the partition up to the current row."""
-    return F.product(returns + F.lit(1.0)).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    return F.product(returns + F.lit(1.0)).over(w.rowsBetween(_FIRST, Window.currentRow))
 
 
 def running_max(w: WindowSpec, value: Column) -> Column:
-    return F.max(value).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return F.max(value).over(w.rowsBetween(_FIRST, Window.currentRow))

@@ -144,24 +144,61 @@ def concentration(importance: DataFrame, value: str = "importance") -> DataFrame
     )
 
 
-def local_top(attr: DataFrame, k: int = 5) -> DataFrame:
-    """Per row, the k largest and the k smallest contributions, with their place and side."""
-    up = Window.partitionBy("row_id").orderBy(F.col("contribution").desc(), "feature")
-    down = Window.partitionBy("row_id").orderBy("contribution", "feature")
-    ranked = attr.select(
-        "row_id", "feature", "value", "contribution",
-        F.row_number().over(up).alias("__up"), F.row_number().over(down).alias("__down"),
+def _top_of_cells(df: DataFrame, keep: Sequence[str], k: int) -> DataFrame:
+    """The k largest and k smallest contributions of each row's `cells` array.
+
+    Both orders are sorted inside the row, whose array is as long as the feature list.
+    """
+    up = F.array_sort(
+        F.transform("__cells", lambda c: F.struct((-c["contribution"]).alias("o"), c["feature"].alias("f"), c["value"].alias("v"), c["contribution"].alias("c")))
     )
-    sides = F.filter(
-        F.array(
-            F.struct(F.lit("raises").alias("side"), F.col("__up").alias("place")),
-            F.struct(F.lit("lowers").alias("side"), F.col("__down").alias("place")),
-        ),
-        lambda s: s["place"] <= k,
+    down = F.array_sort(
+        F.transform("__cells", lambda c: F.struct(c["contribution"].alias("o"), c["feature"].alias("f"), c["value"].alias("v"), c["contribution"].alias("c")))
     )
-    return ranked.withColumn("__s", F.explode(sides)).select(
-        "row_id", "__s.side", F.col("__s.place").cast("long").alias("place"), "feature", "value", "contribution"
+
+    def side(name: str, ordered: Column) -> Column:
+        return F.transform(
+            F.slice(ordered, 1, k),
+            lambda c, i: F.struct(
+                F.lit(name).alias("side"), (i + 1).cast("long").alias("place"),
+                c["f"].alias("feature"), c["v"].alias("value"), c["c"].alias("contribution"),
+            ),
+        )
+
+    cells = F.explode(F.concat(side("raises", up), side("lowers", down)))
+    return df.select(*keep, cells.alias("__top")).select(*keep, "__top.*")
+
+
+def local_top(attr: DataFrame, k: int = 5) -> DataFrame:
+    """Per row of a long table, its k largest and k smallest contributions with place and side.
+
+    The rows of one row_id are gathered into an array as long as the feature list.
+    """
+    gathered = attr.groupBy("row_id").agg(
+        F.collect_list(F.struct("feature", "value", "contribution")).alias("__cells")
+    )
+    return _top_of_cells(gathered, ["row_id"], k)
+
+
+def _contribution_cells(
+    df: DataFrame, coefficients: dict[str, float], keep: Sequence[str], means: DataFrame | None
+) -> DataFrame:
+    """keep columns and an array of (feature, value, contribution), one entry per feature."""
+    features = list(coefficients)
+    fit = (means if means is not None else df).agg(
+        F.struct(*[F.avg(c).alias(c) for c in features]).alias("m")
+    ).scalar()
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(c).alias("feature"),
+                F.col(c).cast("double").alias("value"),
+                (F.lit(float(w)) * (F.col(c) - F.col("__m")[c])).alias("contribution"),
+            )
+            for c, w in coefficients.items()
+        ]
     )
+    return df.withColumn("__m", fit).select(*keep, cells.alias("__cells"))
 
 
 def linear_contributions(
@@ -171,23 +208,15 @@ def linear_contributions(
 
     Means come from `means` (a frame to fit on) or from df itself, as a one-row subquery.
     """
-    features = list(coefficients)
-    fit = (means if means is not None else df).agg(
-        F.struct(*[F.avg(c).alias(c) for c in features]).alias("m")
-    ).scalar()
-    cells = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("feature"),
-                    F.col(c).cast("double").alias("value"),
-                    (F.lit(float(w)) * (F.col(c) - F.col("__m")[c])).alias("contribution"),
-                )
-                for c, w in coefficients.items()
-            ]
-        )
-    )
-    return df.withColumn("__m", fit).select(*keep, cells.alias("__cell")).select(*keep, "__cell.*")
+    cells = _contribution_cells(df, coefficients, keep, means)
+    return cells.select(*keep, F.explode("__cells").alias("__cell")).select(*keep, "__cell.*")
+
+
+def linear_local_top(
+    df: DataFrame, coefficients: dict[str, float], keep: Sequence[str], k: int = 5, means: DataFrame | None = None
+) -> DataFrame:
+    """`local_top` of the linear contributions without building the long table: no shuffle."""
+    return _top_of_cells(_contribution_cells(df, coefficients, keep, means), keep, k)
 
 
 def permuted(df: DataFrame, feature: str, key: Sequence[str], seed: int = 42, buckets: int = 4096) -> DataFrame:

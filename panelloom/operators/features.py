@@ -1,7 +1,7 @@
 """Feature and target columns of a panel.
 
-Each function adds its columns in as few passes as the nesting of windows allows; all windows
-of a pass use the same partition and order, so Spark shuffles and sorts the panel once.
+Each function adds its columns in one pass over one window; functions that use the same
+partition and order share one shuffle and one sort.
 """
 
 from __future__ import annotations
@@ -26,15 +26,10 @@ def trailing_returns(
     min_periods: int | None = None,
 ) -> DataFrame:
     """return_1d (the previous session's return) and return_{n}d over the n sessions before."""
-    w = keys.history()
-    return panel.select(
-        "*",
-        F.lag(ret, 1).over(w).alias(f"{prefix}_1d"),
-        *[
-            R.trailing_compound(w, F.col(ret), n, min_periods).alias(f"{prefix}_{n}d")
-            for n in horizons
-        ],
-    )
+    fr = R.Frames(keys.history())
+    made = [fr.lag(F.col(ret)).alias(f"{prefix}_1d")]
+    made += [R.trailing_compound(fr, F.col(ret), n, min_periods).alias(f"{prefix}_{n}d") for n in horizons]
+    return fr.select(panel, *made)
 
 
 def benchmark_trailing(
@@ -45,15 +40,10 @@ def benchmark_trailing(
     min_periods: int | None = None,
 ) -> DataFrame:
     """The same horizons on the one-row-per-date benchmark series."""
-    w = calendar_order(date)
-    return series.select(
-        "*",
-        F.lag(ret, 1).over(w).alias("bench_return_1d"),
-        *[
-            R.trailing_compound(w, F.col(ret), n, min_periods).alias(f"bench_return_{n}d")
-            for n in horizons
-        ],
-    )
+    fr = R.Frames(calendar_order(date))
+    made = [fr.lag(F.col(ret)).alias("bench_return_1d")]
+    made += [R.trailing_compound(fr, F.col(ret), n, min_periods).alias(f"bench_return_{n}d") for n in horizons]
+    return fr.select(series, *made)
 
 
 def volatility(
@@ -63,14 +53,15 @@ def volatility(
     ret: str = "total_return",
     min_periods: int | None = None,
 ) -> DataFrame:
-    w = keys.history()
-    return panel.select(
-        "*",
-        *[
-            R.trailing_volatility(w, F.col(ret), n, min_periods).alias(f"volatility_{n}d")
-            for n in horizons
-        ],
-    )
+    fr = R.Frames(keys.history())
+    made = [R.trailing_volatility(fr, F.col(ret), n, min_periods).alias(f"volatility_{n}d") for n in horizons]
+    return fr.select(panel, *made)
+
+
+def _by_day(panel: DataFrame, keys: PanelKeys) -> tuple[DataFrame, R.Frames]:
+    """The panel with a day number, and frames ordered by it: rows and calendar days alike."""
+    dated = panel.withColumn("__day", day_number(F.col(keys.date)))
+    return dated, R.Frames(Window.partitionBy(keys.asset).orderBy("__day"))
 
 
 def dividend_features(
@@ -81,20 +72,15 @@ def dividend_features(
     days: int = 365,
 ) -> DataFrame:
     """Trailing yield over calendar days, days of history, days since the last event, flag."""
-    by_day = Window.partitionBy(keys.asset).orderBy("__day").rangeBetween(-days, -1)
-    w = keys.history()
-    date = F.col(keys.date)
-    return (
-        panel.withColumn("__day", day_number(date))
-        .select(
-            "*",
-            safe_div(F.sum(value).over(by_day), F.col(price)).alias("dividend_yield_12m"),
-            R.history_days(Window.partitionBy(keys.asset), date).alias("dividend_history_days"),
-            R.days_since_last(w, date, F.col(value) > 0).alias("days_since_last_dividend"),
-            (F.col(value) > 0).alias("has_dividend_today"),
-        )
-        .drop("__day")
-    )
+    dated, fr = _by_day(panel, keys)
+    date, paid = F.col(keys.date), F.col(value)
+    return fr.select(
+        dated,
+        safe_div(R.trailing_days_sum(fr, paid, days), F.col(price)).alias("dividend_yield_12m"),
+        R.history_days(fr, date).alias("dividend_history_days"),
+        R.days_since_last(fr, date, paid > 0).alias("days_since_last_dividend"),
+        (paid > 0).alias("has_dividend_today"),
+    ).drop("__day")
 
 
 def excess_returns(
@@ -124,10 +110,10 @@ def forward_targets(
     Each leg is compounded over its own next n sessions; the benchmark leg is computed on the
     one-row-per-date series and then joined. Without a whole horizon the target is NULL.
     """
-    leg = R.forward_compound(keys.history(), F.col(ret), n, min_periods)
-    bench_leg = R.forward_compound(calendar_order(keys.date), F.col(bench_ret), n, min_periods)
-    own = panel.select("*", leg.alias("__own"))
-    side = benchmark.select(keys.date, bench_leg.alias("__bench"))
+    fr, bench_fr = R.Frames(keys.history()), R.Frames(calendar_order(keys.date))
+    own = fr.select(panel, R.forward_compound(fr, F.col(ret), n, min_periods).alias("__own"))
+    leg = R.forward_compound(bench_fr, F.col(bench_ret), n, min_periods).alias("__bench")
+    side = bench_fr.select(benchmark, leg).select(keys.date, "__bench")
     both = own.join(side, keys.date, "left").select(
         "*",
         (F.col("__own") > F.col("__bench")).alias(f"target_{n}d"),
@@ -151,25 +137,26 @@ def price_cash_targets(
 ) -> DataFrame:
     """Forward return as (price after n sessions + cash paid on the way) / price - 1, versus the
     benchmark's price change over its own n sessions; NULL without a whole horizon."""
-    w = keys.history()
-    frame = R.ahead(w, n)
-    cash = R.guarded(F.sum(F.coalesce(F.col(value), F.lit(0.0))).over(frame), F.lit(1), frame, n)
-    own = safe_div(F.lead(price, n).over(w) + cash, F.col(price)) - 1.0
-    bw = calendar_order(keys.date)
-    bench = safe_div(F.lead(bench_price, n).over(bw), F.col(bench_price)) - 1.0
-    side = benchmark.select(keys.date, bench.alias(f"future_bench_{n}d"))
+    fr, bench_fr = R.Frames(keys.history()), R.Frames(calendar_order(keys.date))
+    cash = fr.sum(F.col(value), 1, n)
+    # The price after n sessions is NULL when fewer than n sessions follow, and so is the target.
+    own = safe_div(fr.lead(F.col(price), n) + cash, F.col(price)) - 1.0
+    bench = safe_div(bench_fr.lead(F.col(bench_price), n), F.col(bench_price)) - 1.0
+    side = bench_fr.select(benchmark, bench.alias(f"future_bench_{n}d")).select(keys.date, f"future_bench_{n}d")
     return (
-        panel.select("*", own.alias(f"future_return_{n}d"))
+        fr.select(panel, own.alias(f"future_return_{n}d"))
         .join(side, keys.date, "left")
         .withColumn(f"target_{n}d", F.col(f"future_return_{n}d") > F.col(f"future_bench_{n}d"))
     )
 
 
-def technical_features(
-    panel: DataFrame,
-    keys: PanelKeys = KEYS,
+def technical_columns(
+    fr: R.Frames,
     price: str = "close",
+    ret: str = "price_return",
     bench_ret: str = "bench_return",
+    gain: str = "__gain",
+    loss: str = "__loss",
     rsi: Sequence[int] = (14,),
     averages: Sequence[int] = (7, 30),
     betas: Sequence[int] = (90,),
@@ -177,31 +164,36 @@ def technical_features(
     drawdowns: Sequence[int] = (30,),
     min_obs: int = 60,
     min_periods: int | None = None,
-) -> DataFrame:
-    """RSI, distance to moving averages, beta, outperformance rate and drawdown in two passes.
-
-    The panel must already carry the benchmark return under `bench_ret` when betas or
-    outperformance rates are asked for.
-    """
+) -> list:
+    """RSI, distance to moving averages, beta, outperformance rate and drawdown over `fr`, from a
+    panel that holds price, return, benchmark return, gain and loss of each session."""
+    p, r, b = F.col(price), F.col(ret), F.col(bench_ret)
+    made = [R.rsi_from_moves(fr, F.col(gain), F.col(loss), n, min_periods).alias(f"rsi_{n}d") for n in rsi]
+    made += [R.distance_to_average(fr, p, n, min_periods).alias(f"price_vs_ma_{n}d") for n in averages]
+    made += [R.rolling_beta(fr, r, b, n, min(min_obs, n)).alias(f"beta_{n}d") for n in betas]
+    made += [R.outperformance_rate(fr, r, b, n, min_periods).alias(f"outperform_rate_{n}d") for n in outperform]
+    made += [R.drawdown_from_peak(fr, p, n, min_periods).alias(f"drawdown_{n}d") for n in drawdowns]
+    return made
+
+
+def gains_and_losses(move) -> dict:
+    """Gain and loss of a price move; an unknown move counts as neither."""
+    return {
+        "__gain": F.when(move > 0, move).otherwise(F.lit(0.0)),
+        "__loss": F.when(move < 0, -move).otherwise(F.lit(0.0)),
+    }
+
+
+def technical_features(panel: DataFrame, keys: PanelKeys = KEYS, price: str = "close", **spans) -> DataFrame:
+    """`technical_columns` on a panel of prices. It must already carry the benchmark return when
+    betas or outperformance rates are asked for."""
     w = keys.history()
-    move = F.col(price) - F.lag(price, 1).over(w)
-    stage = panel.select(
-        "*", move.alias("__move"), R.simple_return(w, F.col(price)).alias("__ret")
-    ).select(
-        "*",
-        F.when(F.col("__move") > 0, F.col("__move")).otherwise(F.lit(0.0)).alias("__gain"),
-        F.when(F.col("__move") < 0, -F.col("__move")).otherwise(F.lit(0.0)).alias("__loss"),
-    )
-    p = F.col(price)
-    made = [R.rsi_from_moves(w, F.col("__gain"), F.col("__loss"), n, min_periods).alias(f"rsi_{n}d") for n in rsi]
-    made += [R.distance_to_average(w, p, n, min_periods).alias(f"price_vs_ma_{n}d") for n in averages]
-    made += [R.rolling_beta(w, F.col("__ret"), F.col(bench_ret), n, min(min_obs, n)).alias(f"beta_{n}d") for n in betas]
-    made += [
-        R.outperformance_rate(w, F.col("__ret"), F.col(bench_ret), n, min_periods).alias(f"outperform_rate_{n}d")
-        for n in outperform
-    ]
-    made += [R.drawdown_from_peak(w, p, n, min_periods).alias(f"drawdown_{n}d") for n in drawdowns]
-    return stage.select("*", *made).drop("__move", "__ret", "__gain", "__loss")
+    staged = panel.select(
+        "*", F.lag(price, 1).over(w).alias("__prev"), R.simple_return(w, F.col(price)).alias("__ret")
+    ).withColumns(gains_and_losses(F.col(price) - F.col("__prev")))
+    fr = R.Frames(w)
+    made = technical_columns(fr, price=price, ret="__ret", **spans)
+    return fr.select(staged, *made).drop("__prev", "__ret", "__gain", "__loss")
 
 
 def dividend_stability(
@@ -232,29 +224,23 @@ def derived_features(
     Volatility change and ratio, rolling Sharpe ratio, yield growth, event frequency, macro
     change and its regime flag.
     """
-    w = keys.history()
-    by_day = Window.partitionBy(keys.asset).orderBy("__day").rangeBetween(-365, -1)
-    month = Window.partitionBy(keys.asset).orderBy("__day").rangeBetween(-30, -1)
-    frame = R.before(w, n)
-    sharpe = safe_div(F.avg("total_return").over(frame), F.stddev_samp("total_return").over(frame))
-    macro_before = F.lag(macro, n).over(w)
-    staged = panel.withColumn("__day", day_number(F.col(keys.date))).select(
-        "*",
+    dated, fr = _by_day(panel, keys)
+    ret, paid = F.col("total_return"), F.col("dividend_value")
+    known = fr.count(ret, -n, -1)
+    sharpe = safe_div(fr.sum(ret, -n, -1) / F.nullif(known, F.lit(0)), fr.rows(F.stddev_samp(ret), -n, -1))
+    yield_before = fr.lag(F.col("dividend_yield_12m"), 252)
+    change = F.col(macro) - fr.lag(F.col(macro), n)
+    return fr.select(
+        dated,
         (F.col("volatility_30d") - F.col("volatility_90d")).alias("volatility_change"),
         safe_div(F.col("volatility_30d"), F.col("volatility_90d")).alias("volatility_ratio"),
-        R.guarded(sharpe, F.col("total_return"), frame, n).alias(f"sharpe_{n}d"),
-        safe_div(F.sum("dividend_value").over(month), F.col("close")).alias("dividend_yield_30d"),
-        F.count_if(F.col("dividend_value") > 0).over(by_day).alias("dividend_frequency_12m"),
-        safe_div(
-            F.col("dividend_yield_12m"), F.lag("dividend_yield_12m", 252).over(w)
-        ).alias("__yield_ratio"),
-        (F.col(macro) - macro_before).alias("macro_change_30d"),
-    )
-    return staged.select(
-        "*",
-        (F.col("__yield_ratio") - 1.0).alias("dividend_growth"),
-        F.when(F.col("macro_change_30d").isNotNull(), F.col("macro_change_30d") > 0).alias("macro_rising"),
-    ).drop("__day", "__yield_ratio")
+        F.when(known >= n, sharpe).alias(f"sharpe_{n}d"),
+        safe_div(R.trailing_days_sum(fr, paid, 30), F.col("close")).alias("dividend_yield_30d"),
+        R.trailing_days_count(fr, F.when(paid > 0, 1), 365).alias("dividend_frequency_12m"),
+        (safe_div(F.col("dividend_yield_12m"), yield_before) - 1.0).alias("dividend_growth"),
+        change.alias("macro_change_30d"),
+        (change > 0).alias("macro_rising"),
+    ).drop("__day")
 
 
 def last_event_value(
@@ -269,11 +255,10 @@ def compounded_monthly(
     series: DataFrame, value: str, out: str, months: int = 12, month: str = "month"
 ) -> DataFrame:
     """Monthly percentages compounded over the last `months` months, NULL before a whole year."""
-    w = calendar_order(month)
-    frame = R.upto(w, months)
+    frame = calendar_order(month).rowsBetween(1 - months, 0)
     rate = F.col(value) / 100.0
     growth = F.product(rate + 1.0).over(frame) - 1.0
-    return series.select("*", R.guarded(growth, rate, frame, months).alias(out))
+    return series.withColumn(out, F.when(F.count(rate).over(frame) >= months, growth))
 
 
 def with_benchmark(panel: DataFrame, benchmark: DataFrame, columns: Sequence[str], date: str = "date") -> DataFrame:

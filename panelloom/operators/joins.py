@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import rolling as R
-from panelloom.functions.scalars import month_index, month_start, safe_div
+from panelloom.functions.scalars import month_index, safe_div
 from panelloom.keys import KEYS, PanelKeys, calendar_order
 
 
@@ -25,34 +25,55 @@ def attach_series(
     return panel.join(side, date, "left")
 
 
-def release_month(date: Column, rule: str = "always_two", release_day: int = 15) -> Column:
-    """Latest reference month already published on `date`.
-
-    `mid_month`: the previous month from `release_day` on, else the one before it.
-    `always_two`: always two months back.
-    """
-    two_back = month_start(F.add_months(date, -2))
-    if rule == "always_two":
-        return two_back
-    if rule == "mid_month":
-        one_back = month_start(F.add_months(date, -1))
-        return F.when(F.dayofmonth(date) < release_day, two_back).otherwise(one_back)
-    raise ValueError("rule is 'mid_month' or 'always_two'")
-
-
 def lagged_month_join(
     panel: DataFrame,
     series: DataFrame,
-    value: str,
-    out: str,
-    rule: str = "always_two",
+    rules: dict[str, str],
     date: str = "date",
     month: str = "month",
+    release_day: int = 15,
 ) -> DataFrame:
-    """Joins a monthly series under its publication lag."""
-    side = series.select(F.col(month).alias("__ref_month"), F.col(value).alias(out))
-    keyed = panel.withColumn("__ref_month", release_month(F.col(date), rule))
-    return keyed.join(side, "__ref_month", "left").drop("__ref_month")
+    """Joins monthly series under their publication lag; `rules` maps a column to its rule.
+
+    `mid_month`: the previous month from `release_day` on, else the one before it.
+    `always_two`: always two months back.
+
+    The values one and two months back are read off the series by a RANGE frame over the month
+    number, for every month the panel touches; the panel is then joined once, on its own month,
+    whatever the number of series and rules.
+    """
+    if not set(rules.values()) <= {"mid_month", "always_two"}:
+        raise ValueError("a rule is 'mid_month' or 'always_two'")
+    wanted = panel.select(month_index(F.col(date)).alias("__m")).distinct()
+    known = series.select(month_index(F.col(month)).alias("__m"), *rules)
+    spine = (
+        wanted.withColumn("__wanted", F.lit(True))
+        .unionByName(known, allowMissingColumns=True)
+        .groupBy("__m")
+        .agg(F.max("__wanted").alias("__wanted"), *[F.max(c).alias(c) for c in rules])
+    )
+    w = Window.orderBy("__m")
+
+    def back(column: str, months: int) -> Column:
+        return F.max(column).over(w.rangeBetween(-months, -months))
+
+    lagged = spine.select(
+        "__m",
+        "__wanted",
+        *[back(c, n).alias(f"__{c}_{n}") for c in rules for n in (1, 2)],
+    ).where("__wanted").drop("__wanted")
+    released = F.dayofmonth(date) >= release_day
+    picked = {
+        c: F.when(released, F.col(f"__{c}_1")).otherwise(F.col(f"__{c}_2"))
+        if rule == "mid_month"
+        else F.col(f"__{c}_2")
+        for c, rule in rules.items()
+    }
+    return (
+        panel.withColumn("__m", month_index(F.col(date)))
+        .join(lagged, "__m", "left")
+        .select(*panel.columns, *[value.alias(c) for c, value in picked.items()])
+    )
 
 
 def asof_join(
@@ -62,8 +83,11 @@ def asof_join(
     by: Sequence[str] = (),
     columns: Sequence[str] = (),
     direction: str = "backward",
+    per_column: bool = False,
 ) -> DataFrame:
-    """Last known right value on or before (`backward`) or on or after (`forward`) each date.
+    """Last known right row on or before (`backward`) or on or after (`forward`) each date.
+
+    `per_column` takes the last known value of every column by itself instead of the last row.
 
     The two sides are unioned and filled along one window, so nothing is matched pairwise. Both
     are first reduced to one row per (by, date): several right rows of one date count as the
@@ -74,7 +98,11 @@ def asof_join(
         raise ValueError("direction is 'backward' or 'forward'")
     by = list(by)
     probe = left.select(*by, on).distinct()
-    side = right.groupBy(*by, on).agg(F.max(F.struct(*columns)).alias("__value"))
+    if per_column:
+        held = {c: F.max(c) for c in columns}
+    else:
+        held = {"__value": F.max(F.struct(*columns))}
+    side = right.groupBy(*by, on).agg(*[value.alias(c) for c, value in held.items()])
     merged = probe.select(*by, on, F.lit(True).alias("__probe")).unionByName(
         side.withColumn("__probe", F.lit(False)), allowMissingColumns=True
     )
@@ -82,12 +110,11 @@ def asof_join(
     # step per row) and never a shrinking one; on one date the values come before the probe.
     walk = F.col(on) if direction == "backward" else F.col(on).desc()
     w = Window.partitionBy(*by).orderBy(walk, "__probe") if by else Window.orderBy(walk, "__probe")
-    filled = (
-        merged.withColumn("__value", R.forward_fill(w, F.col("__value")))
-        .where("__probe")
-        .select(*by, on, *[F.col(f"__value.{c}").alias(c) for c in columns])
-    )
-    return left.join(filled, [*by, on], "left")
+    filled = merged.select(
+        *by, on, "__probe", *[R.forward_fill(w, F.col(c)).alias(c) for c in held]
+    ).where("__probe")
+    names = list(columns) if per_column else [F.col(f"__value.{c}").alias(c) for c in columns]
+    return left.join(filled.select(*by, on, *names), [*by, on], "left")
 
 
 def trailing_months_agg(

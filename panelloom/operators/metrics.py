@@ -37,19 +37,22 @@ def classification_report(
     df: DataFrame, keys: Sequence[str] = (), label: str = "label", pred: str = "pred"
 ) -> DataFrame:
     """Confusion counts, accuracy, precision, recall, F1; an empty denominator gives 0."""
+    return confusion(df, keys, label, pred).select("*", *_report_columns())
+
+
+def _report_columns() -> list[Column]:
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
 
     def ratio(a: Column, b: Column) -> Column:
         return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
-    return confusion(df, keys, label, pred).select(
-        "*",
+    return [
         (tp + fp + tn + fn).alias("rows"),
         ratio(tp + tn, tp + fp + tn + fn).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
-    )
+    ]
 
 
 def _score_counts(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
@@ -70,19 +73,19 @@ def _banded(counts: DataFrame) -> DataFrame:
     )
 
 
-def _u_statistic(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, pos, neg, u): u counts (positive, negative) pairs in right order, ties by half.
+def _u_statistic(counts: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
+    """(keys, pos, neg, u, carried sums): u counts (positive, negative) pairs in right order, ties
+    by half.
 
     u of a group is the sum of u inside its bands plus, for every band, its positives times the
     negatives of the bands below. Applied from the inside out, each window holds the distinct
     scores of one inner band, then at most 1024 inner bands, then at most 1025 outer bands.
     """
+    sums = [F.sum(c).alias(c) for c in ("pos", "neg", "u", *carry)]
     level = counts.withColumn("u", F.col("pos") * F.col("neg") * 0.5)
     for parents, order in (([*keys, "outer", "inner"], "score"), ([*keys, "outer"], "inner"), ([*keys], "outer")):
         if order != "score":
-            level = level.groupBy(*parents, order).agg(
-                F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("u").alias("u")
-            )
+            level = level.groupBy(*parents, order).agg(*sums)
         below = F.coalesce(
             F.sum("neg").over(
                 Window.partitionBy(*parents).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,9 +93,11 @@ def _u_statistic(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
             F.lit(0),
         )
         level = level.withColumn("u", F.col("u") + F.col("pos") * below.cast("double"))
-    return level.groupBy(*keys).agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum("u").alias("u")
-    )
+    return level.groupBy(*keys).agg(*sums)
+
+
+def _auc() -> Column:
+    return safe_div(F.col("u"), F.col("pos").cast("double") * F.col("neg")).alias("auc")
 
 
 def roc_auc(
@@ -100,19 +105,11 @@ def roc_auc(
 ) -> DataFrame:
     """(keys, positives, negatives, auc); ties count half, a group of one class gets NULL."""
     stat = _u_statistic(_score_counts(df, keys, label, prob), keys)
-    pairs = F.col("pos").cast("double") * F.col("neg")
-    return stat.select(
-        *keys,
-        F.col("pos").alias("positives"),
-        F.col("neg").alias("negatives"),
-        safe_div(F.col("u"), pairs).alias("auc"),
-    )
+    return stat.select(*keys, F.col("pos").alias("positives"), F.col("neg").alias("negatives"), _auc())
 
 
-def roc_curve(
-    df: DataFrame, keys: Sequence[str] = (), label: str = "label", prob: str = "prob"
-) -> DataFrame:
-    """(keys, threshold, tpr, fpr), one row per distinct score, highest first.
+def _curve(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
+    """Per distinct score: own counts, counts at or above it, and the group's totals.
 
     Counts above a score = counts of the higher outer bands + inside its own outer band.
     """
@@ -125,8 +122,8 @@ def roc_curve(
         "outer",
         F.coalesce(F.sum("band_pos").over(higher), F.lit(0)).alias("pos_above"),
         F.coalesce(F.sum("band_neg").over(higher), F.lit(0)).alias("neg_above"),
-        F.sum("band_pos").over(whole).alias("pos_all"),
-        F.sum("band_neg").over(whole).alias("neg_all"),
+        F.sum("band_pos").over(whole).cast("double").alias("pos_all"),
+        F.sum("band_neg").over(whole).cast("double").alias("neg_all"),
     )
     upto = (
         Window.partitionBy(*keys, "outer")
@@ -134,42 +131,50 @@ def roc_curve(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inside = counts.select(
-        *keys, "outer", "score", F.sum("pos").over(upto).alias("cp"), F.sum("neg").over(upto).alias("cn")
+        *keys, "outer", "score", "pos", "neg",
+        F.sum("pos").over(upto).alias("cp"), F.sum("neg").over(upto).alias("cn"),
     )
     return inside.join(offsets, [*keys, "outer"]).select(
         *keys,
         F.col("score").alias("threshold"),
-        safe_div((F.col("cp") + F.col("pos_above")).cast("double"), F.col("pos_all").cast("double")).alias("tpr"),
-        safe_div((F.col("cn") + F.col("neg_above")).cast("double"), F.col("neg_all").cast("double")).alias("fpr"),
+        safe_div(F.col("cp") + F.col("pos_above"), F.col("pos_all")).alias("tpr"),
+        safe_div(F.col("cn") + F.col("neg_above"), F.col("neg_all")).alias("fpr"),
+        safe_div(F.col("pos").cast("double"), F.col("pos_all")).alias("tpr_gain"),
+        safe_div(F.col("neg").cast("double"), F.col("neg_all")).alias("fpr_gain"),
     )
 
 
+def roc_curve(
+    df: DataFrame, keys: Sequence[str] = (), label: str = "label", prob: str = "prob"
+) -> DataFrame:
+    """(keys, threshold, tpr, fpr), one row per distinct score."""
+    return _curve(df, keys, label, prob).select(*keys, "threshold", "tpr", "fpr")
+
+
 def trapezoid_auc(
     df: DataFrame, keys: Sequence[str] = (), label: str = "label", prob: str = "prob"
 ) -> DataFrame:
-    """Area under the ROC points by the trapezoid rule; each point knows its predecessor's
-    height (tpr minus its own gain), so no further ordering is needed."""
-    counts = _score_counts(df, keys, label, prob)
-    curve = roc_curve(df, keys, label, prob)
-    own = counts.select(*keys, F.col("score").alias("threshold"), "pos", "neg")
-    totals = counts.groupBy(*keys).agg(F.sum("pos").alias("p_all"), F.sum("neg").alias("n_all"))
-    step = curve.join(own, [*keys, "threshold"])
-    step = step.join(totals, list(keys)) if keys else step.withColumns(
-        {c: totals.select(c).scalar() for c in ("p_all", "n_all")}
-    )
-    gain = F.col("pos") / F.col("p_all")
-    width = F.col("neg") / F.col("n_all")
-    return step.groupBy(*keys).agg(
-        F.sum(width * (F.col("tpr") - gain / 2)).alias("auc"), F.count(F.lit(1)).alias("points")
+    """Area under the ROC points by the trapezoid rule: each point knows how much it added to
+    both rates, so its trapezoid needs no neighbour."""
+    area = F.col("fpr_gain") * (F.col("tpr") - F.col("tpr_gain") / 2)
+    return _curve(df, keys, label, prob).groupBy(*keys).agg(
+        F.sum(area).alias("auc"), F.count(F.lit(1)).alias("points")
     )
 
 
-def segment_report(df: DataFrame, keys: Sequence[str], label: str = "label", prob: str = "prob", threshold: float = 0.5) -> DataFrame:
-    """classification_report and ROC AUC side by side per segment."""
-    scored = df.where(F.col(label).isNotNull()).withColumn("pred", classify(F.col(prob), threshold))
-    left = classification_report(scored, keys, label)
-    right = roc_auc(scored, keys, label, prob).select(*keys, "auc")
-    return left.join(right, list(keys), "left")
+def segment_report(
+    df: DataFrame, keys: Sequence[str], label: str = "label", prob: str = "prob", threshold: float = 0.5
+) -> DataFrame:
+    """classification_report and ROC AUC side by side per segment, from one pass over the rows:
+    the counts per distinct score hold both."""
+    counts = _score_counts(df, keys, label, prob)
+    chosen = classify(F.col("score"), threshold)
+    split = counts.withColumns(
+        {"tp": F.when(chosen, F.col("pos")).otherwise(0), "fp": F.when(chosen, F.col("neg")).otherwise(0)}
+    )
+    stat = _u_statistic(split, keys, ["tp", "fp"])
+    cells = stat.withColumns({"tn": F.col("neg") - F.col("fp"), "fn": F.col("pos") - F.col("tp")})
+    return cells.select(*keys, "tp", "fp", "tn", "fn", *_report_columns(), _auc())
 
 
 def fold_pair_statistics(df: DataFrame, fold: str, n_folds: int, label: str = "label", prob: str = "prob") -> DataFrame:

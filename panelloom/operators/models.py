@@ -7,7 +7,7 @@ rows stay in DataFrames from scan to prediction.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import product
+from math import prod
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.aggregates import weighted_mean
 from panelloom.functions.scalars import band, hash_order
-from panelloom.operators.metrics import classification_report, classify, roc_auc
+from panelloom.operators.metrics import segment_report
 from panelloom.operators.ranking import rank_by_score
+from panelloom.sources.tables import literal_table
 
 # Model settings.
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 10, "seed": 42}
@@ -111,19 +112,16 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str
 def coefficients(model: PipelineModel, features: Sequence[str], like: DataFrame) -> DataFrame:
     """(feature, coefficient, magnitude, rank) of a fitted logistic regression."""
     values = model.stages[-1].coefficients.toArray()
-    table = like.sparkSession.createDataFrame(
-        [(f, float(v)) for f, v in zip(features, values)], "feature string, coefficient double"
-    )
+    rows = [(f, float(v)) for f, v in zip(features, values)]
+    table = literal_table(like.sparkSession, "feature string, coefficient double", rows)
     return rank_importance(table.withColumn("magnitude", F.abs("coefficient")), "magnitude")
 
 
 def importances(model: PipelineModel, features: Sequence[str], like: DataFrame) -> DataFrame:
     """(feature, importance, share_pct, rank) of a fitted tree ensemble."""
     values = model.stages[-1].featureImportances.toArray()
-    table = like.sparkSession.createDataFrame(
-        [(f, float(v)) for f, v in zip(features, values)], "feature string, importance double"
-    )
-    return importance_table(table)
+    rows = [(f, float(v)) for f, v in zip(features, values)]
+    return importance_table(literal_table(like.sparkSession, "feature string, importance double", rows))
 
 
 def rank_importance(table: DataFrame, by: str, name: str = "feature") -> DataFrame:
@@ -148,23 +146,24 @@ def importance_by_group(table: DataFrame, groups: dict[str, Sequence[str]], valu
 
 
 def evaluate(scored: DataFrame, keys: Sequence[str] = (), label: str = "label") -> DataFrame:
-    """AUC and threshold metrics of scored rows, one row per key."""
-    ready = scored.where(F.col(label).isNotNull()).withColumn("pred", classify(F.col("prob")))
-    report = classification_report(ready, keys, label)
-    auc = roc_auc(ready, keys, label).select(*keys, "auc")
-    if keys:
-        return report.join(auc, list(keys), "left")
-    return report.withColumn("auc", auc.select("auc").scalar())
+    """AUC and threshold metrics of scored rows, one row per key, from one pass over the rows."""
+    return segment_report(scored, keys, label)
 
 
 def draw_settings(spark, grid: dict[str, Sequence], draws: int, seed: int = 42) -> DataFrame:
-    """`draws` settings of the grid in hash order of their index: (setting, one column each).
+    """`draws` settings of the grid in hash order of their number: (setting, one column each).
 
-    The grid is a list of parameters known to the driver, not data.
+    The grid is numbered, not listed: a setting's values are read off its number, one digit per
+    parameter.
     """
-    rows = [(i, *values) for i, values in enumerate(product(*grid.values()))]
-    table = spark.createDataFrame(rows, ["setting", *grid])
-    return table.orderBy(hash_order(seed, F.col("setting")), "setting").limit(draws)
+    total = prod(len(values) for values in grid.values())
+    columns, stride = [], 1
+    for name, values in grid.items():
+        digit = F.floor(F.col("id") / stride) % len(values)
+        columns.append(F.element_at(F.array(*[F.lit(v) for v in values]), (digit + 1).cast("int")).alias(name))
+        stride *= len(values)
+    numbered = spark.range(total).select(F.col("id").alias("setting"), *columns)
+    return numbered.orderBy(hash_order(seed, F.col("setting")), "setting").limit(draws)
 
 
 def summarise_folds(results: DataFrame, keys: Sequence[str] = ("setting",), metric: str = "auc", weight: str = "rows") -> DataFrame:
@@ -258,7 +257,8 @@ def walk_forward(
         )
         part = score(model, df.join(due, date), features)
         out = part if out is None else out.unionByName(part)
-    return rank_by_score(out.withColumnRenamed(date, "signal_date"))
+    # One row per asset and signal date: a plain window per date, without a second scoring pass.
+    return rank_by_score(out.withColumnRenamed(date, "signal_date"), bands=None)
 
 
 def version_decision(fold_results: DataFrame, a: str, b: str, min_gain: float = 0.01) -> DataFrame:

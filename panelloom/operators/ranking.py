@@ -12,11 +12,36 @@ from panelloom.operators.metrics import binomial_interval
 
 
 def rank_by_score(
-    df: DataFrame, date: str = "signal_date", asset: str = "asset", prob: str = "prob", out: str = "rank"
+    df: DataFrame,
+    date: str = "signal_date",
+    asset: str = "asset",
+    prob: str = "prob",
+    out: str = "rank",
+    bands: int | None = 1024,
 ) -> DataFrame:
-    """1 for the best score of the date; ties go to the smaller asset key."""
-    w = Window.partitionBy(date).orderBy(F.col(prob).desc_nulls_last(), asset)
-    return df.withColumn(out, F.row_number().over(w).cast("long"))
+    """1 for the best score of the date; ties go to the smaller asset key, unknown scores last.
+
+    The rank is the number of rows in higher score bands plus the place inside the own band, so
+    that a date with very many assets is sorted by many tasks. `bands=None` sorts each date in
+    one task, which reads df once instead of twice and suits dates with few assets.
+    """
+    best_first = [F.col(prob).desc_nulls_last(), F.col(asset)]
+    if bands is None:
+        w = Window.partitionBy(date).orderBy(*best_first)
+        return df.withColumn(out, F.row_number().over(w).cast("long"))
+    banded = df.withColumn("__band", F.coalesce(F.floor(F.col(prob) * bands), F.lit(-1)))
+    higher = (
+        Window.partitionBy(date).orderBy(F.col("__band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    above = banded.groupBy(date, "__band").agg(F.count(F.lit(1)).alias("__n")).select(
+        date, "__band", F.coalesce(F.sum("__n").over(higher), F.lit(0)).alias("__above")
+    )
+    inside = Window.partitionBy(date, "__band").orderBy(*best_first)
+    return (
+        banded.withColumn("__place", F.row_number().over(inside))
+        .join(above, [date, "__band"])
+        .select(*df.columns, (F.col("__above") + F.col("__place")).alias(out))
+    )
 
 
 def top_picks(

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelloom.functions import rolling as R
 from panelloom.functions.scalars import flag
@@ -53,15 +54,16 @@ def total_returns(
     keys: PanelKeys = KEYS,
     on_missing_session: str = "drop",
     keep: Sequence[str] = (),
+    order: WindowSpec | None = None,
 ) -> DataFrame:
     """Prices (asset, date, close, volume) and events -> the total-return table.
 
-    `keep` names further price columns to carry along.
+    `keep` names further price columns to carry along; `order` replaces the (asset, date) window
+    by one over kept columns, so that later windows can share its sort.
     """
     paid = events_on_sessions(events, prices, keys, on_missing_session=on_missing_session)
     joined = prices.select(*keys.pair, "close", "volume", *keep).join(paid, keys.pair, "left")
-    w = keys.history()
-    previous = F.lag("close", 1).over(w)
+    previous = F.lag("close", 1).over(order if order is not None else keys.history())
     based = joined.select(
         *keys.pair,
         "close",

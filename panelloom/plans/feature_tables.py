@@ -20,6 +20,7 @@ from panelloom.keys import calendar_order
 from panelloom.operators import features as feat
 from panelloom.operators import joins
 from panelloom.operators.returns import benchmark_returns, total_returns
+from panelloom.sources.tables import materialise
 
 
 @dataclass(frozen=True)
@@ -47,16 +48,16 @@ TECHNICAL = [
 
 def date_facts(panel: DataFrame, benchmark: DataFrame, macro: Macro, min_periods: int | None = None) -> DataFrame:
     """One row per session of the panel with everything known by date alone."""
-    w = calendar_order()
     series = benchmark_returns(benchmark)
     series = feat.benchmark_trailing(series, (7, 30, 90), min_periods=min_periods)
-    series = series.withColumn("__bench_ahead", R.forward_compound(w, F.col("bench_return"), 7, min_periods))
+    fr = R.Frames(calendar_order())
+    ahead = R.forward_compound(fr, F.col("bench_return"), 7, min_periods)
+    series = fr.select(series, ahead.alias("__bench_ahead"))
     facts = panel.select("date").distinct().join(series.drop("bench_close"), "date", "left")
-    for column in macro.daily_columns:
-        known = macro.daily.where(F.col(column).isNotNull())
-        facts = joins.asof_join(facts, known, "date", columns=[column])
-    for column, rule in macro.monthly_rules.items():
-        facts = joins.lagged_month_join(facts, macro.monthly, column, column, rule)
+    if macro.daily_columns:
+        facts = joins.asof_join(facts, macro.daily, "date", columns=macro.daily_columns, per_column=True)
+    if macro.monthly_rules:
+        facts = joins.lagged_month_join(facts, macro.monthly, macro.monthly_rules)
     return facts
 
 
@@ -79,43 +80,41 @@ def feature_table(
     """
     if version not in ("v1", "v2", "v2_minimal"):
         raise ValueError("version is 'v1', 'v2' or 'v2_minimal'")
-    facts = date_facts(prices, benchmark, macro, min_periods)
+    # Written first, the facts have a measured size: the planner then broadcasts them, or keeps a
+    # sort-merge join if they outgrow its threshold, and the panel is not shuffled by date.
+    facts = materialise(date_facts(prices, benchmark, macro, min_periods), "date_facts")
     carried = [c for c in facts.columns if c != "date"]
-    dated = prices.select("asset", "date", "close", "volume").join(facts, "date", "left")
-    base = total_returns(dated, events, on_missing_session=on_missing_session, keep=carried)
-    base = base.withColumn("__day", day_number(F.col("date")))
-
+    dated = (
+        prices.select("asset", "date", "close", "volume")
+        .join(facts, "date", "left")
+        .withColumn("__day", day_number(F.col("date")))
+    )
+    if version == "v2":
+        dated = feat.dividend_stability(dated, events)
+        carried.append("dividend_stability")
     # One order for row frames and for calendar-day frames alike.
     w = Window.partitionBy("asset").orderBy("__day")
-    ret, close, paid = F.col("total_return"), F.col("close"), F.col("dividend_value")
-    made = [F.lag(ret, 1).over(w).alias("return_1d")]
-    made += [R.trailing_compound(w, ret, n, min_periods).alias(f"return_{n}d") for n in (7, 30, 90)]
-    made += [R.trailing_volatility(w, ret, n, min_periods).alias(f"volatility_{n}d") for n in (30, 90)]
+    base = total_returns(
+        dated, events, on_missing_session=on_missing_session, keep=["__day", *carried], order=w
+    )
+    base = base.withColumns(feat.gains_and_losses(F.col("close") - F.col("close_prev")))
+
+    fr = R.Frames(w)
+    date, ret, paid = F.col("date"), F.col("total_return"), F.col("dividend_value")
+    made = [fr.lag(ret).alias("return_1d")]
+    made += [R.trailing_compound(fr, ret, n, min_periods).alias(f"return_{n}d") for n in (7, 30, 90)]
+    made += [R.trailing_volatility(fr, ret, n, min_periods).alias(f"volatility_{n}d") for n in (30, 90)]
     made += [
-        safe_div(F.sum(paid).over(w.rangeBetween(-365, -1)), close).alias("dividend_yield_12m"),
-        R.history_days(Window.partitionBy("asset"), F.col("date")).alias("dividend_history_days"),
-        R.days_since_last(w, F.col("date"), paid > 0).alias("days_since_last_dividend"),
-        R.forward_compound(w, ret, 7, min_periods).alias("__ahead"),
+        safe_div(R.trailing_days_sum(fr, paid, 365), F.col("close")).alias("dividend_yield_12m"),
+        R.history_days(fr, date).alias("dividend_history_days"),
+        R.days_since_last(fr, date, paid > 0).alias("days_since_last_dividend"),
+        R.forward_compound(fr, ret, 7, min_periods).alias("__ahead"),
     ]
-    if version != "v1":
-        made.append(R.distance_to_average(w, close, 7, min_periods).alias("price_vs_ma_7d"))
     if version == "v2":
-        move = F.col("close") - F.col("close_prev")
-        base = base.withColumns(
-            {
-                "__gain": F.when(move > 0, move).otherwise(F.lit(0.0)),
-                "__loss": F.when(move < 0, -move).otherwise(F.lit(0.0)),
-            }
-        )
-        price_ret, bench_ret = F.col("price_return"), F.col("bench_return")
-        made += [
-            R.rsi_from_moves(w, F.col("__gain"), F.col("__loss"), 14, min_periods).alias("rsi_14d"),
-            R.distance_to_average(w, close, 30, min_periods).alias("price_vs_ma_30d"),
-            R.rolling_beta(w, price_ret, bench_ret, 90, 60).alias("beta_90d"),
-            R.outperformance_rate(w, price_ret, bench_ret, 30, min_periods).alias("outperform_rate_30d"),
-            R.drawdown_from_peak(w, close, 30, min_periods).alias("drawdown_30d"),
-        ]
-    full = base.select("*", *made).withColumns(
+        made += feat.technical_columns(fr, min_periods=min_periods)
+    elif version == "v2_minimal":
+        made.append(R.distance_to_average(fr, F.col("close"), 7, min_periods).alias("price_vs_ma_7d"))
+    full = fr.select(base, *made).withColumns(
         {
             "alpha_30d": F.col("return_30d") - F.col("bench_return_30d"),
             "alpha_90d": F.col("return_90d") - F.col("bench_return_90d"),
@@ -128,8 +127,6 @@ def feature_table(
         needed = ["return_90d", "target_7d", "bench_return", *macro.monthly_rules]
         for column in needed:
             full = full.where(F.col(column).isNotNull())
-    if version == "v2":
-        full = feat.dividend_stability(full, events)
     flags = [] if version == "v2" else ["has_dividend_today"]
     extra = {"v1": [], "v2_minimal": ["price_vs_ma_7d"], "v2": TECHNICAL}[version]
     return full.select(

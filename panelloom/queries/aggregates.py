@@ -22,9 +22,9 @@ def ag1(spark, sf):
     "ag2_summary_by_key",
     """
 SELECT l_returnflag, count(*) AS rows, min(l_quantity) AS min_l_quantity, max(l_quantity) AS max_l_quantity,
-       round(avg(l_quantity), 4) AS avg_l_quantity, round(sum(l_quantity), 2) AS sum_l_quantity,
+       round(avg(l_quantity), 4) + 0e0 AS avg_l_quantity, round(sum(l_quantity), 2) AS sum_l_quantity,
        min(l_extendedprice) AS min_l_extendedprice, max(l_extendedprice) AS max_l_extendedprice,
-       round(avg(l_extendedprice), 4) AS avg_l_extendedprice, round(sum(l_extendedprice), 2) AS sum_l_extendedprice
+       round(avg(l_extendedprice), 4) + 0e0 AS avg_l_extendedprice, round(sum(l_extendedprice), 2) AS sum_l_extendedprice
 FROM lineitem GROUP BY 1""",
 )
 def ag2(spark, sf):
@@ -53,7 +53,7 @@ def _nullable(spark, sf):
         "panel divs macro_daily",
         _NULLABLE
         + " UNION ALL ".join(
-            f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count(*) AS rows, round((count(*) - count({c})) * 100e0 / count(*), 6) AS null_pct FROM j"
+            f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count(*) AS rows, round((count(*) - count({c})) * 100e0 / count(*), 6) + 0e0 AS null_pct FROM j"
             for c in ("close", "value", "ex_date", "macro_a")
         ),
     ),
@@ -79,7 +79,7 @@ def ag4(spark, sf):
 @query(
     "ag5_describe",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS stddev, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem"
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) + 0e0 AS mean, round(stddev_samp({c}), 6) + 0e0 AS stddev, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM lineitem"
         for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     ),
 )
@@ -94,9 +94,9 @@ _NUM = ["o_totalprice", "o_custkey"]
 @query(
     "ag6_numeric_profile",
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS stddev, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
-       round(quantile_cont({c}::DOUBLE, 0.05), 4) AS p05, round(quantile_cont({c}::DOUBLE, 0.25), 4) AS p25, round(quantile_cont({c}::DOUBLE, 0.5), 4) AS p50,
-       round(quantile_cont({c}::DOUBLE, 0.75), 4) AS p75, round(quantile_cont({c}::DOUBLE, 0.95), 4) AS p95 FROM orders"""
+        f"""SELECT '{c}' AS "column", count({c}) AS count, round(avg({c}), 4) + 0e0 AS mean, round(stddev_samp({c}), 4) + 0e0 AS stddev, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
+       round(quantile_cont({c}::DOUBLE, 0.05), 4) + 0e0 AS p05, round(quantile_cont({c}::DOUBLE, 0.25), 4) + 0e0 AS p25, round(quantile_cont({c}::DOUBLE, 0.5), 4) + 0e0 AS p50,
+       round(quantile_cont({c}::DOUBLE, 0.75), 4) + 0e0 AS p75, round(quantile_cont({c}::DOUBLE, 0.95), 4) + 0e0 AS p95 FROM orders"""
         for c in _NUM
     ),
 )
@@ -112,7 +112,7 @@ _CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 @query(
     "ag7_correlation_pairs",
     " UNION ALL ".join(
-        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS corr FROM lineitem"
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) + 0e0 AS corr FROM lineitem"
         for a, b in combinations(_CORR, 2)
     ),
 )
@@ -123,7 +123,7 @@ def ag7(spark, sf):
 @query(
     "ag7_correlation_with_target",
     " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", round(corr({c}, CAST(l_linestatus = 'F' AS INTEGER)), 6) AS corr FROM lineitem"
+        f"SELECT '{c}' AS \"column\", round(corr({c}, CAST(l_linestatus = 'F' AS INTEGER)), 6) + 0e0 AS corr FROM lineitem"
         for c in _CORR
     ),
 )
@@ -158,7 +158,7 @@ def ag9(spark, sf):
 
 @query(
     "ag10_share_of_total",
-    "SELECT l_returnflag, l_linestatus, count(*) AS rows, round(count(*) * 100e0 / sum(count(*)) OVER (), 6) AS share_pct FROM lineitem GROUP BY 1, 2",
+    "SELECT l_returnflag, l_linestatus, count(*) AS rows, round(count(*) * 100e0 / sum(count(*)) OVER (), 6) + 0e0 AS share_pct FROM lineitem GROUP BY 1, 2",
 )
 def ag10(spark, sf):
     df = P.share_of_total(roles.table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"])
@@ -169,7 +169,7 @@ def ag10(spark, sf):
     "ag11_monthly_totals",
     sql(
         "divs",
-        "SELECT asset, CAST(date_trunc('month', payment_date) AS DATE) AS month, round(sum(value), 6) AS monthly_total FROM divs GROUP BY 1, 2",
+        "SELECT asset, CAST(date_trunc('month', payment_date) AS DATE) AS month, round(sum(value), 6) + 0e0 AS monthly_total FROM divs GROUP BY 1, 2",
     ),
 )
 def ag11(spark, sf):
@@ -179,7 +179,7 @@ def ag11(spark, sf):
 
 @query(
     "ag12_variation_coefficient",
-    "SELECT l_partkey, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN stddev_pop(l_extendedprice) / avg(l_extendedprice) END, 6) AS cv FROM lineitem GROUP BY 1",
+    "SELECT l_partkey, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN stddev_pop(l_extendedprice) / avg(l_extendedprice) END, 6) + 0e0 AS cv FROM lineitem GROUP BY 1",
 )
 def ag12(spark, sf):
     df = roles.table(spark, sf, "lineitem").groupBy("l_partkey").agg(
@@ -192,7 +192,7 @@ def ag12(spark, sf):
     "ag13_compounded_return",
     sql(
         "rp",
-        "SELECT asset, CAST(year(date) AS INTEGER) AS y, round(exp(sum(ln(1 + total_return))) - 1, 6) AS compounded FROM rp GROUP BY 1, 2",
+        "SELECT asset, CAST(year(date) AS INTEGER) AS y, round(exp(sum(ln(1 + total_return))) - 1, 6) + 0e0 AS compounded FROM rp GROUP BY 1, 2",
     ),
 )
 def ag13(spark, sf):
@@ -205,8 +205,8 @@ def ag13(spark, sf):
 @query(
     "ag14_weighted_mean",
     """
-SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 8) AS weighted_discount, round(stddev_pop(l_discount), 8) AS std_pop,
-       round(stddev_samp(l_discount), 8) AS std_samp FROM lineitem GROUP BY 1""",
+SELECT l_returnflag, round(sum(l_discount * l_quantity) / sum(l_quantity), 8) + 0e0 AS weighted_discount, round(stddev_pop(l_discount), 8) + 0e0 AS std_pop,
+       round(stddev_samp(l_discount), 8) + 0e0 AS std_samp FROM lineitem GROUP BY 1""",
 )
 def ag14(spark, sf):
     return roles.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
@@ -231,7 +231,7 @@ def ag15(spark, sf):
     "ag16_monthly_mean",
     sql(
         "rp",
-        "SELECT asset, CAST(date_trunc('month', date) AS DATE) AS month, round(avg(total_return), 8) AS total_return FROM rp GROUP BY 1, 2",
+        "SELECT asset, CAST(date_trunc('month', date) AS DATE) AS month, round(avg(total_return), 8) + 0e0 AS total_return FROM rp GROUP BY 1, 2",
     ),
 )
 def ag16(spark, sf):

@@ -29,10 +29,10 @@ picks AS (SELECT signal_date, arg_min(asset, rank) AS picked_asset, min(CASE WHE
           FROM {source} GROUP BY 1)"""
 
 _SUMMARY = """
-SELECT dates, hits, best_hits, round(mean_alpha, 8) AS mean_alpha, round(hits / CAST(dates AS DOUBLE), 6) AS hit_rate,
-       round(hits / CAST(dates AS DOUBLE) - 1.96e0 * sqrt(hits / CAST(dates AS DOUBLE) * (1 - hits / CAST(dates AS DOUBLE)) / dates), 6) AS ci_lower,
-       round(hits / CAST(dates AS DOUBLE) + 1.96e0 * sqrt(hits / CAST(dates AS DOUBLE) * (1 - hits / CAST(dates AS DOUBLE)) / dates), 6) AS ci_upper,
-       round(best_hits / CAST(dates AS DOUBLE), 6) AS best_rate
+SELECT dates, hits, best_hits, round(mean_alpha, 8) + 0e0 AS mean_alpha, round(hits / CAST(dates AS DOUBLE), 6) + 0e0 AS hit_rate,
+       round(hits / CAST(dates AS DOUBLE) - 1.96e0 * sqrt(hits / CAST(dates AS DOUBLE) * (1 - hits / CAST(dates AS DOUBLE)) / dates), 6) + 0e0 AS ci_lower,
+       round(hits / CAST(dates AS DOUBLE) + 1.96e0 * sqrt(hits / CAST(dates AS DOUBLE) * (1 - hits / CAST(dates AS DOUBLE)) / dates), 6) + 0e0 AS ci_upper,
+       round(best_hits / CAST(dates AS DOUBLE), 6) + 0e0 AS best_rate
 FROM (SELECT count(*) AS dates, count(*) FILTER (beat_benchmark) AS hits, count(*) FILTER (was_best) AS best_hits, avg(picked_alpha) AS mean_alpha FROM picks)"""
 
 
@@ -47,7 +47,7 @@ def _summary(df, *keys):
     "rk1_top_pick_per_date",
     sql(
         "ranked_pred",
-        f"WITH {_PICKS.format(source='ranked_pred').strip()} SELECT signal_date, picked_asset, picked_prob, beat_benchmark, round(picked_alpha, 6) AS picked_alpha, round(best_alpha, 6) AS best_alpha, was_best, candidates FROM picks",
+        f"WITH {_PICKS.format(source='ranked_pred').strip()} SELECT signal_date, picked_asset, picked_prob, beat_benchmark, round(picked_alpha, 6) + 0e0 AS picked_alpha, round(best_alpha, 6) + 0e0 AS best_alpha, was_best, candidates FROM picks",
     ),
 )
 def rk1(spark, sf):
@@ -70,8 +70,8 @@ def rk1_summary(spark, sf):
     sql(
         "ranked_pred",
         f"""WITH {_PICKS.format(source='ranked_pred').strip()}
-SELECT picked_asset, count(*) AS picks, round(avg(CAST(beat_benchmark AS INTEGER)), 6) AS hit_rate,
-       round(count(*) / CAST((SELECT count(*) FROM picks) AS DOUBLE), 6) AS pick_share FROM picks GROUP BY 1""",
+SELECT picked_asset, count(*) AS picks, round(avg(CAST(beat_benchmark AS INTEGER)), 6) + 0e0 AS hit_rate,
+       round(count(*) / CAST((SELECT count(*) FROM picks) AS DOUBLE), 6) + 0e0 AS pick_share FROM picks GROUP BY 1""",
     ),
 )
 def rk2(spark, sf):
@@ -84,7 +84,7 @@ def rk2(spark, sf):
     sql(
         "ranked_pred",
         f"""WITH {_PICKS.format(source='ranked_pred').strip()}
-SELECT CAST(date_trunc('month', signal_date) AS DATE) AS month, count(*) AS picks, round(avg(CAST(beat_benchmark AS INTEGER)), 6) AS hit_rate FROM picks GROUP BY 1""",
+SELECT CAST(date_trunc('month', signal_date) AS DATE) AS month, count(*) AS picks, round(avg(CAST(beat_benchmark AS INTEGER)), 6) + 0e0 AS hit_rate FROM picks GROUP BY 1""",
     ),
 )
 def rk2_month(spark, sf):
@@ -110,7 +110,7 @@ REFERENCE_RATES = {"historical": 0.5794, "daily": 0.4777, "coin": 0.5}
     sql(
         "ranked_rebal",
         f"""WITH {_PICKS.format(source='ranked_rebal').strip()}, s AS ({_SUMMARY})
-SELECT reference, reference_rate, hit_rate, round(hit_rate - reference_rate, 6) AS difference, reference_rate BETWEEN ci_lower AND ci_upper AS inside_interval
+SELECT reference, reference_rate, hit_rate, round(hit_rate - reference_rate, 6) + 0e0 AS difference, reference_rate BETWEEN ci_lower AND ci_upper AS inside_interval
 FROM s, (VALUES ('historical', 0.5794e0), ('daily', 0.4777e0), ('coin', 0.5e0)) r(reference, reference_rate)""",
     ),
 )
@@ -122,14 +122,14 @@ def rk3_rates(spark, sf):
 
 @query(
     "bt1_period_returns",
-    sql("periods", "SELECT signal_date, asset, round(period_return, 6) AS period_return, sessions_held FROM periods"),
+    sql("periods", "SELECT signal_date, asset, round(period_return, 6) + 0e0 AS period_return, sessions_held FROM periods"),
 )
 def bt1(spark, sf):
     _, periods = settled_periods(spark, sf)
     return periods.select("signal_date", "asset", r6("period_return"), "sessions_held")
 
 
-@query("bt2_strategy_weights", sql("weights", "SELECT strategy, signal_date, asset, round(weight, 6) AS weight FROM weights WHERE strategy <> 'random'"))
+@query("bt2_strategy_weights", sql("weights", "SELECT strategy, signal_date, asset, round(weight, 6) + 0e0 AS weight FROM weights WHERE strategy <> 'random'"))
 def bt2(spark, sf):
     _, periods = settled_periods(spark, sf)
     return bt.weights(periods).where("strategy <> 'random'").select("strategy", "signal_date", "asset", r6("weight"))
@@ -161,7 +161,7 @@ def bt4(spark, sf):
     return bt.hysteresis(periods, 0.3)
 
 
-@query("bt5_portfolio_return", sql("gross", "SELECT strategy, signal_date, round(gross_return, 6) AS gross_return FROM gross"))
+@query("bt5_portfolio_return", sql("gross", "SELECT strategy, signal_date, round(gross_return, 6) + 0e0 AS gross_return FROM gross"))
 def bt5(spark, sf):
     _, periods = settled_periods(spark, sf)
     return bt.portfolio_returns(bt.weights(periods), periods).select("strategy", "signal_date", r6("gross_return"))
@@ -169,7 +169,7 @@ def bt5(spark, sf):
 
 @query(
     "bt6_turnover",
-    sql("traded", "SELECT strategy, signal_date, round(bought, 6) AS bought, round(sold, 6) AS sold, round(turnover, 6) AS turnover FROM traded"),
+    sql("traded", "SELECT strategy, signal_date, round(bought, 6) + 0e0 AS bought, round(sold, 6) + 0e0 AS sold, round(turnover, 6) + 0e0 AS turnover FROM traded"),
 )
 def bt6(spark, sf):
     _, periods = settled_periods(spark, sf)
@@ -187,8 +187,8 @@ def _curves(spark, sf, rates=RATES):
     "bt7_net_curve",
     sql(
         "net",
-        """SELECT strategy, signal_date, round(cost, 8) AS cost, round(net_return, 6) AS net_return, round(capital, 3) AS capital,
-round(cumulative_return, 6) AS cumulative_return FROM net WHERE scenario = '0.20%'""",
+        """SELECT strategy, signal_date, round(cost, 8) + 0e0 AS cost, round(net_return, 6) + 0e0 AS net_return, round(capital, 3) + 0e0 AS capital,
+round(cumulative_return, 6) + 0e0 AS cumulative_return FROM net WHERE scenario = '0.20%'""",
     ),
 )
 def bt7(spark, sf):
@@ -203,7 +203,7 @@ def bt7(spark, sf):
     "bt8_benchmark_curve",
     sql(
         "bcurve",
-        "SELECT signal_date, round(bench_period_return, 6) AS bench_period_return, round(capital, 3) AS capital, round(cumulative_return, 6) AS cumulative_return FROM bcurve",
+        "SELECT signal_date, round(bench_period_return, 6) + 0e0 AS bench_period_return, round(capital, 3) + 0e0 AS capital, round(cumulative_return, 6) + 0e0 AS cumulative_return FROM bcurve",
     ),
 )
 def bt8(spark, sf):
@@ -221,7 +221,7 @@ WITH g AS (SELECT d.signal_date, a.asset, COALESCE(p.period_return, 0e0) AS r
            FROM (SELECT DISTINCT signal_date FROM periods) d CROSS JOIN (SELECT DISTINCT asset FROM periods) a
            LEFT JOIN periods p ON p.signal_date = d.signal_date AND p.asset = a.asset),
 c AS (SELECT signal_date, asset, product(1 + r) OVER (PARTITION BY asset ORDER BY signal_date) AS v FROM g)
-SELECT signal_date, round(100000e0 * avg(v), 3) AS capital, round(avg(v) - 1, 6) AS cumulative_return FROM c GROUP BY 1""",
+SELECT signal_date, round(100000e0 * avg(v), 3) + 0e0 AS capital, round(avg(v) - 1, 6) + 0e0 AS cumulative_return FROM c GROUP BY 1""",
     ),
 )
 def bt9(spark, sf):
@@ -265,7 +265,7 @@ def _performance(spark, sf, rates=RATES):
     sql(
         "net bcurve",
         f"WITH {_PERF.strip()} SELECT strategy, rebalances, "
-        + ", ".join(f"round({c}, 6) AS {c}" for c in _PERF_COLUMNS)
+        + ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in _PERF_COLUMNS)
         + " FROM metrics WHERE scenario = '0.20%'",
     ),
 )
@@ -278,7 +278,7 @@ def bt10(spark, sf):
     "bt11_cost_sensitivity",
     sql(
         "net bcurve",
-        f"WITH {_PERF.strip()} SELECT scenario, rate, strategy, round(total_return, 6) AS total_return, round(cagr, 6) AS cagr, round(sharpe, 6) AS sharpe, round(total_cost, 6) AS total_cost FROM metrics",
+        f"WITH {_PERF.strip()} SELECT scenario, rate, strategy, round(total_return, 6) + 0e0 AS total_return, round(cagr, 6) + 0e0 AS cagr, round(sharpe, 6) + 0e0 AS sharpe, round(total_cost, 6) + 0e0 AS total_cost FROM metrics",
     ),
 )
 def bt11(spark, sf):
@@ -305,9 +305,9 @@ def _ledger(spark, sf):
     sql(
         "wgrid gross",
         f"""WITH {_LEDGER.strip()}
-SELECT signal_date, old_asset, new_asset, changed, bought, sold, round(cost, 8) AS cost, round(gross_return, 6) AS gross_return, round(net_return, 6) AS net_return,
-       round(COALESCE(lag(capital_after) OVER (ORDER BY signal_date), 100000e0), 3) AS capital_before,
-       round(COALESCE(lag(capital_after) OVER (ORDER BY signal_date), 100000e0) * (1 + gross_return), 3) AS capital_before_cost, round(capital_after, 3) AS capital_after FROM ledger""",
+SELECT signal_date, old_asset, new_asset, changed, bought, sold, round(cost, 8) + 0e0 AS cost, round(gross_return, 6) + 0e0 AS gross_return, round(net_return, 6) + 0e0 AS net_return,
+       round(COALESCE(lag(capital_after) OVER (ORDER BY signal_date), 100000e0), 3) + 0e0 AS capital_before,
+       round(COALESCE(lag(capital_after) OVER (ORDER BY signal_date), 100000e0) * (1 + gross_return), 3) + 0e0 AS capital_before_cost, round(capital_after, 3) + 0e0 AS capital_after FROM ledger""",
     ),
 )
 def bt12(spark, sf):
@@ -323,7 +323,7 @@ def bt12(spark, sf):
     sql(
         "net bcurve",
         f"""WITH {_PERF.strip()}
-SELECT row_number() OVER (ORDER BY total_return DESC, strategy) AS place, strategy, round(total_return, 6) AS total_return, total_return > bench_total AS above_benchmark
+SELECT row_number() OVER (ORDER BY total_return DESC, strategy) AS place, strategy, round(total_return, 6) + 0e0 AS total_return, total_return > bench_total AS above_benchmark
 FROM metrics WHERE scenario = '0.20%'""",
     ),
 )
@@ -351,7 +351,7 @@ def bt13_break_even(spark, sf):
     sql(
         "wgrid gross",
         f"""WITH {_LEDGER.strip()}
-SELECT round(gross, 6) AS gross, round(net, 6) AS net_compounded, round(tc, 6) AS total_cost, round(gross - tc, 6) AS net_simple, round(net - (gross - tc), 6) AS difference
+SELECT round(gross, 6) + 0e0 AS gross, round(net, 6) + 0e0 AS net_compounded, round(tc, 6) + 0e0 AS total_cost, round(gross - tc, 6) + 0e0 AS net_simple, round(net - (gross - tc), 6) + 0e0 AS difference
 FROM (SELECT product(1 + gross_return) - 1 AS gross, product(1 + net_return) - 1 AS net, sum(cost) AS tc FROM ledger)""",
     ),
 )
@@ -375,7 +375,7 @@ _CRITERIA = {
         "net bcurve",
         f"WITH {_PERF.strip()} "
         + " UNION ALL ".join(
-            f"SELECT strategy, '{k}' AS criterion, round({v}, 6) AS value, {p} AS passed FROM metrics WHERE scenario = '0.20%'"
+            f"SELECT strategy, '{k}' AS criterion, round({v}, 6) + 0e0 AS value, {p} AS passed FROM metrics WHERE scenario = '0.20%'"
             for k, (v, p) in _CRITERIA.items()
         ),
     ),

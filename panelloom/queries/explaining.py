@@ -18,7 +18,7 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS ra
     "ex1_global_importance",
     sql(
         "attr",
-        f"WITH {_IMP.strip()} SELECT feature, round(importance, 6) AS importance, round(std_contribution, 6) AS std_contribution, rows, rank FROM ranked",
+        f"WITH {_IMP.strip()} SELECT feature, round(importance, 6) + 0e0 AS importance, round(std_contribution, 6) + 0e0 AS std_contribution, rows, rank FROM ranked",
     ),
 )
 def ex1(spark, sf):
@@ -31,8 +31,8 @@ def ex1(spark, sf):
     sql(
         "attr",
         f"""WITH {_IMP.strip()}
-SELECT CASE WHEN feature IN ('l_quantity', 'l_extendedprice') THEN 'size' ELSE 'rate' END AS feature_group, count(*) AS features, round(sum(importance), 6) AS importance,
-       round(sum(importance) / (SELECT sum(importance) FROM imp), 6) AS share FROM imp GROUP BY 1""",
+SELECT CASE WHEN feature IN ('l_quantity', 'l_extendedprice') THEN 'size' ELSE 'rate' END AS feature_group, count(*) AS features, round(sum(importance), 6) + 0e0 AS importance,
+       round(sum(importance) / (SELECT sum(importance) FROM imp), 6) + 0e0 AS share FROM imp GROUP BY 1""",
     ),
 )
 def ex2(spark, sf):
@@ -42,7 +42,7 @@ def ex2(spark, sf):
 
 @query(
     "ex3_importance_by_asset",
-    sql("attr", "SELECT asset, feature, round(avg(abs(contribution)), 6) AS importance, round(avg(contribution), 6) + 0e0 AS mean_contribution FROM attr GROUP BY 1, 2"),
+    sql("attr", "SELECT asset, feature, round(avg(abs(contribution)), 6) + 0e0 AS importance, round(avg(contribution), 6) + 0e0 AS mean_contribution FROM attr GROUP BY 1, 2"),
 )
 def ex3(spark, sf):
     df = E.importance_by(roles.attributions(spark, sf), ["asset"])
@@ -53,7 +53,7 @@ def ex3(spark, sf):
     "ex3_importance_by_month",
     sql(
         "attr",
-        "SELECT CAST(date_trunc('month', date) AS DATE) AS month, feature, round(avg(abs(contribution)), 6) AS importance, round(avg(contribution), 6) AS mean_contribution FROM attr GROUP BY 1, 2",
+        "SELECT CAST(date_trunc('month', date) AS DATE) AS month, feature, round(avg(abs(contribution)), 6) + 0e0 AS importance, round(avg(contribution), 6) + 0e0 AS mean_contribution FROM attr GROUP BY 1, 2",
     ),
 )
 def ex3_month(spark, sf):
@@ -106,8 +106,8 @@ def ex4_examples(spark, sf):
         """
 WITH m AS (SELECT feature, avg(contribution) FILTER ((prob >= 0.5e0) = label) AS correct_mean, avg(contribution) FILTER ((prob >= 0.5e0) <> label) AS incorrect_mean,
        avg(contribution) FILTER (prob >= 0.5e0 AND NOT label) AS fp_mean, avg(contribution) FILTER (prob < 0.5e0 AND label) AS fn_mean FROM attr GROUP BY 1)
-SELECT feature, round(correct_mean, 6) AS correct_mean, round(incorrect_mean, 6) AS incorrect_mean, round(fp_mean, 6) AS fp_mean, round(fn_mean, 6) AS fn_mean,
-       round(correct_mean - incorrect_mean, 6) AS difference, round(abs(correct_mean - incorrect_mean), 6) AS abs_difference,
+SELECT feature, round(correct_mean, 6) + 0e0 AS correct_mean, round(incorrect_mean, 6) + 0e0 AS incorrect_mean, round(fp_mean, 6) + 0e0 AS fp_mean, round(fn_mean, 6) + 0e0 AS fn_mean,
+       round(correct_mean - incorrect_mean, 6) + 0e0 AS difference, round(abs(correct_mean - incorrect_mean), 6) + 0e0 AS abs_difference,
        row_number() OVER (ORDER BY abs(correct_mean - incorrect_mean) DESC, feature) AS rank FROM m""",
     ),
 )
@@ -122,8 +122,8 @@ def ex5(spark, sf):
         "line_rows",
         f"""WITH {_FLAGS.strip()}
 SELECT asset, count(*) FILTER (NOT correct) AS errors, count(*) FILTER (NOT correct AND (prob > 0.7e0 OR prob < 0.3e0)) AS confident_errors,
-       round(avg(prob) FILTER (NOT correct AND (prob > 0.7e0 OR prob < 0.3e0)), 6) AS mean_prob,
-       round(count(*) FILTER (NOT correct AND (prob > 0.7e0 OR prob < 0.3e0)) / CAST(count(*) FILTER (NOT correct) AS DOUBLE), 6) AS share_of_errors
+       round(avg(prob) FILTER (NOT correct AND (prob > 0.7e0 OR prob < 0.3e0)), 6) + 0e0 AS mean_prob,
+       round(count(*) FILTER (NOT correct AND (prob > 0.7e0 OR prob < 0.3e0)) / CAST(count(*) FILTER (NOT correct) AS DOUBLE), 6) + 0e0 AS share_of_errors
 FROM fl GROUP BY 1""",
     ),
 )
@@ -137,7 +137,7 @@ def ex6(spark, sf):
     sql(
         "attr",
         f"""WITH {_IMP.strip()}
-SELECT round(max(CASE WHEN rank = 1 THEN importance END) / sum(importance), 6) AS top1_share, round(sum(CASE WHEN rank <= 3 THEN importance END) / sum(importance), 6) AS top3_share,
+SELECT round(max(CASE WHEN rank = 1 THEN importance END) / sum(importance), 6) + 0e0 AS top1_share, round(sum(CASE WHEN rank <= 3 THEN importance END) / sum(importance), 6) + 0e0 AS top3_share,
        max(CASE WHEN rank = 1 THEN feature END) AS top_feature FROM ranked""",
     ),
 )
@@ -146,25 +146,28 @@ def ex7(spark, sf):
     return df.select(r6("top1_share"), r6("top3_share"), "top_feature")
 
 
-@query(
-    "ex8_local_top_contributions",
-    sql(
-        "attr",
-        """
-SELECT row_id, 'raises' AS side, place, feature, value, round(contribution, 9) AS contribution
+_LOCAL = """
+SELECT row_id, 'raises' AS side, place, feature, value, round(contribution, 9) + 0e0 AS contribution
 FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY contribution DESC, feature) AS place FROM attr) WHERE place <= 2
-UNION ALL SELECT row_id, 'lowers', place, feature, value, round(contribution, 9)
-FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY contribution, feature) AS place FROM attr) WHERE place <= 2""",
-    ),
-)
+UNION ALL SELECT row_id, 'lowers', place, feature, value, round(contribution, 9) + 0e0
+FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY contribution, feature) AS place FROM attr) WHERE place <= 2"""
+
+
+@query("ex8_local_top_contributions", sql("attr", _LOCAL))
 def ex8(spark, sf):
+    df = E.linear_local_top(roles.line_rows(spark, sf), roles.LINEAR, ["row_id"], 2)
+    return df.withColumn("contribution", F.round("contribution", 9))
+
+
+@query("ex8_local_top_of_long_table", sql("attr", _LOCAL))
+def ex8_long(spark, sf):
     df = E.local_top(roles.attributions(spark, sf), 2)
     return df.withColumn("contribution", F.round("contribution", 9))
 
 
 @query(
     "ex9_linear_contributions",
-    sql("attr", "SELECT row_id, feature, value, round(contribution, 9) AS contribution FROM attr"),
+    sql("attr", "SELECT row_id, feature, value, round(contribution, 9) + 0e0 AS contribution FROM attr"),
 )
 def ex9(spark, sf):
     return roles.attributions(spark, sf).select(

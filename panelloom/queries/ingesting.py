@@ -257,7 +257,7 @@ def snk4(spark, sf):
     sql(
         "tr br",
         f"""
-SELECT a.asset, a.date, round(a.r, 6) AS return_30d, round(a.d, 6) AS price_vs_ma_7d, round(b.r, 6) AS bench_return_30d
+SELECT a.asset, a.date, round(a.r, 6) + 0e0 AS return_30d, round(a.d, 6) + 0e0 AS price_vs_ma_7d, round(b.r, 6) + 0e0 AS bench_return_30d
 FROM (SELECT asset, date, {trail('total_return', 30)} AS r, {_ma(7)} AS d FROM tr) a
 LEFT JOIN (SELECT date, {trail('bench_return', 30, 'ORDER BY date')} AS r FROM br) b USING (date)""",
     ),
@@ -273,7 +273,7 @@ def snk5(spark, sf):
     )
     return spark.sql(
         """
-SELECT f.asset, f.date, round(f.return_30d, 6) AS return_30d, round(f.price_vs_ma_7d, 6) AS price_vs_ma_7d,
-       round(b.bench_return_30d, 6) AS bench_return_30d
+SELECT f.asset, f.date, round(f.return_30d, 6) + 0e0 AS return_30d, round(f.price_vs_ma_7d, 6) + 0e0 AS price_vs_ma_7d,
+       round(b.bench_return_30d, 6) + 0e0 AS bench_return_30d
 FROM stage_features f LEFT JOIN stage_benchmark b ON f.date = b.date"""
     )

@@ -56,9 +56,8 @@ LEFT JOIN macro_monthly d ON d.month = date_trunc('month', p.date) - INTERVAL 2
     ),
 )
 def jn4(spark, sf):
-    series = roles.macro_monthly(spark, sf)
-    df = joins.lagged_month_join(roles.panel(spark, sf), series, "macro_c", "macro_c", "mid_month")
-    df = joins.lagged_month_join(df, series, "macro_d", "macro_d", "always_two")
+    rules = {"macro_c": "mid_month", "macro_d": "always_two"}
+    df = joins.lagged_month_join(roles.panel(spark, sf), roles.macro_monthly(spark, sf), rules)
     return df.select("asset", "date", "macro_c", "macro_d")
 
 
@@ -68,8 +67,8 @@ def jn4(spark, sf):
         "panel divs",
         """
 WITH monthly AS (SELECT asset, CAST(date_trunc('month', payment_date) AS DATE) AS month, sum(value) AS total FROM divs GROUP BY 1, 2)
-SELECT p.asset, p.date, count(m.total) AS paid_months, round(sum(m.total), 6) AS total_12m,
-       round(CASE WHEN count(m.total) >= 3 THEN stddev_pop(m.total) / avg(m.total) END, 6) AS dividend_stability
+SELECT p.asset, p.date, count(m.total) AS paid_months, round(sum(m.total), 6) + 0e0 AS total_12m,
+       round(CASE WHEN count(m.total) >= 3 THEN stddev_pop(m.total) / avg(m.total) END, 6) + 0e0 AS dividend_stability
 FROM panel p LEFT JOIN monthly m ON m.asset = p.asset AND m.month < date_trunc('month', p.date)
      AND m.month >= date_trunc('month', p.date) - INTERVAL 12 MONTH
 GROUP BY 1, 2""",
@@ -135,7 +134,7 @@ def jn7(spark, sf):
     "jn8_holding_window",
     sql(
         "periods",
-        "SELECT signal_date, execution_date, asset, round(period_return, 6) AS period_return, sessions_held, start_date, end_date FROM periods",
+        "SELECT signal_date, execution_date, asset, round(period_return, 6) + 0e0 AS period_return, sessions_held, start_date, end_date FROM periods",
     ),
 )
 def jn8(spark, sf):
@@ -149,7 +148,7 @@ def jn8(spark, sf):
     sql(
         "periods rb",
         """
-SELECT p.signal_date, p.asset, round(product(1 + b.bench_return) - 1, 6) AS bench_period_return
+SELECT p.signal_date, p.asset, round(product(1 + b.bench_return) - 1, 6) + 0e0 AS bench_period_return
 FROM periods p LEFT JOIN rb b ON b.date BETWEEN p.start_date AND p.end_date GROUP BY 1, 2""",
     ),
 )

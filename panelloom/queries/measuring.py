@@ -40,9 +40,9 @@ def mt2(spark, sf):
 
 
 _REPORT = """
-tp, fp, tn, fn, tp + fp + tn + fn AS rows, round(CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn), 6) AS accuracy,
-round(COALESCE(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 6) AS precision, round(COALESCE(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 6) AS recall,
-round(COALESCE(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1"""
+tp, fp, tn, fn, tp + fp + tn + fn AS rows, round(CAST(tp + tn AS DOUBLE) / (tp + fp + tn + fn), 6) + 0e0 AS accuracy,
+round(COALESCE(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0), 6) + 0e0 AS precision, round(COALESCE(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0), 6) + 0e0 AS recall,
+round(COALESCE(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) + 0e0 AS f1"""
 
 
 def _rounded(df, *keys):
@@ -57,7 +57,7 @@ def mt3(spark, sf):
 
 @query(
     "mt4_roc_auc_ties",
-    sql("scored", f"SELECT k AS segment, p AS positives, n AS negatives, round(auc, 6) AS auc FROM ({auc_sql('segment')})"),
+    sql("scored", f"SELECT k AS segment, p AS positives, n AS negatives, round(auc, 6) + 0e0 AS auc FROM ({auc_sql('segment')})"),
 )
 def mt4(spark, sf):
     return M.roc_auc(roles.scored_orders(spark, sf), ["segment"]).select("segment", "positives", "negatives", r6("auc"))
@@ -67,7 +67,7 @@ def mt4(spark, sf):
     "mt4_roc_auc_fine_scores",
     """
 WITH scored AS (SELECT l_returnflag AS segment, ((l_orderkey * 7919 + l_partkey * 31) % 1000003) / 1000003e0 AS prob, l_linestatus = 'F' AS label FROM lineitem)
-SELECT k AS segment, p AS positives, n AS negatives, round(auc, 6) AS auc FROM ("""
+SELECT k AS segment, p AS positives, n AS negatives, round(auc, 6) + 0e0 AS auc FROM ("""
     + auc_sql("segment")
     + ")",
 )
@@ -87,7 +87,7 @@ c AS (SELECT prob, pos, neg, sum(pos) OVER (ORDER BY prob DESC) / CAST(sum(pos)
 """
 
 
-@query("mt5_roc_curve", sql("scored", _CURVE + "SELECT prob AS threshold, round(tpr, 9) AS tpr, round(fpr, 9) AS fpr FROM c"))
+@query("mt5_roc_curve", sql("scored", _CURVE + "SELECT prob AS threshold, round(tpr, 9) + 0e0 AS tpr, round(fpr, 9) + 0e0 AS fpr FROM c"))
 def mt5(spark, sf):
     df = M.roc_curve(roles.scored_orders(spark, sf))
     return df.select("threshold", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
@@ -99,7 +99,7 @@ def mt5(spark, sf):
         "scored",
         _CURVE
         + """
-SELECT round(sum((fpr - pf) * (tpr + pt) / 2), 6) AS auc, count(*) AS points
+SELECT round(sum((fpr - pf) * (tpr + pt) / 2), 6) + 0e0 AS auc, count(*) AS points
 FROM (SELECT *, COALESCE(lag(fpr) OVER (ORDER BY prob DESC), 0) AS pf, COALESCE(lag(tpr) OVER (ORDER BY prob DESC), 0) AS pt FROM c)""",
     ),
 )
@@ -109,20 +109,20 @@ def mt5_area(spark, sf):
 
 def _segments(key: str) -> str:
     return f"""
-SELECT r.{key}, {_REPORT}, round(a.auc, 6) AS auc
+SELECT r.{key}, {_REPORT}, round(a.auc, 6) + 0e0 AS auc
 FROM (SELECT {key}, {_CM} FROM scored GROUP BY 1) r JOIN ({auc_sql(key)}) a ON a.k = r.{key}"""
 
 
 @query("mt6_metrics_by_segment", sql("scored", _segments("segment")))
 def mt6(spark, sf):
     df = M.segment_report(roles.scored_orders(spark, sf), ["segment"])
-    return _rounded(df.select("*"), "segment", r6("auc"))
+    return _rounded(df, "segment", r6("auc"))
 
 
 @query("mt6_metrics_by_month", sql("scored", _segments("month")))
 def mt6_month(spark, sf):
     df = M.segment_report(roles.scored_orders(spark, sf), ["month"])
-    return _rounded(df.select("*"), "month", r6("auc"))
+    return _rounded(df, "month", r6("auc"))
 
 
 @query(
@@ -132,7 +132,7 @@ def mt6_month(spark, sf):
         f"""
 WITH scored_all AS (SELECT *, 1 AS one FROM scored), pooled AS ({auc_sql('one', 'scored_all')}),
 folds AS ({auc_sql('segment')})
-SELECT (SELECT round(auc, 6) FROM pooled) AS pooled_auc, round(sum(auc * (p + n)) / sum(p + n), 6) AS weighted_auc, round(avg(auc), 6) AS mean_auc FROM folds""",
+SELECT (SELECT round(auc, 6) FROM pooled) AS pooled_auc, round(sum(auc * (p + n)) / sum(p + n), 6) + 0e0 AS weighted_auc, round(avg(auc), 6) + 0e0 AS mean_auc FROM folds""",
     ),
 )
 def mt7(spark, sf):
@@ -177,7 +177,7 @@ def _boot(df, prob: str, draws: int = 200):
 
 @query(
     "mt8_fold_bootstrap_draws",
-    sql("scored", f"WITH {_SF}, {_boot_sql('prob').strip()} SELECT draw, round(auc, 6) AS auc FROM draw_prob"),
+    sql("scored", f"WITH {_SF}, {_boot_sql('prob').strip()} SELECT draw, round(auc, 6) + 0e0 AS auc FROM draw_prob"),
 )
 def mt8(spark, sf):
     return _boot(_fold_scores(spark, sf), "prob").select("draw", r6("auc"))
@@ -190,7 +190,7 @@ def mt8(spark, sf):
         f"""WITH {_SF}, {_boot_sql('prob').strip()}, {_boot_sql('prob_b').strip().split(',' + chr(10), 1)[1]},
 j AS (SELECT b.auc - a.auc AS diff FROM draw_prob a JOIN draw_prob_b b USING (draw)),
 q AS (SELECT quantile_cont(diff, 0.025) AS lower, quantile_cont(diff, 0.975) AS upper, avg(diff) AS mean, count(*) AS draws FROM j)
-SELECT round(lower, 6) AS lower, round(upper, 6) AS upper, round(mean, 6) AS mean, draws, lower > 0 OR upper < 0 AS significant FROM q""",
+SELECT round(lower, 6) + 0e0 AS lower, round(upper, 6) + 0e0 AS upper, round(mean, 6) + 0e0 AS mean, draws, lower > 0 OR upper < 0 AS significant FROM q""",
     ),
 )
 def mt8_paired(spark, sf):
@@ -204,9 +204,9 @@ def mt8_paired(spark, sf):
     sql(
         "scored",
         """
-SELECT segment, hits, n, round(hits / CAST(n AS DOUBLE), 6) AS rate,
-       round(hits / CAST(n AS DOUBLE) - 1.96e0 * sqrt(hits / CAST(n AS DOUBLE) * (1 - hits / CAST(n AS DOUBLE)) / n), 6) AS ci_lower,
-       round(hits / CAST(n AS DOUBLE) + 1.96e0 * sqrt(hits / CAST(n AS DOUBLE) * (1 - hits / CAST(n AS DOUBLE)) / n), 6) AS ci_upper
+SELECT segment, hits, n, round(hits / CAST(n AS DOUBLE), 6) + 0e0 AS rate,
+       round(hits / CAST(n AS DOUBLE) - 1.96e0 * sqrt(hits / CAST(n AS DOUBLE) * (1 - hits / CAST(n AS DOUBLE)) / n), 6) + 0e0 AS ci_lower,
+       round(hits / CAST(n AS DOUBLE) + 1.96e0 * sqrt(hits / CAST(n AS DOUBLE) * (1 - hits / CAST(n AS DOUBLE)) / n), 6) + 0e0 AS ci_upper
 FROM (SELECT segment, count(*) FILTER (label) AS hits, count(*) AS n FROM scored GROUP BY 1)""",
     ),
 )
@@ -223,7 +223,7 @@ def mt9(spark, sf):
     sql(
         "scored",
         """
-SELECT CAST(least(floor(prob * 10), 9) AS INTEGER) AS bin, count(*) AS rows, round(avg(prob), 6) AS mean_prob, round(avg(CAST(label AS INTEGER)), 6) AS observed_rate
+SELECT CAST(least(floor(prob * 10), 9) + 0e0 AS INTEGER) AS bin, count(*) AS rows, round(avg(prob), 6) + 0e0 AS mean_prob, round(avg(CAST(label AS INTEGER)), 6) + 0e0 AS observed_rate
 FROM scored GROUP BY 1""",
     ),
 )
@@ -237,7 +237,7 @@ def mt10(spark, sf):
         "scored",
         """
 WITH m AS (SELECT segment, month, avg(CAST((prob >= 0.5e0) = label AS INTEGER)) AS accuracy FROM scored GROUP BY 1, 2)
-SELECT segment, count(*) AS segments, round(avg(accuracy), 6) AS mean, round(stddev_samp(accuracy), 6) AS std, round(min(accuracy), 6) AS min, round(max(accuracy), 6) AS max,
+SELECT segment, count(*) AS segments, round(avg(accuracy), 6) + 0e0 AS mean, round(stddev_samp(accuracy), 6) + 0e0 AS std, round(min(accuracy), 6) + 0e0 AS min, round(max(accuracy), 6) + 0e0 AS max,
        CASE WHEN stddev_samp(accuracy) < 0.05e0 THEN 'stable' WHEN stddev_samp(accuracy) < 0.1e0 THEN 'moderate' ELSE 'unstable' END AS verdict
 FROM m GROUP BY 1""",
     ),
@@ -256,7 +256,7 @@ def mt11(spark, sf):
         "scored",
         """
 WITH r AS (SELECT avg(CAST((prob >= 0.5e0) = label AS INTEGER)) AS accuracy, avg(CAST(label AS INTEGER)) AS base_rate FROM scored)
-SELECT 'accuracy' AS metric, round(accuracy, 6) AS measured, 0.5e0 AS expected, round(abs(accuracy - 0.5e0), 6) AS difference, abs(accuracy - 0.5e0) <= 0.01e0 AS passed FROM r
+SELECT 'accuracy' AS metric, round(accuracy, 6) + 0e0 AS measured, 0.5e0 AS expected, round(abs(accuracy - 0.5e0), 6) + 0e0 AS difference, abs(accuracy - 0.5e0) <= 0.01e0 AS passed FROM r
 UNION ALL SELECT 'base_rate', round(base_rate, 6), 0.9e0, round(abs(base_rate - 0.9e0), 6), abs(base_rate - 0.9e0) <= 0.01e0 FROM r""",
     ),
 )
@@ -273,7 +273,7 @@ def mt12(spark, sf):
     "mt13_hit_rate_of_positive_predictions",
     sql(
         "scored",
-        "SELECT segment, count(*) AS predicted_positive, round(avg(CAST(label AS INTEGER)), 6) AS hit_rate FROM scored WHERE prob >= 0.5e0 GROUP BY 1",
+        "SELECT segment, count(*) AS predicted_positive, round(avg(CAST(label AS INTEGER)), 6) + 0e0 AS hit_rate FROM scored WHERE prob >= 0.5e0 GROUP BY 1",
     ),
 )
 def mt13(spark, sf):

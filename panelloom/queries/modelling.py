@@ -105,8 +105,8 @@ def _variant_results(spark, sf):
 s AS (SELECT setting, avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc, min(auc) AS min_auc, max(auc) AS max_auc, sum(auc * rows) / sum(rows) AS weighted_auc, count(*) AS folds FROM results GROUP BY 1),
 c AS (SELECT *, (std_auc - min(std_auc) OVER ()) / (max(std_auc) OVER () - min(std_auc) OVER ()) AS std_norm FROM s),
 d AS (SELECT *, 0.7e0 * mean_auc + 0.02e0 * (1 - std_norm) + 0.1e0 * min_auc AS composite FROM c)
-SELECT setting, round(mean_auc, 6) AS mean_auc, round(std_auc, 6) AS std_auc, round(min_auc, 6) AS min_auc, round(max_auc, 6) AS max_auc, round(weighted_auc, 6) AS weighted_auc,
-       folds, round(std_norm, 6) AS std_norm, round(composite, 6) AS composite, row_number() OVER (ORDER BY composite DESC, setting) AS rank FROM d""",
+SELECT setting, round(mean_auc, 6) + 0e0 AS mean_auc, round(std_auc, 6) + 0e0 AS std_auc, round(min_auc, 6) + 0e0 AS min_auc, round(max_auc, 6) + 0e0 AS max_auc, round(weighted_auc, 6) + 0e0 AS weighted_auc,
+       folds, round(std_norm, 6) + 0e0 AS std_norm, round(composite, 6) + 0e0 AS composite, row_number() OVER (ORDER BY composite DESC, setting) AS rank FROM d""",
 )
 def ml5_composite(spark, sf):
     df = ml.composite_score(ml.summarise_folds(_variant_results(spark, sf)))
@@ -125,7 +125,7 @@ def ml6(spark, sf):
 @query(
     "ml6_ablation_table",
     f"""{_RESULTS_SQL}
-SELECT setting AS feature_set, round(auc, 6) AS auc, round(auc - max(CASE WHEN setting = 'a' THEN auc END) OVER (), 6) AS delta_auc, row_number() OVER (ORDER BY auc DESC, setting) AS rank
+SELECT setting AS feature_set, round(auc, 6) + 0e0 AS auc, round(auc - max(CASE WHEN setting = 'a' THEN auc END) OVER (), 6) + 0e0 AS delta_auc, row_number() OVER (ORDER BY auc DESC, setting) AS rank
 FROM (SELECT setting, avg(auc) AS auc FROM results GROUP BY 1)""",
 )
 def ml6_table(spark, sf):
@@ -150,7 +150,7 @@ def ml7(spark, sf):
     f"""{_RESULTS_SQL},
 w AS (SELECT fold, max(CASE WHEN setting = 'a' THEN auc END) AS a, max(CASE WHEN setting = 'b' THEN auc END) AS b FROM results GROUP BY 1),
 f AS (SELECT avg(a) AS mean_a, avg(b) AS mean_b, avg(b) - avg(a) AS gain, stddev_samp(b) - stddev_samp(a) AS std_change, count(*) FILTER (b > a) AS folds_won_b, count(*) FILTER (a > b) AS folds_won_a, count(*) FILTER (a = b) AS folds_tied FROM w)
-SELECT round(mean_a, 6) AS mean_a, round(mean_b, 6) AS mean_b, round(gain, 6) AS gain, round(std_change, 6) AS std_change, folds_won_b, folds_won_a, folds_tied,
+SELECT round(mean_a, 6) + 0e0 AS mean_a, round(mean_b, 6) + 0e0 AS mean_b, round(gain, 6) + 0e0 AS gain, round(std_change, 6) + 0e0 AS std_change, folds_won_b, folds_won_a, folds_tied,
        abs(gain) >= 0.01e0 AS gain_relevant, CASE WHEN std_change < 0 THEN 'more_stable' WHEN std_change < 0.01e0 THEN 'similar' ELSE 'less_stable' END AS stability,
        CASE WHEN gain >= 0.01e0 AND folds_won_b > folds_won_a THEN 'adopt' WHEN gain > 0 THEN 'consider' ELSE 'keep' END AS decision FROM f""",
 )
@@ -161,7 +161,7 @@ def ml8(spark, sf):
 
 @query(
     "ml8_leaderboard",
-    f"""{_RESULTS_SQL} SELECT setting AS model, round(auc, 6) AS auc, row_number() OVER (ORDER BY auc DESC, setting) AS place FROM (SELECT setting, avg(auc) AS auc FROM results GROUP BY 1)""",
+    f"""{_RESULTS_SQL} SELECT setting AS model, round(auc, 6) + 0e0 AS auc, row_number() OVER (ORDER BY auc DESC, setting) AS place FROM (SELECT setting, avg(auc) AS auc FROM results GROUP BY 1)""",
 )
 def ml8_board(spark, sf):
     means = _variant_results(spark, sf).groupBy(F.col("setting").alias("model")).agg(F.avg("auc").alias("auc"))
@@ -175,7 +175,7 @@ _IMP = "imp AS (SELECT feature, avg(abs(contribution)) AS importance FROM attr G
     "ml9_importance_table",
     sql(
         "attr",
-        f"WITH {_IMP} SELECT feature, round(importance, 6) AS importance, round(importance * 100 / sum(importance) OVER (), 6) AS share_pct, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM imp",
+        f"WITH {_IMP} SELECT feature, round(importance, 6) + 0e0 AS importance, round(importance * 100 / sum(importance) OVER (), 6) + 0e0 AS share_pct, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM imp",
     ),
 )
 def ml9(spark, sf):
@@ -188,7 +188,7 @@ def ml9(spark, sf):
     sql(
         "attr",
         f"""WITH {_IMP} SELECT CASE WHEN feature IN ('l_quantity', 'l_extendedprice') THEN 'size' ELSE 'rate' END AS feature_group, count(*) AS features,
-       round(sum(importance) * 100 / (SELECT sum(importance) FROM imp), 6) AS total FROM imp GROUP BY 1""",
+       round(sum(importance) * 100 / (SELECT sum(importance) FROM imp), 6) + 0e0 AS total FROM imp GROUP BY 1""",
     ),
 )
 def ml9_groups(spark, sf):

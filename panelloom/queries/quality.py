@@ -112,7 +112,7 @@ def dq5(spark, sf):
         "pred",
         "WITH x AS (SELECT prob, alpha, alpha * 2 + 1 AS twice, CAST(target AS INTEGER) AS y FROM pred) "
         + " UNION ALL ".join(
-            f"SELECT 'leak_correlation' AS \"check\", '{c}' AS key, round(corr({c}, alpha), 6) AS value, abs(corr({c}, alpha)) <= 0.95e0 AS passed FROM x"
+            f"SELECT 'leak_correlation' AS \"check\", '{c}' AS key, round(corr({c}, alpha), 6) + 0e0 AS value, abs(corr({c}, alpha)) <= 0.95e0 AS passed FROM x"
             for c in ("prob", "twice", "y")
         ),
     ),
@@ -158,7 +158,7 @@ def dq6_predictions(spark, sf):
         "pred",
         "WITH x AS (SELECT prob, prob * 2 AS next_prob, alpha, CAST(target AS INTEGER) AS target FROM pred) "
         + " UNION ALL ".join(
-            f"SELECT 'leak_name' AS \"check\", '{c}' AS key, round(corr({c}, alpha), 6) AS value, {p} AS passed FROM x"
+            f"SELECT 'leak_name' AS \"check\", '{c}' AS key, round(corr({c}, alpha), 6) + 0e0 AS value, {p} AS passed FROM x"
             for c, p in (("prob", "true"), ("next_prob", "false"), ("target", "true"))
         ),
     ),
@@ -178,8 +178,8 @@ def dq6_names(spark, sf):
         "panel divs",
         """
 SELECT p.asset, p.date AS ex_date, p.close, p.adj_close, d.value AS dividend_value, p.close - p.adj_close AS gap,
-       round((p.close - p.adj_close) / p.close * 100, 6) AS gap_pct, round(d.value / p.close * 100, 6) AS dividend_pct,
-       round((p.close - p.adj_close) / nullif(d.value, 0), 6) AS gap_ratio, abs(p.close - p.adj_close - d.value) < 0.01e0 AS matches
+       round((p.close - p.adj_close) / p.close * 100, 6) + 0e0 AS gap_pct, round(d.value / p.close * 100, 6) + 0e0 AS dividend_pct,
+       round((p.close - p.adj_close) / nullif(d.value, 0), 6) + 0e0 AS gap_ratio, abs(p.close - p.adj_close - d.value) < 0.01e0 AS matches
 FROM panel p JOIN divs d ON d.asset = p.asset AND d.ex_date = p.date""",
     ),
 )
@@ -197,7 +197,7 @@ def dq7(spark, sf):
         "panel divs",
         """
 SELECT count(*) AS events, count(*) FILTER (abs(p.close - p.adj_close - d.value) < 0.01e0) AS matching,
-       round(count(*) FILTER (abs(p.close - p.adj_close - d.value) < 0.01e0) * 100e0 / count(*), 6) AS matching_pct
+       round(count(*) FILTER (abs(p.close - p.adj_close - d.value) < 0.01e0) * 100e0 / count(*), 6) + 0e0 AS matching_pct
 FROM panel p JOIN divs d ON d.asset = p.asset AND d.ex_date = p.date""",
     ),
 )
@@ -265,7 +265,7 @@ def dq9(spark, sf):
     sql(
         "pred",
         """
-SELECT split, count(*) AS rows, count(*) FILTER (target) AS positives, round(avg(CAST(target AS INTEGER)), 6) AS positive_share
+SELECT split, count(*) AS rows, count(*) FILTER (target) AS positives, round(avg(CAST(target AS INTEGER)), 6) + 0e0 AS positive_share
 FROM (SELECT target, CASE WHEN signal_date <= DATE '1998-12-31' THEN 'train' WHEN signal_date <= DATE '1999-12-31' THEN 'val' ELSE 'test' END AS split FROM pred)
 GROUP BY 1""",
     ),

@@ -94,8 +94,8 @@ def prj7(spark, sf):
 @query(
     "prj8_math",
     """
-SELECT l_orderkey, l_linenumber, round(ln(1 + l_discount), 9) AS log_growth, round(exp(l_tax) - 1, 9) AS growth,
-       abs(l_discount - l_tax) AS distance, round(sqrt(l_quantity), 9) AS root, round(power(1 + l_tax, 2), 9) AS squared
+SELECT l_orderkey, l_linenumber, round(ln(1 + l_discount), 9) + 0e0 AS log_growth, round(exp(l_tax) - 1, 9) + 0e0 AS growth,
+       abs(l_discount - l_tax) AS distance, round(sqrt(l_quantity), 9) + 0e0 AS root, round(power(1 + l_tax, 2), 9) + 0e0 AS squared
 FROM lineitem""",
 )
 def prj8(spark, sf):

@@ -119,7 +119,7 @@ def sp6(spark, sf):
         "panel divs",
         """
 WITH j AS (SELECT p.asset, p.date, d.value FROM panel p LEFT JOIN divs d ON d.asset = p.asset AND d.ex_date = p.date)
-SELECT asset, date, round(COALESCE(value, (SELECT avg(value) FROM j WHERE date <= DATE '1998-12-31')), 6) AS value FROM j""",
+SELECT asset, date, round(COALESCE(value, (SELECT avg(value) FROM j WHERE date <= DATE '1998-12-31')), 6) + 0e0 AS value FROM j""",
     ),
 )
 def sp7(spark, sf):

@@ -8,7 +8,7 @@ from panelloom.plans import feature_tables as ft
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
 from panelloom.queries.roles_sql import mean
-from panelloom.queries.windows import _beta, _dd, _ma, _rsi, _upto, _vol, fwd, trail, r6
+from panelloom.queries.windows import _beta, _dd, _ma, _rsi, _upto, _vol, fwd, trail
 from panelloom.sources.tables import materialise
 
 _HIST = "PARTITION BY asset ORDER BY date"
@@ -20,8 +20,14 @@ EXACT = {
 }
 
 
+# Cash over price: both have few decimals, so that six digits would often be a rounding tie.
+FINE = {"dividend_yield_12m"}
+
+
 def _rounded(df):
-    return df.select(*[c if c in EXACT else r6(c) for c in df.columns])
+    return df.select(
+        *[c if c in EXACT else F.round(c, 9 if c in FINE else 6).alias(c) for c in df.columns]
+    )
 
 
 def table_sql(version: str) -> str:
@@ -30,7 +36,7 @@ def table_sql(version: str) -> str:
     columns = [*ft.IDENTITY, *ft.OWN_RETURNS, *ft.BENCH_RETURNS, *ft.VOLATILITY, *ft.DIVIDENDS]
     columns += ([] if v2 else ["has_dividend_today"]) + ft.ALPHA + ["macro_a", "macro_b", "macro_c", "macro_d"] + ft.TARGETS
     columns += {"v1": [], "v2_minimal": ["price_vs_ma_7d"], "v2": ft.TECHNICAL}[version]
-    shown = ", ".join(c if c in EXACT else f"round({c}, 6) AS {c}" for c in columns)
+    shown = ", ".join(c if c in EXACT else f"round({c}, {9 if c in FINE else 6}) + 0e0 AS {c}" for c in columns)
     return f"""
 WITH bs AS (SELECT date, bench_return, lag(bench_return) OVER ({_B}) AS bench_return_1d, {trail('bench_return', 7, _B)} AS bench_return_7d,
        {trail('bench_return', 30, _B)} AS bench_return_30d, {trail('bench_return', 90, _B)} AS bench_return_90d, {fwd('bench_return', 7, _B)} AS ahead FROM br),

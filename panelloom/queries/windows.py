@@ -12,6 +12,7 @@ from panelloom.operators import features as feat
 from panelloom.operators import joins, ranking, returns
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
+from panelloom.sources.tables import materialise
 
 
 def r6(name: str):
@@ -45,10 +46,10 @@ def fwd(column: str, n: int, part: str = _HIST, need: int | None = None) -> str:
     sql(
         "tr br",
         f"""
-SELECT a.asset, a.date, a.close, round(a.total_return, 6) AS total_return,
-       round(a.return_7d, 6) AS return_7d, round(b.bench_return, 6) AS bench_return,
-       round(b.bench_return_7d, 6) AS bench_return_7d,
-       a.f > b.f AS target_7d, round(a.f - b.f, 6) AS target_alpha_7d
+SELECT a.asset, a.date, a.close, round(a.total_return, 6) + 0e0 AS total_return,
+       round(a.return_7d, 6) + 0e0 AS return_7d, round(b.bench_return, 6) + 0e0 AS bench_return,
+       round(b.bench_return_7d, 6) + 0e0 AS bench_return_7d,
+       a.f > b.f AS target_7d, round(a.f - b.f, 6) + 0e0 AS target_alpha_7d
 FROM (SELECT *, {trail('total_return', 7)} AS return_7d, {fwd('total_return', 7)} AS f FROM tr) a
 LEFT JOIN (SELECT *, {trail('bench_return', 7, 'ORDER BY date')} AS bench_return_7d,
                   {fwd('bench_return', 7, 'ORDER BY date')} AS f FROM br) b USING (date)""",
@@ -74,7 +75,7 @@ def flagship(spark, sf):
         "panel",
         """
 SELECT asset, date, lag(close) OVER (PARTITION BY asset ORDER BY date) AS close_prev,
-       round((close - lag(close) OVER (PARTITION BY asset ORDER BY date)) / lag(close) OVER (PARTITION BY asset ORDER BY date), 6) AS simple_return
+       round((close - lag(close) OVER (PARTITION BY asset ORDER BY date)) / lag(close) OVER (PARTITION BY asset ORDER BY date), 6) + 0e0 AS simple_return
 FROM panel""",
     ),
 )
@@ -89,7 +90,7 @@ def wn1(spark, sf):
 
 @query(
     "wn2_benchmark_return",
-    sql("br", "SELECT date, bench_close, round(bench_return, 6) AS bench_return FROM br"),
+    sql("br", "SELECT date, bench_close, round(bench_return, 6) + 0e0 AS bench_return FROM br"),
 )
 def wn2(spark, sf):
     return returns.benchmark_returns(roles.bench(spark, sf)).select("date", "bench_close", r6("bench_return"))
@@ -100,8 +101,8 @@ def wn2(spark, sf):
     sql(
         "tr",
         """
-SELECT asset, date, close, close_prev, volume, has_trading, dividend_value, round(price_return, 6) AS price_return,
-       round(dividend_return, 6) AS dividend_return, round(total_return, 6) AS total_return FROM tr""",
+SELECT asset, date, close, close_prev, volume, has_trading, dividend_value, round(price_return, 6) + 0e0 AS price_return,
+       round(dividend_return, 6) + 0e0 AS dividend_return, round(total_return, 6) + 0e0 AS total_return FROM tr""",
     ),
 )
 def wn3(spark, sf):
@@ -124,8 +125,8 @@ WITH moved AS (
 j AS (SELECT p.asset, p.date, p.close, lag(p.close) OVER (PARTITION BY p.asset ORDER BY p.date) AS close_prev,
              COALESCE(m.dividend_value, 0e0) AS dividend_value
       FROM panel p LEFT JOIN moved m ON m.asset = p.asset AND m.date = p.date)
-SELECT asset, date, round(dividend_value, 6) AS dividend_value,
-       round((close - close_prev) / close_prev + dividend_value / close_prev, 6) AS total_return FROM j""",
+SELECT asset, date, round(dividend_value, 6) + 0e0 AS dividend_value,
+       round((close - close_prev) / close_prev + dividend_value / close_prev, 6) + 0e0 AS total_return FROM j""",
     ),
 )
 def wn3_next(spark, sf):
@@ -138,8 +139,8 @@ def wn3_next(spark, sf):
     sql(
         "tr",
         f"""
-SELECT asset, date, round(lag(total_return) OVER ({_HIST}), 6) AS return_1d, round({trail('total_return', 7)}, 6) AS return_7d,
-       round({trail('total_return', 30)}, 6) AS return_30d, round({trail('total_return', 90)}, 6) AS return_90d FROM tr""",
+SELECT asset, date, round(lag(total_return) OVER ({_HIST}), 6) + 0e0 AS return_1d, round({trail('total_return', 7)}, 6) + 0e0 AS return_7d,
+       round({trail('total_return', 30)}, 6) + 0e0 AS return_30d, round({trail('total_return', 90)}, 6) + 0e0 AS return_90d FROM tr""",
     ),
 )
 def wn4(spark, sf):
@@ -151,7 +152,7 @@ def wn4(spark, sf):
     "wn4_trailing_return_partial_frames",
     sql(
         "tr",
-        f"SELECT asset, date, round({trail('total_return', 30, need=1)}, 6) AS return_30d FROM tr",
+        f"SELECT asset, date, round({trail('total_return', 30, need=1)}, 6) + 0e0 AS return_30d FROM tr",
     ),
 )
 def wn4_partial(spark, sf):
@@ -167,8 +168,8 @@ _B = "ORDER BY date"
     sql(
         "br",
         f"""
-SELECT date, round(lag(bench_return) OVER ({_B}), 6) AS bench_return_1d, round({trail('bench_return', 7, _B)}, 6) AS bench_return_7d,
-       round({trail('bench_return', 30, _B)}, 6) AS bench_return_30d, round({trail('bench_return', 90, _B)}, 6) AS bench_return_90d FROM br""",
+SELECT date, round(lag(bench_return) OVER ({_B}), 6) + 0e0 AS bench_return_1d, round({trail('bench_return', 7, _B)}, 6) + 0e0 AS bench_return_7d,
+       round({trail('bench_return', 30, _B)}, 6) + 0e0 AS bench_return_30d, round({trail('bench_return', 90, _B)}, 6) + 0e0 AS bench_return_90d FROM br""",
     ),
 )
 def wn5(spark, sf):
@@ -185,7 +186,7 @@ def _vol(n: int) -> str:
     "wn6_volatility",
     sql(
         "tr",
-        f"SELECT asset, date, round({_vol(30)}, 6) AS volatility_30d, round({_vol(90)}, 6) AS volatility_90d FROM tr",
+        f"SELECT asset, date, round({_vol(30)}, 6) + 0e0 AS volatility_30d, round({_vol(90)}, 6) + 0e0 AS volatility_90d FROM tr",
     ),
 )
 def wn6(spark, sf):
@@ -205,7 +206,7 @@ WITH y AS (
 
 @query(
     "wn7_trailing_365_day_yield",
-    sql("tr", _DIV + "SELECT asset, date, round(y12, 6) AS dividend_yield_12m FROM y"),
+    sql("tr", _DIV + "SELECT asset, date, round(y12, 6) + 0e0 AS dividend_yield_12m FROM y"),
 )
 def wn7(spark, sf):
     df = feat.dividend_features(roles.total_returns(spark, sf))
@@ -235,7 +236,7 @@ def wn9(spark, sf):
     sql(
         "tr br",
         f"""
-SELECT a.asset, a.date, round(a.r30 - b.r30, 6) AS alpha_30d, round(a.r90 - b.r90, 6) AS alpha_90d
+SELECT a.asset, a.date, round(a.r30 - b.r30, 6) + 0e0 AS alpha_30d, round(a.r90 - b.r90, 6) + 0e0 AS alpha_90d
 FROM (SELECT asset, date, {trail('total_return', 30)} AS r30, {trail('total_return', 90)} AS r90 FROM tr) a
 LEFT JOIN (SELECT date, {trail('bench_return', 30, _B)} AS r30, {trail('bench_return', 90, _B)} AS r90 FROM br) b USING (date)""",
     ),
@@ -250,7 +251,7 @@ def wn10(spark, sf):
 
 @query(
     "wn11_forward_return",
-    sql("tr", f"SELECT asset, date, round({fwd('total_return', 7)}, 6) AS future_return_7d FROM tr"),
+    sql("tr", f"SELECT asset, date, round({fwd('total_return', 7)}, 6) + 0e0 AS future_return_7d FROM tr"),
 )
 def wn11(spark, sf):
     prices = roles.prices(spark, sf)
@@ -260,7 +261,7 @@ def wn11(spark, sf):
 
 def _target_sql(need: int) -> str:
     return f"""
-SELECT a.asset, a.date, a.f > b.f AS target_7d, round(a.f - b.f, 6) AS target_alpha_7d
+SELECT a.asset, a.date, a.f > b.f AS target_7d, round(a.f - b.f, 6) + 0e0 AS target_alpha_7d
 FROM (SELECT asset, date, {fwd('total_return', 7, need=need)} AS f FROM tr) a
 LEFT JOIN (SELECT date, {fwd('bench_return', 7, _B, need)} AS f FROM br) b USING (date)"""
 
@@ -319,7 +320,7 @@ g AS (SELECT asset, date, CASE WHEN mv > 0 THEN mv ELSE 0e0 END AS gain, CASE WH
 """
 
 
-@query("wn14_rsi", sql("panel", _MOVES + f"SELECT asset, date, round({_rsi(14)}, 6) AS rsi_14d FROM g"))
+@query("wn14_rsi", sql("panel", _MOVES + f"SELECT asset, date, round({_rsi(14)}, 6) + 0e0 AS rsi_14d FROM g"))
 def wn14(spark, sf):
     return _technical(spark, sf, rsi=(14,)).select("asset", "date", r6("rsi_14d"))
 
@@ -333,7 +334,7 @@ def _ma(n: int) -> str:
     "wn15_price_vs_moving_average",
     sql(
         "panel",
-        f"SELECT asset, date, round({_ma(7)}, 6) AS price_vs_ma_7d, round({_ma(30)}, 6) AS price_vs_ma_30d FROM panel",
+        f"SELECT asset, date, round({_ma(7)}, 6) + 0e0 AS price_vs_ma_7d, round({_ma(30)}, 6) + 0e0 AS price_vs_ma_30d FROM panel",
     ),
 )
 def wn15(spark, sf):
@@ -358,7 +359,7 @@ q AS (SELECT p.asset, p.date, CASE WHEN b.bench_return IS NOT NULL THEN y0 END A
 
 @query(
     "wn16_rolling_beta",
-    sql("panel br", _PAIRS + f"SELECT asset, date, round({_beta(30, 30)}, 6) AS beta_30d, round({_beta(90, 60)}, 6) AS beta_90d FROM q"),
+    sql("panel br", _PAIRS + f"SELECT asset, date, round({_beta(30, 30)}, 6) + 0e0 AS beta_30d, round({_beta(90, 60)}, 6) + 0e0 AS beta_90d FROM q"),
 )
 def wn16(spark, sf):
     return _technical(spark, sf, betas=(30, 90)).select("asset", "date", r6("beta_30d"), r6("beta_90d"))
@@ -369,7 +370,7 @@ def wn16(spark, sf):
     sql(
         "panel br",
         _PAIRS
-        + f"SELECT asset, date, round(CASE WHEN count(*) OVER {_upto(30)} >= 30 THEN avg(CASE WHEN y > x THEN 1e0 ELSE 0e0 END) OVER {_upto(30)} END, 6) AS outperform_rate_30d FROM q",
+        + f"SELECT asset, date, round(CASE WHEN count(*) OVER {_upto(30)} >= 30 THEN avg(CASE WHEN y > x THEN 1e0 ELSE 0e0 END) OVER {_upto(30)} END, 6) + 0e0 AS outperform_rate_30d FROM q",
     ),
 )
 def wn17(spark, sf):
@@ -381,7 +382,7 @@ def _dd(n: int) -> str:
     return f"CASE WHEN count(close) OVER {f} >= {n} THEN (max(close) OVER {f} - close) / max(close) OVER {f} END"
 
 
-@query("wn18_drawdown", sql("panel", f"SELECT asset, date, round({_dd(30)}, 6) AS drawdown_30d FROM panel"))
+@query("wn18_drawdown", sql("panel", f"SELECT asset, date, round({_dd(30)}, 6) + 0e0 AS drawdown_30d FROM panel"))
 def wn18(spark, sf):
     return _technical(spark, sf, drawdowns=(30,)).select("asset", "date", r6("drawdown_30d"))
 
@@ -403,9 +404,9 @@ def wn19(spark, sf):
     paired = base.withColumn("y", R.simple_return(w, F.col("close"))).withColumn(
         "x", F.when(F.col("y").isNotNull(), F.col("bench_return"))
     )
-    frame = R.upto(w, 90)
-    counted = paired.select(
-        "asset", "date", R.valid_count(frame, F.col("x")).alias("n_valid"), F.var_pop("x").over(frame).alias("v")
+    fr = R.Frames(w)
+    counted = fr.select(
+        paired, fr.count(F.col("x"), -89, 0).alias("n_valid"), fr.rows(F.var_pop("x"), -89, 0).alias("v")
     )
     status = (
         F.when(F.col("n_valid") < 60, "incomplete")
@@ -430,7 +431,7 @@ def wn20(spark, sf):
         "ranked_pred",
         """
 SELECT signal_date, max(CASE WHEN rank = 1 THEN prob END) AS best, max(CASE WHEN rank = 2 THEN prob END) AS second,
-       round(max(CASE WHEN rank = 1 THEN prob END) - max(CASE WHEN rank = 2 THEN prob END), 6) AS gap
+       round(max(CASE WHEN rank = 1 THEN prob END) - max(CASE WHEN rank = 2 THEN prob END), 6) + 0e0 AS gap
 FROM ranked_pred GROUP BY 1""",
     ),
 )
@@ -443,8 +444,8 @@ def wn21(spark, sf):
     sql(
         "rp",
         """
-SELECT asset, date, round(100000e0 * exp(sum(ln(1 + total_return)) OVER w), 4) AS capital,
-       round(exp(sum(ln(1 + total_return)) OVER w) - 1, 6) AS cumulative_return
+SELECT asset, date, round(100000e0 * exp(sum(ln(1 + total_return)) OVER w), 4) + 0e0 AS capital,
+       round(exp(sum(ln(1 + total_return)) OVER w) - 1, 6) + 0e0 AS cumulative_return
 FROM rp WINDOW w AS (PARTITION BY asset ORDER BY date)""",
     ),
 )
@@ -462,7 +463,7 @@ def wn22(spark, sf):
         """
 WITH c AS (SELECT asset, date, exp(sum(ln(1 + total_return)) OVER (PARTITION BY asset ORDER BY date)) AS capital FROM rp),
 d AS (SELECT asset, capital / max(capital) OVER (PARTITION BY asset ORDER BY date) - 1 AS dd FROM c)
-SELECT asset, round(min(dd), 6) AS max_drawdown FROM d GROUP BY 1""",
+SELECT asset, round(min(dd), 6) + 0e0 AS max_drawdown FROM d GROUP BY 1""",
     ),
 )
 def wn23(spark, sf):
@@ -478,14 +479,15 @@ def wn23(spark, sf):
     sql(
         "wgrid",
         """
-SELECT strategy, signal_date, asset, round(weight, 6) AS weight, round(prev_weight, 6) AS prev_weight, round(weight - prev_weight, 6) AS change
+SELECT strategy, signal_date, asset, round(weight, 6) + 0e0 AS weight, round(prev_weight, 6) + 0e0 AS prev_weight, round(weight - prev_weight, 6) + 0e0 AS change
 FROM wgrid WHERE weight <> 0 OR prev_weight <> 0""",
     ),
 )
 def wn24(spark, sf):
     from panelloom.operators import backtest as bt
 
-    changes = bt.weight_changes(bt.weights(roles.rebalances(roles.market(spark, sf))))
+    rebalances = materialise(roles.rebalances(roles.market(spark, sf)), "rebalances")
+    changes = bt.weight_changes(bt.weights(rebalances))
     kept = changes.where((F.col("weight") != 0) | (F.col("prev_weight") != 0))
     return kept.select("strategy", "signal_date", "asset", r6("weight"), r6("prev_weight"), r6("change"))
 
@@ -516,7 +518,7 @@ def wn26(spark, sf):
         f"""
 WITH a AS (SELECT asset, date, (lead(close, 21) OVER ({_HIST}) + sum(dividend_value) OVER ({_HIST} ROWS BETWEEN 1 FOLLOWING AND 21 FOLLOWING)) / close - 1 AS f FROM tr),
 b AS (SELECT date, lead(bench_close, 21) OVER (ORDER BY date) / bench_close - 1 AS f FROM br)
-SELECT a.asset, a.date, round(a.f, 6) AS future_return_21d, round(b.f, 6) AS future_bench_21d, a.f > b.f AS target_21d
+SELECT a.asset, a.date, round(a.f, 6) + 0e0 AS future_return_21d, round(b.f, 6) + 0e0 AS future_bench_21d, a.f > b.f AS target_21d
 FROM a LEFT JOIN b USING (date)""",
     ),
 )
@@ -531,7 +533,7 @@ def wn27(spark, sf):
     sql(
         "tr br",
         f"""
-SELECT a.asset, a.date, round(a.r180, 6) AS return_180d, round(a.r360, 6) AS return_360d, round(a.r180 - b.r180, 6) AS alpha_180d, a.last_dividend
+SELECT a.asset, a.date, round(a.r180, 6) + 0e0 AS return_180d, round(a.r360, 6) + 0e0 AS return_360d, round(a.r180 - b.r180, 6) + 0e0 AS alpha_180d, a.last_dividend
 FROM (SELECT asset, date, {trail('total_return', 180)} AS r180, {trail('total_return', 360)} AS r360,
              last_value(CASE WHEN dividend_value > 0 THEN dividend_value END IGNORE NULLS) OVER ({_HIST} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_dividend
       FROM tr) a
@@ -551,7 +553,7 @@ def wn28(spark, sf):
     sql(
         "macro_monthly",
         """
-SELECT month, round(CASE WHEN count(*) OVER w >= 12 THEN exp(sum(ln(1 + macro_c / 100)) OVER w) - 1 END, 8) AS macro_12m
+SELECT month, round(CASE WHEN count(*) OVER w >= 12 THEN exp(sum(ln(1 + macro_c / 100)) OVER w) - 1 END, 8) + 0e0 AS macro_12m
 FROM macro_monthly WINDOW w AS (ORDER BY month ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)""",
     ),
 )
@@ -569,10 +571,10 @@ def wn28_macro(spark, sf):
 p AS (SELECT asset, date, close, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS y FROM panel),
 q AS (SELECT p.*, b.bench_return AS x FROM p LEFT JOIN br b USING (date)),
 k AS (SELECT asset, date, {_rsi(30)} AS rsi FROM g)
-SELECT q.asset, q.date, round(k.rsi, 6) AS rsi_30d,
+SELECT q.asset, q.date, round(k.rsi, 6) + 0e0 AS rsi_30d,
        round(CASE WHEN count(*) OVER {_upto(90).replace('PARTITION BY asset ORDER BY date', 'PARTITION BY q.asset ORDER BY q.date')} >= 90
-         THEN (close - avg(close) OVER w) / avg(close) OVER w END, 6) AS price_vs_ma_90d,
-       round(CASE WHEN count(*) OVER w >= 90 THEN avg(CASE WHEN y > x THEN 1e0 ELSE 0e0 END) OVER w END, 6) AS outperform_rate_90d
+         THEN (close - avg(close) OVER w) / avg(close) OVER w END, 6) + 0e0 AS price_vs_ma_90d,
+       round(CASE WHEN count(*) OVER w >= 90 THEN avg(CASE WHEN y > x THEN 1e0 ELSE 0e0 END) OVER w END, 6) + 0e0 AS outperform_rate_90d
 FROM q JOIN k ON k.asset = q.asset AND k.date = q.date
 WINDOW w AS (PARTITION BY q.asset ORDER BY q.date ROWS BETWEEN 89 PRECEDING AND CURRENT ROW)""",
     ),
@@ -596,9 +598,9 @@ WITH b AS (
               THEN avg(total_return) OVER ({_HIST} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) / stddev_samp(total_return) OVER ({_HIST} ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING) END AS sharpe
   FROM tr t LEFT JOIN macro_daily m USING (date)),
 c AS (SELECT *, y12 / nullif(lag(y12, 252) OVER ({_HIST}), 0) - 1 AS growth, macro_a - lag(macro_a, 30) OVER ({_HIST}) AS mc FROM b)
-SELECT asset, date, round(v30 - v90, 6) AS volatility_change, round(v30 / v90, 6) AS volatility_ratio, round(sharpe, 6) AS sharpe_30d,
-       round(y30, 6) AS dividend_yield_30d, CAST(COALESCE(freq, 0) AS BIGINT) AS dividend_frequency_12m,
-       round(growth, 6) AS dividend_growth, round(mc, 8) AS macro_change_30d, mc > 0 AS macro_rising FROM c""",
+SELECT asset, date, round(v30 - v90, 6) + 0e0 AS volatility_change, round(v30 / v90, 6) + 0e0 AS volatility_ratio, round(sharpe, 6) + 0e0 AS sharpe_30d,
+       round(y30, 6) + 0e0 AS dividend_yield_30d, CAST(COALESCE(freq, 0) AS BIGINT) AS dividend_frequency_12m,
+       round(growth, 6) + 0e0 AS dividend_growth, round(mc, 8) + 0e0 AS macro_change_30d, mc > 0 AS macro_rising FROM c""",
     ),
 )
 def wn29_derived(spark, sf):
