@@ -56,12 +56,16 @@ def _report_columns() -> list[Column]:
 
 
 def _score_counts(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
-    """(keys, score, pos, neg) and the outer and inner band of each distinct score."""
+    """(keys, score, pos, neg) and the outer and inner band of each distinct score.
+
+    The filter on the band itself is what a later join on it would infer; stated here, all
+    branches that read the counts have the same plan and share one shuffle.
+    """
     known = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull())
     counts = known.groupBy(*keys, F.col(prob).cast("double").alias("score")).agg(
         F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
-    return _banded(counts)
+    return _banded(counts).where(F.col("outer").isNotNull())
 
 
 def _banded(counts: DataFrame) -> DataFrame:
