@@ -190,8 +190,10 @@ def trailing_days_sum(fr: Frames, value: Column, days: int) -> Column:
 
 
 def simple_return(w: WindowSpec, price: Column) -> Column:
+    """(price - previous) / previous: the one form used everywhere, so that equal price moves give
+    equal returns, bit by bit, and a comparison of the two sees the tie."""
     previous = F.lag(price, 1).over(w)
-    return price / F.nullif(previous, F.lit(0.0)) - 1.0
+    return (price - previous) / F.nullif(previous, F.lit(0.0))
 
 
 def forward_fill(w: WindowSpec, value: Column) -> Column:

@@ -281,32 +281,36 @@ def performance(
 ) -> DataFrame:
     """All performance figures per curve.
 
-    `curve` has the keys, signal_date, cumulative_return and, when known, turnover and cost;
-    `bench` has signal_date and cumulative_return. The return of a period is the change of the
-    cumulative value, 0 for the first; deviations are population ones; years count 365.25 days.
+    `curve` has the keys, signal_date, cumulative_return, net_return and, when known, turnover and
+    cost; `bench` has signal_date, cumulative_return and bench_period_return. The return of the
+    first period counts as 0; deviations are population ones; years count 365.25 days.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy("signal_date")
-    own = F.col("cumulative_return") + 1.0
-    side = bench.select("signal_date", (F.col("cumulative_return") + 1.0).alias("__bench"))
+    side = bench.select(
+        "signal_date", (F.col("cumulative_return") + 1.0).alias("__bench"), F.col("bench_period_return").alias("b")
+    )
     has_costs = {"turnover", "cost"} <= set(curve.columns)
     joined = curve.select(
         *keys,
         "signal_date",
-        own.alias("__own"),
+        (F.col("cumulative_return") + 1.0).alias("__own"),
+        F.col("net_return").alias("r"),
         (F.col("turnover") if has_costs else F.lit(0.0)).alias("turnover"),
         (F.col("cost") if has_costs else F.lit(0.0)).alias("cost"),
     ).join(side, "signal_date", "left")
 
-    def change(name: str) -> Column:
-        before = F.lag(name, 1).over(w)
-        return F.coalesce(safe_div(F.col(name) - before, before), F.lit(0.0))
-
+    later = F.row_number().over(w) > 1
     peak = R.running_max(w, F.col("__own"))
     stepped = joined.select(
-        "*",
-        change("__own").alias("r"),
-        change("__bench").alias("b"),
+        *keys,
+        "signal_date",
+        "__own",
+        "__bench",
+        "turnover",
+        "cost",
+        F.when(later, F.coalesce("r", F.lit(0.0))).otherwise(F.lit(0.0)).alias("r"),
+        F.when(later, F.coalesce("b", F.lit(0.0))).otherwise(F.lit(0.0)).alias("b"),
         safe_div(F.col("__own") - peak, peak).alias("dd"),
     )
     down = F.when(F.col("r") < 0, F.col("r"))

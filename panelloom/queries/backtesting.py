@@ -231,8 +231,8 @@ def bt9(spark, sf):
 
 _PERF = """
 st AS (SELECT n.scenario, n.rate, n.strategy, n.signal_date, n.turnover, n.cost, n.cumulative_return + 1 AS v, b.cumulative_return + 1 AS bv,
-   COALESCE((n.cumulative_return + 1) / lag(n.cumulative_return + 1) OVER w - 1, 0) AS r,
-   COALESCE((b.cumulative_return + 1) / lag(b.cumulative_return + 1) OVER w - 1, 0) AS b,
+   CASE WHEN row_number() OVER w = 1 THEN 0e0 ELSE n.net_return END AS r,
+   CASE WHEN row_number() OVER w = 1 THEN 0e0 ELSE b.bench_period_return END AS b,
    (n.cumulative_return + 1) / max(n.cumulative_return + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd
  FROM net n JOIN bcurve b USING (signal_date) WINDOW w AS (PARTITION BY n.scenario, n.strategy ORDER BY n.signal_date)),
 ag AS (SELECT scenario, rate, strategy, arg_max(v, signal_date) - 1 AS total_return, arg_max(bv, signal_date) AS bend,

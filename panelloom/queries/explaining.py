@@ -9,6 +9,11 @@ from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
 from panelloom.queries.windows import r6
 
+
+def r9(name: str):
+    """Nine digits: contributions of whole-number columns have few, and six would often be a tie."""
+    return F.round(F.col(name), 9).alias(name)
+
 _IMP = """
 imp AS (SELECT feature, avg(abs(contribution)) AS importance, avg(contribution) AS mean_contribution, stddev_pop(contribution) AS std_contribution, count(*) AS rows FROM attr GROUP BY 1),
 ranked AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS rank FROM imp)"""
@@ -18,12 +23,12 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS ra
     "ex1_global_importance",
     sql(
         "attr",
-        f"WITH {_IMP.strip()} SELECT feature, round(importance, 6) + 0e0 AS importance, round(std_contribution, 6) + 0e0 AS std_contribution, rows, rank FROM ranked",
+        f"WITH {_IMP.strip()} SELECT feature, round(importance, 9) + 0e0 AS importance, round(std_contribution, 9) + 0e0 AS std_contribution, rows, rank FROM ranked",
     ),
 )
 def ex1(spark, sf):
     df = E.global_importance(roles.attributions(spark, sf))
-    return df.select("feature", r6("importance"), r6("std_contribution"), "rows", "rank")
+    return df.select("feature", r9("importance"), r9("std_contribution"), "rows", "rank")
 
 
 @query(
@@ -31,34 +36,34 @@ def ex1(spark, sf):
     sql(
         "attr",
         f"""WITH {_IMP.strip()}
-SELECT CASE WHEN feature IN ('l_quantity', 'l_extendedprice') THEN 'size' ELSE 'rate' END AS feature_group, count(*) AS features, round(sum(importance), 6) + 0e0 AS importance,
+SELECT CASE WHEN feature IN ('l_quantity', 'l_extendedprice') THEN 'size' ELSE 'rate' END AS feature_group, count(*) AS features, round(sum(importance), 9) + 0e0 AS importance,
        round(sum(importance) / (SELECT sum(importance) FROM imp), 6) + 0e0 AS share FROM imp GROUP BY 1""",
     ),
 )
 def ex2(spark, sf):
     df = E.group_importance(roles.attributions(spark, sf), roles.GROUPS)
-    return df.select("feature_group", "features", r6("importance"), r6("share"))
+    return df.select("feature_group", "features", r9("importance"), r6("share"))
 
 
 @query(
     "ex3_importance_by_asset",
-    sql("attr", "SELECT asset, feature, round(avg(abs(contribution)), 6) + 0e0 AS importance, round(avg(contribution), 6) + 0e0 AS mean_contribution FROM attr GROUP BY 1, 2"),
+    sql("attr", "SELECT asset, feature, round(avg(abs(contribution)), 9) + 0e0 AS importance, round(avg(contribution), 9) + 0e0 AS mean_contribution FROM attr GROUP BY 1, 2"),
 )
 def ex3(spark, sf):
     df = E.importance_by(roles.attributions(spark, sf), ["asset"])
-    return df.select("asset", "feature", r6("importance"), r6("mean_contribution"))
+    return df.select("asset", "feature", r9("importance"), r9("mean_contribution"))
 
 
 @query(
     "ex3_importance_by_month",
     sql(
         "attr",
-        "SELECT CAST(date_trunc('month', date) AS DATE) AS month, feature, round(avg(abs(contribution)), 6) + 0e0 AS importance, round(avg(contribution), 6) + 0e0 AS mean_contribution FROM attr GROUP BY 1, 2",
+        "SELECT CAST(date_trunc('month', date) AS DATE) AS month, feature, round(avg(abs(contribution)), 9) + 0e0 AS importance, round(avg(contribution), 9) + 0e0 AS mean_contribution FROM attr GROUP BY 1, 2",
     ),
 )
 def ex3_month(spark, sf):
     df = E.importance_by(E.by_month(roles.attributions(spark, sf)), ["month"])
-    return df.select("month", "feature", r6("importance"), r6("mean_contribution"))
+    return df.select("month", "feature", r9("importance"), r9("mean_contribution"))
 
 
 _FLAGS = """
@@ -106,14 +111,14 @@ def ex4_examples(spark, sf):
         """
 WITH m AS (SELECT feature, avg(contribution) FILTER ((prob >= 0.5e0) = label) AS correct_mean, avg(contribution) FILTER ((prob >= 0.5e0) <> label) AS incorrect_mean,
        avg(contribution) FILTER (prob >= 0.5e0 AND NOT label) AS fp_mean, avg(contribution) FILTER (prob < 0.5e0 AND label) AS fn_mean FROM attr GROUP BY 1)
-SELECT feature, round(correct_mean, 6) + 0e0 AS correct_mean, round(incorrect_mean, 6) + 0e0 AS incorrect_mean, round(fp_mean, 6) + 0e0 AS fp_mean, round(fn_mean, 6) + 0e0 AS fn_mean,
-       round(correct_mean - incorrect_mean, 6) + 0e0 AS difference, round(abs(correct_mean - incorrect_mean), 6) + 0e0 AS abs_difference,
+SELECT feature, round(correct_mean, 9) + 0e0 AS correct_mean, round(incorrect_mean, 9) + 0e0 AS incorrect_mean, round(fp_mean, 9) + 0e0 AS fp_mean, round(fn_mean, 9) + 0e0 AS fn_mean,
+       round(correct_mean - incorrect_mean, 9) + 0e0 AS difference, round(abs(correct_mean - incorrect_mean), 9) + 0e0 AS abs_difference,
        row_number() OVER (ORDER BY abs(correct_mean - incorrect_mean) DESC, feature) AS rank FROM m""",
     ),
 )
 def ex5(spark, sf):
     df = E.correct_vs_incorrect(roles.attributions(spark, sf))
-    return df.select("feature", *[r6(c) for c in df.columns if c not in ("feature", "rank")], "rank")
+    return df.select("feature", *[r9(c) for c in df.columns if c not in ("feature", "rank")], "rank")
 
 
 @query(

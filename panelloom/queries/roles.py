@@ -214,8 +214,9 @@ def features_frame(m: Market) -> DataFrame:
 
 FEATURES = ["return_1d", "return_7d", "return_30d", "volatility_30d", "bench_return_7d", "bench_return_30d", "alpha_30d"]
 
-# Fixed linear coefficients for the attribution queries: one per stored line-item column.
-LINEAR = {"l_quantity": 0.03, "l_discount": -4.0, "l_tax": 2.5, "l_extendedprice": 0.00001}
+# Fixed linear coefficients for the attribution queries: one per stored line-item column. Their
+# many digits keep means of whole-number columns off the rounding ties of a checked result.
+LINEAR = {"l_quantity": 0.0314159265, "l_discount": -4.1421356237, "l_tax": 2.7182818284, "l_extendedprice": 0.0000161803398}
 GROUPS = {"size": ["l_quantity", "l_extendedprice"], "rate": ["l_discount", "l_tax"]}
 
 

@@ -212,12 +212,12 @@ CTES: dict[str, tuple[str, str]] = {
         "line_rows",
         """
   SELECT row_id, asset, date, prob, label, 'l_quantity' AS feature, l_quantity AS value,
-         0.03e0 * (l_quantity - (SELECT avg(l_quantity) FROM lineitem)) AS contribution FROM line_rows
+         0.0314159265e0 * (l_quantity - (SELECT avg(l_quantity) FROM lineitem)) AS contribution FROM line_rows
   UNION ALL SELECT row_id, asset, date, prob, label, 'l_discount', l_discount,
-         -4e0 * (l_discount - (SELECT avg(l_discount) FROM lineitem)) FROM line_rows
+         -4.1421356237e0 * (l_discount - (SELECT avg(l_discount) FROM lineitem)) FROM line_rows
   UNION ALL SELECT row_id, asset, date, prob, label, 'l_tax', l_tax,
-         2.5e0 * (l_tax - (SELECT avg(l_tax) FROM lineitem)) FROM line_rows
+         2.7182818284e0 * (l_tax - (SELECT avg(l_tax) FROM lineitem)) FROM line_rows
   UNION ALL SELECT row_id, asset, date, prob, label, 'l_extendedprice', l_extendedprice,
-         0.00001e0 * (l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem)) FROM line_rows""",
+         0.0000161803398e0 * (l_extendedprice - (SELECT avg(l_extendedprice) FROM lineitem)) FROM line_rows""",
     ),
 }

@@ -351,7 +351,7 @@ def _beta(n: int, need: int) -> str:
 
 
 _PAIRS = """
-WITH p AS (SELECT asset, date, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS y0 FROM panel),
+WITH p AS (SELECT asset, date, (close - lag(close) OVER (PARTITION BY asset ORDER BY date)) / lag(close) OVER (PARTITION BY asset ORDER BY date) AS y0 FROM panel),
 q AS (SELECT p.asset, p.date, CASE WHEN b.bench_return IS NOT NULL THEN y0 END AS y, CASE WHEN y0 IS NOT NULL THEN b.bench_return END AS x
       FROM p LEFT JOIN br b USING (date))
 """
@@ -568,7 +568,7 @@ def wn28_macro(spark, sf):
         "panel br",
         _MOVES.rstrip()
         + f""",
-p AS (SELECT asset, date, close, close / lag(close) OVER (PARTITION BY asset ORDER BY date) - 1 AS y FROM panel),
+p AS (SELECT asset, date, close, (close - lag(close) OVER (PARTITION BY asset ORDER BY date)) / lag(close) OVER (PARTITION BY asset ORDER BY date) AS y FROM panel),
 q AS (SELECT p.*, b.bench_return AS x FROM p LEFT JOIN br b USING (date)),
 k AS (SELECT asset, date, {_rsi(30)} AS rsi FROM g)
 SELECT q.asset, q.date, round(k.rsi, 6) + 0e0 AS rsi_30d,

@@ -182,8 +182,14 @@ def test_buy_and_hold_equals_per_asset_capital(frame):
 
 
 def test_curve_metrics_on_a_known_curve(frame):
-    curve = frame("scenario string, strategy string, signal_date date, cumulative_return double", [("z", "s", day(0), 0.0), ("z", "s", day(7), 0.1), ("z", "s", day(365), -0.01)])
-    bench = frame("signal_date date, cumulative_return double", [(day(0), 0.0), (day(7), 0.0), (day(365), 0.0)])
+    curve = frame(
+        "scenario string, strategy string, signal_date date, net_return double, cumulative_return double",
+        [("z", "s", day(0), 0.0, 0.0), ("z", "s", day(7), 0.1, 0.1), ("z", "s", day(365), -0.1, -0.01)],
+    )
+    bench = frame(
+        "signal_date date, bench_period_return double, cumulative_return double",
+        [(day(0), 0.0, 0.0), (day(7), 0.0, 0.0), (day(365), 0.0, 0.0)],
+    )
     row = bt.performance(curve, bench).first()
     assert math.isclose(row.max_drawdown, -0.1) and math.isclose(row.total_return, -0.01)
     assert math.isclose(row.cagr, 0.99 ** (365.25 / 365) - 1) and math.isclose(row.share_above_benchmark, 1 / 3)
