@@ -193,15 +193,16 @@ def fold_pair_statistics(df: DataFrame, fold: str, n_folds: int, label: str = "l
     counts = known.groupBy(fold, F.col(prob).cast("double").alias("score")).agg(
         F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1)))
-    as_pos = counts.select(
-        F.col(fold).cast("int").alias("pos_fold"), other.alias("neg_fold"), "score", "pos", F.lit(0).cast("long").alias("neg")
-    )
-    as_neg = counts.select(
-        other.alias("pos_fold"), F.col(fold).cast("int").alias("neg_fold"), "score", F.lit(0).cast("long").alias("pos"), "neg"
-    )
-    pairs = as_pos.unionByName(as_neg).groupBy("pos_fold", "neg_fold", "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg")
+    own, zero = F.col(fold).cast("int"), F.lit(0).cast("long")
+    uses = []
+    for other in range(n_folds):
+        uses.append(F.struct(own.alias("pos_fold"), F.lit(other).alias("neg_fold"), F.col("pos").alias("pos"), zero.alias("neg")))
+        uses.append(F.struct(F.lit(other).alias("pos_fold"), own.alias("neg_fold"), zero.alias("pos"), F.col("neg").alias("neg")))
+    pairs = (
+        counts.select("score", F.explode(F.array(*uses)).alias("__u"))
+        .select("score", "__u.*")
+        .groupBy("pos_fold", "neg_fold", "score")
+        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
     return _u_statistic(_banded(pairs), ["pos_fold", "neg_fold"])
 

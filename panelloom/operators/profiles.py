@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.aggregates import null_count
-from panelloom.functions.scalars import month_start
+from panelloom.functions.scalars import hash_order, month_start
+from panelloom.sources.tables import materialise
 
 
 def counts_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -90,44 +91,63 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return packed.unpivot([], list(columns), "column", "s").select("column", "s.*")
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000
-) -> DataFrame:
-    """(column, prob, quantile): interpolated quantiles, exact, in bounded memory per task.
+def _sketches(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+    """(column, n, mean, stddev, least, most, lo, hi): one pass over df, one row per column.
 
-    `percentile` would hold every distinct value of a column in one task. Here a mergeable
-    sketch brackets each quantile to within 3/accuracy of the rank range, values under the
-    bracket are only counted (map-side), and just the values inside it are ranked.
+    lo and hi are sketch values just under and over each probability. The rows are written, as
+    the second pass and the profile both read them.
     """
-    columns, probs = list(columns), list(probs)
     margin = 3.0 / accuracy
     packed = df.agg(
         *[
             F.struct(
                 F.count(c).alias("n"),
-                F.percentile_approx(c, [max(p - margin, 0.0) for p in probs], accuracy).alias("lo"),
-                F.percentile_approx(c, [min(p + margin, 1.0) for p in probs], accuracy).alias("hi"),
+                F.avg(c).alias("mean"),
+                F.stddev_samp(c).alias("stddev"),
                 F.min(c).cast("double").alias("least"),
                 F.max(c).cast("double").alias("most"),
+                F.percentile_approx(F.col(c).cast("double"), [max(p - margin, 0.0) for p in probs], accuracy).alias("lo"),
+                F.percentile_approx(F.col(c).cast("double"), [min(p + margin, 1.0) for p in probs], accuracy).alias("hi"),
             ).alias(c)
             for c in columns
         ]
     )
+    return materialise(packed.unpivot([], list(columns), "column", "s").select("column", "s.*"), "sketches")
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000
+) -> DataFrame:
+    """(column, prob, quantile): interpolated quantiles, exact, in bounded memory per task.
+
+    `percentile` would hold every distinct value of a column in one task. Here a mergeable
+    sketch brackets each quantile to within 3/accuracy of the rank range, values under the
+    bracket are only counted (map-side), and just the values inside it are ranked.
+    """
+    columns, probs = list(columns), list(probs)
+    return _quantiles(df, _sketches(df, columns, probs, accuracy), columns, probs, accuracy)
+
+
+def _quantiles(
+    df: DataFrame, sketches: DataFrame, columns: list[str], probs: list[float], accuracy: int
+) -> DataFrame:
+    margin = 3.0 / accuracy
     prob_array = F.array(*[F.lit(float(p)) for p in probs])
     brackets = (
-        packed.unpivot([], columns, "column", "s")
-        .select("column", "s.n", "s.least", "s.most", F.posexplode(F.arrays_zip(
-            prob_array.alias("prob"), F.col("s.lo").alias("lo"), F.col("s.hi").alias("hi"))))
+        sketches.select(
+            "column", "n", "least", "most",
+            F.explode(F.arrays_zip(prob_array.alias("prob"), F.col("lo"), F.col("hi"))).alias("col"),
+        )
         .select(
             "column",
             "n",
             F.col("col.prob").alias("prob"),
             # With few rows the margin is under one rank: the bracket is then the whole column.
             F.when((F.col("n") <= accuracy) | (F.col("col.prob") <= margin), F.col("least"))
-            .otherwise(F.col("col.lo").cast("double"))
+            .otherwise(F.col("col.lo"))
             .alias("lo"),
             F.when((F.col("n") <= accuracy) | (F.col("col.prob") >= 1 - margin), F.col("most"))
-            .otherwise(F.col("col.hi").cast("double"))
+            .otherwise(F.col("col.hi"))
             .alias("hi"),
         )
         .withColumn("rank", F.col("prob") * (F.col("n") - 1))
@@ -169,18 +189,20 @@ def numeric_profile(
     columns: Sequence[str],
     probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95),
 ) -> DataFrame:
-    """describe() plus one quantile column per probability (p05, p25, ...)."""
+    """describe() plus one quantile column per probability (p05, p25, ...), in two passes."""
+    columns, probs, accuracy = list(columns), list(probs), 10_000
     names = [f"p{round(p * 100):02d}" for p in probs]
-    quantiles = exact_quantiles(df, columns, probs)
-    wide = quantiles.groupBy("column").agg(
+    sketches = _sketches(df, columns, probs, accuracy)
+    wide = _quantiles(df, sketches, columns, probs, accuracy).groupBy("column").agg(
         *[
             F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(name)
             for p, name in zip(probs, names)
         ]
     )
-    return describe(df, columns).join(wide, "column")
-
-
+    stats = sketches.select(
+        "column", F.col("n").alias("count"), "mean", "stddev", F.col("least").alias("min"), F.col("most").alias("max")
+    )
+    return stats.join(wide, "column")
 
 
 def corr_long(
@@ -247,8 +269,9 @@ def head_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, keys: Sequence[str]) -> DataFrame:
-    """n rows in hash order of their key: the same rows for the same seed, on any layout."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *keys), *keys).limit(n)
+    """n rows in hash order of their key: the same rows for the same seed, on any layout. Each
+    task keeps its own first n, so nothing but candidates is moved."""
+    return df.orderBy(hash_order(seed, *[F.col(k) for k in keys]), *keys).limit(n)
 
 
 def nearest_to(df: DataFrame, column: str, target: float, n: int, tie: Sequence[str]) -> DataFrame:

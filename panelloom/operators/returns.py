@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from panelloom.functions import rolling as R
 from panelloom.functions.scalars import flag
 from panelloom.keys import KEYS, PanelKeys, calendar_order
-from panelloom.operators.joins import asof_join
 
 
 def events_on_sessions(
@@ -27,25 +26,26 @@ def events_on_sessions(
     An event dated on no session is dropped by the later equi-join (`drop`) or moved to the
     next session of its asset (`next`). An event after the last session has no session to go to.
     """
+    daily = events.groupBy(keys.asset, F.col(event_date).alias(keys.date)).agg(
+        F.sum(value).alias("dividend_value")
+    )
     if on_missing_session == "drop":
-        moved = events.withColumnRenamed(event_date, keys.date)
-    elif on_missing_session == "next":
-        own = panel.select(*keys.pair, F.col(keys.date).alias("__session"))
-        moved = (
-            asof_join(
-                events.withColumnRenamed(event_date, keys.date),
-                own,
-                on=keys.date,
-                by=[keys.asset],
-                columns=["__session"],
-                direction="forward",
-            )
-            .where(F.col("__session").isNotNull())
-            .withColumn(keys.date, F.col("__session"))
-        )
-    else:
+        return daily
+    if on_missing_session != "next":
         raise ValueError("on_missing_session is 'drop' or 'next'")
-    return moved.groupBy(*keys.pair).agg(F.sum(value).alias("dividend_value"))
+    # Sessions and event days on one line, walked downwards; on a shared day the session is first.
+    # Both sides hold at most one row per asset and day, and each is read once.
+    line = (
+        panel.select(*keys.pair, F.col(keys.date).alias("__session"))
+        .unionByName(daily, allowMissingColumns=True)
+    )
+    w = Window.partitionBy(keys.asset).orderBy(F.col(keys.date).desc(), F.col("__session").isNull())
+    moved = line.withColumn("__session", R.forward_fill(w, F.col("__session"))).where(
+        F.col("dividend_value").isNotNull() & F.col("__session").isNotNull()
+    )
+    return moved.groupBy(keys.asset, F.col("__session").alias(keys.date)).agg(
+        F.sum("dividend_value").alias("dividend_value")
+    )
 
 
 def total_returns(

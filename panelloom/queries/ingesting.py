@@ -138,7 +138,7 @@ SELECT date, CASE WHEN year(date) <= 1998 THEN macro_a ELSE macro_b END AS value
     ),
 )
 def src7(spark, sf):
-    daily = roles.macro_daily(spark, sf)
+    daily = tables.materialise(roles.macro_daily(spark, sf), "daily")
     first = daily.where(F.year("date") <= 1998).select("date", F.col("macro_a").alias("value"))
     second = daily.select("date", F.col("macro_b").alias("value"))
     return files.union_dedupe([first, second], ["date"], ["value"])
@@ -206,7 +206,7 @@ def src11(spark, sf):
     ),
 )
 def src12(spark, sf):
-    daily = roles.macro_daily(spark, sf)
+    daily = tables.materialise(roles.macro_daily(spark, sf), "daily")
     old = daily.where(F.year("date") <= 2000).select("date", F.col("macro_a").alias("value"))
     new = daily.where(F.year("date") >= 1999).select("date", F.col("macro_b").alias("value"))
     return files.extend_series(old, new)

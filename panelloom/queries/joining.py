@@ -57,7 +57,7 @@ LEFT JOIN macro_monthly d ON d.month = date_trunc('month', p.date) - INTERVAL 2
 )
 def jn4(spark, sf):
     rules = {"macro_c": "mid_month", "macro_d": "always_two"}
-    df = joins.lagged_month_join(roles.panel(spark, sf), roles.macro_monthly(spark, sf), rules)
+    df = joins.lagged_month_join(roles.written_panel(spark, sf), roles.macro_monthly(spark, sf), rules)
     return df.select("asset", "date", "macro_c", "macro_d")
 
 
@@ -75,7 +75,7 @@ GROUP BY 1, 2""",
     ),
 )
 def jn5(spark, sf):
-    panel, events = roles.panel(spark, sf), roles.dividends(spark, sf)
+    panel, events = roles.written_panel(spark, sf), roles.dividends(spark, sf)
     df = joins.trailing_months_agg(
         panel.select("asset", "date"),
         events,
@@ -97,7 +97,7 @@ def jn5(spark, sf):
 )
 def jn6(spark, sf):
     series = roles.macro_daily(spark, sf).withColumn("macro_date", F.col("date"))
-    out = joins.asof_join(roles.panel(spark, sf), series, "date", columns=["macro_a", "macro_date"])
+    out = joins.asof_join(roles.written_panel(spark, sf), series, "date", columns=["macro_a", "macro_date"])
     return out.select("asset", "date", "macro_a", "macro_date")
 
 
@@ -113,7 +113,7 @@ def jn6_forward(spark, sf):
         "asset", F.col("ex_date").alias("date"), F.col("ex_date").alias("next_ex_date"), F.col("value").alias("next_value")
     )
     out = joins.asof_join(
-        roles.panel(spark, sf), events, "date", by=["asset"], columns=["next_ex_date", "next_value"], direction="forward"
+        roles.written_panel(spark, sf), events, "date", by=["asset"], columns=["next_ex_date", "next_value"], direction="forward"
     )
     return out.select("asset", "date", "next_ex_date", "next_value")
 
@@ -127,7 +127,7 @@ SELECT p.asset, p.date, (SELECT min(q.date) FROM panel q WHERE q.date > p.date)
     ),
 )
 def jn7(spark, sf):
-    return cal.next_session(roles.panel(spark, sf)).select("asset", "date", "execution_date")
+    return cal.next_session(roles.written_panel(spark, sf)).select("asset", "date", "execution_date")
 
 
 @query(
@@ -160,7 +160,7 @@ def jn9(spark, sf):
 
 def _versions(spark, sf):
     """The panel, and a second version of it in which some values changed or went missing."""
-    a = roles.panel(spark, sf)
+    a = roles.written_panel(spark, sf)
     volume = F.col("volume")
     b = a.select(
         "asset",

@@ -61,8 +61,10 @@ def dq2(spark, sf):
     ),
 )
 def dq3(spark, sf):
-    panel = roles.panel(spark, sf)
-    paid = roles.dividends(spark, sf).select("asset", F.col("ex_date").alias("date"), "value")
+    panel = roles.written_panel(spark, sf)
+    paid = materialise(
+        roles.dividends(spark, sf).select("asset", F.col("ex_date").alias("date"), "value"), "dividends"
+    )
     return Q.stack(
         [
             Q.row_count_preserved(panel, panel.join(paid, ["asset", "date"], how), f"{how}_join")

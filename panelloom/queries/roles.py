@@ -61,6 +61,11 @@ def panel(spark, sf) -> DataFrame:
     return panel_of(price_cells(spark, sf))
 
 
+def written_panel(spark, sf) -> DataFrame:
+    """The panel as a written table, for queries that read it more than once."""
+    return panel_of(prices(spark, sf))
+
+
 def bench_of(cells: DataFrame) -> DataFrame:
     return cells.groupBy("date").agg((F.sum("cents") / (F.sum("volume") * 100.0)).alias("close"))
 

@@ -211,7 +211,7 @@ def st3(spark, sf):
     return profiles.head_per_group(dates, ["y"], [F.col("date")], 3)
 
 
-@query("st4_seeded_sample")
+@query("st4_seeded_sample", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5('42|' || o_orderkey), o_orderkey LIMIT 100")
 def st4(spark, sf):
     orders = roles.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     return profiles.seeded_sample(orders, 100, 42, ["o_orderkey"])
