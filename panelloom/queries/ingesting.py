@@ -178,7 +178,9 @@ def src9(spark, sf):
 
 @query(
     "src9_unescaped_titles",
-    "SELECT page_id, replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&amp;', '&') AS title FROM pages",
+    # The references that titles hold; one cut off before its semicolon is decoded too.
+    """SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1),
+       '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS title FROM pages""",
 )
 def src9_titles(spark, sf):
     raw = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
