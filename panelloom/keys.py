@@ -27,9 +27,6 @@ class PanelKeys:
     def history(self) -> WindowSpec:
         return Window.partitionBy(self.asset).orderBy(self.date)
 
-    def cross_section(self) -> WindowSpec:
-        return Window.partitionBy(self.date)
-
 
 KEYS = PanelKeys()
 

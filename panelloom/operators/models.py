@@ -87,15 +87,21 @@ def fit_forest(train: DataFrame, features: Sequence[str], label: str = "label",
 
 
 def fit_boosted(
-    train: DataFrame, features: Sequence[str], label: str = "label", validation: Column | None = None, **params
+    train: DataFrame,
+    features: Sequence[str],
+    label: str = "label",
+    validation: Column | None = None,
+    settings: dict = BOOSTED,
+    **params,
 ) -> PipelineModel:
-    """Gradient-boosted trees; `validation` marks the tail of train used for early stopping."""
+    """Gradient-boosted trees under BOOSTED or TUNED settings, single ones replaced by `params`;
+    `validation` marks the tail of train used for early stopping."""
     ready = _prepare(train.where(F.col(label).isNotNull()), features, label)
     extra = {}
     if validation is not None:
         ready = ready.withColumn("__validation", validation)
         extra = {"validationIndicatorCol": "__validation"}
-    model = GBTClassifier(featuresCol="__features", labelCol="__label", **{**BOOSTED, **params}, **extra)
+    model = GBTClassifier(featuresCol="__features", labelCol="__label", **{**settings, **params}, **extra)
     return Pipeline(stages=[*_stages(features, scale=False), model]).fit(ready)
 
 
@@ -245,9 +251,11 @@ def walk_forward(
 ) -> DataFrame:
     """Scores every planned signal date with the model of its schedule row, then ranks.
 
-    `plan` is (signal_date, model_id, purged_end). One fit per schedule row, not per date; the
-    schedule is the short list the caller wrote, so its rows may come to the driver.
+    `plan` is (signal_date, model_id, purged_end), best a written table. Dates up to the end of
+    their model's training are not out of sample and are left out. One fit per schedule row, not
+    per date; the schedule is the short list the caller wrote, so its rows may come to the driver.
     """
+    plan = plan.where(F.col("purged_end") < F.col("signal_date"))
     models = plan.select("model_id", "purged_end").distinct().orderBy("model_id").collect()
     out = None
     for row in models:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.aggregates import count_where, null_count
+from panelloom.operators.joins import compare_tables
 from panelloom.operators.profiles import corr_with_target
 
 
@@ -64,12 +65,12 @@ def rules(df: DataFrame, check: str, offences: dict[str, Column]) -> DataFrame:
 
 def unchanged(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Values that differ (null-safe) between two versions on shared keys."""
-    left = a.select(*keys, *[F.col(c).alias(f"__a_{c}") for c in columns])
-    right = b.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in columns])
-    counts = left.join(right, list(keys)).agg(
-        *[F.count_if(~F.col(f"__a_{c}").eqNullSafe(F.col(f"__b_{c}"))).alias(c) for c in columns]
+    return compare_tables(a, b, keys, columns).select(
+        F.lit("unchanged").alias("check"),
+        F.col("column").alias("key"),
+        F.col("differing").cast("double").alias("value"),
+        (F.col("differing") == 0).alias("passed"),
     )
-    return _report("unchanged", counts, list(columns))
 
 
 def leaking_correlation(df: DataFrame, columns: Sequence[str], target: Column, limit: float = 0.95) -> DataFrame:

@@ -154,7 +154,7 @@ def _boot_sql(model: str, seed: int = 42) -> str:
     """Pooled AUC per draw over the folds of `scored_folds`, by summing fold-pair statistics."""
     slot = _SLOT.format(seed=seed)
     return f"""
-picks AS (SELECT draw, f, count(*) AS times FROM (SELECT d.draw, {slot} AS f FROM range(200) d(draw), range({_N_FOLDS}) s(slot)) GROUP BY 1, 2),
+picks AS (SELECT draw, f, count(*) AS times FROM (SELECT d.draw, {slot} AS f FROM range(1000) d(draw), range({_N_FOLDS}) s(slot)) GROUP BY 1, 2),
 score_{model} AS (SELECT fold, {model} AS prob, count(*) FILTER (label) AS pos, count(*) FILTER (NOT label) AS neg FROM sf GROUP BY 1, 2),
 pair_{model} AS (SELECT a.fold AS pf, b.fold AS nf, sum(CAST(a.pos * b.neg AS DOUBLE) * CASE WHEN a.prob > b.prob THEN 1 WHEN a.prob = b.prob THEN 0.5 ELSE 0 END) AS u,
              sum(CAST(a.pos * b.neg AS DOUBLE)) AS pn FROM score_{model} a, score_{model} b GROUP BY 1, 2),
@@ -171,7 +171,7 @@ def _fold_scores(spark, sf):
     return roles.scored_orders(spark, sf).select(fold, "prob", other, "label")
 
 
-def _boot(df, prob: str, draws: int = 200):
+def _boot(df, prob: str, draws: int = 1000):
     return M.bootstrap_auc(M.fold_pair_statistics(df, "fold", _N_FOLDS, prob=prob), _N_FOLDS, draws)
 
 

@@ -11,6 +11,7 @@ from panelloom.operators import explain as E
 from panelloom.operators import metrics as M
 from panelloom.operators import models as ml
 from panelloom.operators import splits
+from panelloom.operators.profiles import union_labelled
 from panelloom.queries import roles
 from panelloom.queries.joining import schedule
 from panelloom.queries.measuring import auc_sql
@@ -59,8 +60,11 @@ def ml3(spark, sf):
 def ml4(spark, sf):
     part = _split(spark, sf)
     tail = F.col("date") > "1998-06-30"
-    model = ml.fit_boosted(part["train"], FEATURES, validation=tail)
-    return ml.evaluate(ml.score(model, part["test"].drop("prob"), FEATURES), ["asset"])
+    reports = {}
+    for name, values in (("baseline", ml.BOOSTED), ("tuned", ml.TUNED)):
+        model = ml.fit_boosted(part["train"], FEATURES, validation=tail, settings=values)
+        reports[name] = ml.evaluate(ml.score(model, part["test"].drop("prob"), FEATURES), ["asset"])
+    return union_labelled(reports, "settings")
 
 
 @query("ml5_temporal_search")
@@ -139,8 +143,7 @@ def ml7(spark, sf):
     frame = materialise(roles.features_frame(market), "features").drop("prob")
     calendar = materialise(cal.sessions(market.returns), "sessions")
     dates = cal.every_nth_session(calendar, 7).select(F.col("date").alias("signal_date"))
-    quarters = schedule(spark).where("year(valid_until) = 1998")
-    plan = splits.retrain_plan(dates.where("year(signal_date) = 1998"), calendar, quarters, 7)
+    plan = materialise(splits.retrain_plan(dates, calendar, schedule(spark), 7), "plan")
     ranked = ml.walk_forward(frame, plan, FEATURES, partial(ml.fit_logistic, maxIter=20))
     return ranked.select("signal_date", "asset", "prob", "rank", "label", "model_id", "trained_to")
 

@@ -9,6 +9,7 @@ from panelloom.operators import calendar as cal
 from panelloom.operators import joins, profiles
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
+from panelloom.sources.tables import materialise
 
 
 @query("prj1_select_alias", "SELECT o_orderkey AS order_id, o_custkey AS customer_id, o_totalprice AS price FROM orders")
@@ -253,14 +254,15 @@ def se1(spark, sf):
     sql(
         "pred",
         """
-SELECT CASE WHEN year(signal_date) = 1998 THEN 'fold_1998' ELSE 'fold_1999' END AS source, signal_date, asset, prob
-FROM pred WHERE year(signal_date) IN (1998, 1999)""",
+SELECT 'fold_' || year(signal_date) AS source, signal_date, asset, prob FROM pred""",
     ),
 )
 def se2(spark, sf):
-    preds = roles.predictions(roles.market(spark, sf)).select("signal_date", "asset", "prob")
+    preds = materialise(
+        roles.predictions(roles.market(spark, sf)).select("signal_date", "asset", "prob"), "predictions"
+    )
     return profiles.union_labelled(
-        {f"fold_{y}": preds.where(F.year("signal_date") == y) for y in (1998, 1999)}
+        {f"fold_{y}": preds.where(F.year("signal_date") == y) for y in range(1995, 2002)}
     )
 
 

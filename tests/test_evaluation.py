@@ -263,3 +263,18 @@ def test_models_learn_a_separable_rule(spark):
     for fit in (ml.fit_logistic, lambda d, f: ml.fit_forest(d, f, numTrees=5, maxDepth=3), lambda d, f: ml.fit_boosted(d, f, maxIter=3, maxDepth=2)):
         model = fit(df, ["x", "gap"])
         assert ml.evaluate(ml.score(model, df, ["x", "gap"])).first().auc > 0.99
+
+
+def test_walk_forward_scores_only_out_of_sample_dates(frame):
+    rng = random.Random(3)
+    rows = [(a, day(i), float(i % 5), rng.random() < 0.5) for i in range(60) for a in "ab"]
+    df = frame("asset string, date date, x double, label boolean", rows)
+    plan = frame(
+        "signal_date date, model_id string, purged_end date",
+        [(day(10), "m1", day(20)), (day(30), "m1", day(20)), (day(50), "m2", day(40))],
+    )
+    from functools import partial
+
+    out = ml.walk_forward(df, plan, ["x"], partial(ml.fit_logistic, maxIter=5)).collect()
+    assert {(r.signal_date, r.model_id) for r in out} == {(day(30), "m1"), (day(50), "m2")}
+    assert sorted(r["rank"] for r in out) == [1, 1, 2, 2]
