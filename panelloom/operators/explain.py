@@ -149,10 +149,10 @@ def _top_of_cells(df: DataFrame, keep: Sequence[str], k: int) -> DataFrame:
 
     Both orders are sorted inside the row, whose array is as long as the feature list.
     """
-    up = F.array_sort(
+    up = F.sort_array(
         F.transform("__cells", lambda c: F.struct((-c["contribution"]).alias("o"), c["feature"].alias("f"), c["value"].alias("v"), c["contribution"].alias("c")))
     )
-    down = F.array_sort(
+    down = F.sort_array(
         F.transform("__cells", lambda c: F.struct(c["contribution"].alias("o"), c["feature"].alias("f"), c["value"].alias("v"), c["contribution"].alias("c")))
     )
 
