@@ -278,3 +278,10 @@ def test_walk_forward_scores_only_out_of_sample_dates(frame):
     out = ml.walk_forward(df, plan, ["x"], partial(ml.fit_logistic, maxIter=5)).collect()
     assert {(r.signal_date, r.model_id) for r in out} == {(day(30), "m1"), (day(50), "m2")}
     assert sorted(r["rank"] for r in out) == [1, 1, 2, 2]
+
+
+def test_feature_vector_keeps_the_gaps(frame):
+    df = frame("asset string, x double, n int, flag boolean, label boolean", [("a", None, 2, True, False)])
+    names = ml.feature_columns(df, ["asset", "label"])
+    values = ml.assemble(df, names).first().features.toArray().tolist()
+    assert names == ["x", "n", "flag"] and math.isnan(values[0]) and values[1:] == [2.0, 1.0]
