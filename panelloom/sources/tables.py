@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -13,12 +14,12 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    Only a session without `spark.checkpoint.dir` (local tests) falls back to a temporary folder
-    of this machine; a session on a cluster without it is refused.
+    Only a session without `spark.checkpoint.dir` whose one process runs all tasks (local tests) falls
+    back to a temporary folder of this machine; any other session without it is refused.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="panelloom-")
     return f"{shared.rstrip('/')}/{label}-{uuid.uuid4().hex}"
