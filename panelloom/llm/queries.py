@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, decontaminate, sharding, simhash, token_counts, warc
+from panelloom.llm import chat, decontaminate, neighbours, packing, sharding, simhash, token_counts, warc
 from panelloom.sources.tables import scratch_dir
 
 QUERIES: dict = {}
@@ -115,3 +115,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     records = warc.read_archives(spark.read.schema(warc.BUNDLE).parquet(path))
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_embedding_groups")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_tiered_packing")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pieces.drop("ids")
