@@ -1,40 +1,69 @@
-"""The corpus pipeline: quality filter, near-duplicate removal, decontamination, packing."""
+"""The corpus pipeline: quality filter, near-duplicate removal, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import decontaminate, simhash
+from panelloom.llm import decontaminate, packing, quality_votes, simhash
 from panelloom.sources.tables import materialise
 
+LEAST_QUALITY = 0.7
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the labelled neighbours vote down go: those with a score under LEAST_QUALITY."""
+    votes = quality_votes.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_votes.keep(docs, votes, least=LEAST_QUALITY)
+
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id stays."""
+    """Of each SimHash group the row with the smallest doc_id stays, one if that id repeats.
+
+    Rows with a null doc_id go if their group has a row with an id, else they stay.
+    """
     groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies"))
+    kept = materialise(kept.withColumnRenamed("doc_id", "kept_id"), "kept")
+    repeated = kept.where("copies > 1 AND kept_id IS NOT NULL")
+    if not repeated.limit(1).count():
+        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    single = docs.join(kept.where("copies = 1 OR kept_id IS NULL"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    several = docs.join(repeated, docs["doc_id"] == repeated["kept_id"], "left_semi")
+    return single.union(several.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row")).select(*["doc_id" if c == "doc_id" else f"row.{c}" for c in docs.columns]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of benchmark text are cut out; rows that are mostly benchmark text go."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.remove_spans(docs, items).withColumn("n_chars", F.char_length("text").cast("long"))
+    """Words in windows of benchmark items are cut out, and rows that are mostly such words go; n_chars follows."""
+    clean = decontaminate.remove_spans(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining texts in sequences of several lengths, without their ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("simhash", near_duplicates),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("packing", packed),
 ]
 
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each stage's rows written to the shared folder for the next."""
+    """All stages over documents; what a stage returns is written to the shared folder for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if not at else materialise(docs, f"stage-{at}"), sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, decontaminate, neighbours, packing, sharding, simhash, token_counts, warc
+from panelloom.llm import chat, decontaminate, html_text, neighbours, packing, quality_votes, sharding, simhash, token_counts, warc
 from panelloom.sources.tables import scratch_dir
 
 QUERIES: dict = {}
@@ -126,3 +126,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
     return pieces.drop("ids")
+
+
+@query("op8_main_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op9_quality_votes")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_votes.score(docs, quality_votes.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality_votes.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
