@@ -159,17 +159,17 @@ def _distance(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     return max(len(a), len(b)) - same
 
 
-def main_text(page: str, share: float = 0.25, most_linked: float = 0.6, width: float = 1.0) -> str:
+def main_text(page: str, share: float = 0.25, most_linked: float = 0.6, width: float = 0.5) -> str:
     """Text of the article of a page: its blocks in order, one line each; empty if there is none.
 
-    share: what a path's score must reach of the best. A path whose text lies in links for more than
-    most_linked has no score. If the page marks an article, paths in it count in full and others don't.
+    share: what a path's score must reach of the best. A path whose text lies in links for more than most_linked
+    has no score. If the page marks an article, only paths in it count and all with a score are chosen. Else those
+    over the share are, with all others in the element, below the body, that holds the best path's blocks,
+    and headings right before a chosen block.
     """
     found = blocks(page)
-    if any(b.article for b in found):
-        inside = [b for b in found if b.article]
-    else:
-        inside = found
+    marked = any(b.article for b in found)
+    inside = [b for b in found if b.article or not marked]
     sums: dict[tuple[str, ...], list[float]] = {}
     for b in inside:
         s = sums.setdefault(b.path, [0, 0, 0, 0])
@@ -178,16 +178,23 @@ def main_text(page: str, share: float = 0.25, most_linked: float = 0.6, width: f
     if not sums:
         return ""
     paths = list(sums)
-    ratios = {p: (s[0] / s[3], (1 + s[1]) / s[3] if s[3] else 0) for p, s in sums.items()}
     score = {}
     for p in paths:
         near = [(math.exp(-((_distance(p, q) / width) ** 2) / 2) * sums[q][3], q) for q in paths]
         total = sum(w for w, _ in near)
-        length, marks = (sum(w * ratios[q][i] for w, q in near) / total for i in (0, 1))
+        length = sum(w * sums[q][0] / sums[q][3] for w, q in near) / total
+        marks = sum(w * (1 + sums[q][1] / sums[q][3]) for w, q in near) / total
         score[p] = 0.0 if sums[p][0] < (1 - most_linked) * sums[p][2] else length * marks
-    least = share * max(score.values())
-    chosen = {p for p in paths if score[p] > 0 and (score[p] >= least or inside[0].article)}
-    return "\n".join(b.text for b in inside if b.path in chosen)
+    best = max(paths, key=score.__getitem__)
+    around = best[:-1] if len(best) > 1 and not best[-2].startswith(("html.", "body.")) else None
+    chosen = {p for p in paths if score[p] > 0 and (marked or score[p] >= share * score[best] or around and p[: len(around)] == around)}
+    out: list[str] = []
+    after = False
+    for b in reversed(inside):
+        if b.path in chosen or b.heading and after:
+            out.append(b.text)
+        after = b.path in chosen or b.heading and after
+    return "\n".join(reversed(out))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
