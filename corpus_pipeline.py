@@ -27,17 +27,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group the row with the smallest doc_id stays, one if that id repeats.
 
-    Rows with a null doc_id go if their group has a row with an id, else they stay.
+    A row without an id goes by a number from its text that is larger than any id.
     """
-    groups = simhash.near_duplicates(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies"))
+    key = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
+    groups = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
+    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
     kept = materialise(kept.withColumnRenamed("doc_id", "kept_id"), "kept")
-    repeated = kept.where("copies > 1 AND kept_id IS NOT NULL")
+    repeated = kept.where("copies > 1")
     if not repeated.limit(1).count():
-        return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    single = docs.join(kept.where("copies = 1 OR kept_id IS NULL"), docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    several = docs.join(repeated, docs["doc_id"] == repeated["kept_id"], "left_semi")
-    return single.union(several.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("row")).select(*["doc_id" if c == "doc_id" else f"row.{c}" for c in docs.columns]))
+        return docs.join(kept, key == kept["kept_id"], "left_semi")
+    single = docs.join(kept.where("copies = 1"), key == kept["kept_id"], "left_semi")
+    several = docs.join(repeated, key == repeated["kept_id"]).groupBy("kept_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.union(several.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,8 @@ UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 def record(key: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, date: str) -> bytes:
     """One WARC record; a revisit has no payload."""
     lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{RECORD}{'' if key is None else key}>", f"WARC-Date: {date}"]
-    lines += [f"WARC-Target-URI: {UNSAFE.sub(lambda m: f'%{ord(m[0]):02X}', url)}"] * (url is not None)
+    if url is not None:
+        lines.append(f"WARC-Target-URI: {UNSAFE.sub(lambda m: f'%{ord(m[0]):02X}', url)}")
     lines += [f"WARC-Payload-Digest: sha1:{digest}"]
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     if refers_to is not None:
