@@ -9,7 +9,9 @@ The table answers where to cut a text for a budget of tokens, and what a cut cos
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from operator import add, sub
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-MOST_CACHED = 500_000
+PART, WHOLE = 1, 2
+MOST_CACHED = 800_000
 SHORT = 64
+#: characters of texts that are counted together; their new chunks share the table of common prefixes
+TOGETHER = 8_000_000
 
 
 class PrefixCounter:
@@ -36,67 +41,90 @@ class PrefixCounter:
         alone = {c for p in self.score if len(p) > 1 for c in p}
         breaks = "".join(re.escape(c) for c in "\n\t" if c not in alone)  # and none crosses these
         self.chunk = re.compile(f"{SPACE}+[^{SPACE}{breaks}]*|[^{SPACE}{breaks}]+" + (f"|[{breaks}]" if breaks else ""))
-        self.longest = max(map(len, self.score))
-        self.whole = {p: len(p) == 1 or self._merge(p) == [p] for p in self.score}
+        # tokens by their text: WHOLE for tokens, PART for what is only the end of one
+        self.kind: dict[str, int] = {}
+        for piece in self.score:
+            if len(piece) == 1 or self._merge(piece) == [piece]:
+                for i in range(len(piece)):
+                    self.kind.setdefault(piece[i:], PART)
+                self.kind[piece] = WHOLE
         self.fits: dict[tuple[str, str], bool] = {}
-        self.cache: dict[str, tuple[int, bytes]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def _merge(self, text: str) -> list[str]:
         """The encoding of a short text: the pair that makes the best piece is merged first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.score.get(parts[i] + parts[i + 1], -np.inf), -i))
-            if parts[best] + parts[best + 1] not in self.score:
-                break
-            parts[best : best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        parts, score = list(text), self.score.get
+        while True:
+            best, at = -np.inf, -1
+            for i, pair in enumerate(map(add, parts, parts[1:])):
+                if (now := score(pair)) is not None and now > best:
+                    best, at = now, i
+            if at < 0:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _fit(self, left: str, right: str) -> bool:
-        found = self.fits.get((left, right))
-        if found is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
-            found = self.fits[left, right] = self._merge(left + right) == [left, right]
+        if len(self.fits) > MOST_CACHED:
+            self.fits.clear()
+        found = self.fits[left, right] = self._merge(left + right) == [left, right]
         return found
 
-    def _chunk(self, text: str) -> tuple[int, bytes]:
-        """Tokens of a chunk, and as int16 the growth of the count with each character."""
-        whole, fit, longest = self.whole, self._fit, self.longest
-        last, counts = [""], [0]
-        for end in range(1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                token = text[start:end]
-                if whole.get(token):
-                    before = last[start]
-                    if not before or fit(before, token):
-                        last.append(token)
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """Per chunk, as int16, the growth of its count with each character.
+
+        In sorted order a chunk goes on from the table of the prefix that it shares with the one before.
+        """
+        kind, known, fit, score = self.kind.get, self.fits.get, self._fit, self.score
+        out, before, last, counts = {}, "", [""], [0]
+        for chunk in sorted(chunks):
+            same = 0
+            for x, y in zip(before, chunk):
+                if x != y:
+                    break
+                same += 1
+            del last[same + 1 :], counts[same + 1 :]
+            for end in range(same + 1, len(chunk) + 1):
+                start, starts = end - 1, []
+                while start >= 0 and (found := kind(chunk[start:end])):
+                    if found == WHOLE:
+                        starts.append(start)
+                    start -= 1
+                for start in reversed(starts):
+                    pair = last[start], chunk[start:end]
+                    if not start or (ok if (ok := known(pair)) is not None else fit(*pair)):
+                        last.append(pair[1])
                         counts.append(counts[start] + 1)
                         break
-            else:  # a character of its own, in bytes unless the model has it
-                token = text[end - 1]
-                last.append(token)
-                counts.append(counts[-1] + (1 if token in self.score else len(token.encode())))
-        return counts[-1], np.diff(np.array(counts, np.int64)).astype(np.int16).tobytes()
+                else:  # a character of its own, in bytes unless the model has it
+                    token = chunk[end - 1]
+                    last.append(token)
+                    counts.append(counts[-1] + (1 if token in score else len(token.encode())))
+            before = chunk
+            out[chunk] = array("h", map(sub, counts[1:], counts)).tobytes()
+        return out
+
+    def growths(self, texts: list[str]) -> list[bytes]:
+        """Per text, as int16 per character, by how much it changes the count of the prefix before it."""
+        split = [self.chunk.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        if len(self.cache) > MOST_CACHED:
+            self.cache.clear()
+        cache = self.cache
+        new = {c for chunks in split for c in chunks if c not in cache}
+        cache.update(self._learn(list(new)))
+        out = []
+        for chunks in split:
+            steps = b"".join(map(cache.__getitem__, chunks))
+            # the mark before the first character counts with it
+            out.append(np.frombuffer(steps[:4], np.int16).sum(dtype=np.int16).tobytes() + steps[4:] if steps else b"")
+        for chunk in new:
+            if len(chunk) > SHORT:
+                del cache[chunk]
+        return out
 
     def growth(self, text: str) -> tuple[int, bytes]:
-        """Tokens of a text, and as int16 per character by how much it changes the count of the prefix before it."""
-        if not text:
-            return 0, b""
-        total, out, cache = 0, [], self.cache
-        for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
-            got = cache.get(chunk)
-            if got is None:
-                got = self._chunk(chunk)
-                if len(chunk) <= SHORT:
-                    if len(cache) >= MOST_CACHED:
-                        cache.clear()
-                    cache[chunk] = got
-            total += got[0]
-            out.append(got[1])
-        steps = b"".join(out)
-        # the mark before the first character counts with it
-        first = np.frombuffer(steps[:4], np.int16).sum(dtype=np.int16)
-        return total, first.tobytes() + steps[4:]
+        """Tokens of a text, and its table."""
+        (steps,) = self.growths([text])
+        return tokens_at(steps, len(text)), steps
 
 
 def counts(growth: bytes) -> np.ndarray:
@@ -131,14 +159,20 @@ def prefix_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
             _counters[model_file] = PrefixCounter(model_file)
         counter = _counters[model_file]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 500):  # small batches: growth is twice as long as a text
-                part = [t or "" for t in texts[at : at + 500]]
-                found = [counter.growth(t) for t in part]
+            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            at = 0
+            while at < len(texts):
+                end, size = at, 0
+                while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+                    size += len(texts[end])
+                    end += 1
+                part = texts[at:end]
+                found = counter.growths(part)
+                totals = [tokens_at(g, len(t)) for g, t in zip(found, part)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, 500), pa.array([len(t.encode()) for t in part], pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([g for _, g in found], pa.binary())],
-                    ["doc_id", "n_bytes", "n_tokens", "growth"],
+                    [pa.array(keys[at:end], pa.int64()), pa.array([len(t.encode()) for t in part], pa.int64()), pa.array(totals, pa.int64()), pa.array(found, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "growth"]
                 )
+                at = end
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return given.mapInArrow(each, "doc_id long, n_bytes long, n_tokens long, growth binary")
