@@ -5,10 +5,10 @@ The default is the whole span; `min_periods=1` accepts partial spans at the star
 
 Two rules keep a wide set of features cheap. Spark evaluates every window expression it is given,
 equal ones too, so the span operators ask a `Frames` object for window values and each distinct
-value is computed once per pass. And Spark re-aggregates a sliding frame for every row, so sums
-and counts are taken as the difference of two frames that only grow: one step per row for any
-span. Spreads, slopes and extremes keep the sliding frame; their difference form would lose
-digits or does not exist.
+value is computed once per pass. And Spark re-aggregates a sliding frame for every row, so counts
+are taken as the difference of two frames that only grow: one step per row for any span. Sums,
+spreads, slopes and extremes keep the sliding frame: a difference would lose digits, and a NaN or
+a very large value would stay in it for the rest of the series.
 """
 
 from __future__ import annotations
@@ -56,10 +56,7 @@ class Frames:
 
     def sum(self, value: Column, first: int, last: int) -> Column:
         """Sum of the known values on rows first..last; 0 without any."""
-        zero = F.lit(0.0)
-        return F.coalesce(self.rows(F.sum(value), _FIRST, last), zero) - F.coalesce(
-            self.rows(F.sum(value), _FIRST, first - 1), zero
-        )
+        return F.coalesce(self.rows(F.sum(value), first, last), F.lit(0.0))
 
     def select(self, df: DataFrame, *columns: Column) -> DataFrame:
         """All columns of df plus the given ones."""
@@ -149,7 +146,6 @@ def rsi_from_moves(
     first = 1 - n
     up, down = fr.sum(gain, first, 0), fr.sum(loss, first, 0)
     index = F.lit(100.0) - F.lit(100.0) / (F.lit(1.0) + up / F.nullif(down, F.lit(0.0)))
-    # Whether there was any loss is a count, which the difference of sums cannot blur.
     fell = fr.count(F.when(loss > 0, 1), first, 0) > 0
     known = fr.count(gain, first, 0)
     return F.when(
@@ -175,15 +171,9 @@ def trailing_days_count(fr: Frames, value: Column, days: int) -> Column:
 def trailing_days_sum(fr: Frames, value: Column, days: int) -> Column:
     """Sum of the values on the `days` calendar days before today (order = day number).
 
-    Exactly zero when none of them is non-zero, and NULL when the span has no row at all.
+    NULL when the span has no known value.
     """
-    hits = trailing_days_count(fr, F.nullif(value, F.lit(0.0)), days)
-    total = fr.days(F.sum(value), _FIRST, -1) - F.coalesce(
-        fr.days(F.sum(value), _FIRST, -days - 1), F.lit(0.0)
-    )
-    return F.when(
-        trailing_days_count(fr, value, days) > 0, F.when(hits > 0, total).otherwise(F.lit(0.0))
-    )
+    return fr.days(F.sum(value), -days, -1)
 
 
 # Single window expressions, over a plain window.

@@ -34,6 +34,19 @@ def null_if_nonfinite(value: Column) -> Column:
     return F.when(F.isnan(value) | (F.abs(value) == limit), None).otherwise(value)
 
 
+def known_score(score: Column) -> Column:
+    """A score as it is ranked: NaN is unknown, like NULL."""
+    value = score.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def best_first(score: Column, asset: Column) -> Column:
+    """The one order of scores, for ascending sorts and `min_by`: the highest first, ties by the smaller
+    asset, unknown scores last."""
+    value = known_score(score)
+    return F.struct(value.isNull(), -value, asset)
+
+
 def parse_date_multi(text: Column, formats: Sequence[str]) -> Column:
     """First format that parses; NULL when none does."""
     return F.coalesce(*[F.try_to_timestamp(F.trim(text), F.lit(f)).cast("date") for f in formats])

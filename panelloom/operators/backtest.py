@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions import rolling as R
-from panelloom.functions.scalars import hash_order, safe_div
+from panelloom.functions.scalars import best_first, hash_order, known_score, safe_div
 from panelloom.operators.joins import range_compound
 
 PERIODS_PER_YEAR = 365.25 / 7
@@ -23,20 +23,22 @@ def weights(periods: DataFrame, threshold: float = 0.55, seed: int = 42) -> Data
 
     `periods` has signal_date, asset, prob. top1, top2 (equal halves), threshold (equal among
     scores at or above it, else all cash), equal_weight, random (one asset, chosen by the hash
-    of seed, date and asset). The facts of a date are one aggregate (map-side combined) joined
-    back, and the strategies are rows exploded from a literal: no sort of a whole date.
+    of seed, date and asset). Unknown scores are never picked by score: without a known one top1
+    stays in cash. The facts of a date are one aggregate (map-side combined) joined back, and the
+    strategies are rows exploded from a literal: no sort of a whole date.
     """
-    order = F.struct(-F.col("prob"), F.col("asset"))
-    w = Window.partitionBy("signal_date").orderBy(F.col("prob").desc_nulls_last(), "asset")
+    periods = periods.withColumn("prob", known_score(F.col("prob")))
+    order = best_first(F.col("prob"), F.col("asset"))
+    w = Window.partitionBy("signal_date").orderBy(order)
     second = (
         periods.select("signal_date", "asset", "prob")
         .withColumn("__rn", F.row_number().over(w))
         .where("__rn <= 2")
         .groupBy("signal_date")
-        .agg(F.max(F.when(F.col("__rn") == 2, F.col("asset"))).alias("__second"))
+        .agg(F.max(F.when((F.col("__rn") == 2) & F.col("prob").isNotNull(), F.col("asset"))).alias("__second"))
     )
     facts = periods.groupBy("signal_date").agg(
-        F.min_by("asset", order).alias("__first"),
+        F.min_by(F.when(F.col("prob").isNotNull(), F.col("asset")), order).alias("__first"),
         F.count_if(F.col("prob") >= threshold).alias("__selected"),
         F.count(F.lit(1)).alias("__assets"),
         F.min_by("asset", hash_order(seed, F.col("signal_date"), F.col("asset"))).alias("__random"),
@@ -67,13 +69,15 @@ def hysteresis(periods: DataFrame, delta: float) -> DataFrame:
     than `delta`.
 
     The state is sequential, but only along a chain of switch dates. Every date has one
-    candidate (its best score); a window per asset finds the first later date on which that
+    candidate (its best known score; an unknown score of the held asset gives nothing up, and on a
+    date without known scores the holding stays); a window per asset finds the first later date on which that
     candidate would be given up, which makes one pointer per date. The chain of pointers is then
     followed from the first date over a list with one small entry per rebalance date.
     """
-    order = F.struct(-F.col("prob"), F.col("asset"))
+    periods = periods.withColumn("prob", known_score(F.col("prob")))
+    candidate = F.when(F.col("prob").isNotNull(), F.struct("asset", "prob"))
     best = periods.groupBy("signal_date").agg(
-        F.min_by(F.struct("asset", "prob"), order).alias("__b")
+        F.min_by(candidate, best_first(F.col("prob"), F.col("asset"))).alias("__b")
     ).select("signal_date", F.col("__b.asset").alias("best_asset"), F.col("__b.prob").alias("best_prob"))
     # Dates walked downwards: a growing frame over the later dates, one step per row.
     later = (
@@ -108,7 +112,9 @@ def hysteresis(periods: DataFrame, delta: float) -> DataFrame:
     switches = steps.select(F.explode(chain).alias("signal_date")).withColumn("switched", F.lit(True))
     w = Window.orderBy("signal_date")
     return (
-        pointers.join(switches, "signal_date", "left")
+        best.select("signal_date")
+        .join(pointers, "signal_date", "left")
+        .join(switches, "signal_date", "left")
         .withColumn("held_asset", R.forward_fill(w, F.when(F.col("switched"), F.col("best_asset"))))
         .select("signal_date", "held_asset", F.coalesce("switched", F.lit(False)).alias("switched"))
     )

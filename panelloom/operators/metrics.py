@@ -1,8 +1,9 @@
 """Classification metrics over (label, prob, keys), one aggregate per group.
 
-`label` is a boolean column, `prob` a score in [0, 1]. Rank statistics never sort a whole group
-in one task: scores are first counted per distinct value (map-side), and the ranks are summed
-over three nested score bands, each of which holds a bounded number of rows.
+`label` is a boolean column, `prob` a score; NULL and NaN are unknown and left out. Rank statistics
+never sort a whole group in one task: scores are first counted per distinct value (map-side), and
+the ranks are summed over two nested levels of score bands. The bands are cut at quantiles of the
+distinct scores, so each holds about as many of them however the scores crowd.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.aggregates import count_where
-from panelloom.functions.scalars import band, hash_slot, safe_div
+from panelloom.functions.scalars import band, hash_slot, known_score, safe_div
 
-# Width of the nested score bands: 2**10 outer bands with 2**10 inner bands each.
-BAND = 1024
+# Score bands per level: OUTER bands with INNER bands each.
+OUTER, INNER = 32, 32
 
 
 def classify(prob: Column, threshold: float = 0.5) -> Column:
@@ -55,26 +56,31 @@ def _report_columns() -> list[Column]:
     ]
 
 
-def _score_counts(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
-    """(keys, score, pos, neg) and the outer and inner band of each distinct score.
+def _known(df: DataFrame, label: str, prob: str) -> DataFrame:
+    return df.where(F.col(label).isNotNull() & known_score(F.col(prob)).isNotNull())
 
-    The filter on the band itself is what a later join on it would infer; stated here, all
-    branches that read the counts have the same plan and share one shuffle.
-    """
-    known = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull())
-    counts = known.groupBy(*keys, F.col(prob).cast("double").alias("score")).agg(
+
+def _score_counts(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
+    """(keys, score, pos, neg) and the outer and inner band of each distinct score."""
+    counts = _known(df, label, prob).groupBy(*keys, F.col(prob).cast("double").alias("score")).agg(
         F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
-    return _banded(counts).where(F.col("outer").isNotNull())
+    return _banded(counts)
 
 
 def _banded(counts: DataFrame) -> DataFrame:
-    return counts.withColumns(
-        {
-            "outer": F.floor(F.col("score") * BAND),
-            "inner": F.floor(F.col("score") * (BAND * BAND)),
-        }
-    )
+    """Adds the bands: how many cuts lie at or below the score, first among the OUTER cuts, then among
+    the INNER ones inside that band. Any cuts give the same statistics; these give even bands."""
+    n = OUTER * INNER
+    cuts = counts.agg(F.percentile_approx("score", [i / n for i in range(1, n)], 10_000)).scalar()
+
+    def upto(found: Column) -> Column:
+        return F.size(F.filter(found, lambda cut: cut <= F.col("score")))
+
+    staged = counts.withColumn("__cuts", cuts)
+    outer_cuts = F.filter("__cuts", lambda _, i: (i + 1) % INNER == 0)
+    inner = upto(F.slice("__cuts", F.col("outer") * INNER + 1, F.lit(INNER)))
+    return staged.withColumn("outer", upto(outer_cuts)).withColumn("inner", F.col("outer") * (INNER + 1) + inner).drop("__cuts")
 
 
 def _u_statistic(counts: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
@@ -83,7 +89,7 @@ def _u_statistic(counts: DataFrame, keys: Sequence[str], carry: Sequence[str] =
 
     u of a group is the sum of u inside its bands plus, for every band, its positives times the
     negatives of the bands below. Applied from the inside out, each window holds the distinct
-    scores of one inner band, then at most 1024 inner bands, then at most 1025 outer bands.
+    scores of one inner band, then the inner bands of one outer band, then the outer bands.
     """
     sums = [F.sum(c).alias(c) for c in ("pos", "neg", "u", *carry)]
     level = counts.withColumn("u", F.col("pos") * F.col("neg") * 0.5)
@@ -115,30 +121,30 @@ def roc_auc(
 def _curve(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
     """Per distinct score: own counts, counts at or above it, and the group's totals.
 
-    Counts above a score = counts of the higher outer bands + inside its own outer band.
+    Counts above a score = counts of the higher bands + inside its own inner band.
     """
     counts = _score_counts(df, keys, label, prob)
-    bands = counts.groupBy(*keys, "outer").agg(F.sum("pos").alias("band_pos"), F.sum("neg").alias("band_neg"))
+    bands = counts.groupBy(*keys, "inner").agg(F.sum("pos").alias("band_pos"), F.sum("neg").alias("band_neg"))
     whole = Window.partitionBy(*keys)
-    higher = whole.orderBy(F.col("outer").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    higher = whole.orderBy(F.col("inner").desc()).rowsBetween(Window.unboundedPreceding, -1)
     offsets = bands.select(
         *keys,
-        "outer",
+        "inner",
         F.coalesce(F.sum("band_pos").over(higher), F.lit(0)).alias("pos_above"),
         F.coalesce(F.sum("band_neg").over(higher), F.lit(0)).alias("neg_above"),
         F.sum("band_pos").over(whole).cast("double").alias("pos_all"),
         F.sum("band_neg").over(whole).cast("double").alias("neg_all"),
     )
     upto = (
-        Window.partitionBy(*keys, "outer")
+        Window.partitionBy(*keys, "inner")
         .orderBy(F.col("score").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     inside = counts.select(
-        *keys, "outer", "score", "pos", "neg",
+        *keys, "inner", "score", "pos", "neg",
         F.sum("pos").over(upto).alias("cp"), F.sum("neg").over(upto).alias("cn"),
     )
-    return inside.join(offsets, [*keys, "outer"]).select(
+    return inside.join(offsets, [*keys, "inner"]).select(
         *keys,
         F.col("score").alias("threshold"),
         safe_div(F.col("cp") + F.col("pos_above"), F.col("pos_all")).alias("tpr"),
@@ -189,8 +195,7 @@ def fold_pair_statistics(df: DataFrame, fold: str, n_folds: int, label: str = "l
     so a bootstrap never touches the predictions again. Folds are numbered 0..n_folds-1; each
     distinct score is repeated n_folds times per side, after it has been counted.
     """
-    known = df.where(F.col(label).isNotNull() & F.col(prob).isNotNull())
-    counts = known.groupBy(fold, F.col(prob).cast("double").alias("score")).agg(
+    counts = _known(df, label, prob).groupBy(fold, F.col(prob).cast("double").alias("score")).agg(
         F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
     own, zero = F.col(fold).cast("int"), F.lit(0).cast("long")
@@ -218,8 +223,7 @@ def bootstrap_auc(pair_stats: DataFrame, n_folds: int, draws: int = 1000, seed:
     ).agg(F.count(F.lit(1)).alias("times"))
     as_pos = picks.select("draw", F.col("picked").alias("pos_fold"), F.col("times").alias("pos_times"))
     as_neg = picks.select("draw", F.col("picked").alias("neg_fold"), F.col("times").alias("neg_times"))
-    # pair_stats is n_folds**2 rows by construction.
-    drawn = as_pos.join(F.broadcast(pair_stats), "pos_fold").join(as_neg, ["draw", "neg_fold"])
+    drawn = as_pos.join(pair_stats, "pos_fold").join(as_neg, ["draw", "neg_fold"])
     weight = F.col("pos_times") * F.col("neg_times")
     return drawn.groupBy("draw").agg(
         safe_div(

@@ -266,7 +266,7 @@ def walk_forward(
         part = score(model, df.join(due, date), features)
         out = part if out is None else out.unionByName(part)
     # One row per asset and signal date: a plain window per date, without a second scoring pass.
-    return rank_by_score(out.withColumnRenamed(date, "signal_date"), bands=None)
+    return rank_by_score(out.withColumnRenamed(date, "signal_date"), bands=1)
 
 
 def version_decision(fold_results: DataFrame, a: str, b: str, min_gain: float = 0.01) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.aggregates import count_where
+from panelloom.functions.scalars import best_first, known_score
 from panelloom.operators.metrics import binomial_interval
 
 
@@ -17,26 +18,31 @@ def rank_by_score(
     asset: str = "asset",
     prob: str = "prob",
     out: str = "rank",
-    bands: int | None = 1024,
+    bands: int = 64,
 ) -> DataFrame:
     """1 for the best score of the date; ties go to the smaller asset key, unknown scores last.
 
     The rank is the number of rows in higher score bands plus the place inside the own band, so
-    that a date with very many assets is sorted by many tasks. `bands=None` sorts each date in
-    one task, which reads df once instead of twice and suits dates with few assets.
+    that a date with very many assets is sorted by many tasks. The bands are cut at approximate
+    quantiles of the scores at hand, wherever they crowd, and unknown scores are a band of their
+    own; where the cuts lie has no influence on the rank. `bands=1` sorts each date in one task,
+    which reads df once and suits dates with few assets.
     """
-    best_first = [F.col(prob).desc_nulls_last(), F.col(asset)]
-    if bands is None:
-        w = Window.partitionBy(date).orderBy(*best_first)
+    order = best_first(F.col(prob), F.col(asset))
+    if bands == 1:
+        w = Window.partitionBy(date).orderBy(order)
         return df.withColumn(out, F.row_number().over(w).cast("long"))
-    banded = df.withColumn("__band", F.coalesce(F.floor(F.col(prob) * bands), F.lit(-1)))
-    higher = (
-        Window.partitionBy(date).orderBy(F.col("__band").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    )
+    score = known_score(F.col(prob))
+    cuts = df.agg(F.percentile_approx(score, [i / bands for i in range(1, bands)], 10_000)).scalar()
+    # The number of cuts above a score: 0 for the best band. Without a known score there are no cuts.
+    above_it = F.size(F.filter("__cuts", lambda cut: cut > score))
+    staged = df.withColumn("__cuts", cuts)
+    banded = staged.withColumn("__band", F.when(score.isNull(), F.lit(bands)).otherwise(above_it)).drop("__cuts")
+    higher = Window.partitionBy(date).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
     above = banded.groupBy(date, "__band").agg(F.count(F.lit(1)).alias("__n")).select(
         date, "__band", F.coalesce(F.sum("__n").over(higher), F.lit(0)).alias("__above")
     )
-    inside = Window.partitionBy(date, "__band").orderBy(*best_first)
+    inside = Window.partitionBy(date, "__band").orderBy(order)
     return (
         banded.withColumn("__place", F.row_number().over(inside))
         .join(above, [date, "__band"])
@@ -55,11 +61,11 @@ def top_picks(
 ) -> DataFrame:
     """Best-scored asset per date, whether it beat the benchmark and whether it was the best one.
 
-    One aggregate per date: min_by over (-score, asset) is combined map-side, so a date with
-    very many assets is never sorted.
+    One aggregate per date: min_by over the score order is combined map-side, so a date with very
+    many assets is never sorted. Unknown scores are no candidates.
     """
-    order = F.struct(-F.col(prob), F.col(asset))
-    known = df.where(F.col(prob).isNotNull())
+    order = best_first(F.col(prob), F.col(asset))
+    known = df.where(known_score(F.col(prob)).isNotNull())
     picked = known.groupBy(*keys, date).agg(
         F.min_by(F.struct(asset, prob, target, alpha), order).alias("pick"),
         F.max(alpha).alias("best_alpha"),
@@ -123,9 +129,10 @@ def score_gap(df: DataFrame, date: str = "signal_date", asset: str = "asset", pr
     """(date, best, second, gap): score distance between the first and second rank.
 
     Filtering the row number to 2 limits each task to two candidates per date before the shuffle.
+    Unknown scores are no candidates.
     """
-    w = Window.partitionBy(date).orderBy(F.col(prob).desc_nulls_last(), asset)
+    w = Window.partitionBy(date).orderBy(best_first(F.col(prob), F.col(asset)))
     two = df.withColumn("__rn", F.row_number().over(w)).where("__rn <= 2")
-    best = F.max(F.when(F.col("__rn") == 1, F.col(prob)))
-    second = F.max(F.when(F.col("__rn") == 2, F.col(prob)))
+    best = F.max(F.when(F.col("__rn") == 1, known_score(F.col(prob))))
+    second = F.max(F.when(F.col("__rn") == 2, known_score(F.col(prob))))
     return two.groupBy(date).agg(best.alias("best"), second.alias("second"), (best - second).alias("gap"))

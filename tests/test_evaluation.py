@@ -6,8 +6,10 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from panelloom.functions import rolling
 from panelloom.operators import backtest as bt
 from panelloom.operators import explain as E
 from panelloom.operators import joins
@@ -119,7 +121,7 @@ def test_banded_rank_equals_plain_rank(frame):
     rows = [(day(d), f"a{i:03d}", rng.choice([None, 0.5, round(rng.random(), 3)])) for d in range(3) for i in range(200)]
     df = frame("signal_date date, asset string, prob double", rows)
     banded = {(r.signal_date, r.asset): r["rank"] for r in rk.rank_by_score(df, bands=16).collect()}
-    plain = {(r.signal_date, r.asset): r["rank"] for r in rk.rank_by_score(df, bands=None).collect()}
+    plain = {(r.signal_date, r.asset): r["rank"] for r in rk.rank_by_score(df, bands=1).collect()}
     assert banded == plain
 
 
@@ -285,3 +287,72 @@ def test_feature_vector_keeps_the_gaps(frame):
     names = ml.feature_columns(df, ["asset", "label"])
     values = ml.assemble(df, names).first().features.toArray().tolist()
     assert names == ["x", "n", "flag"] and math.isnan(values[0]) and values[1:] == [2.0, 1.0]
+
+
+def test_one_order_of_scores_everywhere(frame):
+    nan, inf = float("nan"), float("inf")
+    draw = random.Random(3)
+    rows = [("2024-01-02", "a", 0.5), ("2024-01-02", "b", None), ("2024-01-02", "c", 0.9), ("2024-01-02", "d", nan), ("2024-01-02", "e", -5.0), ("2024-01-02", "f", 0.9)]
+    rows += [("2024-01-09", a, s) for a, s in zip("abcdef", [None, nan, None, -3.0, -3.0, -inf])]
+    rows += [("2024-01-16", a, s) for a, s in zip("abcdef", [None, nan, None, None, nan, None])]
+    rows += [("2024-01-23", f"z{i:03}", draw.choice([None, nan, 1e-7, 2e-7, draw.random() * 1e-6, 7.0])) for i in range(200)]
+    df = frame("signal_date string, asset string, prob double", rows, ["signal_date"])
+
+    def place(row):
+        unknown = row[2] is None or row[2] != row[2]
+        return unknown, 0 if unknown else -row[2], row[1]
+
+    want = {}
+    for date in {r[0] for r in rows}:
+        for i, r in enumerate(sorted((r for r in rows if r[0] == date), key=place), 1):
+            want[date, r[1]] = i
+    for bands in (1, 2, 7, 64):
+        assert {(str(r.signal_date), r.asset): r["rank"] for r in rk.rank_by_score(df, bands=bands).collect()} == want
+    best = {date: min((r for r in rows if r[0] == date), key=place) for date in {r[0] for r in rows}}
+    best = {date: r[1] for date, r in best.items() if not place(r)[0]}
+    full = df.selectExpr("*", "true AS target", "0.1D AS alpha")
+    assert {str(r.signal_date): r.picked_asset for r in rk.top_picks(full).collect()} == best
+    held = bt.weights(df).where("weight > 0").collect()
+    assert {str(r.signal_date): r.asset for r in held if r.strategy == "top1"} == best
+    assert {r.asset for r in held if r.strategy == "top2" and str(r.signal_date) == "2024-01-02"} == {"c", "f"}
+    assert {str(r.signal_date): r.held_asset for r in bt.hysteresis(df.where("signal_date < '2024-01-20'"), 0.01).collect()} == {"2024-01-02": "c", "2024-01-09": "c", "2024-01-16": "c"}
+    assert {str(r.signal_date): (r.best, r.second) for r in rk.score_gap(df).collect()}["2024-01-02"] == (0.9, 0.9)
+
+
+def test_rank_statistics_leave_unknown_scores_out(frame):
+    nan = float("nan")
+    rows = [(True, nan), (False, 0.2), (True, 0.7), (False, 0.9), (True, None), (None, 0.1)]
+    df = frame("label boolean, prob double", rows)
+    assert M.roc_auc(df).first().auc == 0.5
+    assert M.trapezoid_auc(df).first().auc == 0.5
+
+
+def test_rank_statistics_of_crowded_scores(frame):
+    draw = random.Random(9)
+    rows = [(draw.random() < 0.4, draw.choice([draw.random() * 1e-6, 1e-7, 2.5])) for _ in range(3000)]
+    pos, neg = [s for y, s in rows if y], [s for y, s in rows if not y]
+    want = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg))
+    df = frame("label boolean, prob double", rows)
+    assert abs(M.roc_auc(df).first().auc - want) < 1e-12 and abs(M.trapezoid_auc(df).first().auc - want) < 1e-9
+    assert M.roc_auc(df.limit(0)).count() == 1
+
+
+def test_a_bad_value_stays_in_its_frames(frame):
+    nan = float("nan")
+    for bad in (nan, float("inf"), 1e17, -1e17):
+        values = [1.0 + (i % 5) / 7 for i in range(30)]
+        values[4] = bad
+        df = frame("asset string, date string, close double", [("a", f"2024-01-{i + 1:02}", v) for i, v in enumerate(values)], ["date"])
+        fr = rolling.Frames(Window.partitionBy("asset").orderBy("date"))
+        mean = rolling.moving_average(fr, F.col("close"), 3)
+        got = [r.m for r in fr.select(df, mean.alias("m")).orderBy("date").collect()]
+        for i in range(7, 30):
+            assert abs(got[i] - sum(values[i - 2 : i + 1]) / 3) < 1e-12
+        fr = rolling.Frames(Window.partitionBy("asset").orderBy("date"))
+        growth = rolling.trailing_compound(fr, F.col("close") / 100, 5)
+        got = [r.g for r in fr.select(df, growth.alias("g")).orderBy("date").collect()]
+        for i in range(10, 30):
+            want = 1.0
+            for v in values[i - 5 : i]:
+                want *= 1 + v / 100
+            assert abs(got[i] - (want - 1)) < 1e-12
