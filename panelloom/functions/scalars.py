@@ -53,7 +53,7 @@ def parse_date_multi(text: Column, formats: Sequence[str]) -> Column:
 
 
 def parse_decimal_comma(text: Column) -> Column:
-    """'3.876,65' -> 3876.65; text that is not a number -> NULL."""
+    """'1.234,50' -> 1234.5; text that is not a number -> NULL."""
     plain = F.replace(F.replace(F.trim(text), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     return plain.try_cast("double")
 

@@ -32,32 +32,25 @@ def silver_prices(bronze: DataFrame) -> DataFrame:
 
 
 def bronze_dividends(spark: SparkSession, glob: str, key_pattern: str = DIVIDEND_FILE) -> DataFrame:
-    """Dates are parsed in either format; a date that fits neither stays NULL and is counted by
-    the null audit instead of failing the job."""
-    raw = files.read_panel_csv(spark, glob, schemas.DIVIDENDS_RAW)
-    keyed = files.with_lineage(files.with_file_key(raw, key_pattern, "asset"))
-    return files.rename_map(keyed, schemas.DIVIDENDS_RENAME).withColumns(
-        {
-            "asset": normalise_symbol(F.col("asset")),
-            "ex_dividend_date": parse_date_multi(F.col("ex_dividend_date"), schemas.DATE_FORMATS),
-            "payment_date": parse_date_multi(F.col("payment_date"), schemas.DATE_FORMATS),
-            "string_value": parse_decimal_comma(F.col("string_value")),
-        }
-    ).select(
-        "asset", "ex_dividend_date", "payment_date", "event_type", "event_type_description",
-        F.coalesce("value", "string_value").alias("value"), "original_value", "adjusted",
-        "source_file", "ingestion_timestamp",
+    """(asset, ex_date, paid_on, amount, restated) with lineage: the cells that later steps use.
+
+    Dates are parsed in either format; one that fits neither stays NULL and is listed by
+    `files.rejected_cells`. The amount is a number in one column or a text in another.
+    """
+    raw = files.with_lineage(files.with_file_key(files.read_panel_csv(spark, glob, schemas.DIVIDENDS_RAW), key_pattern, "key"))
+    return raw.select(
+        normalise_symbol(F.col("key")).alias("asset"),
+        parse_date_multi(F.col("ed"), schemas.DATE_FORMATS).alias("ex_date"),
+        parse_date_multi(F.col("pd"), schemas.DATE_FORMATS).alias("paid_on"),
+        F.coalesce("v", parse_decimal_comma(F.col("sv"))).alias("amount"),
+        F.col("adj").alias("restated"),
+        "source_file",
+        "ingestion_timestamp",
     )
 
 
 def silver_dividends(bronze: DataFrame) -> DataFrame:
-    return bronze.select(
-        "asset",
-        F.col("ex_dividend_date").alias("ex_date"),
-        "payment_date",
-        "value",
-        F.col("adjusted").alias("is_adjusted"),
-    )
+    return bronze.select("asset", "ex_date", F.col("paid_on").alias("payment_date"), F.col("amount").alias("value"), F.col("restated").alias("is_adjusted"))
 
 
 def bronze_series(spark: SparkSession, glob: str) -> DataFrame:

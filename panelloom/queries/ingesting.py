@@ -7,6 +7,7 @@ in the raw formats, and read back with the library's readers.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelloom import schemas
 from panelloom.functions import scalars as S
@@ -18,7 +19,7 @@ from panelloom.sources import files, tables
 
 
 def comma_text(column, digits: int):
-    """3876.65 -> '3.876,65'."""
+    """1234.5 -> '1.234,50'."""
     return F.translate(F.format_number(column, digits), ",.", ".,")
 
 
@@ -54,6 +55,32 @@ def src1(spark, sf):
     return typed.select(S.parse_date_multi(F.col("date"), schemas.DATE_FORMATS).alias("date"), "adj_close", "close", "volume")
 
 
+@query(
+    "src1_rejected_cells",
+    """
+SELECT o_orderkey AS key, 'Close' AS "column", 'n/a' AS text FROM orders WHERE o_orderkey % 7 = 0
+UNION ALL SELECT o_orderkey, 'Date', '30/02/2001' FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, 'Open', '1,5' FROM orders WHERE o_orderkey % 11 = 0""",
+)
+def src1_rejected(spark, sf):
+    target, key = tables.scratch_dir(spark, "rejects_csv"), F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "dd/MM/yyyy")
+    raw = roles.table(spark, sf, "orders").select(
+        F.when(key % 5 == 0, F.lit("30/02/2001")).otherwise(day).alias("Date"),
+        F.lit("").alias("Adj Close"),
+        F.when(key % 7 == 0, F.lit("n/a")).otherwise(F.col("o_totalprice").cast("string")).alias("Close"),
+        F.col("o_totalprice").alias("High"),
+        F.lit(None).cast("double").alias("Low"),
+        F.when(key % 11 == 0, F.lit("1,5")).otherwise(F.lit(" 2.5 ")).alias("Open"),
+        key.alias("Volume"),
+    )
+    tables.publish(raw, target, fmt="csv", header="true")
+    parsers = {"Date": lambda c: S.parse_date_multi(c, schemas.DATE_FORMATS)}
+    prices = T.StructType([T.StructField("Date", T.DateType()), *schemas.PRICES_RAW.fields[1:]])
+    bad = files.rejected_cells(spark, f"{target}/*.csv", prices, parsers)
+    return bad.select(F.element_at(F.split("record", ",(?=[^,]*$)"), 2).cast("long").alias("key"), "column", "text")
+
+
 @query("src2_key_from_file_name", sql("panel", "SELECT asset, count(*) AS rows, min(close) AS min_close, max(close) AS max_close FROM panel GROUP BY 1"))
 def src2(spark, sf):
     raw = files.read_panel_csv(spark, f"{_price_files(spark, sf)}/*/*.csv", schemas.PRICES_RAW)
@@ -187,11 +214,10 @@ def src9_titles(spark, sf):
     return roles.table(spark, sf, "pages").select("page_id", files.unescape_html(raw).alias("title"))
 
 
-@query("src10_table_scan", "SELECT o_orderstatus, count(*) AS rows FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' GROUP BY 1")
+@query("src10_table_scan", "SELECT o_orderstatus, count(*) AS rows FROM orders GROUP BY 1")
 def src10(spark, sf):
     tables.register_stages({"orders_scan": roles.table(spark, sf, "orders")})
-    scanned = tables.table(spark, "orders_scan").where("o_orderdate >= '1999-01-01'")
-    return scanned.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"))
+    return tables.table(spark, "orders_scan").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"))
 
 
 @query("src11_normalised_symbol", "SELECT c_custkey, upper(c_name) AS symbol FROM customer")

@@ -40,14 +40,14 @@ def prj3(spark, sf):
 
 @query(
     "prj4_null_default",
-    "SELECT o.o_orderkey, COALESCE(l.l_quantity, 0e0) AS quantity FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_linenumber = 1",
+    """SELECT o.o_orderkey, l.l_linenumber, COALESCE(nullif(l.l_discount, 0), 1e0) AS discount, COALESCE(l.l_quantity, 0e0) AS quantity
+FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey""",
 )
 def prj4(spark, sf):
-    first = roles.table(spark, sf, "lineitem").where("l_linenumber = 1").select(
-        F.col("l_orderkey").alias("o_orderkey"), "l_quantity"
-    )
-    joined = roles.table(spark, sf, "orders").select("o_orderkey").join(first, "o_orderkey", "left")
-    return joined.select("o_orderkey", F.coalesce("l_quantity", F.lit(0.0)).alias("quantity"))
+    lines = roles.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_discount", "l_quantity")
+    joined = roles.table(spark, sf, "orders").select("o_orderkey").join(lines, "o_orderkey", "left")
+    discount = F.coalesce(F.nullif("l_discount", F.lit(0.0)), F.lit(1.0))
+    return joined.select("o_orderkey", "l_linenumber", discount.alias("discount"), F.coalesce("l_quantity", F.lit(0.0)).alias("quantity"))
 
 
 @query(
@@ -258,12 +258,8 @@ SELECT 'fold_' || year(signal_date) AS source, signal_date, asset, prob FROM pre
     ),
 )
 def se2(spark, sf):
-    preds = materialise(
-        roles.predictions(roles.market(spark, sf)).select("signal_date", "asset", "prob"), "predictions"
-    )
-    return profiles.union_labelled(
-        {f"fold_{y}": preds.where(F.year("signal_date") == y) for y in range(1995, 2002)}
-    )
+    preds = roles.predictions(roles.market(spark, sf)).select("signal_date", "asset", "prob")
+    return preds.select(F.concat(F.lit("fold_"), F.year("signal_date")).alias("source"), "signal_date", "asset", "prob")
 
 
 @query(

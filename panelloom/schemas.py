@@ -2,6 +2,7 @@
 
 from pyspark.sql import types as T
 
+# Headings of the raw price files, in file order.
 PRICES_RAW = T.StructType(
     [
         T.StructField("Date", T.StringType()),
@@ -24,6 +25,7 @@ PRICES_RENAME = {
     "Volume": "volume",
 }
 
+# Headings of the raw event files, in file order.
 DIVIDENDS_RAW = T.StructType(
     [
         T.StructField("y", T.IntegerType()),
@@ -42,22 +44,6 @@ DIVIDENDS_RAW = T.StructType(
     ]
 )
 
-DIVIDENDS_RENAME = {
-    "y": "year",
-    "m": "month",
-    "d": "day",
-    "ad": "approval_date",
-    "ed": "ex_dividend_date",
-    "pd": "payment_date",
-    "et": "event_type",
-    "etd": "event_type_description",
-    "v": "value",
-    "ov": "original_value",
-    "sv": "string_value",
-    "sov": "string_original_value",
-    "adj": "adjusted",
-}
-
 SERIES_TIDY = T.StructType(
     [T.StructField("Data", T.StringType()), T.StructField("Fechamento", T.DoubleType())]
 )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import html as html_lib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -18,17 +18,42 @@ from panelloom.functions.scalars import parse_date_multi, parse_decimal_comma
 def read_panel_csv(
     spark: SparkSession, glob: str, schema: T.StructType, sep: str = ",", encoding: str = "UTF-8"
 ) -> DataFrame:
-    """All files of a glob under an explicit schema: no inference scan."""
+    """All files of a glob under an explicit schema: no inference scan.
+
+    A file whose header names other columns, or the same ones in another order, is refused.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
         .option("sep", sep)
         .option("encoding", encoding)
-        .option("enforceSchema", True)
+        .option("enforceSchema", False)
         .csv(glob)
     )
 
 
+def rejected_cells(
+    spark: SparkSession, glob: str, schema: T.StructType, parsers: dict[str, Callable[[Column], Column]] | None = None, sep: str = ",", encoding: str = "UTF-8"
+) -> DataFrame:
+    """(file, record, column, text): every cell that holds text but no value of its column's type.
+
+    `record` is the whole row as read, so that the row can be found in its file. `parsers` replaces the
+    plain cast for columns with a format of their own. One scan, no shuffle; the typed readers turn
+    exactly these cells to NULL.
+    """
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+    raw = read_panel_csv(spark, glob, texts, sep, encoding).select("*", F.col("_metadata.file_path").alias("__file"))
+    cells = []
+    for field in schema.fields:
+        text = F.col(f"`{field.name}`")
+        value = (parsers or {}).get(field.name, lambda c, kind=field.dataType: F.trim(c).try_cast(kind))(text)
+        bad = (F.trim(text) != "") & value.isNull()
+        cells.append(F.when(bad, F.struct(F.lit(field.name).alias("column"), text.alias("text"))))
+    record = F.array_join(F.array(*[F.coalesce(F.col(f"`{f.name}`"), F.lit("")) for f in schema.fields]), sep)
+    found = raw.select(F.col("__file").alias("file"), record.alias("record"), F.explode(F.array_compact(F.array(*cells))).alias("cell"))
+    return found.select("file", "record", "cell.column", "cell.text")
+
+
 def with_file_key(df: DataFrame, pattern: str, out: str) -> DataFrame:
     """Adds the first capture group of a regex on the source file's path."""
     return df.withColumn(out, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
@@ -109,14 +134,18 @@ def extend_series(old: DataFrame, new: DataFrame, key: Sequence[str] = ("date",)
 
 
 def unescape_html(text: Column) -> Column:
-    """All HTML character references of a column, in Arrow batches (no built-in covers them)."""
+    """All HTML character references of a column.
+
+    No built-in covers them all, so texts with an ampersand are decoded in Arrow batches; within a batch
+    each distinct text is decoded once.
+    """
 
     @F.pandas_udf("string")
     def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(html_lib.unescape, na_action="ignore")
+            yield batch.map({text: html_lib.unescape(text) for text in batch.dropna().unique()}, na_action="ignore")
 
-    return unescape(text)
+    return F.when(text.contains("&"), unescape(F.when(text.contains("&"), text))).otherwise(text)
 
 
 def extract_embedded(df: DataFrame, html_col: str, pattern: str, schema: str, keep: Sequence[str] = ()) -> DataFrame:
