@@ -219,16 +219,17 @@ def linear_local_top(
     return _top_of_cells(_contribution_cells(df, coefficients, keep, means), keep, k)
 
 
-def permuted(df: DataFrame, feature: str, key: Sequence[str], seed: int = 42, buckets: int = 4096) -> DataFrame:
+def permuted(df: DataFrame, feature: str, key: Sequence[str], seed: int = 42, bucket_rows: int = 100_000) -> DataFrame:
     """df with one feature shuffled among rows by two hash orders.
 
     Rows are dealt into buckets by the hash of their key, then each row takes the value of the
     row with the same place under a second hash order of the same bucket. Buckets are even
-    because the hash covers the whole unique key, so no task sorts the table.
+    because the hash covers the whole unique key, and as many as the counted rows need.
     """
+    buckets = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / bucket_rows), F.lit(1))).scalar()
     first = F.xxhash64(F.lit(seed), *key)
     second = F.xxhash64(F.lit(seed + 1), *key)
-    bucket = F.pmod(first, F.lit(buckets)).alias("__b")
+    bucket = F.pmod(first, buckets).alias("__b")
     taker = df.withColumn("__b", bucket).withColumn(
         "__p", F.row_number().over(Window.partitionBy("__b").orderBy(first, *key))
     )
@@ -242,12 +243,12 @@ def permuted(df: DataFrame, feature: str, key: Sequence[str], seed: int = 42, bu
 
 
 def permutation_importance(
-    df: DataFrame, features: Sequence[str], score: callable, key: Sequence[str], label: str = "label", seed: int = 42, buckets: int = 4096
+    df: DataFrame, features: Sequence[str], score: callable, key: Sequence[str], label: str = "label", seed: int = 42, bucket_rows: int = 100_000
 ) -> DataFrame:
     """(feature, base_auc, permuted_auc, auc_drop); `score` maps a frame to it plus `prob`."""
     runs = score(df).select(F.lit("").alias("feature"), label, "prob")
     for f in features:
-        runs = runs.unionByName(score(permuted(df, f, key, seed, buckets)).select(F.lit(f).alias("feature"), label, "prob"))
+        runs = runs.unionByName(score(permuted(df, f, key, seed, bucket_rows)).select(F.lit(f).alias("feature"), label, "prob"))
     aucs = roc_auc(runs, ["feature"], label)
     base = aucs.where(F.col("feature") == "").select("auc").scalar()
     return aucs.where(F.col("feature") != "").select(

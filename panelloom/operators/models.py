@@ -7,20 +7,22 @@ rows stay in DataFrames from scan to prediction.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from math import prod
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.aggregates import weighted_mean
 from panelloom.functions.scalars import band, hash_order
 from panelloom.operators.metrics import segment_report
 from panelloom.operators.ranking import rank_by_score
-from panelloom.sources.tables import literal_table
+from panelloom.sources.tables import literal_table, scratch_dir
 
 # Model settings.
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 10, "seed": 42}
@@ -200,6 +202,26 @@ def composite_score(summary: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
+def score_runs(runs: Sequence[tuple[dict, Callable[[], DataFrame]]], threads: int = 4) -> DataFrame:
+    """One written table with the rows of all runs, each under its literal key columns.
+
+    A run fits a model and returns scored rows; a few run at a time, as one fit has idle moments between
+    its jobs. Metrics over all runs are then one plan over one table, not a branch per run.
+    """
+
+    def write(number: int) -> str:
+        keys, run = runs[number]
+        scored = run()
+        target = f"{scratch_dir(scored.sparkSession, 'runs')}"
+        scored.select(*[F.lit(v).alias(k) for k, v in keys.items()], "*").write.parquet(target)
+        return target
+
+    spark = SparkSession.getActiveSession()
+    with ThreadPoolExecutor(threads) as pool:
+        targets = list(pool.map(inheritable_thread_target(spark)(write), range(len(runs))))
+    return spark.read.parquet(*targets)
+
+
 def search(
     folds: DataFrame,
     features: Sequence[str],
@@ -211,32 +233,32 @@ def search(
 ) -> DataFrame:
     """(setting, fold, auc, rows): every setting fitted on every fold's training rows.
 
-    One fit per (setting, fold); each fit is a distributed job and only its metrics row is kept.
+    One fit per (setting, fold); each fit is a distributed job, and all metrics are one aggregate.
     """
-    results = None
-    for number, params in enumerate(settings):
-        for name in fold_names:
+
+    def run(params: dict, name: str) -> Callable[[], DataFrame]:
+        def scored() -> DataFrame:
             part = folds.where(F.col(fold) == name)
             model = fit(part.where("role = 'train'"), features, label, **params)
-            row = evaluate(score(model, part.where("role = 'eval'"), features), (), label).select(
-                F.lit(number).alias("setting"), F.lit(name).alias("fold"), "auc", "rows"
-            )
-            results = row if results is None else results.unionByName(row)
-    return results
+            return score(model, part.where("role = 'eval'"), features).select(label, "prob")
+
+        return scored
+
+    runs = [({"setting": number, "fold": name}, run(params, name)) for number, params in enumerate(settings) for name in fold_names]
+    return evaluate(score_runs(runs), ["setting", "fold"], label).select("setting", "fold", "auc", "rows")
 
 
 def ablation(
     train: DataFrame, test: DataFrame, sets: dict[str, Sequence[str]], fit: Callable, baseline: str, label: str = "label"
 ) -> DataFrame:
     """(feature_set, n_features, auc, delta_auc, rank): each feature set against the baseline."""
-    results = None
-    for name, features in sets.items():
-        model = fit(train, features, label)
-        row = evaluate(score(model, test, features), (), label).select(
-            F.lit(name).alias("feature_set"), F.lit(len(features)).alias("n_features"), "auc"
-        )
-        results = row if results is None else results.unionByName(row)
-    return ablation_table(results, baseline)
+
+    def run(features: Sequence[str]) -> Callable[[], DataFrame]:
+        return lambda: score(fit(train, features, label), test, features).select(label, "prob")
+
+    runs = [({"feature_set": name, "n_features": len(features)}, run(features)) for name, features in sets.items()]
+    aucs = evaluate(score_runs(runs), ["feature_set", "n_features"], label).select("feature_set", "n_features", "auc")
+    return ablation_table(aucs, baseline)
 
 
 def ablation_table(results: DataFrame, baseline: str) -> DataFrame:
@@ -257,14 +279,18 @@ def walk_forward(
     """
     plan = plan.where(F.col("purged_end") < F.col("signal_date"))
     models = plan.select("model_id", "purged_end").distinct().orderBy("model_id").collect()
-    out = None
-    for row in models:
-        model = fit(df.where(F.col(date) <= F.lit(row["purged_end"])), features, label)
-        due = plan.where(F.col("model_id") == row["model_id"]).select(
-            F.col("signal_date").alias(date), "model_id", F.col("purged_end").alias("trained_to")
-        )
-        part = score(model, df.join(due, date), features)
-        out = part if out is None else out.unionByName(part)
+
+    def run(row) -> Callable[[], DataFrame]:
+        def scored() -> DataFrame:
+            model = fit(df.where(F.col(date) <= F.lit(row["purged_end"])), features, label)
+            due = plan.where(F.col("model_id") == row["model_id"]).select(
+                F.col("signal_date").alias(date), F.col("purged_end").alias("trained_to")
+            )
+            return score(model, df.join(due, date), features)
+
+        return scored
+
+    out = score_runs([({"model_id": row["model_id"]}, run(row)) for row in models])
     # One row per asset and signal date: a plain window per date, without a second scoring pass.
     return rank_by_score(out.withColumnRenamed(date, "signal_date"), bands=1)
 

@@ -10,7 +10,7 @@ from panelloom.operators import joins
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
 from panelloom.queries.windows import r6
-from panelloom.sources.tables import literal_table, materialise
+from panelloom.sources.tables import materialise
 
 
 @query(
@@ -203,17 +203,22 @@ def jn11(spark, sf):
     return joins.coverage(roles.panel(spark, sf), roles.macro_daily(spark, sf), ["date"])
 
 
-# A quarterly retraining schedule inside the span of the given tables.
-SCHEDULE = [
-    (f"Q{q} {y}", f"{y}-{3 * q:02d}-{30 if q in (2, 3) else 31}", (f"{y}-{3 * q + 3:02d}-{30 if q in (1, 2) else 31}" if q < 4 else f"{y + 1}-03-31"))
-    for y in (1997, 1998, 1999)
-    for q in (1, 2, 3, 4)
-]
-SCHEDULE_SQL = "(VALUES " + ", ".join(f"('{m}', DATE '{t}', DATE '{v}')" for m, t, v in SCHEDULE) + ") s(model_id, train_end, valid_until)"
+# A quarterly retraining schedule over the whole calendar: the first model is trained on 27 months, and each
+# is valid for the quarter after its training ends.
+SCHEDULE_SQL = """(SELECT 'Q' || quarter(t) || ' ' || year(t) AS model_id, t AS train_end, last_day(t + INTERVAL 3 MONTH) AS valid_until
+FROM (SELECT last_day(CAST(unnest(generate_series(a, b, INTERVAL 3 MONTH)) AS DATE)) AS t
+      FROM (SELECT date_trunc('month', min(o_orderdate)) + INTERVAL 26 MONTH AS a, max(o_orderdate) AS b FROM orders))) s"""
 
 
-def schedule(spark):
-    return literal_table(spark, "model_id string, train_end date, valid_until date", SCHEDULE)
+def schedule(spark, sf):
+    first = F.add_months(F.trunc(F.min("o_orderdate"), "month"), 26)
+    span = roles.table(spark, sf, "orders").agg(first.alias("a"), F.to_date(F.max("o_orderdate")).alias("b"))
+    ends = span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 3 MONTH"))).alias("t")).select(F.last_day("t").alias("t"))
+    return ends.select(
+        F.concat(F.lit("Q"), F.quarter("t"), F.lit(" "), F.year("t")).alias("model_id"),
+        F.col("t").alias("train_end"),
+        F.last_day(F.add_months("t", 3)).alias("valid_until"),
+    )
 
 
 @query(
@@ -227,5 +232,5 @@ FROM rp_cal c LEFT JOIN {SCHEDULE_SQL} ON c.date <= s.valid_until GROUP BY 1""",
 )
 def jn12(spark, sf):
     dates = cal.sessions(roles.market(spark, sf).returns).select("date")
-    out = joins.schedule_lookup(dates, schedule(spark))
+    out = joins.schedule_lookup(dates, schedule(spark, sf))
     return out.select("date", "model_id", "valid_until")

@@ -149,7 +149,7 @@ def dq6_predictions(spark, sf):
     m = roles.market(spark, sf)
     preds = materialise(roles.predictions(m), "predictions")
     calendar = cal.sessions(m.returns)
-    plan = splits.retrain_plan(preds, calendar, schedule(spark), 7)
+    plan = splits.retrain_plan(preds, calendar, schedule(spark, sf), 7)
     traced = preds.join(plan.select("signal_date", F.col("purged_end").alias("trained_to")), "signal_date")
     return Q.prediction_leakage(traced, calendar, 7)
 

@@ -100,7 +100,7 @@ FROM d JOIN p ON d.signal_date <= p.valid_until GROUP BY 1""",
 def sp5(spark, sf):
     calendar = materialise(cal.sessions(roles.market(spark, sf).returns), "sessions")
     dates = cal.every_nth_session(calendar, 7).select(F.col("date").alias("signal_date"))
-    plan = splits.retrain_plan(dates, calendar, schedule(spark), 7)
+    plan = splits.retrain_plan(dates, calendar, schedule(spark, sf), 7)
     return plan.select("signal_date", "model_id", "train_end", "valid_until", "purged_end")
 
 
