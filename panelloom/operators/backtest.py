@@ -138,12 +138,24 @@ def portfolio_returns(weights: DataFrame, periods: DataFrame) -> DataFrame:
     return joined.groupBy("strategy", "signal_date").agg(F.sum(earned).alias("gross_return"))
 
 
-def weight_changes(weights: DataFrame) -> DataFrame:
+def drifted(weights: DataFrame, periods: DataFrame) -> DataFrame:
+    """Adds `drifted`: what a weight has become at the end of its period, by the returns of its own and of the
+    whole portfolio; a missing period return counts 0."""
+    returns = periods.select("signal_date", "asset", F.coalesce("period_return", F.lit(0.0)).alias("__r"))
+    rows = weights.join(returns, ["signal_date", "asset"], "left").withColumn("__r", F.coalesce("__r", F.lit(0.0)))
+    gained = rows.groupBy("strategy", "signal_date").agg(F.sum(F.col("weight") * F.col("__r")).alias("__gain"))
+    grown = F.col("weight") * (F.col("__r") + 1.0) / F.nullif(F.col("__gain") + 1.0, F.lit(0.0))
+    return rows.join(gained, ["strategy", "signal_date"]).select(*weights.columns, F.coalesce(grown, F.lit(0.0)).alias("drifted"))
+
+
+def weight_changes(weights: DataFrame, periods: DataFrame | None = None) -> DataFrame:
     """Adds prev_weight and change per (strategy, asset) over consecutive rebalance dates.
 
     An asset that is absent on a date counts as weight 0 there: the grid of dates and assets is
-    completed by moving each row's exit to the next rebalance date, not by a cross join.
+    completed by moving each row's exit to the next rebalance date, not by a cross join. With
+    `periods` the previous weight is the drifted one, else it is taken as held constant.
     """
+    held = weights.withColumn("drifted", F.col("weight")) if periods is None else drifted(weights, periods)
     dates = weights.select("strategy", "signal_date").distinct()
     by_date = Window.partitionBy("strategy").orderBy("signal_date")
     dated = dates.select(
@@ -152,14 +164,14 @@ def weight_changes(weights: DataFrame) -> DataFrame:
         F.lag("signal_date", 1).over(by_date).alias("__prev"),
         F.lead("signal_date", 1).over(by_date).alias("__next"),
     )
-    rows = weights.join(dated, ["strategy", "signal_date"])
+    rows = held.join(dated, ["strategy", "signal_date"])
     now = rows.select("strategy", "signal_date", "asset", "weight", F.lit(0.0).alias("prev_weight"))
     handed_on = rows.where(F.col("__next").isNotNull()).select(
         "strategy",
         F.col("__next").alias("signal_date"),
         "asset",
         F.lit(0.0).alias("weight"),
-        F.col("weight").alias("prev_weight"),
+        F.col("drifted").alias("prev_weight"),
     )
     both = now.unionByName(handed_on).groupBy("strategy", "signal_date", "asset").agg(
         F.sum("weight").alias("weight"), F.sum("prev_weight").alias("prev_weight")
@@ -167,13 +179,14 @@ def weight_changes(weights: DataFrame) -> DataFrame:
     return both.withColumn("change", F.col("weight") - F.col("prev_weight"))
 
 
-def turnover(weights: DataFrame, first_turnover: str = "one") -> DataFrame:
+def turnover(weights: DataFrame, first_turnover: str = "one", periods: DataFrame | None = None) -> DataFrame:
     """(strategy, signal_date, bought, sold, abs_change, turnover).
 
     turnover = half the absolute weight change. The first rebalance counts as 1 (`one`), even
-    for a strategy that starts in cash, or by the same rule as the others (`actual`).
+    for a strategy that starts in cash, or by the same rule as the others (`actual`). With `periods`
+    the trades start from drifted weights.
     """
-    changes = weight_changes(weights)
+    changes = weight_changes(weights, periods)
     sums = changes.groupBy("strategy", "signal_date").agg(
         F.sum(F.greatest("change", F.lit(0.0))).alias("bought"),
         F.sum(F.greatest(-F.col("change"), F.lit(0.0))).alias("sold"),

@@ -152,13 +152,12 @@ def _quantiles(
         )
         .withColumn("rank", F.col("prob") * (F.col("n") - 1))
     )
-    # The brackets are len(columns) * len(probs) rows by construction, hence the broadcast.
     # Everything under a bracket falls into one NULL-valued row per task before the shuffle.
     kept = (
         df.select(*[F.col(c).cast("double").alias(c) for c in columns])
         .unpivot([], columns, "column", "value")
         .where(F.col("value").isNotNull())
-        .join(F.broadcast(brackets), "column")
+        .join(brackets, "column")
         .where(F.col("value") <= F.col("hi"))
         .groupBy(
             "column", "prob", "rank", F.when(F.col("value") >= F.col("lo"), F.col("value")).alias("value")
@@ -173,13 +172,17 @@ def _quantiles(
     ranked = kept.withColumn("upto", F.sum("copies").over(w))
     low = F.min(F.when(F.col("upto") > F.floor("rank"), F.col("value")))
     high = F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("value")))
+    under = F.coalesce(F.max(F.when(F.col("value").isNull(), F.col("upto"))), F.lit(0))
+    # Should a sketch have missed its error bound, the job fails: no rank outside its bracket is used.
+    inside = (F.col("under") <= F.floor("rank")) & (F.col("total") > F.ceil("rank"))
+    quantile = F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank"))
     return (
         ranked.groupBy("column", "prob", "rank")
-        .agg(low.alias("low"), high.alias("high"))
+        .agg(low.alias("low"), high.alias("high"), under.alias("under"), F.max("upto").alias("total"))
         .select(
             "column",
             "prob",
-            (F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - F.floor("rank"))).alias("quantile"),
+            F.when(inside, quantile).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket"))).alias("quantile"),
         )
     )
 

@@ -131,6 +131,7 @@ def retrain_plan(
 def monthly_folds(df: DataFrame, date: str, init_months: int = 12, gap_months: int = 1) -> DataFrame:
     """One row per (row, test month) that uses it, with `role` train or test.
 
+    For figures per fold, give it sums per month instead of rows: a month is then repeated, not its rows.
     Test months start once `init_months` training months and the gap lie before them. The months
     are few (a calendar), and each row computes the test months it trains for from its own
     month, so the blow-up is the training sets themselves.

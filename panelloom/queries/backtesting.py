@@ -93,6 +93,55 @@ def rk2_month(spark, sf):
     return by_month.select("month", "picks", r6("hit_rate"))
 
 
+@query(
+    "rk2_picks_by_year",
+    sql(
+        "ranked_pred",
+        f"""WITH {_PICKS.format(source='ranked_pred').strip()}
+SELECT year(signal_date) AS year, count(*) AS dates, count(*) FILTER (beat_benchmark) AS hits, round(avg(CAST(beat_benchmark AS INTEGER)), 6) + 0e0 AS hit_rate,
+       round(avg(CAST(was_best AS INTEGER)), 6) + 0e0 AS best_rate FROM picks GROUP BY 1""",
+    ),
+)
+def rk2_year(spark, sf):
+    picks = rk.top_picks(roles.predictions(roles.market(spark, sf)))
+    by_year = rk.pick_summary(picks.withColumn("year", F.year("signal_date").cast("long")), ["year"])
+    return by_year.select("year", "dates", "hits", r6("hit_rate"), r6("best_rate"))
+
+
+@query(
+    "rk2_best_realised_pick",
+    sql(
+        "periods",
+        """
+SELECT signal_date, arg_min(asset, {'p': -prob, 'a': asset}) AS picked_asset,
+       round(arg_min(period_return, {'p': -prob, 'a': asset}), 6) + 0e0 AS picked_return, round(max(period_return), 6) + 0e0 AS best_return,
+       arg_min(period_return, {'p': -prob, 'a': asset}) = max(period_return) AS was_best, count(*) AS candidates
+FROM periods WHERE prob IS NOT NULL GROUP BY 1""",
+    ),
+)
+def rk2_realised(spark, sf):
+    _, periods = settled_periods(spark, sf)
+    picks = rk.top_picks(periods.withColumn("target", F.col("period_return") > 0), alpha="period_return")
+    return picks.select(
+        "signal_date", "picked_asset", r6("picked_alpha").alias("picked_return"), r6("best_alpha").alias("best_return"), "was_best", "candidates"
+    )
+
+
+@query(
+    "rk1_unknown_scores",
+    """
+WITH s AS (SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN -o_totalprice ELSE o_totalprice / 1e9 END AS prob FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY d ORDER BY prob DESC NULLS LAST, k) AS rank FROM s)
+SELECT d AS signal_date, k AS asset, rank FROM r""",
+)
+def rk1_unknown(spark, sf):
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    nan = F.when(key % 2 == 0, F.lit(float("nan")))
+    score = F.when(key % 5 == 0, nan).when(key % 5 == 1, -price).otherwise(price / 1e9)
+    df = roles.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("signal_date"), key.alias("asset"), score.alias("prob"))
+    return rk.rank_by_score(df).select("signal_date", "asset", "rank")
+
+
 @query(
     "rk3_non_overlapping_audit",
     sql("ranked_rebal", f"WITH {_PICKS.format(source='ranked_rebal').strip()} {_SUMMARY}"),
@@ -176,6 +225,28 @@ def bt6(spark, sf):
     return bt.turnover(bt.weights(periods)).select("strategy", "signal_date", r6("bought"), r6("sold"), r6("turnover"))
 
 
+@query(
+    "bt6_drifted_turnover",
+    sql(
+        "weights periods",
+        """
+WITH w AS (SELECT w.*, COALESCE(p.period_return, 0e0) AS r FROM weights w LEFT JOIN periods p USING (signal_date, asset) WHERE strategy <> 'random'),
+g AS (SELECT *, weight * (1 + r) / (1 + sum(weight * r) OVER (PARTITION BY strategy, signal_date)) AS grown FROM w),
+d AS (SELECT strategy, signal_date, lead(signal_date) OVER (PARTITION BY strategy ORDER BY signal_date) AS nxt, row_number() OVER (PARTITION BY strategy ORDER BY signal_date) AS i
+      FROM (SELECT DISTINCT strategy, signal_date FROM w)),
+m AS (SELECT strategy, signal_date, asset, weight AS now, 0e0 AS prev FROM g
+      UNION ALL SELECT g.strategy, d.nxt, asset, 0e0, grown FROM g JOIN d USING (strategy, signal_date) WHERE d.nxt IS NOT NULL),
+c AS (SELECT strategy, signal_date, asset, sum(now) - sum(prev) AS change FROM m GROUP BY ALL),
+t AS (SELECT strategy, signal_date, sum(abs(change)) AS moved FROM c GROUP BY ALL)
+SELECT strategy, signal_date, round(CASE WHEN i = 1 THEN 1e0 ELSE moved / 2 END, 6) + 0e0 AS turnover FROM t JOIN d USING (strategy, signal_date)""",
+    ),
+)
+def bt6_drifted(spark, sf):
+    _, periods = settled_periods(spark, sf)
+    weights = bt.weights(periods).where("strategy <> 'random'")
+    return bt.turnover(weights, periods=periods).select("strategy", "signal_date", r6("turnover"))
+
+
 def _curves(spark, sf, rates=RATES):
     """(market, periods, net curve) with the weights written once: returns and turnover read them."""
     market, periods = settled_periods(spark, sf)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelloom.functions.scalars import month_start
 from panelloom.operators import calendar as cal
 from panelloom.operators import splits
 from panelloom.queries import roles
@@ -154,7 +155,10 @@ FROM r JOIN t ON r.m <= tm - 2 OR r.m = tm GROUP BY 1, 2""",
     ),
 )
 def sp8(spark, sf):
-    df = splits.monthly_folds(roles.market(spark, sf).returns, "date", 12, 1)
-    return df.groupBy("test_month", "role").agg(
+    returns = roles.market(spark, sf).returns
+    months = returns.groupBy(month_start(F.col("date")).alias("month")).agg(
         F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
     )
+    return splits.monthly_folds(months, "month", 12, 1).groupBy("test_month", "role").agg(
+        F.sum("rows").alias("rows"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date")
+    )

@@ -79,11 +79,17 @@ def publish_sql(spark: SparkSession, name: str, sql: str, location: str) -> Data
     """Create-or-replace of a table from a query.
 
     The new version is written to a fresh location before the name moves to it, so a query may
-    read the table that it replaces.
+    read the table that it replaces, and readers see the old version or the new one. Only a change of
+    columns takes the name away for a moment, as a name keeps its columns.
     """
-    spark.sql(sql).write.mode("errorifexists").parquet(location)
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.catalog.createTable(name, path=location, source="parquet")
+    new = spark.sql(sql)
+    new.write.mode("errorifexists").parquet(location)
+    if spark.catalog.tableExists(name) and spark.table(name).dtypes == new.dtypes:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{location}'")
+        spark.catalog.refreshTable(name)
+    else:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.catalog.createTable(name, path=location, source="parquet")
     return spark.table(name)
 
 
