@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.aggregates import null_count
 from panelloom.functions.scalars import hash_order, month_start
-from panelloom.sources.tables import materialise
 
 
 def counts_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,11 +90,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return packed.unpivot([], list(columns), "column", "s").select("column", "s.*")
 
 
-def _sketches(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int) -> DataFrame:
+def sketches(df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
     """(column, n, mean, stddev, least, most, lo, hi): one pass over df, one row per column.
 
-    lo and hi are sketch values just under and over each probability. The rows are written, as
-    the second pass and the profile both read them.
+    lo and hi are sketch values just under and over each probability.
     """
     margin = 3.0 / accuracy
     packed = df.agg(
@@ -112,7 +110,7 @@ def _sketches(df: DataFrame, columns: Sequence[str], probs: Sequence[float], acc
             for c in columns
         ]
     )
-    return materialise(packed.unpivot([], list(columns), "column", "s").select("column", "s.*"), "sketches")
+    return packed.unpivot([], list(columns), "column", "s").select("column", "s.*")
 
 
 def exact_quantiles(
@@ -125,16 +123,16 @@ def exact_quantiles(
     bracket are only counted (map-side), and just the values inside it are ranked.
     """
     columns, probs = list(columns), list(probs)
-    return _quantiles(df, _sketches(df, columns, probs, accuracy), columns, probs, accuracy)
+    return _quantiles(df, sketches(df, columns, probs, accuracy), columns, probs, accuracy)
 
 
 def _quantiles(
-    df: DataFrame, sketches: DataFrame, columns: list[str], probs: list[float], accuracy: int
+    df: DataFrame, sketched: DataFrame, columns: list[str], probs: list[float], accuracy: int
 ) -> DataFrame:
     margin = 3.0 / accuracy
     prob_array = F.array(*[F.lit(float(p)) for p in probs])
     brackets = (
-        sketches.select(
+        sketched.select(
             "column", "n", "least", "most",
             F.explode(F.arrays_zip(prob_array.alias("prob"), F.col("lo"), F.col("hi"))).alias("col"),
         )
@@ -191,18 +189,23 @@ def numeric_profile(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95),
+    sketched: DataFrame | None = None,
 ) -> DataFrame:
-    """describe() plus one quantile column per probability (p05, p25, ...), in two passes."""
+    """describe() plus one quantile column per probability (p05, p25, ...).
+
+    Two passes if `sketched` is the written result of `sketches` for the same arguments, else the first
+    one is planned twice.
+    """
     columns, probs, accuracy = list(columns), list(probs), 10_000
     names = [f"p{round(p * 100):02d}" for p in probs]
-    sketches = _sketches(df, columns, probs, accuracy)
-    wide = _quantiles(df, sketches, columns, probs, accuracy).groupBy("column").agg(
+    sketched = sketches(df, columns, probs, accuracy) if sketched is None else sketched
+    wide = _quantiles(df, sketched, columns, probs, accuracy).groupBy("column").agg(
         *[
             F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(name)
             for p, name in zip(probs, names)
         ]
     )
-    stats = sketches.select(
+    stats = sketched.select(
         "column", F.col("n").alias("count"), "mean", "stddev", F.col("least").alias("min"), F.col("most").alias("max")
     )
     return stats.join(wide, "column")

@@ -20,7 +20,6 @@ from panelloom.keys import calendar_order
 from panelloom.operators import features as feat
 from panelloom.operators import joins
 from panelloom.operators.returns import benchmark_returns, total_returns
-from panelloom.sources.tables import materialise
 
 
 @dataclass(frozen=True)
@@ -70,19 +69,20 @@ def feature_table(
     complete_only: bool = True,
     min_periods: int | None = None,
     on_missing_session: str = "drop",
+    facts: DataFrame | None = None,
 ) -> DataFrame:
     """Feature table `v1`, `v2` (v1 without the dividend flag, plus seven technical features) or
     `v2_minimal` (v1 plus the distance to the 7-session average).
 
     `prices` has asset, date, close, volume; `events` asset, ex_date, payment_date, value;
     `benchmark` date, close. `complete_only` keeps rows with whole look-back, a target, a
-    benchmark return and all monthly series.
+    benchmark return and all monthly series. `facts` may be the written result of `date_facts`: with
+    its measured size the planner broadcasts it, or keeps a sort-merge join if it outgrows its threshold,
+    and the panel is not shuffled by date.
     """
     if version not in ("v1", "v2", "v2_minimal"):
         raise ValueError("version is 'v1', 'v2' or 'v2_minimal'")
-    # Written first, the facts have a measured size: the planner then broadcasts them, or keeps a
-    # sort-merge join if they outgrow its threshold, and the panel is not shuffled by date.
-    facts = materialise(date_facts(prices, benchmark, macro, min_periods), "date_facts")
+    facts = date_facts(prices, benchmark, macro, min_periods) if facts is None else facts
     carried = [c for c in facts.columns if c != "date"]
     dated = (
         prices.select("asset", "date", "close", "volume")

@@ -11,6 +11,7 @@ from panelloom.operators import profiles as P
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
 from panelloom.queries.windows import r6
+from panelloom.sources.tables import materialise
 
 
 @query("ag1_counts_by_key", "SELECT o_orderpriority, o_orderstatus, count(*) AS rows FROM orders GROUP BY 1, 2")
@@ -101,7 +102,9 @@ _NUM = ["o_totalprice", "o_custkey"]
     ),
 )
 def ag6(spark, sf):
-    df = P.numeric_profile(roles.table(spark, sf, "orders"), _NUM)
+    orders = roles.table(spark, sf, "orders")
+    sketched = materialise(P.sketches(orders, _NUM, [0.05, 0.25, 0.5, 0.75, 0.95]), "sketches")
+    df = P.numeric_profile(orders, _NUM, sketched=sketched)
     rounded = [c for c in df.columns if c not in ("column", "count", "min", "max")]
     return df.select("column", "count", "min", "max", *[F.round(c, 4).alias(c) for c in rounded])
 

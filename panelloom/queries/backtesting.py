@@ -9,6 +9,7 @@ from panelloom.operators import backtest as bt
 from panelloom.operators import ranking as rk
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
+from panelloom.queries.roles_sql import CTES
 from panelloom.queries.windows import r6
 from panelloom.sources.tables import materialise
 
@@ -270,6 +271,31 @@ def bt7(spark, sf):
     )
 
 
+def _monthly(text: str) -> str:
+    """The SQL of a strategy of 7 sessions turned into that of a month: horizon, decision dates and holding."""
+    horizon = CTES["pred"][1].replace("= 7", "= 21").replace("7 FOLLOWING", "21 FOLLOWING")
+    decisions = "SELECT * FROM pred WHERE signal_date IN (SELECT min(signal_date) FROM pred GROUP BY date_trunc('month', signal_date))"
+    held = CTES["periods"][1].replace("= 7", "= 21").replace("q.e + 7", "q.e + 21")
+    return text.replace(CTES["pred"][1], horizon).replace(CTES["rebal"][1], decisions).replace(CTES["periods"][1], held)
+
+
+@query(
+    "bt7_monthly_net_curve",
+    _monthly(
+        sql(
+            "net",
+            """SELECT strategy, signal_date, round(turnover, 6) + 0e0 AS turnover, round(net_return, 6) + 0e0 AS net_return, round(capital, 3) + 0e0 AS capital
+FROM net WHERE scenario = '0.20%' AND strategy <> 'random'""",
+        )
+    ),
+)
+def bt7_monthly(spark, sf):
+    periods = materialise(roles.monthly_periods(roles.market(spark, sf)), "periods")
+    weights = materialise(bt.weights(periods).where("strategy <> 'random'"), "weights")
+    curve = bt.net_curve(bt.portfolio_returns(weights, periods), bt.turnover(weights), {"0.20%": 0.002})
+    return curve.select("strategy", "signal_date", r6("turnover"), r6("net_return"), F.round("capital", 3).alias("capital"))
+
+
 @query(
     "bt8_benchmark_curve",
     sql(

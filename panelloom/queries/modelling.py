@@ -10,7 +10,7 @@ from panelloom.operators import metrics as M
 from panelloom.operators import models as ml
 from panelloom.operators import splits
 from panelloom.operators.profiles import union_labelled
-from panelloom.queries import roles
+from panelloom.queries import roles, tables
 from panelloom.queries.joining import schedule
 from panelloom.queries.measuring import auc_sql
 from panelloom.queries.registry import query, sql
@@ -176,6 +176,21 @@ def ml8(spark, sf):
     return df.select(*[r6(c) if c in ("mean_a", "mean_b", "gain", "std_change") else c for c in df.columns])
 
 
+@query("ml8_feature_versions")
+def ml8_versions(spark, sf):
+    """The feature tables against each other: the same model and folds on v1 and v2."""
+    results = None
+    for version in ("v1", "v2"):
+        table = tables.order_table(spark, sf, version).withColumnRenamed("target_7d", "label")
+        names = ml.feature_columns(table, ["asset", "date", "label", "target_alpha_7d"])
+        rows = table.withColumns({c: F.col(c).cast("double") for c in names})
+        folds = materialise(splits.eval_gap(splits.expanding_folds(rows, "date", FOLDS), 7), "folds")
+        found = ml.search(folds, names, [{}], ml.fit_logistic, fold_names=[f["fold"] for f in FOLDS])
+        found = found.withColumn("version", F.lit(version))
+        results = found if results is None else results.unionByName(found)
+    return ml.version_decision(results, "v1", "v2")
+
+
 @query(
     "ml8_leaderboard",
     f"""{_RESULTS_SQL} SELECT setting AS model, round(auc, 6) + 0e0 AS auc, row_number() OVER (ORDER BY auc DESC, setting) AS place FROM (SELECT setting, avg(auc) AS auc FROM results GROUP BY 1)""",

@@ -162,19 +162,19 @@ def market(spark, sf) -> Market:
     return Market(_returns_of(cells), whole)
 
 
-def predictions(m: Market) -> DataFrame:
-    """(signal_date, execution_date, asset, prob, target, alpha): whole 7-session horizons."""
-    labelled = feat.forward_targets(m.returns, m.bench, 7)
+def predictions(m: Market, n: int = 7) -> DataFrame:
+    """(signal_date, execution_date, asset, prob, target, alpha): whole n-session horizons."""
+    labelled = feat.forward_targets(m.returns, m.bench, n)
     return (
         cal.next_session(labelled)
-        .where(F.col("target_7d").isNotNull())
+        .where(F.col(f"target_{n}d").isNotNull())
         .select(
             F.col("date").alias("signal_date"),
             "execution_date",
             "asset",
             "prob",
-            F.col("target_7d").alias("target"),
-            F.col("target_alpha_7d").alias("alpha"),
+            F.col(f"target_{n}d").alias("target"),
+            F.col(f"target_alpha_{n}d").alias("alpha"),
         )
     )
 
@@ -191,6 +191,14 @@ def periods(m: Market) -> DataFrame:
     return joins.holding_returns(rebalances(m), m.returns, 7)
 
 
+def monthly_periods(m: Market) -> DataFrame:
+    """Predictions of 21 sessions on the first session of each month, with the return of the 21 sessions
+    after execution."""
+    preds = predictions(m, 21)
+    dates = cal.first_session_of_month(cal.sessions(preds, "signal_date"), "signal_date").select(F.col("decision_date").alias("signal_date"))
+    return joins.holding_returns(preds.join(dates, "signal_date"), m.returns, 21)
+
+
 def scored_orders(spark, sf) -> DataFrame:
     """Every order as a scored row: (row_id, date, month, segment, prob, label)."""
     day = F.to_date("o_orderdate")

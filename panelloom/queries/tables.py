@@ -77,11 +77,16 @@ def _macro(spark, sf):
     )
 
 
-def _order_table(spark, sf, version):
+def order_table(spark, sf, version):
     cells = roles.prices(spark, sf)
     events = materialise(roles.dividends(spark, sf), "dividends") if version == "v2" else roles.dividends(spark, sf)
-    df = ft.feature_table(roles.panel_of(cells), events, roles.bench_of(cells), _macro(spark, sf), version)
-    return _rounded(df)
+    return _table(spark, sf, roles.panel_of(cells), events, roles.bench_of(cells), version)
+
+
+def _table(spark, sf, prices, events, benchmark, version):
+    macro = _macro(spark, sf)
+    facts = materialise(ft.date_facts(prices, benchmark, macro), "date_facts")
+    return _rounded(ft.feature_table(prices, events, benchmark, macro, version, facts=facts))
 
 
 _NEEDS = "panel divs tr br macro_daily macro_monthly"
@@ -89,17 +94,17 @@ _NEEDS = "panel divs tr br macro_daily macro_monthly"
 
 @query("feature_table_v1", sql(_NEEDS, table_sql("v1")))
 def table_v1(spark, sf):
-    return _order_table(spark, sf, "v1")
+    return order_table(spark, sf, "v1")
 
 
 @query("feature_table_v2", sql(_NEEDS, table_sql("v2")))
 def table_v2(spark, sf):
-    return _order_table(spark, sf, "v2")
+    return order_table(spark, sf, "v2")
 
 
 @query("feature_table_v2_minimal", sql(_NEEDS, table_sql("v2_minimal")))
 def table_v2_minimal(spark, sf):
-    return _order_table(spark, sf, "v2_minimal")
+    return order_table(spark, sf, "v2_minimal")
 
 
 # The same tables with one asset per supplier: the number of assets grows with the data.
@@ -136,8 +141,7 @@ def _supplier_table(spark, sf, version):
         "asset", F.col("date").alias("ex_date"), F.date_add("date", 10).alias("payment_date"),
         (F.col("paid") / 1_000_000.0).alias("value"),
     )
-    df = ft.feature_table(prices, events, roles.bench_of(cells), _macro(spark, sf), version)
-    return _rounded(df)
+    return _table(spark, sf, prices, events, roles.bench_of(cells), version)
 
 
 @query("feature_table_v1_suppliers", _supplier_sql("v1"))
