@@ -8,50 +8,116 @@ sequence is full, except for the last few tokens of a task, which are put togeth
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator, Sequence
+from unicodedata import is_normalized, normalize
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from panelloom.llm.batches import pieces
 from panelloom.sources.tables import materialise
 
-MOST_CACHED = 500_000
+MOST_CACHED = 400_000
 SHORT = 64
+MARKS = b".,;:!?*#%&$|"
 
 
 class WordEncoder:
-    """Ids of a tokenizer that never lets a token cross ASCII white space, kept per run of other characters."""
+    """Ids of a lower-casing word BPE, whose tokens never cross ASCII white space, kept per run of other characters."""
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(file)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.cache: dict[bytes, bytes] = {}
 
-    def learn(self, runs: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([r.decode() for r in runs], add_special_tokens=False)
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in found]
-
-    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
-        """Per UTF-8 text its ids as little-endian unsigned 32-bit numbers, and `end`."""
-        cache, out = self.cache, []
-        if len(cache) > MOST_CACHED:
-            cache.clear()
-        split = [t.split() for t in texts]
-        new = list({r for runs in split for r in runs if r not in cache})
-        for at in range(0, len(new), 10_000):
-            cache.update(zip(new[at : at + 10_000], self.learn(new[at : at + 10_000])))
-        for runs in split:
-            out.append(b"".join([*map(cache.__getitem__, runs), end]))
+    def _learn(self, runs: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """Runs and their ids, encoded a thousand to a text: the places of the tokens tell the runs apart."""
+        for at in range(0, len(runs), 1000):
+            part = runs[at : at + 1000]
+            words = [r.decode() for r in part]
+            found = self.tokenizer.encode("\n".join(words), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = np.cumsum([len(w) + 1 for w in words])
+            starts = np.array([start for start, _ in found.offsets], np.int64)
+            bounds = [0, *(4 * np.searchsorted(starts, ends)).tolist()]
+            yield from zip(part, map(ids.__getitem__, map(slice, bounds, bounds[1:])))
+
+    def _learn_words(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
+        """The same for runs of small letters in normal form, which no step before the merging changes: each
+        is one word for the merges, and its last id, alone, is one that ends a word."""
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            (found,) = self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            bounds = [0, *(4 * np.flatnonzero(self.last[ids]) + 4).tolist()]
+            ids = ids.tobytes()
+            yield from zip(part, map(ids.__getitem__, map(slice, bounds, bounds[1:])))
+
+    def _add(self, new: list[bytes]) -> None:
+        """A letter or digit and the marks after it never share a token: a run is its core and its marks."""
+        cache, other, cut = self.cache, set(), []
+        letters: set[bytes] = set()
+        for run in new:
+            core = run.rstrip(MARKS)
+            text = core.decode()
+            if text.isalpha() and text.islower() and text == text.lower() and is_normalized("NFC", text):
+                letters.add(core)
+            elif len(core) < len(run) and (core[-1:].isalnum() or core and normalize("NFC", text).lower()[-1].isalpha()):
+                other.add(core)
+            else:
+                other.add(run)
+                continue
+            if len(core) < len(run):
+                other.add(run[len(core) :])
+                cut.append((run, core))
+        cache.update(self._learn_words([w for w in letters if w not in cache]))
+        cache.update(self._learn([w for w in other if w not in cache]))
+        for run, core in cut:
+            cache[run] = cache[core] + cache[run[len(core) :]]
+
+    def encode(self, texts: pa.Array, end: bytes) -> list[bytes]:
+        """Per text its ids as little-endian unsigned 32-bit numbers, and `end`; null texts are empty.
+
+        The tokenizer lower-cases, so A-Z may go first, unless the text could hold a special token in capitals or
+        a mark that composes with one case of a letter only. Each run is looked up once per call.
+        """
+        texts = pc.fill_null(texts, "")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring_regex(texts, "[\u0300-\u033f]|<\\|"), texts, pc.ascii_lower(texts)))
+        runs = split.flatten().dictionary_encode()
+        used = runs.dictionary.cast(pa.binary()).to_pylist()
+        if len(self.cache) > MOST_CACHED:  # what is frequent is in use
+            self.cache = {r: self.cache[r] for r in used if r in self.cache}
+        new = [r for r in used if r and r not in self.cache]
+        self._add(new)
+        found = [self.cache[r] if r else b"" for r in used]
         for run in new:
             if len(run) > SHORT:
-                del cache[run]
-        return out
+                self.cache.pop(run, None)
+                self.cache.pop(run.rstrip(MARKS), None)
+
+        # the ids of all runs in order: each run's place among the found ones, counted up
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        first = np.cumsum(size) - size
+        codes = runs.indices.to_numpy()
+        each = size[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [ids[lo:hi].tobytes() + end for lo, hi in zip(bounds, bounds[1:])]
 
 
 class Packer:
@@ -174,30 +240,28 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
         if tokenizer_file not in _encoders:
             _encoders[tokenizer_file] = WordEncoder(tokenizer_file)
         encoder, packer, part = _encoders[tokenizer_file], Packer(window, tiers, block), TaskContext.get().partitionId()
-        for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for at in range(0, len(keys), 200):
-                for key, ids in zip(keys[at : at + 200], encoder.encode([t or b"" for t in texts[at : at + 200]], end_id.to_bytes(4, "little"))):
-                    packer.add(key, ids)
+        for rows in pieces(batches):
+            for key, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1), end_id.to_bytes(4, "little"))):
+                packer.add(key, ids)
                 if len(packer.out) > 5_000 or with_ids:
                     yield packer.flush(part, with_ids)
         packer.finish()
         yield packer.flush(part, with_ids)
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialise(given.mapInArrow(each, PIECES), "pieces")
+    cut = materialise(given.mapInArrow(each, PIECES), "pieces")
 
     group = F.floor(F.col("part") / merged).cast("long")
     order = Window.partitionBy("group").orderBy("part", "offset").rowsBetween(Window.unboundedPreceding, -1)
-    tails = pieces.where("sequence_id IS NULL").withColumn("group", group)
+    tails = cut.where("sequence_id IS NULL").withColumn("group", group)
     tails = tails.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0))).withColumns({"sequence_id": -1 - F.col("group"), "tier": F.lit(window)})
 
     # a step is numbered over all tasks: a task's first sequence of a tier follows the last of the task before
-    counted = pieces.where("offset = 0 AND sequence_id IS NOT NULL").groupBy("tier", "part").agg(F.count("*").alias("n"))
+    counted = cut.where("offset = 0 AND sequence_id IS NOT NULL").groupBy("tier", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counted.select("tier", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     step = F.floor((F.col("first") + F.col("tier_index")) * F.col("tier") / step_tokens).cast("long")
-    full = pieces.where("sequence_id IS NOT NULL").join(firsts, ["tier", "part"]).withColumn("step", step)
+    full = cut.where("sequence_id IS NOT NULL").join(firsts, ["tier", "part"]).withColumn("step", step)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step", "ids"]
     last = tails.withColumn("step", -1 - F.floor(F.col("group") * window / step_tokens).cast("long"))
     return full.select(columns).union(last.select(columns))

@@ -7,6 +7,7 @@ from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -141,6 +142,9 @@ def test_counts_of_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in token_counts.prefix_counts(docs(spark, rows), MODEL).collect()), key=str)
     assert got == sorted([(1, 0, 0), (2, 0, 0), (None, 3, 2), (3, 4, len(library.encode("same"))), (3, 4, len(library.encode("same"))), (4, 90_000, len(library.encode(long)))], key=str)
     assert token_counts.prefix_counts(docs(spark, []), MODEL).count() == 0
+    cuts = {(r.doc_id, r.budget): (r.chars, r.n_tokens) for r in token_counts.truncations(token_counts.prefix_counts(docs(spark, rows), MODEL), [0, 7]).collect()}
+    assert cuts[1, 7] == cuts[2, 0] == cuts[4, 0] == (0, 0) and cuts[None, 7] == (3, 2)
+    assert cuts[4, 7][1] == len(library.encode(long[: cuts[4, 7][0]])) <= 7 < len(library.encode(long[: cuts[4, 7][0] + 1]))
 
 
 # packing
@@ -152,9 +156,9 @@ def test_ids_by_run_are_the_library_ids():
     from tokenizers import Tokenizer
 
     library, encoder, draw = Tokenizer.from_file(WORDS), packing.WordEncoder(WORDS), random.Random(5)
-    pieces = ["The", "don't", " ", "\n", "\t ", " ", "é", "é", "́", "字", "😀", "<|endoftext|>", "Σ", "İ", "\x1c", "\x85", "12", "!?", "'s", " ", "\x00", "x" * 80]
+    pieces = ["The", "don't", " ", "\n", "\t ", " ", "é", "é", "́", "字", "😀", "<|endoftext|>", "Σ", "İ", "\x1c", "\x85", "12", "!?", ".", ",|", "a.", "'s", " ", "\x00", "x" * 80]
     texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 30))) for _ in range(300)]
-    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts], b"")):
+    for text, ids in zip(texts, encoder.encode(pa.array(texts), b"")):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
