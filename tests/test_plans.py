@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
-FITS = {"ml2_logistic_regression", "ml3_random_forest", "ml4_boosted_trees", "ml5_temporal_search", "ml6_feature_ablation", "ml7_walk_forward_scores"}
+FITS = {"ml2_logistic_regression", "ml3_random_forest", "ml4_boosted_trees", "ml5_temporal_search", "ml6_feature_ablation", "ml7_walk_forward_scores", "ml8_feature_versions"}
 
 
 def plan(spark, name):
