@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from operator import add, sub
 
 import numpy as np
@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.batches import kept, pieces
+
 SPACE = "▁"
 PART, WHOLE = 1, 2
-MOST_CACHED = 800_000
+MOST_CACHED = 700_000
 SHORT = 64
 #: characters of texts that are counted together; their new chunks share the table of common prefixes
 TOGETHER = 8_000_000
@@ -40,7 +42,7 @@ class PrefixCounter:
             raise ValueError("pieces of this model hold inner spaces")
         alone = {c for p in self.score if len(p) > 1 for c in p}
         breaks = "".join(re.escape(c) for c in "\n\t" if c not in alone)  # and none crosses these
-        self.chunk = re.compile(f"{SPACE}+[^{SPACE}{breaks}]*|[^{SPACE}{breaks}]+" + (f"|[{breaks}]" if breaks else ""))
+        self.chunk = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (f"|[{breaks}]" if breaks else ""))
         # tokens by their text: WHOLE for tokens, PART for what is only the end of one
         self.kind: dict[str, int] = {}
         for piece in self.score:
@@ -106,11 +108,12 @@ class PrefixCounter:
     def growths(self, texts: list[str]) -> list[bytes]:
         """Per text, as int16 per character, by how much it changes the count of the prefix before it."""
         split = [self.chunk.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.cache) > MOST_CACHED:
-            self.cache.clear()
+        used = set().union(*split)
+        if len(self.cache) > MOST_CACHED:  # what is frequent is in use
+            self.cache = {c: self.cache[c] for c in used if c in self.cache}
         cache = self.cache
-        new = {c for chunks in split for c in chunks if c not in cache}
-        cache.update(self._learn(list(new)))
+        new = [c for c in used if c not in cache]
+        cache.update(self._learn(new))
         out = []
         for chunks in split:
             steps = b"".join(map(cache.__getitem__, chunks))
@@ -142,9 +145,6 @@ def longest_prefix(growth: bytes, budget: int) -> int:
     return int(np.flatnonzero(counts(growth) <= budget)[-1])
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def prefix_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_tokens, growth): one row per row of docs, over the whole text.
 
@@ -155,10 +155,8 @@ def prefix_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_file not in _counters:
-            _counters[model_file] = PrefixCounter(model_file)
-        counter = _counters[model_file]
-        for batch in batches:
+        counter = kept(("prefixes", model_file), lambda: PrefixCounter(model_file))
+        for batch in pieces(batches, 2000):
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             at = 0
             while at < len(texts):
@@ -176,3 +174,21 @@ def prefix_counts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text
 
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return given.mapInArrow(each, "doc_id long, n_bytes long, n_tokens long, growth binary")
+
+
+def truncations(counted: DataFrame, budgets: Sequence[int]) -> DataFrame:
+    """(doc_id, budget, chars, n_tokens): per row of `prefix_counts` and budget the longest prefix that fits in it,
+    and the tokens of that prefix, read off the table."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, growth in zip(batch.column(0).to_pylist(), batch.column(1)):
+                table = counts(growth.as_py())
+                for budget in budgets:
+                    chars = int(np.flatnonzero(table <= budget)[-1])
+                    out.append((key, budget, chars, int(table[chars])))
+            columns = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "budget", "chars", "n_tokens"])
+
+    return counted.select("doc_id", "growth").mapInArrow(each, "doc_id long, budget long, chars long, n_tokens long")
