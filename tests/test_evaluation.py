@@ -212,7 +212,7 @@ def test_range_compound_ends_included_and_open_period(frame):
 
 def test_permutation_is_a_rearrangement(spark):
     df = spark.range(500).select("id", F.col("id").cast("double").alias("v"))
-    out = E.permuted(df, "v", ["id"], buckets=4)
+    out = E.permuted(df, "v", ["id"], bucket_rows=125)
     values = [r.v for r in out.collect()]
     assert sorted(values) == [float(i) for i in range(500)]
     assert out.where("v <> id").count() > 400
