@@ -35,9 +35,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = materialise(kept.withColumnRenamed("doc_id", "kept_id"), "kept")
     repeated = kept.where("copies > 1")
     if not repeated.limit(1).count():
-        return docs.join(kept, key == kept["kept_id"], "left_semi")
-    single = docs.join(kept.where("copies = 1"), key == kept["kept_id"], "left_semi")
-    several = docs.join(repeated, key == repeated["kept_id"]).groupBy("kept_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+        # ids are hashed per partition and texts stream past them: no text is sorted
+        return docs.join(kept.hint("shuffle_hash"), key == kept["kept_id"], "left_semi")
+    single = docs.join(kept.where("copies = 1").hint("shuffle_hash"), key == kept["kept_id"], "left_semi")
+    several = docs.join(repeated.hint("shuffle_hash"), key == repeated["kept_id"]).groupBy("kept_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
     return single.union(several.select("row.*"))
 
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.batches import pieces
+
 
 @dataclass(frozen=True)
 class Template:
@@ -103,7 +105,7 @@ def render(turns: DataFrame, template: Template = Template(), conv_id: str = "co
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(template)
-        for batch in batches:
+        for batch in pieces(batches):
             roles = [r or "" for r in batch.column(2).to_pylist()]
             found = [grammar.render(r, t or "") for r, t in zip(roles, batch.column(3).to_pylist())]
             columns = list(zip(*found)) or [[]] * 4

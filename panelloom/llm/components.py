@@ -48,7 +48,8 @@ def connected(links: DataFrame) -> DataFrame:
     """
     a, b = links.columns[:2]
     given = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    stars = materialise(given.mapInArrow(_forest, "a long, b long"), "links")
+    # written first: a task that finds links in Python and thins them in Python would need two workers at once
+    stars = materialise(materialise(given, "links").mapInArrow(_forest, "a long, b long"), "links")
     before = _state(stars)
     while before[0]:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))

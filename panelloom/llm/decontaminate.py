@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.batches import pieces
 from panelloom.sources.tables import materialise
 
 KEPT = bytes(b if b in b"0123456789abcdefghijklmnopqrstuvwxyz" or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -183,7 +184,7 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         known = docs.sparkSession.sparkContext.broadcast(part)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 counts, named, placed = [], [], []
                 for text, names, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
                     words = words_of(text or b"")
@@ -232,7 +233,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, text_col: str = "text", item
         known = docs.sparkSession.sparkContext.broadcast(part)
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in pieces(batches):
                 old = batch.column(at).cast(pa.binary()).to_pylist()
                 new = [(None, 0) if t is None else cut(t, known.value) for t in old]
                 counts = [len(words_of(t or b"")) if c < 0 else c for t, c in zip(old, batch.column(n).to_pylist())]

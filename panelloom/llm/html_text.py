@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.batches import pieces
+
 # fixed values of the markup language
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math canvas object audio video select".split())
@@ -202,7 +204,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     null and repeated ids stay rows of their own; other columns are left out."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [main_text(p or "") for p in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string())], ["page_id", "url", "text"])
 

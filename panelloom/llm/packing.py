@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from panelloom.llm.batches import pieces
+from panelloom.llm.batches import kept, pieces
 from panelloom.sources.tables import materialise
 
 MOST_CACHED = 400_000
@@ -216,7 +216,6 @@ class Packer:
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, tier_index long, part long, ids binary"
-_encoders: dict[str, WordEncoder] = {}
 
 
 def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, window: int = 4096, tiers: Sequence[int] = (256, 512, 1024, 2048), step_tokens: int = 65_536, block: int = 1 << 20, merged: int = 16, with_ids: bool = True) -> DataFrame:
@@ -237,9 +236,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
         raise ValueError("the leftovers of `merged` tasks must fit in a window, and steps hold whole windows")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_file not in _encoders:
-            _encoders[tokenizer_file] = WordEncoder(tokenizer_file)
-        encoder, packer, part = _encoders[tokenizer_file], Packer(window, tiers, block), TaskContext.get().partitionId()
+        encoder, packer, part = kept(("words", tokenizer_file), lambda: WordEncoder(tokenizer_file)), Packer(window, tiers, block), TaskContext.get().partitionId()
         for rows in pieces(batches):
             for key, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1), end_id.to_bytes(4, "little"))):
                 packer.add(key, ids)

@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.batches import kept, pieces
+
 FORMS = 1024
 TERMS = FORMS + 2
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
 RUNS = re.compile(r"(.)\1+", re.S)
-MOST_CACHED = 500_000
-_forms: dict[str, int] = {}
+MOST_CACHED = 200_000
+NUMBERS = list(range(FORMS))  # one object per form, however many words have it
 
 
 def _kind(match: re.Match) -> str:
@@ -31,22 +33,22 @@ def _kind(match: re.Match) -> str:
     return "A" if len(word) > 1 and word.isupper() else "Aa" if word[0].isupper() else "a"
 
 
-def _form(word: str) -> int:
+def _form(word: str, known: dict[str, int]) -> int:
     form = RUNS.sub(r"\1\1", DIGITS.sub("0", LETTERS.sub(_kind, word)))
     number = zlib.crc32(form.encode()) % FORMS
     if len(word) <= 64:
-        if len(_forms) >= MOST_CACHED:
-            _forms.clear()
-        _forms[word] = number
+        if len(known) >= MOST_CACHED:
+            known.clear()
+        known[word] = NUMBERS[number]
     return number
 
 
 def frequencies(text: str) -> np.ndarray:
     """Roots of the share of each term among the words of a whole text; zeros without words."""
-    words, known = text.split(), _forms.get
+    words, known = text.split(), kept("forms", dict)
     out = np.zeros(TERMS, np.float32)
     if words:
-        numbers = [n if (n := known(w)) is not None else _form(w) for w in words]
+        numbers = [n if (n := known.get(w)) is not None else _form(w, known) for w in words]
         out[:FORMS] = np.bincount(np.array(numbers), minlength=FORMS)
         out[FORMS] = sum(map(str.__eq__, words, words[1:]))
         out[FORMS + 1] = len(words) - len(set(words))
@@ -107,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = [frequencies(t).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["id", "label", "vector"])
 
@@ -128,7 +130,7 @@ def score(docs: DataFrame, votes: Votes, id_col: str = "doc_id", text_col: str =
     model = docs.sparkSession.sparkContext.broadcast(votes)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             found = model.value.scores([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
@@ -141,7 +143,7 @@ def keep(docs: DataFrame, votes: Votes, text_col: str = "text", least: float = 0
     model, at = docs.sparkSession.sparkContext.broadcast(votes), docs.columns.index(text_col)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array(model.value.scores([t or "" for t in batch.column(at).to_pylist()]) >= least))
 
     return docs.mapInArrow(each, docs.schema)

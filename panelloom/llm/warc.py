@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.llm.batches import pieces
+
 # fixed values of the two formats
 SKIPPABLE = 0x184D2A5E
 SEEKABLE = 0x8F92EAB1
@@ -107,7 +109,7 @@ def _bundles(frame_bytes: int, bundle_bytes: int, date: str, level: int):
             frames, sizes, index = [], [], []
             return out
 
-        for batch in batches:
+        for batch in pieces(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 key, url, payload, size, digest, refers_to = row
                 data = record(key, url, payload or b"", size, digest, refers_to, date)
