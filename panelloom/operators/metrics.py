@@ -3,7 +3,7 @@
 `label` is a boolean column, `prob` a score; NULL and NaN are unknown and left out. Rank statistics
 never sort a whole group in one task: scores are first counted per distinct value (map-side), and
 the ranks are summed over two nested levels of score bands. The bands are cut at quantiles of the
-distinct scores, so each holds about as many of them however the scores crowd.
+scores of the rows, so each holds about as many of them however the scores crowd.
 """
 
 from __future__ import annotations
@@ -62,25 +62,28 @@ def _known(df: DataFrame, label: str, prob: str) -> DataFrame:
 
 def _score_counts(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
     """(keys, score, pos, neg) and the outer and inner band of each distinct score."""
-    counts = _known(df, label, prob).groupBy(*keys, F.col(prob).cast("double").alias("score")).agg(
+    known = _known(df, label, prob).select(*keys, label, F.col(prob).cast("double").alias("score"))
+    counts = known.groupBy(*keys, "score").agg(
         F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
-    return _banded(counts)
+    return _banded(counts, known)
 
 
-def _banded(counts: DataFrame) -> DataFrame:
+def _banded(counts: DataFrame, known: DataFrame) -> DataFrame:
     """Adds the bands: how many cuts lie at or below the score, first among the OUTER cuts, then among
-    the INNER ones inside that band. Any cuts give the same statistics; these give even bands."""
+    the INNER ones inside that band. Any cuts give the same statistics; quantiles of the rows' scores make
+    bands of about as many rows, hence of at most as many distinct scores, in one pass without a shuffle."""
     n = OUTER * INNER
-    cuts = counts.agg(F.percentile_approx("score", [i / n for i in range(1, n)], 10_000)).scalar()
+    found = known.agg(F.percentile_approx("score", [i / n for i in range(1, n)], 10_000).alias("all"))
+    # once for the whole table: all cuts, and every INNER-th of them
+    cuts = found.select(F.struct("all", F.filter("all", lambda _, i: (i + 1) % INNER == 0).alias("outer"))).scalar()
 
     def upto(found: Column) -> Column:
         return F.size(F.filter(found, lambda cut: cut <= F.col("score")))
 
-    staged = counts.withColumn("__cuts", cuts)
-    outer_cuts = F.filter("__cuts", lambda _, i: (i + 1) % INNER == 0)
-    inner = upto(F.slice("__cuts", F.col("outer") * INNER + 1, F.lit(INNER)))
-    return staged.withColumn("outer", upto(outer_cuts)).withColumn("inner", F.col("outer") * (INNER + 1) + inner).drop("__cuts")
+    staged = counts.withColumn("__cuts", cuts).withColumn("outer", upto(F.col("__cuts.outer")))
+    inner = upto(F.slice("__cuts.all", F.col("outer") * INNER + 1, F.lit(INNER)))
+    return staged.withColumn("inner", F.col("outer") * (INNER + 1) + inner).drop("__cuts")
 
 
 def _u_statistic(counts: DataFrame, keys: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
@@ -195,7 +198,8 @@ def fold_pair_statistics(df: DataFrame, fold: str, n_folds: int, label: str = "l
     so a bootstrap never touches the predictions again. Folds are numbered 0..n_folds-1; each
     distinct score is repeated n_folds times per side, after it has been counted.
     """
-    counts = _known(df, label, prob).groupBy(fold, F.col(prob).cast("double").alias("score")).agg(
+    known = _known(df, label, prob).select(fold, label, F.col(prob).cast("double").alias("score"))
+    counts = known.groupBy(fold, "score").agg(
         F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
     own, zero = F.col(fold).cast("int"), F.lit(0).cast("long")
@@ -209,7 +213,7 @@ def fold_pair_statistics(df: DataFrame, fold: str, n_folds: int, label: str = "l
         .groupBy("pos_fold", "neg_fold", "score")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    return _u_statistic(_banded(pairs), ["pos_fold", "neg_fold"])
+    return _u_statistic(_banded(pairs, known), ["pos_fold", "neg_fold"])
 
 
 def bootstrap_auc(pair_stats: DataFrame, n_folds: int, draws: int = 1000, seed: int = 42) -> DataFrame:

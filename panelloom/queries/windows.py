@@ -422,7 +422,8 @@ def wn19(spark, sf):
     sql("ranked_pred", "SELECT signal_date, asset, prob, rank FROM ranked_pred"),
 )
 def wn20(spark, sf):
-    return ranking.rank_by_score(roles.predictions(roles.market(spark, sf))).select("signal_date", "asset", "prob", "rank")
+    scored = materialise(roles.predictions(roles.market(spark, sf)).select("signal_date", "asset", "prob"), "predictions")
+    return ranking.rank_by_score(scored).select("signal_date", "asset", "prob", "rank")
 
 
 @query(
