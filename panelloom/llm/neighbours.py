@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,8 @@ from panelloom.sources.tables import materialise
 
 #: float32 products of unit vectors are off by less than this, so nothing within reach is lost before the exact check
 SLACK = 1e-4
+#: links of one row that are held for comparison with those found from the other ends
+HELD = 128
 NODE = "dim int, shard int, pos int, node long, copies long, vector binary, links binary, own_links long, local_root long"
 FOUND = "node long, n_links long, roots array<bigint>"
 
@@ -30,29 +33,93 @@ class Shard:
     def __init__(self, exact: np.ndarray, graph: Graph, least: float, beam: int, recall: float, audit: int):
         self.exact, self.graph, self.least, self.beam, self.recall, self.audit = exact, graph, least, beam, recall, audit
 
-    def links(self, exact: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Query number and the nodes linked with it, block by block. Of each block up to `audit` queries with
-        links and as many without are scanned in full; if fewer than `recall` of their links were found, the
-        whole block is searched again with beams twice as wide, at last by a scan."""
+    def links(self, exact: np.ndarray, own: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """Query number and the nodes linked with it, block by block; own: query i is node i and no link of itself.
+        The queries of a block are classed by the number of links found: none, 1 to 3, 4 to 15 and so on. Up to
+        `audit` of each class are scanned in full; if in any class they have found less than `recall` of their
+        links, or of each query's links on average, the whole block is searched again with beams twice as wide,
+        at last by a scan."""
         for at in range(0, len(exact), 4096):
             block = exact[at : at + 4096]
             single, beam = block.astype(np.float32), self.beam
             while True:
-                found = self.graph.within(single, self.least - SLACK, beam)
-                if beam * 4 >= len(self.exact):
-                    break
-                hit = np.array([len(f) > 0 for f in found])
-                sample = np.concatenate([np.flatnonzero(h)[:: max(1, h.sum() // self.audit)][: self.audit] for h in (hit, ~hit)])
-                whole = self.graph.scan(single[sample], self.least - SLACK)
-                if sum(len(found[i]) for i in sample) >= self.recall * sum(map(len, whole)):
+                found = [self._verified(block[i], near, at + i if own else -1) for i, near in enumerate(self.graph.within(single, self.least - SLACK, beam))]
+                if beam * 4 >= len(self.exact) or self._enough(block, single, found, at if own else None):
                     break
                 beam *= 2
             for i, near in enumerate(found):
-                if len(near):
-                    near = near[self.exact[near] @ block[i] >= self.least]
                 if len(near):
                     yield at + i, near
 
+    def all_links(self, exact: np.ndarray, asked: np.ndarray, own: bool = False) -> Iterator[tuple[int, np.ndarray]]:
+        """The same for the queries numbered by `asked`, by scans that miss none."""
+        for at in range(0, len(asked), 4096):
+            part = asked[at : at + 4096]
+            for i, near in zip(part, self.graph.scan(exact[part].astype(np.float32), self.least - SLACK)):
+                yield int(i), self._verified(exact[i], near, i if own else -1)
+
+    def _verified(self, query: np.ndarray, near: np.ndarray, but: int) -> np.ndarray:
+        near = near[near != but].astype(np.int64)
+        return near[self.exact[near] @ query >= self.least] if len(near) else near
+
+    def _enough(self, block: np.ndarray, single: np.ndarray, found: list[np.ndarray], first: int | None) -> bool:
+        kinds = np.array([(len(f).bit_length() + 1) // 2 for f in found])
+        for kind in np.unique(kinds):
+            of = np.flatnonzero(kinds == kind)
+            sample = of[:: max(1, len(of) // self.audit)][: self.audit]
+            scanned = self.graph.scan(single[sample], self.least - SLACK)
+            whole = np.array([len(self._verified(block[i], near, -1 if first is None else first + i)) for i, near in zip(sample, scanned)])
+            got = np.array([len(found[i]) for i in sample])
+            if got.sum() < self.recall * whole.sum() or np.where(whole > 0, got / np.maximum(whole, 1), 1).mean() < self.recall:
+                return False
+        return True
+
+
+Met = Callable[[int, np.ndarray], None]
+
+
+def _asked(exact: np.ndarray, shard: Shard, met: Met, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links found by queries with at most HELD, as query * rows of the shard + node, and which queries found more."""
+    keys, many = [np.empty(0, np.int64)], np.zeros(len(exact), bool)
+    for i, near in shard.links(exact, own):
+        if len(near) > HELD:
+            many[i] = True
+        else:
+            met(i, near)
+            keys.append(i * len(shard.exact) + near)
+    return np.concatenate(keys), many
+
+
+def _counts(a: Shard, b: Shard, copies: tuple[np.ndarray, np.ndarray], met: tuple[Met, Met]) -> tuple[np.ndarray, np.ndarray]:
+    """Per row of a the copies of its links in b, and the reverse; each link counts at both ends, from whichever end it
+    was found. At most HELD links of a row are held; rows with more are scanned, so that they miss none, and are
+    counted at once at the other ends that missed them. met gets what each row of a, and of b, has found."""
+    own, shards = a is b, (a, b)
+    first = _asked(a.exact, b, met[0], own)
+    found = (first, first if own else _asked(b.exact, a, met[1], own))
+    n, out = (len(a.exact), len(b.exact)), []
+    for x in (0, 1):
+        y = 1 - x
+        (mine, many), (theirs, _) = found[x], found[y]
+        other, row = np.divmod(theirs, n[x])
+        pairs = np.union1d(mine, (row * n[y] + other)[~many[row]])
+        count = np.zeros(n[x], np.int64)
+        np.add.at(count, pairs // n[y], copies[y][pairs % n[y]])
+        out.append(count)
+    for x in (0,) if own else (0, 1):
+        y = 1 - x
+        theirs, many = np.sort(found[y][0]), found[y][1]
+        for i, near in shards[y].all_links(shards[x].exact, np.flatnonzero(found[x][1]), own):
+            met[x](i, near)
+            out[x][i] = copies[y][near].sum()
+            rest = near[~many[near]]
+            keys = rest * n[x] + i
+            at = np.searchsorted(theirs, keys)
+            known = np.zeros(len(rest), bool)
+            known[at < len(theirs)] = theirs[at[at < len(theirs)]] == keys[at < len(theirs)]
+            out[0 if own else y][rest[~known]] += copies[x][i]
+    return out[0], out[1]
+
 
 def _sizes(n: int) -> list[int]:
     return Graph.layers(n, 12)
@@ -67,7 +134,6 @@ def _build(least: float, beam: int, recall: float, audit: int):
         raw = pa.concat_arrays(shard.column("vector").chunks).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)[order]
         exact = _unit(raw)
         graph = Graph.build(exact.astype(np.float32), 12)
-        own = np.zeros(len(nodes), np.int64)
         parent = np.arange(len(nodes))
 
         def root(i: int) -> int:
@@ -76,13 +142,14 @@ def _build(least: float, beam: int, recall: float, audit: int):
                 i = parent[i]
             return i
 
-        for i, near in Shard(exact, graph, least, beam, recall, audit).links(exact):
-            near = near[near != i]
-            own[i] = copies[near].sum()
+        def met(i: int, near: np.ndarray) -> None:
             roots = {root(j) for j in (i, *near[parent[near] != parent[i]])}
             first = min(roots, key=nodes.__getitem__)
             for j in roots:
                 parent[j] = first
+
+        shard = Shard(exact, graph, least, beam, recall, audit)
+        own, _ = _counts(shard, shard, (copies, copies), (met, met))
         n = len(nodes)
         packed = [b"".join(layer[i].astype("<i4").tobytes() for layer in graph.links if i < len(layer)) for i in range(n)]
         widths = [layer.shape[1] for layer in graph.links]
@@ -109,35 +176,25 @@ def _restore(raw: np.ndarray, packed: list[bytes]) -> tuple[np.ndarray, Graph]:
     return exact, Graph(exact.astype(np.float32), sizes, links)
 
 
-def _query(least: float, beam: int, recall: float, audit: int):
-    """Rows (dim, target, block, kind, pos, node, copies, vector, links, local_root), sorted: of each key first the
-    rows of the shard, kind 0, then the queries, kind 1, which are answered a batch at a time."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, shard = None, [], None
-        for batch in batches:
-            keys = np.column_stack([batch.column(i).to_numpy() for i in range(4)])
-            starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1)] if len(keys) else []
-            for lo, hi in zip(starts, [*starts[1:], len(keys)]):
-                part, now = batch.slice(lo, hi - lo), tuple(keys[lo][:3])
-                if now != key:
-                    key, rows, shard = now, [], None
-                vectors = np.frombuffer(b"".join(part.column(7).to_pylist()), np.float64).reshape(-1, int(key[0]))
-                if keys[lo][3] == 0:
-                    rows.append((vectors, part.column(6).to_numpy(), part.column(8).to_pylist(), part.column(9).to_numpy()))
-                    continue
-                if rows:
-                    exact, graph = _restore(np.vstack([r[0] for r in rows]), [x for r in rows for x in r[2]])
-                    shard = Shard(exact, graph, least, beam, recall, audit)
-                    copies, roots = np.concatenate([r[1] for r in rows]), np.concatenate([r[3] for r in rows])
-                    rows = []
-                if shard is None:
-                    continue
-                nodes, out = part.column(5).to_numpy(), []
-                for i, near in shard.links(_unit(vectors)):
-                    out.append((nodes[i], copies[near].sum(), np.unique(roots[near])))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["node", "n_links", "roots"])
+def _across(least: float, beam: int, recall: float, audit: int):
+    """Of the rows of two shards, the links between them and the components that each row met in the other shard."""
+
+    def each(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        dim, nodes, copies, roots, shards = key[0].as_py(), [], [], [], []
+        for number in key[1:]:
+            part = rows.filter(pc.equal(rows.column("shard"), number)).sort_by("pos")
+            if not part.num_rows:  # no row of this length has that shard
+                return pa.table([[], [], []], pa.schema([("node", pa.int64()), ("n_links", pa.int64()), ("roots", pa.list_(pa.int64()))]))
+            raw = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float64).reshape(-1, dim)
+            exact, graph = _restore(raw, part.column("links").to_pylist())
+            shards.append(Shard(exact, graph, least, beam, recall, audit))
+            for to, name in ((nodes, "node"), (copies, "copies"), (roots, "local_root")):
+                to.append(part.column(name).to_numpy())
+        met: list[dict[int, np.ndarray]] = [{}, {}]
+        meet = [lambda i, near, x=x: met[x].__setitem__(i, np.unique(roots[1 - x][near])) for x in (0, 1)]
+        counts = _counts(shards[0], shards[1], (copies[0], copies[1]), (meet[0], meet[1]))
+        out = [(nodes[x][i], counts[x][i], met[x].get(i, ())) for x in (0, 1) for i in np.flatnonzero(counts[x])]
+        return pa.table([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.int64()))], ["node", "n_links", "roots"])
 
     return each
 
@@ -149,10 +206,11 @@ def near_vectors(
 
     Rows link if the cosine of their vectors, in double precision, is at least `least`. Equal vectors are one
     node. Nodes are dealt to shards by a hash; each shard builds its graph, and every node queries every
-    shard. Only a count and the components that it meets there leave a query, never all pairs. Shards and
-    blocks of queries have a bounded number of rows, so their number grows with the table.
+    shard, two shards at a time. Only a count and the components that it meets there leave a query, never all
+    pairs. A shard has at most about shard_rows and block_rows rows, so their number grows with the table.
     Beams widen per query while their worst result still links, and per block until an audit against a full
-    scan finds `recall` of the links; what is counted was verified exactly.
+    scan finds `recall` of the links of queries with none, with few and with many alike; what is counted was
+    verified exactly, and a link that only one end found counts at both.
 
     Null vectors, those of no length, or with null, NaN or infinite components link with nothing, and only
     vectors of one length link. A row with a null id links with nothing and gets a null component and kept
@@ -166,17 +224,15 @@ def near_vectors(
     # ids may repeat, so a node is numbered by itself; order and component names follow the smallest id
     numbered = materialise(grouped.withColumn("least", F.col("node")).withColumn("node", F.monotonically_increasing_id()), "vector-nodes")
     n = numbered.count()
-    shards, blocks = max(least_shards, math.ceil(n / shard_rows)), max(1, math.ceil(n / block_rows))
+    shards = max(least_shards, math.ceil(n / min(shard_rows, block_rows)))
     keyed = numbered.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"), "node", "copies", "vector")
     built = materialise(keyed.groupBy("dim", "shard").applyInArrow(_build(least, beam, recall, audit), NODE), "vector-graphs")
 
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    index = built.select("dim", F.col("shard").alias("target"), every, F.lit(0).alias("kind"), "pos", "node", "copies", "vector", "links", "local_root")
-    other = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard"))).alias("target")
-    block = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
-    asked = built.select("dim", other, block, F.lit(1).alias("kind"), "pos", "node", "copies", "vector", F.lit(None).cast("binary").alias("links"), "local_root")
-    dealt = index.union(asked).repartition(shards * blocks, "dim", "target", "block").sortWithinPartitions("dim", "target", "block", "kind", "pos")
-    found = materialise(dealt.mapInArrow(_query(least, beam, recall, audit), FOUND), "vector-links")
+    # every shard meets every other one in a task of that pair, where both ask
+    pair = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != F.col("shard")))
+    asked = built.withColumn("other", pair).withColumns({"a": F.least("shard", "other"), "b": F.greatest("shard", "other")}).drop("other", "own_links")
+    dealt = asked.repartition(max(1, shards * (shards - 1) // 2), "dim", "a", "b")
+    found = materialise(dealt.groupBy("dim", "a", "b").applyInArrow(_across(least, beam, recall, audit), FOUND), "vector-links")
 
     stars = connected(built.select("node", "local_root").union(found.select("node", F.explode("roots"))))
     far = found.groupBy("node").agg(F.sum("n_links").alias("far"))

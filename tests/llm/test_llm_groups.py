@@ -177,6 +177,45 @@ def test_audit_widens_beams():
     assert all(len(near) >= 2 for _, near in shard.links(rows)) and widths == [16, 32, 64]
 
 
+class Partial(Graph):
+    """A graph that loses the partners of some rows: at narrow beams, or always."""
+
+    def __init__(self, rows, lost, until):
+        super().__init__(rows.astype(np.float32), [len(rows)], [])
+        self.lost, self.until, self.at = lost, until, 0
+
+    def within(self, queries, least, beam):
+        return [np.empty(0, np.int64) if i in self.lost and beam < self.until else f for i, f in enumerate(self.scan(queries, least))]
+
+
+def test_audit_sees_small_groups_beside_a_hot_one():
+    draw = np.random.default_rng(5)
+    hot = np.eye(64)[0] + draw.normal(size=(1500, 64)) * 0.001
+    pairs = np.repeat(draw.normal(size=(50, 64)), 2, axis=0) + draw.normal(size=(100, 64)) * 0.001
+    rows = np.concatenate([hot, pairs])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    shard = neighbours.Shard(rows, Partial(rows, set(range(1500, 1600)), 32), 0.9, 16, 0.99, 50)
+    found = dict(shard.links(rows, own=True))
+    assert all(i not in near for i, near in found.items()) and all(list(found[i]) == [i ^ 1] for i in range(1500, 1600))
+
+
+def test_links_found_from_one_end_count_at_both():
+    draw = np.random.default_rng(6)
+    hot = np.eye(64)[0] + draw.normal(size=(300, 64)) * 0.001
+    rows = np.concatenate([hot, np.repeat(draw.normal(size=(20, 64)), 3, axis=0) + draw.normal(size=(60, 64)) * 0.001])
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    lost, copies = {0, *range(300, 360, 3)}, np.arange(1, 361)  # no link is lost from both ends
+    linked = rows @ rows.T >= 0.9
+    np.fill_diagonal(linked, False)
+    a = neighbours.Shard(rows, Partial(rows, lost, 10**9), 0.9, 8, 0.0, 50)
+    own, _ = neighbours._counts(a, a, (copies, copies), (lambda i, near: None,) * 2)
+    assert (own == linked @ copies).all()
+    x, y = rows[::2], rows[1::2]
+    a, b = (neighbours.Shard(z, Partial(z, gone, 10**9), 0.9, 8, 0.0, 50) for z, gone in ((x, {0, 3, 151}), (y, set())))
+    got = neighbours._counts(a, b, (copies[::2], copies[1::2]), (lambda i, near: None,) * 2)
+    assert (got[0] == linked[::2, 1::2] @ copies[1::2]).all() and (got[1] == linked[1::2, ::2] @ copies[::2]).all()
+
+
 # shards
 
 
