@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.llm import decontaminate, packing, quality_votes, simhash
@@ -27,18 +27,25 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash group the row with the smallest doc_id stays, one if that id repeats.
 
-    A row without an id goes by a number from its text that is larger than any id.
+    A row without an id goes by a number from its text that is larger than any id. Rows are told apart by id
+    and text, as one id may be on texts of several groups.
     """
-    key = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61)))
-    groups = simhash.near_duplicates(docs.select(key.alias("doc_id"), "text"))
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = materialise(kept.withColumnRenamed("doc_id", "kept_id"), "kept")
+    key, digest = F.coalesce(F.col("doc_id"), F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))), F.xxhash64("text")
+    groups = simhash.grouped(docs.select(key.alias("doc_id"), "text", digest.alias("digest")), extra=["digest"])
+    least = groups.where("doc_id = component_id").groupBy("root", "doc_id", "digest").agg(F.count("*").alias("copies"))
+    kept = least.groupBy("root", F.col("doc_id").alias("kept_id")).agg(F.min(F.struct("digest", "copies")).alias("first"))
+    kept = materialise(kept.select("kept_id", F.col("first.digest").alias("kept_digest"), "first.copies"), "kept")
+
+    def same(some: DataFrame) -> Column:
+        return (key == some["kept_id"]) & (digest == some["kept_digest"])
+
     repeated = kept.where("copies > 1")
     if not repeated.limit(1).count():
         # ids are hashed per partition and texts stream past them: no text is sorted
-        return docs.join(kept.hint("shuffle_hash"), key == kept["kept_id"], "left_semi")
-    single = docs.join(kept.where("copies = 1").hint("shuffle_hash"), key == kept["kept_id"], "left_semi")
-    several = docs.join(repeated.hint("shuffle_hash"), key == repeated["kept_id"]).groupBy("kept_id").agg(F.min(F.struct(*docs.columns)).alias("row"))
+        return docs.join(kept.hint("shuffle_hash"), same(kept), "left_semi")
+    once = kept.where("copies = 1")
+    single = docs.join(once.hint("shuffle_hash"), same(once), "left_semi")
+    several = docs.join(repeated.hint("shuffle_hash"), same(repeated)).groupBy("kept_id", "kept_digest").agg(F.min(F.struct(*docs.columns)).alias("row"))
     return single.union(several.select("row.*"))
 
 

@@ -34,8 +34,8 @@ def fingerprint(text: bytes, width: int) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row's whole text as a signed long.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, extra: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp), and the long columns `extra`: the fingerprint of every row's whole text as a signed long.
 
     A null text counts as empty; empty texts have fingerprint 0. Rows with a null id or a repeated id
     stay rows of their own. Other columns of docs are left out, so no name can clash.
@@ -44,10 +44,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = np.array([fingerprint(t or b"", width) for t in batch.column(1).cast(pa.binary()).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *extra])
 
-    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(each, "doc_id long, fp long")
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *extra)
+    return given.mapInArrow(each, ", ".join(f"{c} long" for c in ("doc_id", "fp", *extra)))
 
 
 def embedding(fp):
@@ -169,10 +169,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest id that is reachable over links of at most `distance` bits; it is null only where no row of
     the component has an id. Null and empty texts have fingerprint 0 and link like any other.
     """
-    rows = materialise(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    found = grouped(docs, id_col, text_col, width, distance, levels, most)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 3, levels: Sequence[int] = (6, 12, 24), most: int = 4096, extra: Sequence[str] = ()) -> DataFrame:
+    """(fp, doc_id, root, component_id), and `extra`: the same with root, which no two components share even if an id is in both."""
+    rows = materialise(fingerprints(docs, id_col, text_col, width, extra), "fingerprints")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     stars = connected(links(nodes, distance, levels, most))
     placed = nodes.join(stars, nodes.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     labels = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(labels, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(placed.join(labels, "root").select("fp", "root", "component_id"), "fp")

@@ -342,3 +342,11 @@ def test_one_row_of_a_repeated_id_stays(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "x y z w v"), (3, "q r s t")]
     df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(map(str, (r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()))) == ["1", "3", "None"]
+
+
+def test_one_id_on_texts_of_several_groups(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
+    rows = [(5, a), (6, a), (5, b), (5, b), (7, b), (3, c), (5, c), (5, d), (None, d)]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, df, "")
+    assert got.columns == df.columns and Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(5, a), (5, b), (3, c), (5, d)])
