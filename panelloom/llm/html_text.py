@@ -42,6 +42,9 @@ NAMES = frozenset(
     "sidebar sidenav rail menu menus nav navbar navigation topnav breadcrumb breadcrumbs footer footers header masthead topbar toolbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
     "share sharing social related recommended recommendations widget widgets subscribe subscription newsletter signup login search pagination pager complementary contentinfo dialog".split()
 )
+#: a class such as has-sidebar tells of a state and doesn't name the element
+STATES = re.compile(r"\b(?:has|no|with|without|is|not|hide|show)[-_][\w-]+")
+HEADER_NAMES = frozenset("header headers masthead".split())
 ARTICLE_NAMES = frozenset("article main articlebody".split())
 
 
@@ -51,6 +54,8 @@ class Element:
     label: str
     apart: bool
     article: bool
+    named: bool = False  # by NAMES, and without a main element inside
+    within: bool = False  # an article
 
 
 @dataclass
@@ -60,6 +65,7 @@ class Block:
     linked: int
     article: bool
     heading: bool
+    named: list[tuple[int, Element]]
 
 
 def _attributes(given: str) -> dict[str, str]:
@@ -69,11 +75,17 @@ def _attributes(given: str) -> dict[str, str]:
 def _element(tag: str, given: str, inside: Element | None) -> Element:
     at = _attributes(given) if given and not given.isspace() else {}
     named = " ".join(at.get(k, "") for k in ("class", "id", "role", "itemprop")).lower()
-    words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", named))) if named else set()
+    words = set(re.findall(r"[a-z]+", STATES.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1 \2", named)))) & NAMES if named else set()
     article = tag in ("article", "main") or at.get("role", "").lower() in ARTICLE_NAMES or at.get("itemprop", "").lower() == "articlebody"
+    within = bool(inside and inside.article)
+    if article or tag in ("body", "html") or within and (tag == "header" or tag in HEADINGS):
+        words = set()
+    elif within or tag in HEADINGS:
+        words -= HEADER_NAMES
     hidden = "hidden" in at or at.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", at.get("style", ""), re.I) is not None
-    apart = hidden or tag in APART or tag not in ("body", "html", "main") and bool(words & NAMES) or tag == "header" and not (inside and inside.article)
-    return Element(tag, f"{tag}.{at.get('class', '').lower()}", apart or bool(inside and inside.apart), article or bool(inside and inside.article))
+    apart = hidden or tag in APART or tag == "header" and not within
+    label = f"{tag}.{at.get('class', '').lower()}" + "".join(f"#{w}" for w in sorted(words))
+    return Element(tag, label, apart or bool(inside and inside.apart), article or within, bool(words), within)
 
 
 def blocks(page: str) -> list[Block]:
@@ -87,7 +99,7 @@ def blocks(page: str) -> list[Block]:
     def close() -> None:
         text = " ".join("".join(words).split())
         if text and not (stack and stack[-1].apart):
-            found.append(Block(tuple(e.label for e in stack), text, linked[1], bool(stack and stack[-1].article), bool(stack and stack[-1].tag in HEADINGS)))
+            found.append(Block(tuple(e.label for e in stack), text, linked[1], bool(stack and stack[-1].article), bool(stack and stack[-1].tag in HEADINGS), [(i, e) for i, e in enumerate(stack) if e.named]))
         words.clear()
         linked[:] = [0, 0]
 
@@ -145,6 +157,9 @@ def blocks(page: str) -> list[Block]:
         if tag in HEADINGS and stack and stack[-1].tag in HEADINGS:
             stack.pop()
         stack.append(_element(tag, token[3], stack[-1] if stack else None))
+        if tag == "main" and not stack[-1].apart:
+            for e in stack:
+                e.named = False
     if skip is None:
         say(page[at:])
     close()
@@ -161,21 +176,40 @@ def _distance(a: tuple[str, ...], b: tuple[str, ...]) -> int:
     return max(len(a), len(b)) - same
 
 
-def main_text(page: str, share: float = 0.25, most_linked: float = 0.6, width: float = 0.5) -> str:
+def _open_length(block: Block) -> int:
+    return len(block.text) - min(block.linked, len(block.text))
+
+
+def _suspect(given: list[Block], within: bool, little: float, much: float) -> tuple[list[Block], set[tuple[str, ...]]]:
+    """The blocks without those in named elements, inside articles or outside, whose paths hold under `little` of
+    the unlinked text given, and the paths in such elements that hold under `much` of it."""
+    spots = [[b.path[: i + 1] for i, e in b.named if e.named and e.within == within] for b in given]
+    held: dict[tuple[str, ...], int] = {}
+    for b, tops in zip(given, spots):
+        for top in tops:
+            held[top] = held.get(top, 0) + _open_length(b)
+    total = sum(map(_open_length, given))
+    least = [min((held[top] for top in tops), default=total) for tops in spots]
+    return [b for b, x in zip(given, least) if x >= little * total], {b.path for b, x in zip(given, least) if x < much * total}
+
+
+def main_text(page: str, share: float = 0.25, most_linked: float = 0.6, width: float = 0.5, little: float = 0.25, much: float = 0.5, lowered: float = 0.2) -> str:
     """Text of the article of a page: its blocks in order, one line each; empty if there is none.
 
     share: what a path's score must reach of the best. A path whose text lies in links for more than most_linked
-    has no score. If the page marks an article, only paths in it count and all with a score are chosen. Else those
-    over the share are, with all others in the element, below the body, that holds the best path's blocks,
-    and headings right before a chosen block.
+    has no score. If the page marks an article, only paths in it count and all are chosen. Else those over the
+    share are, with all others in the element, below the body, that holds the best path's blocks, headings right
+    before a chosen block, and other blocks with a score between chosen ones. Elements named as menus, comments
+    and the like go if their path holds under `little` of the unlinked text; under `much` of it, their score is
+    lowered and must reach the share.
     """
-    found = blocks(page)
-    marked = any(b.article for b in found)
-    inside = [b for b in found if b.article or not marked]
+    inside, doubtful = _suspect(blocks(page), False, little, much)
+    if marked := any(b.article for b in inside):
+        inside, doubtful = _suspect([b for b in inside if b.article], True, little, much)
     sums: dict[tuple[str, ...], list[float]] = {}
     for b in inside:
         s = sums.setdefault(b.path, [0, 0, 0, 0])
-        for i, x in enumerate((len(b.text) - min(b.linked, len(b.text)), len(PUNCTUATION.findall(b.text)), len(b.text), 1)):
+        for i, x in enumerate((_open_length(b), len(PUNCTUATION.findall(b.text)), len(b.text), 1)):
             s[i] += x
     if not sums:
         return ""
@@ -186,16 +220,20 @@ def main_text(page: str, share: float = 0.25, most_linked: float = 0.6, width: f
         total = sum(w for w, _ in near)
         length = sum(w * sums[q][0] / sums[q][3] for w, q in near) / total
         marks = sum(w * (1 + sums[q][1] / sums[q][3]) for w, q in near) / total
-        score[p] = 0.0 if sums[p][0] < (1 - most_linked) * sums[p][2] else length * marks
+        score[p] = 0.0 if sums[p][0] < (1 - most_linked) * sums[p][2] else length * marks * (lowered if p in doubtful else 1)
     best = max(paths, key=score.__getitem__)
     around = best[:-1] if len(best) > 1 and not best[-2].startswith(("html.", "body.")) else None
-    chosen = {p for p in paths if score[p] > 0 and (marked or score[p] >= share * score[best] or around and p[: len(around)] == around)}
+    over = {p for p in paths if score[p] > 0 and score[p] >= share * score[best]}
+    beside = {p for p in paths if p not in doubtful and (marked or score[p] > 0 and around and p[: len(around)] == around)}
+    chosen = over | beside
     out: list[str] = []
+    at = [i for i, b in enumerate(inside) if b.path in chosen]
     after = False
-    for b in reversed(inside):
-        if b.path in chosen or b.heading and after:
+    for i in range(len(inside) - 1, -1, -1):
+        b = inside[i]
+        between = bool(at) and at[0] < i < at[-1] and score[b.path] > 0 and b.path not in doubtful
+        if after := b.path in chosen or between or b.heading and after:
             out.append(b.text)
-        after = b.path in chosen or b.heading and after
     return "\n".join(reversed(out))
 
 

@@ -225,6 +225,32 @@ def test_odd_pages(page, want):
     assert html_text.main_text(page) == want
 
 
+STORY = [f"Sentence {i} of the story, of some length, and a bit more of it." for i in range(9)]
+NAMED = ["<article class='post has-sidebar'>%s</article>", "<div class='content no-sidebar'>%s</div>", "<div id='page' class='social-site'>%s</div>", "<div class='social'><article>%s</article></div>", "<div class='share-story'>%s</div>"]
+
+
+@pytest.mark.parametrize("around", NAMED)
+def test_names_take_no_article(around):
+    body = "".join(f"<p>{x}</p>" for x in STORY) + "<div class='sidebar'>Top ten, of this week.</div>"
+    assert html_text.main_text(f"<body><div class='menu'>Home, and more.</div>{around % body}<div id='comments'><p>I agree, with all of it.</p></div></body>") == "\n".join(STORY)
+
+
+def test_header_inside_an_article_stays():
+    page = f"<article><header class='entry-header'><h1 class='header'>Title</h1></header><div class='post-header'>By one, of us.</div><p>{STORY[0]}</p><div class='ad'>Buy.</div></article>"
+    assert html_text.main_text(page) == f"Title\nBy one, of us.\n{STORY[0]}"
+
+
+def test_linked_lists_of_a_marked_article_stay():
+    page = f"<article><p>{STORY[0]}</p><ul><li><a href='1'>Source one</a></li><li><a href='2'>Source two</a></li></ul><nav>Menu</nav></article>"
+    assert html_text.main_text(page) == f"{STORY[0]}\nSource one\nSource two"
+
+
+def test_low_paths_between_paragraphs_in_the_body_stay():
+    first, last = ("".join(f"<p>{x}</p>" for x in part) for part in (STORY[:5], STORY[5:]))
+    page = f"<body><div><span>Top</span></div>{first}<ul><li>One</li><li>Two</li></ul><table><tr><td>7</td></tr></table><blockquote>So.</blockquote>{last}<div><i>End</i></div></body>"
+    assert html_text.main_text(page) == "\n".join([*STORY[:5], "One", "Two", "7", "So.", *STORY[5:]])
+
+
 def test_extract_keeps_every_row(spark):
     rows = [(1, "u", None, "z"), (None, None, "<p>x</p>", "z"), (2, "u", "<p>y</p>", "z"), (2, "u", "<p>y</p>", "z")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
