@@ -1,15 +1,16 @@
 """Quality scores by the votes of the nearest labelled documents in a latent-semantic space.
 
-Terms are word forms: a word with its letters replaced by their kind (capitals, a capital first, small),
-its digits by one 0, runs of a character cut to two; and two counts of repetition. Their frequencies,
-weighted by rarity, are projected onto the leading singular directions of the labelled documents.
+Terms are words, as the small letters in them, hashed; word forms: a word with its letters replaced by
+their kind (capitals, a capital first, small), its digits by one 0, runs of a character cut to two; and two
+counts of repetition. Their frequencies, weighted by rarity, are projected onto the leading singular
+directions of the labelled documents.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +21,14 @@ from pyspark.sql import functions as F
 from panelloom.llm.batches import kept, pieces
 
 FORMS = 1024
-TERMS = FORMS + 2
+WORDS = 2048
+TERMS = FORMS + 2 + WORDS
+#: a term of a vector that is not 0
+ENTRY = np.dtype([("term", "<u2"), ("value", "<f4")])
 LETTERS = re.compile(r"[^\W\d_]+")
 DIGITS = re.compile(r"\d+")
 RUNS = re.compile(r"(.)\1+", re.S)
 MOST_CACHED = 200_000
-NUMBERS = list(range(FORMS))  # one object per form, however many words have it
 
 
 def _kind(match: re.Match) -> str:
@@ -33,13 +36,15 @@ def _kind(match: re.Match) -> str:
     return "A" if len(word) > 1 and word.isupper() else "Aa" if word[0].isupper() else "a"
 
 
-def _form(word: str, known: dict[str, int]) -> int:
+def _number(word: str, known: dict[str, int]) -> int:
+    """The numbers of a word and its form in one; a word without letters has the number WORDS."""
     form = RUNS.sub(r"\1\1", DIGITS.sub("0", LETTERS.sub(_kind, word)))
-    number = zlib.crc32(form.encode()) % FORMS
+    letters = "".join(LETTERS.findall(word)).lower()
+    number = (zlib.crc32(letters.encode()) % WORDS if letters else WORDS) * FORMS + zlib.crc32(form.encode()) % FORMS
     if len(word) <= 64:
         if len(known) >= MOST_CACHED:
             known.clear()
-        known[word] = NUMBERS[number]
+        known[word] = number
     return number
 
 
@@ -48,10 +53,11 @@ def frequencies(text: str) -> np.ndarray:
     words, known = text.split(), kept("forms", dict)
     out = np.zeros(TERMS, np.float32)
     if words:
-        numbers = [n if (n := known.get(w)) is not None else _form(w, known) for w in words]
-        out[:FORMS] = np.bincount(np.array(numbers), minlength=FORMS)
+        numbers = np.array([n if (n := known.get(w)) is not None else _number(w, known) for w in words])
+        out[:FORMS] = np.bincount(numbers % FORMS, minlength=FORMS)
         out[FORMS] = sum(map(str.__eq__, words, words[1:]))
         out[FORMS + 1] = len(words) - len(set(words))
+        out[FORMS + 2 :] = np.bincount(numbers // FORMS, minlength=WORDS + 1)[:WORDS]
         out /= len(words)
     return np.sqrt(out)
 
@@ -110,16 +116,50 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            found = [frequencies(t).tobytes() for t in batch.column(1).to_pylist()]
+            found = [_packed(frequencies(t)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], ["id", "label", "vector"])
 
     rows = sorted(drawn.mapInArrow(each, "id long, label double, vector binary").collect())
-    given = np.frombuffer(b"".join(bytes(r.vector) for r in rows), np.float32).reshape(-1, TERMS)
-    rarity = (np.log((1 + len(rows)) / (1 + (given > 0).sum(axis=0))) + 1).astype(np.float32)
-    weighted = (given * rarity).astype(np.float64)
-    _, directions = np.linalg.eigh(weighted.T @ weighted)
-    space = directions[:, ::-1][:, :dims].astype(np.float32)
-    return Votes(rarity, space, _unit(given * rarity @ space).astype(np.float32), np.array([r.label for r in rows]), neighbours)
+    seen = np.zeros(TERMS, np.int64)
+    for r in rows:
+        seen[np.frombuffer(r.vector, ENTRY)["term"]] += 1
+    rarity = (np.log((1 + len(rows)) / (1 + seen)) + 1).astype(np.float32)
+
+    def blocks() -> Iterator[np.ndarray]:
+        for at in range(0, len(rows), 256):
+            given = np.zeros((len(rows[at : at + 256]), TERMS), np.float32)
+            for out, r in zip(given, rows[at : at + 256]):
+                entries = np.frombuffer(r.vector, ENTRY)
+                out[entries["term"]] = entries["value"]
+            yield given * rarity
+
+    space = _directions(blocks, dims).astype(np.float32)
+    vectors = np.vstack([np.zeros((0, dims), np.float32), *(_unit(x @ space) for x in blocks())]).astype(np.float32)
+    return Votes(rarity, space, vectors, np.array([r.label for r in rows]), neighbours)
+
+
+def _packed(vector: np.ndarray) -> bytes:
+    """The terms of a vector that are not 0, with their values."""
+    out = np.empty(np.count_nonzero(vector), ENTRY)
+    out["term"] = np.flatnonzero(vector)
+    out["value"] = vector[out["term"]]
+    return out.tobytes()
+
+
+def _directions(blocks: Callable[[], Iterator[np.ndarray]], dims: int) -> np.ndarray:
+    """The leading right singular directions of the rows in all blocks, by subspace iteration until they stand still:
+    only one block is in memory."""
+    basis, last = np.linalg.qr(np.random.default_rng(0).normal(size=(TERMS, 2 * dims)))[0], np.zeros(dims)
+    for _ in range(200):
+        image = np.zeros_like(basis)
+        for x in blocks():
+            image += x.T @ (x @ basis)
+        sizes, turn = np.linalg.eigh(basis.T @ image)
+        found, sizes = (basis @ turn)[:, ::-1][:, :dims], sizes[::-1][:dims]
+        if np.abs(sizes - last).max() <= 1e-9 * max(sizes[0], 1e-30):
+            break
+        basis, last = np.linalg.qr(image)[0], sizes
+    return found
 
 
 def score(docs: DataFrame, votes: Votes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -282,6 +282,16 @@ def test_votes_tell_held_out_rows(spark):
     assert quality_votes.score(docs(spark, []), votes).count() == 0
 
 
+def test_votes_tell_texts_of_one_form_by_their_words(spark):
+    draw = random.Random(4)
+    sorts = ["clean river stone garden light winter paper window".split(), "cheap pills quick money offer loans prize casino".split()]
+    rows = [(i, " ".join(draw.choice(sorts[i % 2]) for _ in range(30))) for i in range(200)]
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k, _ in rows], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality_votes.score(docs(spark, rows), quality_votes.fit(docs(spark, rows), labels)).collect()}
+    out = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 == 2]
+    assert out and all((got[k] >= 0.7) == (k % 2 == 0) for k in out)
+
+
 def test_held_out_labels_change_nothing(spark):
     from pyspark.sql import functions as F
 
