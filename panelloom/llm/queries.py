@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import chat, decontaminate, html_text, neighbours, packing, quality_votes, sharding, simhash, token_counts, warc
+from panelloom.llm import byte_bpe, chat, decontaminate, html_text, manifest, neighbours, packing, quality_votes, sharding, simhash, token_counts, warc
 from panelloom.sources.tables import scratch_dir
 
 QUERIES: dict = {}
@@ -138,3 +138,66 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_votes.score(docs, quality_votes.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", quality_votes.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op11_byte_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: unsigned CRC-32 of a short ASCII text, bit by bit
+CRC32 = """xor(list_reduce(range(8 * length({0})), lambda crc, i: CASE WHEN xor(crc, CASE WHEN i % 8 = 0 THEN ascii(substr({0}, i::INT // 8 + 1, 1)) ELSE 0 END) & 1 = 1
+    THEN xor(xor(crc, CASE WHEN i % 8 = 0 THEN ascii(substr({0}, i::INT // 8 + 1, 1)) ELSE 0 END) >> 1, 3988292384)
+    ELSE xor(crc, CASE WHEN i % 8 = 0 THEN ascii(substr({0}, i::INT // 8 + 1, 1)) ELSE 0 END) >> 1 END, 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR)) || ':' || {column}::VARCHAR, '-')"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE digests AS (
+    SELECT doc_id, lang, sha256({" || ".join(map(_field, manifest.FIELDS))}) AS leaf,
+        CASE WHEN {CRC32.format("doc_id::VARCHAR")} % 7 = 0 THEN sha256({" || ".join(_field(f if f != "n_chars" else "(n_chars + 1)") for f in manifest.FIELDS)}) END AS changed
+    FROM documents
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS size FROM digests
+), up(lang, level, pos, size, node) AS (
+    SELECT lang, 0, pos, size, leaf FROM ranked
+    UNION ALL
+    SELECT lang, level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM up WHERE size > 1 GROUP BY lang, level, pos // 2, size
+), subroots AS (
+    SELECT lang, node, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos, count(*) OVER () AS size FROM up WHERE size = 1
+), over_groups(level, pos, size, node) AS (
+    SELECT 0, pos, size, node FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 2, (size + 1) // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM over_groups WHERE size > 1 GROUP BY level, pos // 2, size
+), inner_steps AS (
+    SELECT lang, row_id, level, place, node FROM (
+        SELECT r.lang, r.pos AS row_id, u.level, r.pos >> u.level AS place FROM ranked r JOIN (SELECT DISTINCT lang, level, size FROM up WHERE size > 1) u ON u.lang IS NOT DISTINCT FROM r.lang
+    ) s LEFT JOIN (SELECT lang AS other_lang, level AS other_level, pos AS other_pos, node FROM up) o ON other_lang IS NOT DISTINCT FROM lang AND other_level = level AND other_pos = xor(place, 1)
+), outer_steps AS (
+    SELECT lang, level, place, node FROM (
+        SELECT s.lang, g.level, s.pos >> g.level AS place FROM subroots s, (SELECT DISTINCT level FROM over_groups WHERE size > 1) g
+    ) s LEFT JOIN (SELECT level AS other_level, pos AS other_pos, node FROM over_groups) o ON other_level = level AND other_pos = xor(place, 1)
+), steps AS (
+    SELECT lang, row_id, level, place, node FROM inner_steps
+    UNION ALL
+    SELECT r.lang, r.pos, 1000 + o.level, o.place, o.node FROM ranked r JOIN outer_steps o ON o.lang IS NOT DISTINCT FROM r.lang
+), ways AS (
+    SELECT lang, row_id, list(CASE WHEN node IS NULL THEN '' WHEN place & 1 = 1 THEN 'L' || node ELSE 'R' || node END ORDER BY level) AS way FROM steps GROUP BY lang, row_id
+), proofs AS (
+    SELECT r.doc_id, r.leaf, r.changed, s.node AS subroot, (SELECT node FROM over_groups WHERE size = 1) AS root, coalesce(w.way, []) AS way
+    FROM ranked r LEFT JOIN ways w ON w.lang IS NOT DISTINCT FROM r.lang AND w.row_id = r.pos JOIN subroots s ON s.lang IS NOT DISTINCT FROM r.lang
+), folded AS (
+    SELECT *, list_reduce(way, lambda h, step: CASE WHEN step[1] = 'L' THEN sha256(step[2:] || h) ELSE sha256(h || step[2:]) END, coalesce(changed, leaf)) AS folded_root FROM proofs
+)
+SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda step: step[2:]), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), altered={"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
