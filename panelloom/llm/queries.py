@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.llm import byte_bpe, chat, decontaminate, html_text, manifest, neighbours, packing, quality_votes, sharding, simhash, token_counts, warc
+from panelloom.llm import byte_bpe, chat, decontaminate, html_text, manifest, neighbours, packing, quality_votes, sharding, simhash, spelling, token_counts, warc
 from panelloom.sources.tables import scratch_dir
 
 QUERIES: dict = {}
@@ -201,3 +201,49 @@ SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, l
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     return manifest.manifest(table(spark, sf_dir, "documents"), altered={"n_chars": F.when(hit, F.col("n_chars") + 1).otherwise(F.col("n_chars"))})
+
+
+OP13_SQL = """
+WITH RECURSIVE runs AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{6,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+), keyed AS (
+    SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS k, count(*) AS times FROM runs GROUP BY ALL
+), bits(byte, step, c) AS (
+    SELECT range, 0, range::BIGINT FROM range(256)
+    UNION ALL SELECT byte, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8
+), crc_table AS (SELECT byte, c FROM bits WHERE step = 8
+), crcs(k, hexed, i, crc) AS (
+    SELECT k, hex(encode(k)), 0, 4294967295::BIGINT FROM keyed
+    UNION ALL
+    SELECT k, hexed, i + 1, xor(crc >> 8, c) FROM crcs JOIN crc_table ON byte = xor(crc, ('0x' || substr(hexed, 2 * i + 1, 2))::BIGINT) & 255 WHERE 2 * i < length(hexed)
+), hashed AS (
+    SELECT run, times, xor(crc, 4294967295) AS h FROM keyed JOIN crcs USING (k) WHERE 2 * i = length(hexed)
+), words AS (
+    SELECT word, sum(times)::BIGINT AS n FROM (
+        SELECT times, CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed
+    ) WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), cut AS (
+    SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM words)
+), near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+    UNION SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+    SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, encode(other)) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+    SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM words LEFT JOIN best USING (word)
+), led(word, root) AS (
+    SELECT word, form FROM formed WHERE form IS NOT NULL
+    UNION ALL SELECT led.word, f.form FROM led JOIN formed f ON f.word = led.root WHERE f.form IS NOT NULL
+), ends AS (SELECT led.word, led.root FROM led JOIN formed f ON f.word = led.root WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(e.root, f.word) AS root, f.n, f.n_near, f.form_n FROM formed f LEFT JOIN ends e USING (word)
+"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.runs(table(spark, sf_dir, "documents"))
+    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    place = (h % F.length("run")).cast("int")
+    shorter = F.concat(F.substring(F.col("run"), F.lit(1), place), F.substring(F.col("run"), place + 2, F.length("run")))
+    return spelling.variants(found.select(F.when(h % 199 == 0, shorter).otherwise(F.col("run")).alias("word")))
