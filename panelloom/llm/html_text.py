@@ -8,9 +8,8 @@ smoothed over similar paths, and multiplied; blocks on paths over a share of the
 from __future__ import annotations
 
 import html
-import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,7 +20,8 @@ from panelloom.llm.batches import pieces
 
 # fixed values of the markup language
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math canvas object audio video select".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+FOREIGN = frozenset("template svg math canvas object audio video select".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: an opening of the key ends an open element of the values, up to the nearest element of the third
@@ -31,7 +31,6 @@ ENDS = {
 }
 SCOPE = frozenset("table td th caption button".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
@@ -46,195 +45,331 @@ NAMES = frozenset(
 STATES = re.compile(r"\b(?:has|no|with|without|is|not|hide|show)[-_][\w-]+")
 HEADER_NAMES = frozenset("header headers masthead".split())
 ARTICLE_NAMES = frozenset("article main articlebody".split())
+#: weight of a path one step away, exp(-2)
+NEAR = 0.1353
 
 
 @dataclass
 class Element:
     tag: str
-    label: str
-    apart: bool
-    article: bool
-    named: bool = False  # by NAMES, and without a main element inside
-    within: bool = False  # an article
+    parent: int
+    path: int  # of the page's tree of tag paths
+    apart: bool = False  # never text of an article, or inside of what isn't
+    named: bool = False  # by NAMES
+    header: bool = False  # of a page or of an article without marks
+    article: bool = False  # a marked article, or inside of one
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    element: int
     text: str
     linked: int
-    article: bool
-    heading: bool
-    named: list[tuple[int, Element]]
+
+    @property
+    def open_length(self) -> int:
+        return len(self.text) - min(self.linked, len(self.text))
+
+
+TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r">|=\s*[\"']")
+
+
+def _tags(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, name, attributes) of each tag; comments, declarations and the text of raw elements have no
+    name. One pass: what is looked for in vain is not looked for again."""
+    at, last = 0, {c: page.rfind(c) for c in ">\"'"}
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start) or page.startswith("<![CDATA[", start):
+            close = "-->" if page.startswith("<!--", start) else "]]>"
+            end = page.find(close, start + 4)
+            at = len(page) if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        if start > last[">"]:
+            return
+        found = TAG.match(page, start + 1)
+        if not found:
+            at = start + 1
+            if page.startswith(("<!", "<?"), start):
+                at = page.index(">", start) + 1
+                yield start, at, "", "", ""
+            continue
+        end = found.end()
+        while (stop := STOP.search(page, end)) and stop[0] != ">":
+            quote = stop[0][-1]
+            end = page.find(quote, stop.end()) + 1 if stop.end() <= last[quote] else 0
+            if not end:  # a quote that never closes ends with the tag
+                stop = re.compile(">").search(page, stop.end())
+                break
+        if not stop:
+            return
+        at = stop.end()
+        name = found[2].lower()
+        yield start, at, found[1], name, page[found.end() : at - 1]
+        if name in RAW and not found[1] and page[at - 2] != "/":
+            end = re.compile(f"</{name}", re.I).search(page, at)
+            yield at, end.start() if end else len(page), "", "", ""
+            if not end:
+                return
+            at = end.start()
 
 
 def _attributes(given: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(given)}
 
 
-def _element(tag: str, given: str, inside: Element | None) -> Element:
-    at = _attributes(given) if given and not given.isspace() else {}
-    named = " ".join(at.get(k, "") for k in ("class", "id", "role", "itemprop")).lower()
-    words = set(re.findall(r"[a-z]+", STATES.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1 \2", named)))) & NAMES if named else set()
-    article = tag in ("article", "main") or at.get("role", "").lower() in ARTICLE_NAMES or at.get("itemprop", "").lower() == "articlebody"
-    within = bool(inside and inside.article)
-    if article or tag in ("body", "html") or within and (tag == "header" or tag in HEADINGS):
-        words = set()
-    elif within or tag in HEADINGS:
-        words -= HEADER_NAMES
-    hidden = "hidden" in at or at.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", at.get("style", ""), re.I) is not None
-    apart = hidden or tag in APART or tag == "header" and not within
-    label = f"{tag}.{at.get('class', '').lower()}" + "".join(f"#{w}" for w in sorted(words))
-    return Element(tag, label, apart or bool(inside and inside.apart), article or within, bool(words), within)
-
-
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order, without those in parts that are never text of an article."""
-    found: list[Block] = []
-    stack: list[Element] = []
-    words: list[str] = []
-    linked = [0, 0]  # links open, and characters in links of this block
-    skip, at = None, 0
-
-    def close() -> None:
-        text = " ".join("".join(words).split())
-        if text and not (stack and stack[-1].apart):
-            found.append(Block(tuple(e.label for e in stack), text, linked[1], bool(stack and stack[-1].article), bool(stack and stack[-1].tag in HEADINGS), [(i, e) for i, e in enumerate(stack) if e.named]))
-        words.clear()
-        linked[:] = [0, 0]
-
-    def pop(tags: set[str] | frozenset, stop: set[str] | frozenset) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return
-            if stack[i].tag in stop:
-                return
+class Page:
+    """A page's elements, its blocks of text in order, and its tree of tag paths.
+
+    Elements are numbered as they open; number 0 is the page. A path is a number as well, with that of its parent.
+    """
 
-    def say(text: str) -> None:
+    def __init__(self, page: str):
+        self.elements = [Element("", -1, 0)]
+        self.blocks: list[Block] = []
+        self.above = [-1]  # path of the parent, by path
+        self._paths: dict[tuple[int, str], int] = {}
+        self._stack = [0]
+        self._open: dict[str, list[int]] = {}  # places in the stack, by tag
+        self._words: list[str] = []
+        self._linked = [0, 0]  # links open, and characters in links of this block
+        self._read(page)
+
+    def _close(self) -> None:
+        text = " ".join("".join(self._words).split())
+        if text and not self.elements[self._stack[-1]].apart:
+            self.blocks.append(Block(self._stack[-1], text, self._linked[1]))
+        self._words.clear()
+        self._linked[:] = [0, 0]
+
+    def _last(self, tags) -> int:
+        return max((self._open[t][-1] for t in tags if self._open.get(t)), default=0)
+
+    def _pop(self, tags, stop) -> None:
+        """Ends the innermost open element of `tags`, unless one of `stop` is open inside of it."""
+        at = self._last(tags)
+        if at and at >= self._last(stop):
+            while len(self._stack) > at:
+                self._open[self.elements[self._stack.pop()].tag].pop()
+
+    def _push(self, tag: str, given: str) -> None:
+        at = _attributes(given) if given and not given.isspace() else {}
+        inside = self.elements[self._stack[-1]]
+        called = " ".join(at.get(k, "") for k in ("class", "id", "role", "itemprop")).lower()
+        words = set(re.findall(r"[a-z]+", STATES.sub(" ", re.sub(r"([a-z])([A-Z])", r"\1 \2", called)))) & NAMES if called else set()
+        marked = tag in ("article", "main") or at.get("role", "").lower() in ARTICLE_NAMES or at.get("itemprop", "").lower() == "articlebody"
+        if tag in ("body", "html", "main") or inside.article and (tag == "header" or tag in HEADINGS):
+            words = set()
+        elif inside.article or tag in HEADINGS:
+            words -= HEADER_NAMES
+        hidden = "hidden" in at or at.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", at.get("style", ""), re.I) is not None
+        header = not inside.article and (tag == "header" or bool(words) and words <= HEADER_NAMES)
+        label = f"{tag}.{at.get('class', '').lower()}" + "".join(f"#{w}" for w in sorted(words))
+        path = self._paths.setdefault((inside.path, label), len(self.above))
+        if path == len(self.above):
+            self.above.append(inside.path)
+        self._open.setdefault(tag, []).append(len(self._stack))
+        self._stack.append(len(self.elements))
+        self.elements.append(Element(tag, self._stack[-2], path, inside.apart or hidden or tag in APART, bool(words) and not header, header, marked or inside.article))
+
+    def _say(self, text: str) -> None:
         if text:
             text = html.unescape(text)
-            words.append(text)
-            if linked[0]:
-                linked[1] += len(text.strip())
-
-    depth = 0
-    for token in TOKEN.finditer(page):
+            self._words.append(text)
+            if self._linked[0]:
+                self._linked[1] += len(text.strip())
+
+    def _read(self, page: str) -> None:
+        skip, depth, at = None, 0, 0
+        for start, end, slash, tag, given in _tags(page):
+            if skip is None:
+                self._say(page[at:start])
+            at = end
+            if skip is not None:
+                if tag == skip and not given.endswith("/"):
+                    depth += -1 if slash else 1
+                    skip = skip if depth else None
+            elif tag in FOREIGN:
+                if not slash and not given.endswith("/"):
+                    skip, depth = tag, 1
+            elif tag in VOID:
+                if tag == "hr":
+                    self._close()
+                elif tag == "br":
+                    self._words.append(" ")
+            elif tag not in BLOCK:
+                if tag == "a":
+                    self._linked[0] = 0 if slash else 1
+            elif slash:
+                self._close()
+                self._pop({tag}, frozenset() if tag not in ("p", "li", "td", "th", "tr") else SCOPE - {tag})
+            else:
+                self._close()
+                if tag != "p" or self._open.get("p"):
+                    self._pop({"p"}, SCOPE)
+                if tag in ENDS:
+                    self._pop(*ENDS[tag])
+                if tag in HEADINGS and (top := self.elements[self._stack[-1]].tag) in HEADINGS:
+                    self._stack.pop()
+                    self._open[top].pop()
+                self._push(tag, given)
         if skip is None:
-            say(page[at : token.start()])
-        at = token.end()
-        if token[2] is None:
-            continue
-        tag, ends = token[2].lower(), bool(token[1])
-        if skip is not None:
-            if tag == skip and not (token[3] or "").endswith("/"):
-                depth += -1 if ends else skip not in ("script", "style", "textarea", "title")
-                if not depth:
-                    skip = None
-            continue
-        if tag in RAW:
-            if not ends and not token[3].endswith("/"):
-                skip, depth = tag, 1
-            continue
-        if tag in VOID:
-            if tag == "hr":
-                close()
-            elif tag == "br":
-                words.append(" ")
-            continue
-        if tag not in BLOCK:
-            if tag == "a":
-                linked[0] = 0 if ends else 1
-            continue
-        close()
-        if ends:
-            pop({tag}, frozenset() if tag not in ("p", "li", "td", "th", "tr") else SCOPE - {tag})
-            continue
-        if tag != "p" or any(e.tag == "p" for e in stack):
-            pop({"p"}, SCOPE)
-        if tag in ENDS:
-            pop(*ENDS[tag])
-        if tag in HEADINGS and stack and stack[-1].tag in HEADINGS:
-            stack.pop()
-        stack.append(_element(tag, token[3], stack[-1] if stack else None))
-        if tag == "main" and not stack[-1].apart:
-            for e in stack:
-                e.named = False
-    if skip is None:
-        say(page[at:])
-    close()
-    return found
-
-
-def _distance(a: tuple[str, ...], b: tuple[str, ...]) -> int:
-    """Elements that differ after the common beginning of two paths."""
-    same = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        same += 1
-    return max(len(a), len(b)) - same
-
-
-def _open_length(block: Block) -> int:
-    return len(block.text) - min(block.linked, len(block.text))
-
-
-def _suspect(given: list[Block], within: bool, little: float, much: float) -> tuple[list[Block], set[tuple[str, ...]]]:
-    """The blocks without those in named elements, inside articles or outside, whose paths hold under `little` of
-    the unlinked text given, and the paths in such elements that hold under `much` of it."""
-    spots = [[b.path[: i + 1] for i, e in b.named if e.named and e.within == within] for b in given]
-    held: dict[tuple[str, ...], int] = {}
-    for b, tops in zip(given, spots):
-        for top in tops:
-            held[top] = held.get(top, 0) + _open_length(b)
-    total = sum(map(_open_length, given))
-    least = [min((held[top] for top in tops), default=total) for tops in spots]
-    return [b for b, x in zip(given, least) if x >= little * total], {b.path for b, x in zip(given, least) if x < much * total}
-
-
-def main_text(page: str, share: float = 0.25, most_linked: float = 0.6, width: float = 0.5, little: float = 0.25, much: float = 0.5, lowered: float = 0.2) -> str:
+            self._say(page[at:])
+        self._close()
+
+    def flags(self, own) -> list[bool]:
+        """Per element, whether `own` holds for it or for an element around it."""
+        out: list[bool] = []
+        for e in self.elements:
+            out.append(own(e) or e.parent >= 0 and out[e.parent])
+        return out
+
+    def outermost(self, own) -> list[int]:
+        """Per element, the outermost of itself and the elements around it for which `own` holds; -1 for none."""
+        out: list[int] = []
+        for i, e in enumerate(self.elements):
+            above = out[e.parent] if e.parent >= 0 else -1
+            out.append(above if above >= 0 else i if own(e) else -1)
+        return out
+
+    def held(self, amount=None, own=None) -> list[int]:
+        """Per element, the sum over itself and all elements in it: of `amount` of their blocks, or of `own`."""
+        out = [0] * len(self.elements) if own is None else [int(own(i, e)) for i, e in enumerate(self.elements)]
+        for b in self.blocks if amount else ():
+            out[b.element] += amount(b)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.elements[i].parent] += out[i]
+        return out
+
+
+def _real(block: Block) -> int:
+    """Characters of a block that reads like text and not like a label or a list of links."""
+    return block.open_length if 5 * block.open_length >= 2 * len(block.text) and (len(block.text) >= 80 or re.search(r"[.!?…。！？]", block.text)) else 0
+
+
+def _unname(page: Page) -> None:
+    """Takes the name from elements that hold the article itself.
+
+    A named element goes however long its text is, unless nothing outside of named elements reads like text, or the
+    only top heading is inside with more text than outside. Then what holds that heading, else the largest
+    marked article, else the largest named element, is no part to leave out.
+    """
+    elements = page.elements
+    gone = page.flags(lambda e: e.named or e.header or e.apart)
+    named = page.flags(lambda e: e.named)
+    if not any(named):
+        return
+    real = page.held(_real)
+    clean = sum(_real(b) for b in page.blocks if not gone[b.element])
+
+    outer = page.outermost(lambda e: e.named)
+    target = -1
+    if not any(e.tag == "h1" and not gone[i] for i, e in enumerate(elements)):
+        header = page.flags(lambda e: e.header or e.apart)
+        headings = (i for i, e in enumerate(elements) if e.tag == "h1" and named[i] and not header[i])
+        target = next((i for i in headings if real[outer[i]] > clean), -1)
+    if target < 0 and not clean:
+        inside = [i for i, e in enumerate(elements) if named[i] and not e.apart and e.article and not elements[e.parent].article]
+        target = max(inside or [i for i, e in enumerate(elements) if outer[i] == i and not e.apart], key=real.__getitem__, default=-1)
+        if target >= 0 and not real[target]:
+            target = -1
+    while target >= 0:
+        elements[target].named = False
+        target = elements[target].parent
+
+
+def path_scores(above: Sequence[int], sums: dict[int, list[float]], near: float = NEAR, most_linked: float = 0.6) -> dict[int, float]:
+    """Score per path from its sums (text outside links, punctuation marks, text, blocks).
+
+    Text and marks per block are each smoothed over the path itself and, with the weight `near`, its parent, its
+    children and the other children of its parent; their product is the score. A path whose text lies in links
+    for more than most_linked has none. above: the parent of each path.
+    """
+    none = [0.0, 0.0, 0.0, 0.0]
+    below: dict[int, list[float]] = {}
+    for p, own in sums.items():
+        into = below.setdefault(above[p], [0.0] * 4)
+        for i, x in enumerate(own):
+            into[i] += x
+    score = {}
+    for p, own in sums.items():
+        parent, beside, children = sums.get(above[p], none), below[above[p]], below.get(p, none)
+        length, marks, _, n = (x + near * (u + b - x + c) for x, u, b, c in zip(own, parent, beside, children))
+        score[p] = 0.0 if own[0] < (1 - most_linked) * own[2] else length / n * (1 + marks / n)
+    return score
+
+
+def _title(page: Page, first: int) -> list[int]:
+    """Blocks of the header of an article without marks that starts with block `first`: of the last header before it
+    that is in an element below the body which holds the article, and that holds a heading, no menu, mostly unlinked
+    text, and the only top heading if there is one."""
+    elements = page.elements
+    gone = page.flags(lambda e: e.named or e.apart)
+    around, i = set(), page.blocks[first].element
+    while i >= 0 and elements[i].tag not in ("body", "html", ""):
+        around.add(i)
+        i = elements[i].parent
+    tops = page.outermost(lambda e: e.header)
+    found: dict[int, list[int]] = {}
+    for k, b in enumerate(page.blocks[:first]):
+        if (top := tops[b.element]) >= 0 and not gone[top] and elements[top].parent in around:
+            found.setdefault(top, []).append(k)
+    menus = page.held(own=lambda i, e: e.apart)
+    firsts = page.held(own=lambda i, e: e.tag == "h1" and not gone[i])
+    for top in sorted(found, reverse=True):
+        blocks = [page.blocks[k] for k in found[top]]
+        heads = any(elements[b.element].tag in HEADINGS for b in blocks)
+        if heads and not menus[top] and firsts[0] == firsts[top] and 2 * sum(b.open_length for b in blocks) >= sum(len(b.text) for b in blocks):
+            return found[top]
+    return []
+
+
+def main_text(html_text: str, share: float = 0.25, most_linked: float = 0.6) -> str:
     """Text of the article of a page: its blocks in order, one line each; empty if there is none.
 
-    share: what a path's score must reach of the best. A path whose text lies in links for more than most_linked
-    has no score. If the page marks an article, only paths in it count and all are chosen. Else those over the
-    share are, with all others in the element, below the body, that holds the best path's blocks, headings right
-    before a chosen block, and other blocks with a score between chosen ones. Elements named as menus, comments
-    and the like go if their path holds under `little` of the unlinked text; under `much` of it, their score is
-    lowered and must reach the share.
+    share: what a path's score must reach of the best, see `path_scores`. If the page marks an article, its paths are
+    chosen. Else those over the share are, with all others in the element, below the body, that holds the best
+    path's blocks, headings right before a chosen block, other blocks with a score between chosen ones, and the
+    header of that element. Menus, forms, comments, adverts and the like go by element and by name, inside of an
+    article as well, however long they are; see `_unname` for names on what holds the article. Time and memory
+    are in proportion to the page, whatever it holds.
     """
-    inside, doubtful = _suspect(blocks(page), False, little, much)
-    if marked := any(b.article for b in inside):
-        inside, doubtful = _suspect([b for b in inside if b.article], True, little, much)
-    sums: dict[tuple[str, ...], list[float]] = {}
-    for b in inside:
-        s = sums.setdefault(b.path, [0, 0, 0, 0])
-        for i, x in enumerate((_open_length(b), len(PUNCTUATION.findall(b.text)), len(b.text), 1)):
+    page = Page(html_text)
+    _unname(page)
+    elements, blocks = page.elements, page.blocks
+    named = page.flags(lambda e: e.named)
+    gone = page.flags(lambda e: e.named or e.header or e.apart)
+    inside = [k for k, b in enumerate(blocks) if not gone[b.element]]
+    if marked := any(elements[blocks[k].element].article for k in inside):
+        inside = [k for k in inside if elements[blocks[k].element].article]
+    sums: dict[int, list[float]] = {}
+    path = {k: elements[blocks[k].element].path for k in inside}
+    for k in inside:
+        b, s = blocks[k], sums.setdefault(path[k], [0.0] * 4)
+        for i, x in enumerate((b.open_length, len(PUNCTUATION.findall(b.text)), len(b.text), 1)):
             s[i] += x
     if not sums:
         return ""
-    paths = list(sums)
-    score = {}
-    for p in paths:
-        near = [(math.exp(-((_distance(p, q) / width) ** 2) / 2) * sums[q][3], q) for q in paths]
-        total = sum(w for w, _ in near)
-        length = sum(w * sums[q][0] / sums[q][3] for w, q in near) / total
-        marks = sum(w * (1 + sums[q][1] / sums[q][3]) for w, q in near) / total
-        score[p] = 0.0 if sums[p][0] < (1 - most_linked) * sums[p][2] else length * marks * (lowered if p in doubtful else 1)
-    best = max(paths, key=score.__getitem__)
-    around = best[:-1] if len(best) > 1 and not best[-2].startswith(("html.", "body.")) else None
-    over = {p for p in paths if score[p] > 0 and score[p] >= share * score[best]}
-    beside = {p for p in paths if p not in doubtful and (marked or score[p] > 0 and around and p[: len(around)] == around)}
-    chosen = over | beside
-    out: list[str] = []
-    at = [i for i, b in enumerate(inside) if b.path in chosen]
-    after = False
+    score = path_scores(page.above, sums, most_linked=most_linked)
+    best = max(sums, key=score.__getitem__)
+    holder = {elements[blocks[k].element].parent for k in inside if path[k] == best}
+    around = page.above[best] if all(elements[i].tag not in ("html", "body", "") for i in holder) else -1
+    under = [False] * len(page.above)
+    for p in range(1, len(under)):
+        under[p] = p == around or under[page.above[p]]
+    chosen = {p for p in sums if marked or score[p] > 0 and (under[p] or score[p] >= share * score[best])}
+    at = [i for i, k in enumerate(inside) if path[k] in chosen]
+    after, kept = False, []
     for i in range(len(inside) - 1, -1, -1):
-        b = inside[i]
-        between = bool(at) and at[0] < i < at[-1] and score[b.path] > 0 and b.path not in doubtful
-        if after := b.path in chosen or between or b.heading and after:
-            out.append(b.text)
-    return "\n".join(reversed(out))
+        k = inside[i]
+        between = bool(at) and at[0] < i < at[-1] and score[path[k]] > 0
+        if after := path[k] in chosen or between or elements[blocks[k].element].tag in HEADINGS and after:
+            kept.append(k)
+    kept.reverse()
+    if kept and not marked:
+        kept = _title(page, kept[0]) + kept
+    return "\n".join(blocks[k].text for k in kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

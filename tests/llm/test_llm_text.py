@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from hashlib import sha256
 
@@ -235,6 +236,78 @@ def test_names_take_no_article(around):
     assert html_text.main_text(f"<body><div class='menu'>Home, and more.</div>{around % body}<div id='comments'><p>I agree, with all of it.</p></div></body>") == "\n".join(STORY)
 
 
+LONG = [f"This is opinion number {i}, rather long, and it goes on for a while; nobody knows why it does." for i in range(12)]
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{x}</p>" for x in texts)
+
+
+def test_a_long_sidebar_is_no_article():
+    page = f"<body><div class='content'><h1>Title</h1><p>One short sentence.</p></div><div class='sidebar'>{paragraphs(LONG[:4])}</div></body>"
+    assert html_text.main_text(page) == "Title\nOne short sentence."
+
+
+@pytest.mark.parametrize("count", [2, 8, 12])
+def test_comments_go_however_long_they_are(count):
+    comments, body = paragraphs(LONG[:count]), paragraphs(STORY[:3])
+    for page in (
+        f"<article><h1>Title</h1>{body}<section class='comments'>{comments}</section></article>",
+        f"<article><h1>Title</h1>{body}</article><div id='comments'>{comments}</div>",
+        f"<body><div class='post'><h1>Title</h1>{body}</div><div id='comments'>{comments}</div></body>",
+        f"<body><div class='post'><h1>Title</h1>{body}<div class='reader-comments'>{comments}</div></div></body>",
+        f"<article><h1>Title</h1>{body}<div id='c'><article class='comment'>{comments}</article></div></article>",
+    ):
+        assert html_text.main_text(page) == "\n".join(["Title", *STORY[:3]])
+
+
+def test_the_header_of_an_article_without_marks_stays():
+    post = f"<div class='post'><header><h1>Title</h1></header>{paragraphs(STORY)}</div>"
+    assert html_text.main_text(f"<body><header><h2>Site</h2><nav>Menu</nav></header>{post}</body>") == "\n".join(["Title", *STORY])
+    site = f"<div id='wrap'><header><h1>Site</h1></header><div class='post'><h1>Title</h1>{paragraphs(STORY)}</div></div>"
+    assert html_text.main_text(f"<body>{site}</body>") == "\n".join(["Title", *STORY])
+
+
+def test_a_named_element_that_holds_the_only_heading_is_the_article():
+    page = f"<body><div class='widget'><h1>Title</h1>{paragraphs(STORY)}<div class='related'>{paragraphs(LONG)}</div></div><p>All rights reserved.</p></body>"
+    assert html_text.main_text(page).startswith("\n".join(["Title", *STORY])) and LONG[0] not in html_text.main_text(page)
+
+
+HOSTILE = {
+    "open tags": "<a " * 330_000,
+    "open quotes": '<a x="' * 160_000 + ">",
+    "odd quotes": "<a x='\"" * 140_000 + "> <b>",
+    "classes": "".join(f"<div class='c{i}'>Some text, number {i}.</div>" for i in range(22_000)),
+    "deep": "<div>text " * 100_000,
+    "deep classes": "".join(f"<div class='widget c{i}'>t. " for i in range(35_000)),
+    "unopened ends": "<div>" * 70_000 + "</section></p></td>" * 35_000,
+    "items": "<ul><li>x" * 60_000 + "</li></b>" * 40_000,
+    "comments": "<!-- " * 200_000,
+    "scripts": "<script>" * 120_000,
+    "many headers": "<div>" + "<header><h2>t.</h2></header>" * 30_000 + "<p>Text, at last.</p>",
+    "headers": "<div><header><h1>t.</h1></header>" * 30_000,
+}
+
+
+@pytest.mark.parametrize("kind", HOSTILE)
+def test_hostile_pages_of_a_megabyte_take_linear_time(kind):
+    began = time.thread_time()
+    html_text.main_text(HOSTILE[kind])
+    assert time.thread_time() - began < 8  # a quadratic step takes minutes
+
+
+def test_path_scores_equal_all_pairs():
+    """Every path compared with every other: weight 1 for itself, NEAR one step away, nothing else."""
+    draw = random.Random(6)
+    above = [-1] + [draw.randrange(i) for i in range(1, 120)]
+    sums = {p: [float(draw.randrange(90)), draw.randrange(9), 90.0, draw.randrange(1, 5)] for p in draw.sample(range(1, 120), 80)}
+    for p, found in html_text.path_scores(above, sums).items():
+        weight = {q: 1 if p == q else html_text.NEAR if above[q] == p or above[p] == q or above[p] == above[q] else 0 for q in sums}
+        length, marks, blocks = (sum(w * sums[q][i] for q, w in weight.items()) for i in (0, 1, 3))
+        want = 0 if sums[p][0] < 0.4 * sums[p][2] else length / blocks * (1 + marks / blocks)
+        assert found == pytest.approx(want)
+
+
 def test_header_inside_an_article_stays():
     page = f"<article><header class='entry-header'><h1 class='header'>Title</h1></header><div class='post-header'>By one, of us.</div><p>{STORY[0]}</p><div class='ad'>Buy.</div></article>"
     assert html_text.main_text(page) == f"Title\nBy one, of us.\n{STORY[0]}"
