@@ -113,7 +113,7 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    records = warc.read_archives(spark.read.schema(warc.BUNDLE).parquet(path))
+    records = warc.read_archives(spark.read.schema(warc.BUNDLE).parquet(path), payloads=False)
     return records.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

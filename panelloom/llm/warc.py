@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.llm.batches import pieces
+from panelloom.sources.tables import materialise
 
 # fixed values of the two formats
 SKIPPABLE = 0x184D2A5E
@@ -90,7 +91,7 @@ BUNDLE = "bundle binary, index array<struct<record_id: bigint, frame: int, offse
 INDEX = pa.list_(pa.struct([("record_id", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
 
 
-def _bundles(frame_bytes: int, bundle_bytes: int, date: str, level: int):
+def _bundles(frame_bytes: int, bundle_bytes: int, raw_bytes: int, records: int, date: str, level: int):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=level, write_content_size=True)
         frames, sizes, index, open_, filled = [], [], [], [], 0
@@ -109,16 +110,16 @@ def _bundles(frame_bytes: int, bundle_bytes: int, date: str, level: int):
             frames, sizes, index = [], [], []
             return out
 
-        for batch in pieces(batches):
+        for batch in pieces(batches, 100):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 key, url, payload, size, digest, refers_to = row
                 data = record(key, url, payload or b"", size, digest, refers_to, date)
                 index.append({"record_id": key, "frame": len(frames), "offset": filled, "length": len(data)})
                 open_.append(data)
                 filled += len(data)
-                if filled >= frame_bytes:
+                if filled >= frame_bytes or len(index) >= records:
                     close_frame()
-                    if sum(c for c, _ in sizes) >= bundle_bytes:
+                    if len(index) >= records or sum(c for c, _ in sizes) >= bundle_bytes or sum(r for _, r in sizes) >= raw_bytes:
                         yield close_bundle()
         close_frame()
         if frames:
@@ -127,54 +128,87 @@ def _bundles(frame_bytes: int, bundle_bytes: int, date: str, level: int):
     return each
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000, frame_bytes: int = 256 << 10, bundle_bytes: int = 1 << 20, date: str = "1970-01-01T00:00:00Z", level: int = 3) -> None:
+def write_archives(
+    pages: DataFrame,
+    path: str,
+    id_col: str = "page_id",
+    url_col: str = "url",
+    payload_col: str = "html",
+    least_bytes: int = 1000,
+    frame_bytes: int = 256 << 10,
+    bundle_bytes: int = 1 << 20,
+    raw_bytes: int = 8 << 20,
+    records: int = 8192,
+    date: str = "1970-01-01T00:00:00Z",
+    level: int = 3,
+) -> None:
     """Writes one record per row of pages as bundles with their indexes, a table of rows, to `path`.
 
     Of equal payloads of at least least_bytes that with the largest id is a response and the others, which
     refer to it, are revisits without a payload; rows that repeat that id and payload are responses too.
     Smaller payloads are all responses. A null payload is empty; a null url is left out; rows with a null id
-    refer to the largest id if there is one. A frame ends with the first record that fills it and a bundle
-    with the first frame that fills it, so a very long payload makes a long frame of its own and every
-    bundle stays of bounded size beside that. An empty table writes an empty archive.
+    refer to the largest id if there is one. A frame ends with the first record that fills it, a bundle
+    with the first record or frame that fills it: by its compressed bytes, its bytes or its records. So a very long
+    payload makes a long frame of its own, and beside that every bundle stays small, however well its records
+    compress. An empty table writes an empty archive.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     given = pages.select(F.col(id_col).cast("long").alias("key"), F.col(url_col).alias("url"), payload.alias("payload"))
-    given = given.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    copies = given.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("key").alias("best"), F.count("*").alias("n")).where("n > 1 AND best IS NOT NULL")
-    # copies has a row per copied payload, not per copy; adaptive execution splits a payload with very many copies
-    marked = given.join(copies.drop("n"), ["digest", "size"], "left")
-    refers_to = F.when(F.col("key").isNull() | (F.col("key") < F.col("best")), F.col("best"))
-    rows = marked.select("key", "url", F.when(refers_to.isNull(), F.col("payload")).alias("payload"), "size", "digest", refers_to.alias("refers_to"))
-    rows.mapInArrow(_bundles(frame_bytes, bundle_bytes, date, level), BUNDLE).write.option("compression", "none").option("parquet.block.size", 8 << 20).mode("errorifexists").parquet(path)
-
-
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["record_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        for i in range(batch.num_rows):
-            bundle, index = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-            places = read_seek_table(bundle)
-            out, held, data = [], -1, b""
-            for entry in index:
-                if entry["frame"] != held:
-                    held = entry["frame"]
-                    start, size = places[held]
+    given = given.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.unhex(F.sha1("payload"))})
+    # who refers to whom is decided on ids and digests; payloads then meet only what is known of their own row
+    slim = given.where(F.col("size") >= least_bytes).select("key", "digest")
+    copies = slim.groupBy("digest").agg(F.max("key").alias("best"), F.count("*").alias("n")).where("n > 1 AND best IS NOT NULL").drop("n")
+    copies = materialise(copies, "warc-copies")
+    later = slim.join(copies, "digest").where("key IS NULL OR key < best").groupBy("key", "digest").agg(F.max("best").alias("refers_to"))
+    later = materialise(later.select(F.col("key").alias("own"), F.col("digest").alias("copied"), "refers_to"), "warc-revisits")
+    marked = given.join(later, given["key"].eqNullSafe(later["own"]) & (given["digest"] == later["copied"]), "left")
+    kept = F.when(F.col("refers_to").isNull(), F.col("payload"))
+    rows = marked.select("key", "url", kept.alias("payload"), "size", F.lower(F.hex("digest")).alias("digest"), "refers_to")
+    packed = rows.mapInArrow(_bundles(frame_bytes, bundle_bytes, raw_bytes, records, date, level), BUNDLE)
+    packed.write.option("compression", "none").option("parquet.block.size", 8 << 20).mode("errorifexists").parquet(path)
+
+
+NAMES = ["record_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "payload"]
+KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
+
+
+def _read(columns: int):
+    """Records frame by frame, with the first `columns` of NAMES; the others are checked and let go."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                bundle, index = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                places = read_seek_table(bundle)
+                at = 0
+                while at < len(index):
+                    frame, rows = index[at]["frame"], []
+                    start, size = places[frame]
                     data = unpack.decompress(bundle[start : start + size])
-                out.append(parse(data[entry["offset"] : entry["offset"] + entry["length"]]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in out], k) for n, k in zip(names, kinds)], names)
+                    while at < len(index) and index[at]["frame"] == frame:
+                        found = parse(data[index[at]["offset"] : index[at]["offset"] + index[at]["length"]])
+                        rows.append([found[name] for name in NAMES[:columns]])
+                        at += 1
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), KINDS)], NAMES[:columns])
+
+    return each
 
 
-def read_archives(archives: DataFrame) -> DataFrame:
-    """(record_id, url, record_type, payload_bytes, payload_digest, refers_to, payload) of every record, found by
-    the index and the seek table; payload is null for revisits. A record that does not fit its digest fails."""
-    return archives.select("bundle", "index").mapInArrow(_read, "record_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary")
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """(record_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload]) of every record, found by
+    the index and the seek table; payload is null for revisits. A record that does not fit its digest fails, with
+    and without its payload in the result."""
+    schema = "record_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long" + ", payload binary" * payloads
+    return archives.select("bundle", "index").mapInArrow(_read(len(NAMES) - (not payloads)), schema)
 
 
 def fetch(archives: DataFrame, record_ids: list[int]) -> DataFrame:
-    """The records with these ids: only bundles that hold one are read, only their frames decompressed."""
-    wanted = set(record_ids)
+    """(record_id, record): the records with these ids; only bundles that hold one are read, only their frames
+    decompressed. Unknown ids have no row, null is no id, and no ids give an empty result."""
+    wanted = {k for k in record_ids if k is not None}
+    if not wanted:
+        return archives.sparkSession.createDataFrame([], "record_id long, record binary")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -293,6 +293,24 @@ def test_archives_round_trip(spark, tmp_path):
         assert len(frames) == max(e.frame for e in row["index"]) + 1
 
 
+def test_very_many_copies_make_many_small_bundles(spark, tmp_path):
+    """300,000 revisits of one page compress to almost nothing, yet no bundle holds more than its bound."""
+    given = spark.range(300_000).select(F.col("id").alias("page_id"), F.lit("http://a").alias("url"), F.lit("same page " * 200).alias("html"))
+    warc.write_archives(given, str(tmp_path / "c"))
+    archives = spark.read.schema(warc.BUNDLE).parquet(str(tmp_path / "c"))
+    assert archives.agg(F.max(F.size("index"))).first()[0] <= 8192
+    found = warc.read_archives(archives, payloads=False)
+    assert "payload" not in found.columns
+    assert {tuple(r) for r in found.groupBy("record_type", "refers_to").count().collect()} == {("response", None, 1), ("revisit", 299_999, 299_999)}
+
+
+def test_fetch_of_no_and_unknown_ids(spark, tmp_path):
+    warc.write_archives(pages(spark, [(1, "u", "x"), (None, "u", "y")]), str(tmp_path / "d"))
+    archives = spark.read.schema(warc.BUNDLE).parquet(str(tmp_path / "d"))
+    assert warc.fetch(archives, []).count() == warc.fetch(archives, [None]).count() == warc.fetch(archives, [7]).count() == 0
+    assert warc.fetch(archives, [None, 1]).count() == 1
+
+
 def test_archive_of_nothing_and_a_damaged_one(spark, tmp_path):
     warc.write_archives(pages(spark, []), str(tmp_path / "b"))
     assert warc.read_archives(spark.read.schema(warc.BUNDLE).parquet(str(tmp_path / "b"))).count() == 0
