@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from panelloom.functions import rolling as R
 from panelloom.functions.scalars import best_first, hash_order, known_score, safe_div
 from panelloom.operators.joins import range_compound
+from panelloom.sources.tables import materialise
 
 PERIODS_PER_YEAR = 365.25 / 7
 
@@ -64,6 +65,25 @@ def weights(periods: DataFrame, threshold: float = 0.55, seed: int = 42) -> Data
     )
 
 
+def chain(pointers: DataFrame, node: str, to: str) -> DataFrame:
+    """The nodes that following `to` from the smallest node reaches, that one included; NULL ends the chain.
+
+    Pointer doubling: in round k every node knows the node 2^k steps on, and the first 2^k nodes of the chain are
+    known; one self-join doubles both. Rounds are written, so neither the plan nor a lost executor's work
+    grows with them, and a chain of n nodes takes log2(n) rounds over any number of tasks.
+    """
+    first = pointers.agg(F.min(node)).first()[0]
+    known = F.col(node) == F.lit(first)
+    table = materialise(pointers.select(F.col(node).alias("node"), F.col(to).alias("jump"), F.coalesce(known, F.lit(False)).alias("reached")), "chain")
+    while table.where("reached AND jump IS NOT NULL").limit(1).count():
+        further = table.select(F.col("node").alias("jump"), F.col("jump").alias("__jump"))
+        hits = table.where("reached AND jump IS NOT NULL").select(F.col("jump").alias("node"), F.lit(True).alias("__hit"))
+        joined = table.join(further, "jump", "left").join(hits, "node", "left")
+        reached = F.col("reached") | F.coalesce(F.col("__hit"), F.lit(False))
+        table = materialise(joined.select("node", F.col("__jump").alias("jump"), reached.alias("reached")), "chain")
+    return table.where("reached").select(F.col("node").alias(node))
+
+
 def hysteresis(periods: DataFrame, delta: float) -> DataFrame:
     """(signal_date, held_asset, switched): keep the held asset until another leads it by more
     than `delta`.
@@ -71,8 +91,8 @@ def hysteresis(periods: DataFrame, delta: float) -> DataFrame:
     The state is sequential, but only along a chain of switch dates. Every date has one
     candidate (its best known score; an unknown score of the held asset gives nothing up, and on a
     date without known scores the holding stays); a window per asset finds the first later date on which that
-    candidate would be given up, which makes one pointer per date. The chain of pointers is then
-    followed from the first date over a list with one small entry per rebalance date.
+    candidate would be given up, which makes one pointer per date. The dates on the chain of pointers from the
+    first date are found by doubling them.
     """
     periods = periods.withColumn("prob", known_score(F.col("prob")))
     candidate = F.when(F.col("prob").isNotNull(), F.struct("asset", "prob"))
@@ -93,23 +113,8 @@ def hysteresis(periods: DataFrame, delta: float) -> DataFrame:
         .where(F.col("asset") == F.col("best_asset"))
         .select("signal_date", "best_asset", "next_switch")
     )
-    steps = pointers.agg(F.sort_array(F.collect_list(F.struct("signal_date", "next_switch"))).alias("steps"))
-    start = F.struct(
-        F.col("steps")[0]["signal_date"].alias("due"), F.array().cast("array<date>").alias("dates")
-    )
-    chain = F.aggregate(
-        "steps",
-        start,
-        lambda acc, step: F.when(
-            step["signal_date"] == acc["due"],
-            F.struct(
-                step["next_switch"].alias("due"),
-                F.array_append(acc["dates"], step["signal_date"]).alias("dates"),
-            ),
-        ).otherwise(acc),
-        lambda acc: acc["dates"],
-    )
-    switches = steps.select(F.explode(chain).alias("signal_date")).withColumn("switched", F.lit(True))
+    pointers = materialise(pointers, "pointers")
+    switches = chain(pointers, "signal_date", "next_switch").withColumn("switched", F.lit(True))
     w = Window.orderBy("signal_date")
     return (
         best.select("signal_date")

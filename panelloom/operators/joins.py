@@ -250,22 +250,6 @@ def schedule_lookup(
     return asof_join(dates, side, on=date, columns=columns, direction="forward")
 
 
-def compare_tables(
-    a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]
-) -> DataFrame:
-    """(column, matched_keys, differing): null-safe differences of two versions on shared keys."""
-    keys = list(keys)
-    left = a.select(*keys, *[F.col(c).alias(f"__a_{c}") for c in columns])
-    right = b.select(*keys, *[F.col(c).alias(f"__b_{c}") for c in columns])
-    counts = left.join(right, keys, "inner").agg(
-        F.count(F.lit(1)).alias("matched_keys"),
-        *[F.count_if(~F.col(f"__a_{c}").eqNullSafe(F.col(f"__b_{c}"))).alias(c) for c in columns],
-    )
-    return counts.unpivot(["matched_keys"], list(columns), "column", "differing").select(
-        "column", "matched_keys", "differing"
-    )
-
-
 def coverage(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row: distinct keys in a, in b, in both, only in a, only in b."""
     key = list(key)

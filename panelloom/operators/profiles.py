@@ -211,20 +211,43 @@ def numeric_profile(
     return stats.join(wide, "column")
 
 
+#: columns on either side of a tile of the correlation matrix; 9 co-moments fit one generated loop
+TILE = 3
+#: pairs up to which one aggregate without tiles holds them all
+FEW_PAIRS = 16
+
+
 def corr_long(
     df: DataFrame, columns: Sequence[str], min_abs: float | None = None
 ) -> DataFrame:
-    """(column_a, column_b, corr) for every unordered pair, in one aggregate."""
-    pairs = list(combinations(columns, 2))
-    wide = df.agg(
-        *[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs]
-    )
-    long = wide.unpivot([], [f"`{a}|{b}`" for a, b in pairs], "pair", "corr").select(
-        F.split("pair", r"\|")[0].alias("column_a"),
-        F.split("pair", r"\|")[1].alias("column_b"),
-        "corr",
-    )
-    return long if min_abs is None else long.where(F.abs("corr") > min_abs)
+    """(column_a, column_b, corr) for every unordered pair of columns, over the rows where both are known.
+
+    The columns of a row go into an array, and the row is exploded to the tiles of the matrix, pairs of blocks of
+    TILE columns. Tiles are the groups of one aggregate that holds TILE * TILE co-moments, combined in each
+    task before the shuffle, whatever the number of columns. A few pairs need no tiles.
+    """
+    columns = list(columns)
+    if 0 < len(pairs := list(combinations(columns, 2))) <= FEW_PAIRS:
+        whole = df.agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+        long = whole.select(F.inline(F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"c{i}").alias("corr")) for i, (a, b) in enumerate(pairs)])))
+        return long if min_abs is None else long.where(F.abs("corr") > min_abs)
+    blocks = range(-(-len(columns) // TILE))
+    tiles = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in blocks for b in blocks if a <= b]
+    if not tiles or len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "column_a string, column_b string, corr double")
+    cells = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("x"))
+    tiled = cells.select("x", F.explode(F.array(*tiles)).alias("t")).select("x", "t.a", "t.b")
+    places = [(i, j) for i in range(TILE) for j in range(TILE)]
+
+    def value(block: str, i: int) -> Column:
+        return F.get("x", F.col(block) * TILE + i)
+
+    sums = tiled.groupBy("a", "b").agg(*[F.corr(value("a", i), value("b", j)).alias(f"c_{i}_{j}") for i, j in places])
+    pairs = F.array(*[F.struct((F.col("a") * TILE + i).alias("i"), (F.col("b") * TILE + j).alias("j"), F.col(f"c_{i}_{j}").alias("corr")) for i, j in places])
+    names = F.array(*map(F.lit, columns))
+    long = sums.select(F.inline(pairs)).where((F.col("i") < F.col("j")) & (F.col("j") < len(columns)))
+    named = long.select(F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), "corr")
+    return named if min_abs is None else named.where(F.abs("corr") > min_abs)
 
 
 def corr_with_target(df: DataFrame, columns: Sequence[str], target: Column) -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelloom.functions.aggregates import count_where, null_count
-from panelloom.operators.joins import compare_tables
 from panelloom.operators.profiles import corr_with_target
+from panelloom.operators.versions import compare_tables
 
 
 def _report(check: str, counts: DataFrame, names: Sequence[str]) -> DataFrame:

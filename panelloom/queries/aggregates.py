@@ -123,6 +123,30 @@ def ag7(spark, sf):
     return P.corr_long(roles.table(spark, sf, "lineitem"), _CORR).select("column_a", "column_b", r6("corr"))
 
 
+#: every measure over all rows and over the rows of one flag, so that pairs of two flags share no row
+_MASKED = {f"{c}_{flag or 'all'}": (c, flag) for c in _CORR for flag in (None, "A", "N", "R")}
+
+
+def _masked(name: str) -> str:
+    column, flag = _MASKED[name]
+    return f"CASE WHEN l_returnflag = '{flag}' THEN {column} END" if flag else column
+
+
+@query(
+    "ag7_correlation_tiles",
+    "WITH wide AS (SELECT "
+    + ", ".join(f"{_masked(n)} AS {n}" for n in _MASKED)
+    + " FROM lineitem) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) + 0e0 AS corr FROM wide"
+        for a, b in combinations(_MASKED, 2)
+    ),
+)
+def ag7_tiles(spark, sf):
+    wide = roles.table(spark, sf, "lineitem").select(*[F.expr(_masked(n)).alias(n) for n in _MASKED])
+    return P.corr_long(wide, list(_MASKED)).select("column_a", "column_b", r6("corr"))
+
+
 @query(
     "ag7_correlation_with_target",
     " UNION ALL ".join(

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from panelloom import schemas
 from panelloom.functions import scalars as S
 from panelloom.operators import features as feat
+from panelloom.operators import versions
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
 from panelloom.queries.windows import _ma, r6, trail
@@ -248,6 +249,20 @@ def snk1(spark, sf):
     return spark.read.schema(df.schema).parquet(target).select("asset", "date", "close", "volume")
 
 
+@query(
+    "snk1_publish_changed_partitions",
+    sql("panel", "SELECT asset, date, CASE WHEN asset LIKE '1%' AND volume = 2 THEN close + 1 ELSE close END AS close, volume FROM panel"),
+)
+def snk1_changed(spark, sf):
+    """A second version of the panel over a first one: only the partitions that differ are written."""
+    target = tables.scratch_dir(spark, "published")
+    first = tables.materialise(roles.panel(spark, sf).select("date", "close", "volume", "asset"), "panel")
+    versions.publish_changed(first, target, ["asset"])
+    moved = F.when(F.col("asset").startswith("1") & (F.col("volume") == 2), F.col("close") + 1).otherwise(F.col("close"))
+    versions.publish_changed(first.withColumn("close", moved), target, ["asset"])
+    return spark.read.schema(first.schema).parquet(target).select("asset", "date", "close", "volume")
+
+
 @query("snk2_publish_unpartitioned", sql("bench", "SELECT date, close FROM bench"))
 def snk2(spark, sf):
     target = tables.scratch_dir(spark, "published")

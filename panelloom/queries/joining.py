@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from panelloom.operators import calendar as cal
 from panelloom.operators import features as feat
-from panelloom.operators import joins
+from panelloom.operators import joins, versions
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
 from panelloom.queries.windows import r6
-from panelloom.sources.tables import materialise
+from panelloom.sources.tables import bucketed, materialise, scratch_dir, table_name
 
 
 @query(
@@ -33,6 +33,18 @@ def jn2(spark, sf):
     return roles.panel(spark, sf).join(paid, ["asset", "date"], "left").select("asset", "date", "close", "value")
 
 
+@query(
+    "jn2_bucketed_tables",
+    sql("panel divs", "SELECT p.asset, p.date, p.close, d.value FROM panel p LEFT JOIN divs d ON d.asset = p.asset AND d.ex_date = p.date"),
+)
+def jn2_bucketed(spark, sf):
+    """The same join over tables that are stored by its keys: no exchange."""
+    paid = roles.dividends(spark, sf).select("asset", F.col("ex_date").alias("date"), "value")
+    sides = {"panel": roles.panel(spark, sf).select("asset", "date", "close"), "paid": paid}
+    stored = {n: bucketed(df, table_name(n), ["asset", "date"], 8, location=scratch_dir(spark, n)) for n, df in sides.items()}
+    return stored["panel"].join(stored["paid"], ["asset", "date"], "left").select("asset", "date", "close", "value")
+
+
 @query(
     "jn3_attach_series",
     sql("panel macro_daily", "SELECT p.asset, p.date, p.close, m.macro_a, m.macro_b FROM panel p LEFT JOIN macro_daily m USING (date)"),
@@ -184,7 +196,22 @@ UNION ALL SELECT 'volume', (SELECT count(*) FROM panel), 0""",
 )
 def jn10(spark, sf):
     a, b = _versions(spark, sf)
-    return joins.compare_tables(a, b, ["asset", "date"], ["close", "adj_close", "volume"])
+    return versions.compare_tables(a, materialise(b, "version"), ["asset", "date"], ["close", "adj_close", "volume"])
+
+
+@query(
+    "jn10_changed_cells",
+    sql(
+        "panel",
+        """
+SELECT asset, date, 'close' AS "column", close AS before, close + 1 AS after FROM panel WHERE volume = 2
+UNION ALL SELECT asset, date, 'adj_close', adj_close, NULL FROM panel WHERE volume = 3""",
+    ),
+)
+def jn10_cells(spark, sf):
+    a, b = _versions(spark, sf)
+    cells = versions.changed_cells(a, materialise(b, "version"), ["asset", "date"], ["close", "adj_close", "volume"])
+    return cells.select("asset", "date", "column", F.col("before").cast("double").alias("before"), F.col("after").cast("double").alias("after"))
 
 
 @query(

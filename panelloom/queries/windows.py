@@ -12,7 +12,7 @@ from panelloom.operators import features as feat
 from panelloom.operators import joins, ranking, returns
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
-from panelloom.sources.tables import materialise
+from panelloom.sources.tables import bucketed, materialise, scratch_dir, table_name
 
 
 def r6(name: str):
@@ -88,6 +88,20 @@ def wn1(spark, sf):
     return df.select("asset", "date", "close_prev", r6("simple_return"))
 
 
+@query(
+    "wn1_bucketed_panel",
+    sql(
+        "panel",
+        "SELECT asset, date, lag(close) OVER (PARTITION BY asset ORDER BY date) AS close_prev FROM panel",
+    ),
+)
+def wn1_bucketed(spark, sf):
+    """A window by asset over a panel that is stored by asset: no exchange."""
+    panel = roles.panel(spark, sf).select("asset", "date", "close")
+    stored = bucketed(panel, table_name("panel"), ["asset"], 8, ["date"], scratch_dir(spark, "panel"))
+    return stored.select("asset", "date", F.lag("close", 1).over(KEYS.history()).alias("close_prev"))
+
+
 @query(
     "wn2_benchmark_return",
     sql("br", "SELECT date, bench_close, round(bench_return, 6) + 0e0 AS bench_return FROM br"),

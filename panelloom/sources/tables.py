@@ -75,6 +75,24 @@ def publish(
         writer.save(target)
 
 
+def table_name(label: str) -> str:
+    """A name of the catalog that no other run uses."""
+    return f"{label}_{uuid.uuid4().hex}"
+
+
+def bucketed(df: DataFrame, name: str, keys: Sequence[str], buckets: int, order: Sequence[str] = (), location: str | None = None) -> DataFrame:
+    """Saves df as a table that is bucketed by keys and sorted in its buckets, and returns it.
+
+    The layout is recorded in the catalog: joins, aggregates and windows by these keys of tables with the same number
+    of buckets need no exchange. Rows are dealt to the buckets first, so each bucket is one sorted file.
+    """
+    writer = df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys, *[c for c in order if c not in keys])
+    if location is not None:
+        writer = writer.option("path", location)
+    writer.saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def publish_sql(spark: SparkSession, name: str, sql: str, location: str) -> DataFrame:
     """Create-or-replace of a table from a query.
 

@@ -155,6 +155,20 @@ def test_hysteresis_equals_walking_the_dates(frame):
         assert got == brute_hysteresis(rows, delta)
 
 
+def test_chain_of_100000_dates_is_doubled(spark):
+    """A pointer to the next date but one, and one that ends: 17 rounds instead of 100,000 steps; no list of dates."""
+    n = 100_000
+    to = F.when(F.col("d") < n - 3, F.col("d") + F.when(F.col("d") % 10 == 4, 3).otherwise(2))
+    table = spark.range(n).select(F.col("id").alias("d")).withColumn("to", to)
+    found = bt.chain(table, "d", "to")
+    want, at = set(), 0
+    while at is not None:
+        want.add(at)
+        at = (at + (3 if at % 10 == 4 else 2)) if at < n - 3 else None
+    assert {r.d for r in found.collect()} == want
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
 def periods_frame(frame, rows):
     return frame("signal_date date, asset string, prob double, period_return double", rows)
 

@@ -11,7 +11,7 @@ from panelloom.functions import rolling as R
 from panelloom.keys import KEYS
 from panelloom.operators import calendar as cal
 from panelloom.operators import features as feat
-from panelloom.operators import joins, returns, splits
+from panelloom.operators import joins, returns, splits, versions
 from panelloom.plans import feature_tables as ft
 
 DAY0 = dt.date(2024, 1, 1)
@@ -234,12 +234,65 @@ def test_first_session_and_next_session(frame):
 def test_compare_and_coverage(frame):
     a = frame("k int, v double, u string", [(1, 1.0, "x"), (2, None, "y"), (3, 3.0, "z")])
     b = frame("k int, v double, u string", [(1, 1.0, "x"), (2, None, "q"), (4, 4.0, "w")])
-    got = {r["column"]: (r.matched_keys, r.differing) for r in joins.compare_tables(a, b, ["k"], ["v", "u"]).collect()}
+    got = {r["column"]: (r.matched_keys, r.differing) for r in versions.compare_tables(a, b, ["k"], ["v", "u"]).collect()}
     assert got == {"v": (2, 0), "u": (2, 1)}
     cov = joins.coverage(a, b, ["k"]).first()
     assert tuple(cov) == (3, 3, 2, 1, 1)
 
 
+def versions_of(frame, n=300):
+    rows = [(i, f"k{i % 7}", None if i % 11 == 0 else i / 3, "x" if i % 5 else None) for i in range(n)]
+    return rows, frame("k int, g string, v double, u string", rows)
+
+
+def test_equal_versions_are_compared_without_joining_rows(frame, tmp_path):
+    _, df = versions_of(frame)
+    df.write.parquet(str(tmp_path / "a"))
+    df.repartition(5).write.parquet(str(tmp_path / "b"))
+    a, b = (df.sparkSession.read.parquet(str(tmp_path / n)) for n in "ab")
+    out = versions.compare_tables(a, b, ["k", "g"], ["v", "u"])
+    assert "Join" not in out._jdf.queryExecution().toString() and {tuple(r) for r in out.collect()} == {("v", 300, 0), ("u", 300, 0)}
+    assert versions.changed_cells(a, b, ["k", "g"], ["v", "u"]).count() == 0
+
+
+def test_one_changed_cell_is_found_by_its_key(frame):
+    rows, a = versions_of(frame)
+    for buckets in (1, 16, 4096):
+        b = frame("k int, g string, v double, u string", [(k, g, v, "new" if k == 77 else u) for k, g, v, u in rows if k != 20])
+        found = versions.Comparison(a, b, ["k"], ["g", "v", "u"], buckets)
+        assert found.buckets_apart <= 2 and found.agreed_keys >= 300 - 300 * 2 // min(buckets, 16) - 40
+        assert {tuple(r) for r in versions.compare_tables(a, b, ["k"], ["g", "v", "u"], buckets).collect()} == {("g", 299, 0), ("v", 299, 0), ("u", 299, 1)}
+        assert [tuple(r) for r in versions.changed_cells(a, b, ["k"], ["g", "v", "u"], buckets).collect()] == [(77, "u", "x", "new")]
+
+
+def test_checksums_tell_nulls_swaps_and_copies(frame):
+    """Values that moved between keys, a value that went missing, and a row that came twice."""
+    for changed in ([(1, "b"), (2, "a")], [(1, None), (2, "b")], [(1, "a"), (2, "b"), (2, "b"), (2, "b")]):
+        a, b = frame("k int, v string", [(1, "a"), (2, "b")]), frame("k int, v string", changed)
+        assert versions.Comparison(a, b, ["k"], ["v"], 1).buckets_apart == 1
+    empty = frame("k int, v string", [])
+    assert [tuple(r) for r in versions.compare_tables(empty, empty, ["k"], ["v"]).collect()] == [("v", 0, 0)]
+
+
+def test_only_changed_partitions_are_written(frame, spark, tmp_path):
+    rows, df = versions_of(frame)
+    target = str(tmp_path / "t")
+
+    def files():
+        return {f.parent.name: f.name for f in (tmp_path / "t").rglob("*.parquet")}
+
+    nulls = df.withColumn("g", F.when(F.col("g") != "k6", F.col("g")))
+    assert versions.publish_changed(nulls, target, ["g"]).count() == 7
+    before = files()
+    assert versions.publish_changed(nulls.repartition(3), target, ["g"]).count() == 0 and files() == before
+    later = nulls.where("g <=> 'k2' OR g IS NULL OR g = 'k3'").withColumn("u", F.when(F.col("k") == 9, "new").otherwise(F.col("u"))).union(spark.createDataFrame([(1, "k9", 1.0, "n")], df.schema))
+    assert {r.g for r in versions.publish_changed(later, target, ["g"]).collect()} == {"k2", "k9"}
+    after = files()
+    assert {p for p in after if after[p] != before.get(p)} == {"g=k2", "g=k9"}
+    stored = spark.read.schema(df.schema).parquet(target)
+    assert stored.count() == 301 and stored.where("u = 'new'").count() == 1
+
+
 def test_frames_compute_equal_values_once(frame):
     df = frame("asset string, date date, total_return double", [("a", day(i), 0.1) for i in range(5)])
     fr = R.Frames(KEYS.history())

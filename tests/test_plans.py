@@ -47,3 +47,28 @@ def test_feature_table_shuffles_the_panel_by_asset_once(spark, name, shuffles):
 
 def test_top_n_is_not_a_sort(spark):
     assert "TakeOrderedAndProject" in plan(spark, "st2_top_n")
+
+
+@pytest.mark.parametrize("name", ["jn2_bucketed_tables", "wn1_bucketed_panel"])
+def test_bucketed_tables_are_not_shuffled(spark, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, name)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in text and "Bucketed: true" in text
+
+
+def test_tiles_bound_the_plan_of_a_correlation_matrix(spark):
+    """300 columns: 9 co-moments per node, null pairs as `corr` has them."""
+    from pyspark.sql import functions as F
+
+    from panelloom.operators import profiles
+
+    df = spark.range(40).select(*[F.when(F.hash("id", F.lit(i)) % 9 != 0, F.rand(i)).alias(f"c{i}") for i in range(300)])
+    text = profiles.corr_long(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and text.count("partial_corr(") <= 9 * 2
+    few = df.select(df.columns[:8])
+    want = few.agg(*[F.corr(a, b).alias(f"{a}|{b}") for i, a in enumerate(few.columns) for b in few.columns[i + 1 :]]).first()
+    got = {f"{r.column_a}|{r.column_b}": r["corr"] for r in profiles.corr_long(few, few.columns).collect()}
+    assert got.keys() == want.asDict().keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in got)
