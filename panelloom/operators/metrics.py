@@ -1,9 +1,9 @@
 """Classification metrics over (label, prob, keys), one aggregate per group.
 
-`label` is a boolean column, `prob` a score; NULL and NaN are unknown and left out. Rank statistics
-never sort a whole group in one task: scores are first counted per distinct value (map-side), and
-the ranks are summed over two nested levels of score bands. The bands are cut at quantiles of the
-scores of the rows, so each holds about as many of them however the scores crowd.
+`label` is a boolean column, `prob` a score; NULL and NaN are unknown and left out. For rank statistics the
+scores are counted per distinct value (map-side) into a written table, so the rows are read once. Only that table
+is ordered: as it is while it is small, else over two nested levels of score bands, cut at quantiles of the
+distinct scores, so that no task sorts a whole group. Both give the same sums.
 """
 
 from __future__ import annotations
@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.aggregates import count_where
 from panelloom.functions.scalars import band, hash_slot, known_score, safe_div
+from panelloom.sources.tables import materialise
 
 # Score bands per level: OUTER bands with INNER bands each.
 OUTER, INNER = 32, 32
+#: distinct scores, over all groups, that one task may order without bands
+ONE_TASK = 1_000_000
 
 
 def classify(prob: Column, threshold: float = 0.5) -> Column:
@@ -61,20 +64,22 @@ def _known(df: DataFrame, label: str, prob: str) -> DataFrame:
 
 
 def _score_counts(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
-    """(keys, score, pos, neg) and the outer and inner band of each distinct score."""
+    """(keys, score, pos, neg) of each distinct score, as a written table, with its outer and inner band if it has many."""
     known = _known(df, label, prob).select(*keys, label, F.col(prob).cast("double").alias("score"))
     counts = known.groupBy(*keys, "score").agg(
         F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg")
     )
-    return _banded(counts, known)
+    return _banded(materialise(counts, "scores"))
 
 
-def _banded(counts: DataFrame, known: DataFrame) -> DataFrame:
-    """Adds the bands: how many cuts lie at or below the score, first among the OUTER cuts, then among
-    the INNER ones inside that band. Any cuts give the same statistics; quantiles of the rows' scores make
-    bands of about as many rows, hence of at most as many distinct scores, in one pass without a shuffle."""
+def _banded(counts: DataFrame) -> DataFrame:
+    """Adds the bands to a written table of more than ONE_TASK scores: how many cuts lie at or below the score, first
+    among the OUTER cuts, then among the INNER ones inside that band. Any cuts give the same statistics;
+    quantiles of the distinct scores make bands of about as many of them."""
+    if counts.count() <= ONE_TASK:
+        return counts
     n = OUTER * INNER
-    found = known.agg(F.percentile_approx("score", [i / n for i in range(1, n)], 10_000).alias("all"))
+    found = counts.agg(F.percentile_approx("score", [i / n for i in range(1, n)], 10_000).alias("all"))
     # once for the whole table: all cuts, and every INNER-th of them
     cuts = found.select(F.struct("all", F.filter("all", lambda _, i: (i + 1) % INNER == 0).alias("outer"))).scalar()
 
@@ -96,7 +101,8 @@ def _u_statistic(counts: DataFrame, keys: Sequence[str], carry: Sequence[str] =
     """
     sums = [F.sum(c).alias(c) for c in ("pos", "neg", "u", *carry)]
     level = counts.withColumn("u", F.col("pos") * F.col("neg") * 0.5)
-    for parents, order in (([*keys, "outer", "inner"], "score"), ([*keys, "outer"], "inner"), ([*keys], "outer")):
+    nested = (([*keys, "outer", "inner"], "score"), ([*keys, "outer"], "inner"), ([*keys], "outer"))
+    for parents, order in nested if "outer" in counts.columns else (([*keys], "score"),):
         if order != "score":
             level = level.groupBy(*parents, order).agg(*sums)
         below = F.coalesce(
@@ -122,46 +128,58 @@ def roc_auc(
 
 
 def _curve(df: DataFrame, keys: Sequence[str], label: str, prob: str) -> DataFrame:
-    """Per distinct score: own counts, counts at or above it, and the group's totals.
+    """Per distinct score: own counts, counts at or above it, the group's totals, and the counts of the next lower score.
 
-    Counts above a score = counts of the higher bands + inside its own inner band.
+    In bands, counts above a score = counts of the higher bands + inside its own inner band, and the last score of
+    a band is followed by the first of the next lower one.
     """
     counts = _score_counts(df, keys, label, prob)
-    bands = counts.groupBy(*keys, "inner").agg(F.sum("pos").alias("band_pos"), F.sum("neg").alias("band_neg"))
-    whole = Window.partitionBy(*keys)
-    higher = whole.orderBy(F.col("inner").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bands.select(
-        *keys,
-        "inner",
-        F.coalesce(F.sum("band_pos").over(higher), F.lit(0)).alias("pos_above"),
-        F.coalesce(F.sum("band_neg").over(higher), F.lit(0)).alias("neg_above"),
-        F.sum("band_pos").over(whole).cast("double").alias("pos_all"),
-        F.sum("band_neg").over(whole).cast("double").alias("neg_all"),
-    )
-    upto = (
-        Window.partitionBy(*keys, "inner")
-        .orderBy(F.col("score").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    own = [*keys, "inner"] if "inner" in counts.columns else [*keys]
+    down = Window.partitionBy(*own).orderBy(F.col("score").desc())
+    upto = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.struct("pos", "neg")
     inside = counts.select(
-        *keys, "inner", "score", "pos", "neg",
-        F.sum("pos").over(upto).alias("cp"), F.sum("neg").over(upto).alias("cn"),
+        *own, "score", "pos", "neg",
+        F.sum("pos").over(upto).alias("cp"), F.sum("neg").over(upto).alias("cn"), F.lead(step).over(down).alias("next"),
     )
-    return inside.join(offsets, [*keys, "inner"]).select(
+    whole = Window.partitionBy(*keys)
+    if own == [*keys]:
+        facts = inside.select("*", F.sum("pos").over(whole).cast("double").alias("pos_all"), F.sum("neg").over(whole).cast("double").alias("neg_all"))
+    else:
+        bands = counts.groupBy(*own).agg(F.sum("pos").alias("band_pos"), F.sum("neg").alias("band_neg"), F.max_by(step, "score").alias("first"))
+        lower = whole.orderBy(F.col("inner").desc())
+        higher = lower.rowsBetween(Window.unboundedPreceding, -1)
+        offsets = bands.select(
+            *own,
+            F.coalesce(F.sum("band_pos").over(higher), F.lit(0)).alias("pos_above"),
+            F.coalesce(F.sum("band_neg").over(higher), F.lit(0)).alias("neg_above"),
+            F.lead("first").over(lower).alias("below"),
+            F.sum("band_pos").over(whole).cast("double").alias("pos_all"),
+            F.sum("band_neg").over(whole).cast("double").alias("neg_all"),
+        )
+        facts = inside.join(offsets, own).withColumns({"cp": F.col("cp") + F.col("pos_above"), "cn": F.col("cn") + F.col("neg_above"), "next": F.coalesce("next", "below")})
+    return facts.select(
         *keys,
         F.col("score").alias("threshold"),
-        safe_div(F.col("cp") + F.col("pos_above"), F.col("pos_all")).alias("tpr"),
-        safe_div(F.col("cn") + F.col("neg_above"), F.col("neg_all")).alias("fpr"),
+        safe_div(F.col("cp"), F.col("pos_all")).alias("tpr"),
+        safe_div(F.col("cn"), F.col("neg_all")).alias("fpr"),
         safe_div(F.col("pos").cast("double"), F.col("pos_all")).alias("tpr_gain"),
         safe_div(F.col("neg").cast("double"), F.col("neg_all")).alias("fpr_gain"),
+        # the first point of a group, and those whose next step has another slope
+        ((F.col("cp") == F.col("pos")) & (F.col("cn") == F.col("neg")) | F.col("next").isNull() | (F.col("pos") * F.col("next.neg") != F.col("neg") * F.col("next.pos"))).alias("corner"),
     )
 
 
 def roc_curve(
-    df: DataFrame, keys: Sequence[str] = (), label: str = "label", prob: str = "prob"
+    df: DataFrame, keys: Sequence[str] = (), label: str = "label", prob: str = "prob", thinned: bool = False
 ) -> DataFrame:
-    """(keys, threshold, tpr, fpr), one row per distinct score."""
-    return _curve(df, keys, label, prob).select(*keys, "threshold", "tpr", "fpr")
+    """(keys, threshold, tpr, fpr), one row per distinct score.
+
+    `thinned` leaves out points on the straight line between the points beside them, but never the first and the
+    last one: the curve and its area stay the same.
+    """
+    curve = _curve(df, keys, label, prob)
+    return (curve.where("corner") if thinned else curve).select(*keys, "threshold", "tpr", "fpr")
 
 
 def trapezoid_auc(
@@ -213,7 +231,7 @@ def fold_pair_statistics(df: DataFrame, fold: str, n_folds: int, label: str = "l
         .groupBy("pos_fold", "neg_fold", "score")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     )
-    return _u_statistic(_banded(pairs, known), ["pos_fold", "neg_fold"])
+    return _u_statistic(_banded(materialise(pairs, "scores")), ["pos_fold", "neg_fold"])
 
 
 def bootstrap_auc(pair_stats: DataFrame, n_folds: int, draws: int = 1000, seed: int = 42) -> DataFrame:

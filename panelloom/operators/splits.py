@@ -55,6 +55,16 @@ def _fold_literal(folds: Sequence[dict]) -> Column:
     )
 
 
+def yearly_folds(dates: DataFrame, date: str = "date", train_years: int = 3) -> list[dict]:
+    """One evaluation fold per calendar year of the dates, to the last one, after `train_years` years of training.
+
+    The first and the last date come to the driver; no dates give no folds.
+    """
+    first, last = dates.agg(F.year(F.min(date)), F.year(F.max(date))).first()
+    years = range(first + train_years, last + 1) if first is not None else ()
+    return [{"fold": str(y), "train_end": f"{y - 1}-12-31", "eval_start": f"{y}-01-01", "eval_end": f"{y}-12-31"} for y in years]
+
+
 def expanding_folds(df: DataFrame, date: str, folds: Sequence[dict]) -> DataFrame:
     """One row per (row, fold) that uses it, with `role` train or eval.
 

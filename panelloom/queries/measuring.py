@@ -93,6 +93,20 @@ def mt5(spark, sf):
     return df.select("threshold", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
 
 
+@query(
+    "mt5_thinned_roc_curve",
+    sql(
+        "scored",
+        _CURVE
+        + """, n AS (SELECT *, lead(pos) OVER (ORDER BY prob DESC) AS np, lead(neg) OVER (ORDER BY prob DESC) AS nn, row_number() OVER (ORDER BY prob DESC) AS i FROM c)
+SELECT prob AS threshold, round(tpr, 9) + 0e0 AS tpr, round(fpr, 9) + 0e0 AS fpr FROM n WHERE i = 1 OR np IS NULL OR pos * nn <> neg * np""",
+    ),
+)
+def mt5_thinned(spark, sf):
+    df = M.roc_curve(roles.scored_orders(spark, sf), thinned=True)
+    return df.select("threshold", F.round("tpr", 9).alias("tpr"), F.round("fpr", 9).alias("fpr"))
+
+
 @query(
     "mt5_trapezoid_auc",
     sql(

@@ -14,13 +14,13 @@ from panelloom.queries import roles, tables
 from panelloom.queries.joining import schedule
 from panelloom.queries.measuring import auc_sql
 from panelloom.queries.registry import query, sql
-from panelloom.queries.splitting import FOLDS
+from panelloom.queries.splitting import folds as yearly_folds
 from panelloom.queries.windows import r6
 from panelloom.sources.tables import materialise
 
 FEATURES = roles.FEATURES
-# Settings drawn from the grid. A search of 100 is the same call: its 300 fits take about 4 minutes on 8 cores.
-SEARCH_DRAWS = 20
+#: settings drawn from the grid
+SEARCH_DRAWS = 100
 
 
 def _boosted(train, features, label="label", **params):
@@ -74,8 +74,8 @@ def ml4(spark, sf):
 
 @query("ml5_temporal_search")
 def ml5(spark, sf):
-    frame = _frame(spark, sf).drop("prob")
-    folds = materialise(splits.eval_gap(splits.expanding_folds(frame, "date", FOLDS), 7), "folds")
+    frame, years = _frame(spark, sf).drop("prob"), yearly_folds(spark, sf)
+    folds = materialise(splits.eval_gap(splits.expanding_folds(frame, "date", years), 7), "folds")
     # The searched grid, all axes that these trees have.
     grid = {
         "maxDepth": [4, 5, 6, 7],
@@ -89,7 +89,7 @@ def ml5(spark, sf):
     }
     drawn = ml.draw_settings(spark, grid, SEARCH_DRAWS, seed=42)
     settings = [r.asDict() for r in drawn.drop("setting").collect()]
-    results = ml.search(folds, FEATURES, settings, _boosted, fold_names=[f["fold"] for f in FOLDS])
+    results = ml.search(folds, FEATURES, settings, _boosted, fold_names=[f["fold"] for f in years])
     return ml.composite_score(ml.summarise_folds(results))
 
 
@@ -137,7 +137,7 @@ def ml6(spark, sf):
     part = _split(spark, sf)
     base, others = FEATURES[:3], FEATURES[3:]
     sets = {"baseline": base, **{f"plus_{f}": [*base, f] for f in others}, "all": FEATURES, "without_benchmark": [f for f in FEATURES if not f.startswith("bench")]}
-    return ml.ablation(part["train"], part["val"].drop("prob"), sets, _boosted, "baseline")
+    return ml.ablation_rounds(part["train"], part["val"].drop("prob"), sets, _boosted, "baseline", {f"plus_{f}": f for f in others})
 
 
 @query(
@@ -179,13 +179,13 @@ def ml8(spark, sf):
 @query("ml8_feature_versions")
 def ml8_versions(spark, sf):
     """The feature tables against each other: the same model and folds on v1 and v2."""
-    results = None
+    results, years = None, yearly_folds(spark, sf)
     for version in ("v1", "v2"):
         table = tables.order_table(spark, sf, version).withColumnRenamed("target_7d", "label")
         names = ml.feature_columns(table, ["asset", "date", "label", "target_alpha_7d"])
         rows = table.withColumns({c: F.col(c).cast("double") for c in names})
-        folds = materialise(splits.eval_gap(splits.expanding_folds(rows, "date", FOLDS), 7), "folds")
-        found = ml.search(folds, names, [{}], ml.fit_logistic, fold_names=[f["fold"] for f in FOLDS])
+        folds = materialise(splits.eval_gap(splits.expanding_folds(rows, "date", years), 7), "folds")
+        found = ml.search(folds, names, [{}], ml.fit_logistic, fold_names=[f["fold"] for f in years])
         found = found.withColumn("version", F.lit(version))
         results = found if results is None else results.unionByName(found)
     return ml.version_decision(results, "v1", "v2")

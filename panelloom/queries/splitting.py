@@ -13,14 +13,13 @@ from panelloom.queries.registry import query, sql
 from panelloom.queries.windows import r6
 from panelloom.sources.tables import materialise
 
-# Yearly evaluation folds with an expanding training span.
-FOLDS = [
-    {"fold": str(y), "train_end": f"{y - 1}-12-31", "eval_start": f"{y}-01-01", "eval_end": f"{y}-12-31"}
-    for y in (1998, 1999, 2000)
-]
-FOLDS_SQL = "(VALUES " + ", ".join(
-    f"('{f['fold']}', DATE '{f['train_end']}', DATE '{f['eval_start']}', DATE '{f['eval_end']}')" for f in FOLDS
-) + ") f(fold, train_end, eval_start, eval_end)"
+# Yearly evaluation folds with an expanding training span, over the whole calendar of the orders.
+FOLDS_SQL = """(SELECT y::VARCHAR AS fold, make_date(y - 1, 12, 31) AS train_end, make_date(y, 1, 1) AS eval_start, make_date(y, 12, 31) AS eval_end
+FROM (SELECT unnest(range(a, b)) AS y FROM (SELECT year(min(o_orderdate)) + 3 AS a, year(max(o_orderdate)) + 1 AS b FROM orders))) f"""
+
+
+def folds(spark, sf) -> list[dict]:
+    return splits.yearly_folds(roles.table(spark, sf, "orders"), "o_orderdate")
 
 
 @query(
@@ -52,7 +51,7 @@ WITH m AS (SELECT rp.asset, rp.date, f.fold, CASE WHEN rp.date <= f.train_end TH
     ),
 )
 def sp2(spark, sf):
-    df = splits.expanding_folds(roles.return_cells(spark, sf), "date", FOLDS)
+    df = splits.expanding_folds(roles.return_cells(spark, sf), "date", folds(spark, sf))
     return df.groupBy("fold", "role").agg(
         F.count(F.lit(1)).alias("rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
     )
@@ -68,7 +67,7 @@ SELECT fold, role, asset, date FROM (SELECT *, dense_rank() OVER (PARTITION BY f
     ),
 )
 def sp3(spark, sf):
-    df = splits.expanding_folds(roles.market(spark, sf).returns, "date", FOLDS)
+    df = splits.expanding_folds(roles.market(spark, sf).returns, "date", folds(spark, sf))
     return splits.eval_gap(df, 7).select("fold", "role", "asset", "date")
 
 

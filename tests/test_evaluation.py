@@ -18,6 +18,7 @@ from panelloom.operators import models as ml
 from panelloom.operators import profiles as P
 from panelloom.operators import quality as Q
 from panelloom.operators import ranking as rk
+from panelloom.operators import splits
 
 DAY0 = dt.date(2024, 1, 1)
 
@@ -169,6 +170,53 @@ def test_chain_of_100000_dates_is_doubled(spark):
     assert "collect_list" not in found._jdf.queryExecution().toString()
 
 
+def plain_curve(rows):
+    """Points by falling score, and those that are no inner point of a straight line, from integer counts."""
+    scores = sorted({p for y, p in rows if y is not None and p is not None}, reverse=True)
+    steps = [(s, sum(y and p == s for y, p in rows if y is not None), sum(not y and p == s for y, p in rows if y is not None)) for s in scores]
+    pos, neg, cp, cn, points, kept = sum(s[1] for s in steps), sum(s[2] for s in steps), 0, 0, [], []
+    for i, (score, p, n) in enumerate(steps):
+        cp, cn = cp + p, cn + n
+        points.append((score, cp / pos, cn / neg))
+        if i in (0, len(steps) - 1) or p * steps[i + 1][2] != n * steps[i + 1][1]:
+            kept.append(points[-1])
+    return points, kept
+
+
+def test_curves_and_areas_with_and_without_bands(frame, monkeypatch):
+    rng = random.Random(12)
+    rows = [(rng.random() < 0.4 if rng.random() < 0.95 else None, rng.choice([rng.randrange(60) / 60, 0.5, None])) for _ in range(400)]
+    rows += [(True, 0.991 + i / 1e4) for i in range(9)] + [(False, -0.1 - i / 1e4) for i in range(9)] + [(y, 0.9 + i / 1e4) for i in range(9) for y in (True, False)]
+    df = frame("label boolean, prob double", rows)
+    points, kept = plain_curve(rows)
+    assert len(kept) < len(points) - 15
+    area = sum((b[2] - a[2]) * (b[1] + a[1]) / 2 for a, b in zip([(0, 0, 0), *kept], kept))
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(M, "ONE_TASK", most)
+        for thinned, want in ((False, points), (True, kept)):
+            got = sorted((tuple(r) for r in M.roc_curve(df, thinned=thinned).collect()), reverse=True)
+            assert [g[0] for g in got] == [w[0] for w in want] and all(abs(x - y) < 1e-12 for g, w in zip(got, want) for x, y in zip(g, w))
+        assert abs(M.roc_auc(df).first().auc - area) < 1e-12 and abs(M.trapezoid_auc(df).first().auc - area) < 1e-12
+
+
+def test_yearly_folds_reach_the_last_date(frame):
+    df = frame("date date", [(day(i),) for i in range(0, 2000, 30)])
+    folds = splits.yearly_folds(df, train_years=2)
+    assert folds[0]["train_end"][:4] == str(int(folds[0]["fold"]) - 1) and folds[-1]["eval_end"] >= str(day(1980)) and len(folds) == int(folds[-1]["fold"]) - int(folds[0]["fold"]) + 1
+    assert splits.yearly_folds(df.limit(0)) == []
+
+
+def test_the_winners_of_the_first_round_are_fitted_together(frame):
+    rng = random.Random(3)
+    rows = [(i, a := rng.random(), b := rng.random(), rng.random(), 0.0, a + b > 1) for i in range(400)]
+    df = frame("i int, a double, b double, c double, base double, label boolean", rows)
+    sets = {"baseline": ["base"], **{f"plus_{f}": ["base", f] for f in "abc"}}
+    found = {r.feature_set: r for r in ml.ablation_rounds(df.where("i < 250"), df.where("i >= 250"), sets, ml.fit_logistic, "baseline", {f"plus_{f}": f for f in "abc"}).collect()}
+    gained = [f for f in "abc" if found[f"plus_{f}"].delta_auc > 0]
+    assert {"a", "b"} <= set(gained) and found["winners"].n_features == 1 + len(gained)
+    assert found["winners"]["rank"] == 1 and found["baseline"].delta_auc == 0 and found["winners"].delta_auc > found["plus_a"].delta_auc
+
+
 def periods_frame(frame, rows):
     return frame("signal_date date, asset string, prob double, period_return double", rows)
 
