@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import html as html_lib
-from collections.abc import Callable, Iterator, Sequence
+import json
+from collections.abc import Callable, Sequence
 from functools import reduce
+from html.entities import html5 as entities
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,26 +133,65 @@ def extend_series(old: DataFrame, new: DataFrame, key: Sequence[str] = ("date",)
     return union_dedupe([new, old], key)
 
 
-def unescape_html(text: Column) -> Column:
-    """All HTML character references of a column.
+# what numeric references to some code points stand for: those of the bytes 0x80 to 0x9F of Windows-1252 and two more
+_REPLACED = {0x00: 0xFFFD, 0x0D: 0x0D} | {b: ord(bytes([b]).decode("cp1252", "ignore") or chr(b)) for b in range(0x80, 0xA0)}
+#: references that need no list of names; that of the ampersand last, as what it leaves is not decoded again
+_FREQUENT = {"&quot;": '"', "&lt;": "<", "&gt;": ">", "&apos;": "'", "&amp;": "&"}
+_OTHERS = f"&(?!(?:{'|'.join(r[1:] for r in _FREQUENT)}))"
 
-    No built-in covers them all, so texts with an ampersand are decoded in Arrow batches; within a batch
-    each distinct text is decoded once.
-    """
 
-    @F.pandas_udf("string")
-    def unescape(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map({text: html_lib.unescape(text) for text in batch.dropna().unique()}, na_action="ignore")
+def _numeric(digits: Column, base: int) -> Column:
+    """The character of a numeric reference; no character for code points that stand for none."""
+    digits = F.regexp_replace(digits, "^0+(?=.)", "")
+    # ten digits are over the last code point in either base, and more might not fit a number
+    code = F.when(F.length(digits) < 10, F.conv(digits, base, 10).cast("long")).otherwise(F.lit(1 << 40))
+    replaced = F.create_map(*[F.lit(v).cast("long") for pair in _REPLACED.items() for v in pair])
+    code = F.coalesce(F.try_element_at(replaced, code), code)
+    known = F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), F.lit(0xFFFD)).otherwise(code)
+    # controls of the replaced range that stand for themselves are characters, other controls and non-characters are none
+    controls = known.between(0x01, 0x08) | known.between(0x0E, 0x1F) | known.isin(0x0B, 0x7F) | known.between(0xFDD0, 0xFDEF) | (known % 0x10000 >= 0xFFFE)
+    return F.when(controls, F.lit("")).otherwise(F.decode(F.unhex(F.lpad(F.hex(known), 8, "0")), "UTF-32"))
+
 
-    return F.when(text.contains("&"), unescape(F.when(text.contains("&"), text))).otherwise(text)
+def unescape_html(text: Column) -> Column:
+    """All HTML character references of a column, as `html.unescape` decodes them, with built-in functions only.
+
+    The text is cut at its ampersands and each part decodes what it starts with: a decimal or hexadecimal
+    number, a name, or a name of the old standard that needs no semicolon, the longest of them. An unknown
+    name stays as it is. A text with no other references than the frequent ones is decoded by plain replacement.
+    """
+    by_name = F.from_json(F.lit(json.dumps(entities)), "map<string, string>")
+    old = "|".join(sorted((n for n in entities if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, r"^([^\t\n\f <&#;]{1,32};?)", 1)
+        short = F.regexp_extract(part, f"^({old})", 1)
+        whole = F.try_element_at(by_name, name)
+
+        def after(matched: Column) -> Column:
+            return F.substring(part, F.length(matched) + 1, F.length(part))
+
+        decimal, hexadecimal = (F.regexp_extract(part, pattern, 0) for pattern in ("^#[0-9]+;?", "^#[xX][0-9a-fA-F]+;?"))
+        return (
+            F.when(decimal != "", F.concat(_numeric(F.regexp_extract(decimal, "[0-9]+", 0), 10), after(decimal)))
+            .when(hexadecimal != "", F.concat(_numeric(F.regexp_extract(hexadecimal, "^#[xX]([0-9a-fA-F]+)", 1), 16), after(hexadecimal)))
+            .when(whole.isNotNull(), F.concat(whole, after(name)))
+            .when(short != "", F.concat(F.try_element_at(by_name, short), after(short)))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
+
+    parts = F.split(text, "&")
+    joined = F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
+    plain = text
+    for reference, character in _FREQUENT.items():
+        plain = F.replace(plain, F.lit(reference), F.lit(character))
+    return F.when(~text.contains("&"), text).when(~text.rlike(_OTHERS), plain).otherwise(joined)
 
 
 def extract_embedded(df: DataFrame, html_col: str, pattern: str, schema: str, keep: Sequence[str] = ()) -> DataFrame:
     """Rows of a JSON array held, entity-escaped, in an HTML attribute.
 
-    `pattern` captures the attribute; documents without it yield nothing. Only documents whose
-    capture is not empty reach the Arrow stage, and only the captured text does.
+    `pattern` captures the attribute; documents without it yield nothing.
     """
     captured = df.select(*keep, F.regexp_extract(F.col(html_col), pattern, 1).alias("__raw")).where(
         F.col("__raw") != ""

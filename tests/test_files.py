@@ -120,3 +120,18 @@ def test_scratch_needs_a_shared_folder_off_local(spark):
     with pytest.raises(ValueError):
         tables.scratch_dir(Session(spark_master="yarn"), "x")
     assert tables.scratch_dir(Session(spark_master="yarn", spark_checkpoint_dir="s3a://b/c/"), "x").startswith("s3a://b/c/x-")
+
+
+def test_references_equal_the_library(spark):
+    """Every name with and without its semicolon, every kind of number, and what only looks like a reference."""
+    import html
+    from html.entities import html5
+
+    texts = [f"a &{n} b" for n in html5] + [f"&{n}x;&{n}" for n in html5 if not n.endswith(";")] + [f"&{n[:-1]}" for n in html5 if n.endswith(";")]
+    codes = [*range(300), 0xD7FF, 0xD800, 0xDFFF, 0xFDCF, 0xFDD0, 0xFDEF, 0xFFFD, 0xFFFE, 0xFFFF, 0x1F600, 0x1FFFE, 0x10FFFD, 0x10FFFF, 0x110000, 10**9, 10**10, 2**64, 10**40]
+    texts += [t for c in codes for t in (f"x&#{c};y", f"&#{c} z", f"&#x{c:x};", f"&#X{c:X}g", f"&#000{c};")]
+    texts += ["", "&", "&&", "&;", "&#;", "&#x;", "&#xg", "& amp;", "&amp;amp;", "&ampamp;", "&notit;", "&notin;", "&NotAName;", "&" + "a" * 40 + ";", "no reference", "&lt;p&gt; &quot;q&quot;", "tail &", "&#38;lt;", "&\tx;", "&amp&amp", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", files.unescape_html(F.col("t")).alias("u"))
+    assert "Python" not in df.select("u")._jdf.queryExecution().optimizedPlan().toString().replace("LogicalRDD", "")
+    wrong = [(r.t, r.u) for r in df.collect() if r.u != (None if r.t is None else html.unescape(r.t))]
+    assert not wrong, wrong[:5]

@@ -16,10 +16,10 @@ def plan(spark, name):
 
 
 @pytest.mark.parametrize("name", [n for n in QUERIES if n not in FITS])
-def test_no_pairwise_join_and_python_only_for_entities(spark, name):
+def test_no_pairwise_join_and_no_python_udf(spark, name):
     text = plan(spark, name)
     assert "BroadcastNestedLoopJoin" not in text and "CartesianProduct" not in text
-    assert ("EvalPython" in text) == (name in {"src9_embedded_payload", "src9_unescaped_titles"})
+    assert "EvalPython" not in text
 
 
 @pytest.mark.parametrize(
