@@ -65,23 +65,29 @@ def weights(periods: DataFrame, threshold: float = 0.55, seed: int = 42) -> Data
     )
 
 
+def _doubled(table: DataFrame) -> DataFrame:
+    """Every node of (node, jump, reached) jumps twice as far, and reaches what its jump went to."""
+    further = table.select(F.col("node").alias("jump"), F.col("jump").alias("__jump"))
+    hits = table.where("reached AND jump IS NOT NULL").select(F.col("jump").alias("node"), F.lit(True).alias("__hit"))
+    joined = table.join(further, "jump", "left").join(hits, "node", "left")
+    return joined.select("node", F.col("__jump").alias("jump"), (F.col("reached") | F.coalesce(F.col("__hit"), F.lit(False))).alias("reached"))
+
+
 def chain(pointers: DataFrame, node: str, to: str) -> DataFrame:
     """The nodes that following `to` from the smallest node reaches, that one included; NULL ends the chain.
 
-    Pointer doubling: in round k every node knows the node 2^k steps on, and the first 2^k nodes of the chain are
-    known; one self-join doubles both. Rounds are written, so neither the plan nor a lost executor's work
-    grows with them, and a chain of n nodes takes log2(n) rounds over any number of tasks.
+    Pointer doubling: after k self-joins every node knows the node 2^k steps on, and the first 2^k nodes of the
+    chain are known. Every third join is written, so neither the plan nor a lost executor's work grows with
+    them, and a chain of n nodes takes log2(n) joins over any number of tasks. `pointers` is read several times,
+    best a written table.
     """
     first = pointers.agg(F.min(node)).first()[0]
     known = F.col(node) == F.lit(first)
-    table = materialise(pointers.select(F.col(node).alias("node"), F.col(to).alias("jump"), F.coalesce(known, F.lit(False)).alias("reached")), "chain")
-    while table.where("reached AND jump IS NOT NULL").limit(1).count():
-        further = table.select(F.col("node").alias("jump"), F.col("jump").alias("__jump"))
-        hits = table.where("reached AND jump IS NOT NULL").select(F.col("jump").alias("node"), F.lit(True).alias("__hit"))
-        joined = table.join(further, "jump", "left").join(hits, "node", "left")
-        reached = F.col("reached") | F.coalesce(F.col("__hit"), F.lit(False))
-        table = materialise(joined.select("node", F.col("__jump").alias("jump"), reached.alias("reached")), "chain")
-    return table.where("reached").select(F.col("node").alias(node))
+    table = pointers.select(F.col(node).alias("node"), F.col(to).alias("jump"), F.coalesce(known, F.lit(False)).alias("reached"))
+    while True:
+        table = materialise(_doubled(_doubled(_doubled(table))), "chain")
+        if table.where("reached AND jump IS NOT NULL").isEmpty():
+            return table.where("reached").select(F.col("node").alias(node))
 
 
 def hysteresis(periods: DataFrame, delta: float) -> DataFrame:
