@@ -12,7 +12,7 @@ ROOT = Path(__file__).resolve().parents[1]
 
 def copy(to, without=()):
     for name in ("__spark_entry__.py", "corpus_pipeline.py"):
-        if name not in without:
+        if name not in without and (ROOT / name).exists():
             shutil.copy(ROOT / name, to / name)
     shutil.copytree(ROOT / "panelloom", to / "panelloom", ignore=shutil.ignore_patterns("__pycache__", *without))
 
