@@ -6,30 +6,42 @@ The default is the whole span; `min_periods=1` accepts partial spans at the star
 Two rules keep a wide set of features cheap. Spark evaluates every window expression it is given,
 equal ones too, so the span operators ask a `Frames` object for window values and each distinct
 value is computed once per pass. And Spark re-aggregates a sliding frame for every row, so counts
-are taken as the difference of two frames that only grow: one step per row for any span. Sums,
-spreads, slopes and extremes keep the sliding frame: a difference would lose digits, and a NaN or
-a very large value would stay in it for the rest of the series.
+are taken as the difference of two frames that only grow: one step per row for any span. For sums,
+spreads, slopes and extremes a difference would lose digits, and a NaN or a very large value would
+stay in it for the rest of the series. Over long spans they are aggregated in blocks from two sides:
+the rows of a partition are cut into blocks as long as the span, and one growing frame runs forwards
+and one backwards inside each block. A span covers the end of one block and the start of the next at most, so it is
+merged from one value of each: a few steps per row for any span, and only rows of the span enter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 _FIRST = Window.unboundedPreceding
+_END = Window.unboundedFollowing
+# Spans of up to this many rows slide: on wide rows two more sorts cost more than so few steps.
+_SHORT = 120
 
 
 class Frames:
     """Window values over one ordered window, each distinct one computed once.
 
     The methods return references to columns that `select` adds; the expressions built from them
-    must be passed through `select` of the same object.
+    must be passed through `select` of the same object. `by` are the partition columns of the window;
+    only where they are given, spans of more than `short` rows are aggregated in blocks, else all slide.
     """
 
-    def __init__(self, w: WindowSpec):
+    def __init__(self, w: WindowSpec, by: Sequence[str] | None = None, short: int = _SHORT):
         self._w = w
+        self._by = by
+        self._short = short
         self._made: dict[str, tuple[str, Column]] = {}
+        self._sides: dict[int, dict[str, tuple[str, Column]]] = {}
 
     def _take(self, key: str, value: Column) -> Column:
         if key not in self._made:
@@ -54,13 +66,101 @@ class Frames:
         """Known values on rows first..last."""
         return self.rows(F.count(value), _FIRST, last) - self.rows(F.count(value), _FIRST, first - 1)
 
+    def _slides(self, first: int, last: int) -> bool:
+        return self._by is None or last - first < self._short
+
+    def _halves(self, agg: Column, first: int, last: int) -> tuple[Column, Column]:
+        """Aggregates over the two parts of rows first..last: the end of the block that the span
+        starts in, and the start of the block that it ends in. NULL for a part without rows."""
+        n = last - first + 1
+        sides = self._sides.setdefault(n, {})
+        name, _ = sides.setdefault(str(agg), (f"{n}_{len(sides)}", agg))
+        start, end = F.col("__row") + first, F.col("__row") + last
+        head, tail = self._at(F.col(f"__up_{name}"), last), self._at(F.col(f"__down_{name}"), first)
+        whole = start % n == 0
+        if last > 0:
+            # The series may end inside the span: the part up to its last row takes the place of the head.
+            final = self.rows(F.max("__row"), _FIRST, _END)
+            head = F.when(end <= final, head).otherwise(self.rows(F.last(f"__up_{name}"), _FIRST, _END))
+            one_block = F.floor(start / n) == F.floor(F.least(end, final) / n)
+            head = F.when((start <= final) & (whole | ~one_block | (start < 0)), head)
+        return F.when(~whole, tail), head
+
+    def _at(self, value: Column, offset: int) -> Column:
+        if offset == 0:
+            return value
+        return self.lag(value, -offset) if offset < 0 else self.lead(value, offset)
+
+    def _merged(self, agg: Column, first: int, last: int, merge) -> Column:
+        if self._slides(first, last):
+            return self.rows(agg, first, last)
+        return merge(*self._halves(agg, first, last))
+
     def sum(self, value: Column, first: int, last: int) -> Column:
         """Sum of the known values on rows first..last; 0 without any."""
-        return F.coalesce(self.rows(F.sum(value), first, last), F.lit(0.0))
+        whole = self._merged(F.sum(value), first, last, lambda a, b: F.coalesce(a + b, a, b))
+        return F.coalesce(whole, F.lit(0.0))
+
+    def product(self, value: Column, first: int, last: int) -> Column:
+        """Product of the known values on rows first..last."""
+        return self._merged(F.product(value), first, last, lambda a, b: F.coalesce(a * b, a, b))
+
+    def max(self, value: Column, first: int, last: int) -> Column:
+        return self._merged(F.max(value), first, last, F.greatest)
+
+    def min(self, value: Column, first: int, last: int) -> Column:
+        return self._merged(F.min(value), first, last, F.least)
+
+    def _moments(self, first: int, last: int, x: Column, y: Column) -> tuple[Column, Column, Column]:
+        """Number, sum of squared deviations of x and of the products of deviations of x and y, over
+        the rows where both are known. Equal values of x have no deviation at all: means of two
+        halves may differ in their last digit."""
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+
+        def halves(agg: Column) -> tuple[Column, Column]:
+            return self._halves(agg, first, last)
+
+        n1, n2 = (F.coalesce(n, F.lit(0)) for n in halves(F.count(x)))
+        n = n1 + n2
+        weight = n1 * n2 / F.nullif(n, F.lit(0))
+        x1, x2 = halves(F.avg(x))
+        y1, y2 = halves(F.avg(y))
+
+        def spread(parts: tuple[Column, Column], between: Column) -> Column:
+            within = [F.when(k > 0, k * part).otherwise(0.0) for k, part in zip((n1, n2), parts)]
+            return within[0] + within[1] + F.when((n1 > 0) & (n2 > 0), between).otherwise(0.0)
+
+        squares = spread(halves(F.var_pop(x)), (x2 - x1) * (x2 - x1) * weight)
+        products = spread(halves(F.covar_pop(x, y)), (x2 - x1) * (y2 - y1) * weight)
+        level = F.greatest(*halves(F.max(x))) == F.least(*halves(F.min(x)))
+        return n, F.when(level & ~F.isnan(squares), 0.0).otherwise(squares), products
+
+    def deviation(self, value: Column, first: int, last: int) -> Column:
+        """Sample standard deviation on rows first..last; NULL under two known values."""
+        if self._slides(first, last):
+            return self.rows(F.stddev_samp(value), first, last)
+        n, squares, _ = self._moments(first, last, value, value)
+        return F.when(n > 1, F.sqrt(squares / (n - 1)))
+
+    def slope(self, y: Column, x: Column, first: int, last: int) -> Column:
+        """Slope of y on x on rows first..last where both are known; NULL when x does not vary."""
+        if self._slides(first, last):
+            return self.rows(F.regr_slope(y, x), first, last)
+        _, squares, products = self._moments(first, last, x, y)
+        return products / F.nullif(squares, F.lit(0.0))
 
     def select(self, df: DataFrame, *columns: Column) -> DataFrame:
         """All columns of df plus the given ones."""
-        staged = df.select("*", *[value.alias(name) for name, value in self._made.values()])
+        staged = df
+        if self._sides:
+            staged = staged.select("*", (F.row_number().over(self._w) - 1).alias("__row"))
+        for n, sides in self._sides.items():
+            block = F.floor(F.col("__row") / n)
+            up = Window.partitionBy(*self._by, block).orderBy("__row").rowsBetween(_FIRST, 0)
+            down = Window.partitionBy(*self._by, block).orderBy(F.col("__row").desc()).rowsBetween(_FIRST, 0)
+            staged = staged.select("*", *[agg.over(up).alias(f"__up_{name}") for name, agg in sides.values()])
+            staged = staged.select("*", *[agg.over(down).alias(f"__down_{name}") for name, agg in sides.values()])
+        staged = staged.select("*", *[value.alias(name) for name, value in self._made.values()])
         return staged.select(*df.columns, *columns)
 
 
@@ -89,7 +189,7 @@ def trailing_volatility(fr: Frames, returns: Column, n: int, min_periods: int |
     """Sample standard deviation over the n sessions before today."""
     known = fr.count(returns, -n, -1)
     return F.when(
-        known >= (n if min_periods is None else min_periods), fr.rows(F.stddev_samp(returns), -n, -1)
+        known >= (n if min_periods is None else min_periods), fr.deviation(returns, -n, -1)
     )
 
 
@@ -107,7 +207,7 @@ def distance_to_average(fr: Frames, price: Column, n: int, min_periods: int | No
 
 def drawdown_from_peak(fr: Frames, price: Column, n: int, min_periods: int | None = None) -> Column:
     """Share lost since the highest price of the last n sessions."""
-    peak = fr.rows(F.max(price), 1 - n, 0)
+    peak = fr.max(price, 1 - n, 0)
     share = (peak - price) / F.nullif(peak, F.lit(0.0))
     known = fr.count(price, 1 - n, 0)
     return F.when(known >= (n if min_periods is None else min_periods), share)
@@ -136,7 +236,7 @@ def rolling_beta(
     paired = F.when(returns.isNotNull() & reference.isNotNull(), reference)
     pairs = fr.count(paired, 1 - n, 0)
     # A slope over a reference that does not vary is NULL by itself.
-    return F.when(pairs >= min_obs, fr.rows(F.regr_slope(returns, reference), 1 - n, 0))
+    return F.when(pairs >= min_obs, fr.slope(returns, reference, 1 - n, 0))
 
 
 def rsi_from_moves(

@@ -26,7 +26,7 @@ def trailing_returns(
     min_periods: int | None = None,
 ) -> DataFrame:
     """return_1d (the previous session's return) and return_{n}d over the n sessions before."""
-    fr = R.Frames(keys.history())
+    fr = R.Frames(keys.history(), [keys.asset])
     made = [fr.lag(F.col(ret)).alias(f"{prefix}_1d")]
     made += [R.trailing_compound(fr, F.col(ret), n, min_periods).alias(f"{prefix}_{n}d") for n in horizons]
     return fr.select(panel, *made)
@@ -53,7 +53,7 @@ def volatility(
     ret: str = "total_return",
     min_periods: int | None = None,
 ) -> DataFrame:
-    fr = R.Frames(keys.history())
+    fr = R.Frames(keys.history(), [keys.asset])
     made = [R.trailing_volatility(fr, F.col(ret), n, min_periods).alias(f"volatility_{n}d") for n in horizons]
     return fr.select(panel, *made)
 
@@ -61,7 +61,7 @@ def volatility(
 def _by_day(panel: DataFrame, keys: PanelKeys) -> tuple[DataFrame, R.Frames]:
     """The panel with a day number, and frames ordered by it: rows and calendar days alike."""
     dated = panel.withColumn("__day", day_number(F.col(keys.date)))
-    return dated, R.Frames(Window.partitionBy(keys.asset).orderBy("__day"))
+    return dated, R.Frames(Window.partitionBy(keys.asset).orderBy("__day"), [keys.asset])
 
 
 def dividend_features(
@@ -110,7 +110,7 @@ def forward_targets(
     Each leg is compounded over its own next n sessions; the benchmark leg is computed on the
     one-row-per-date series and then joined. Without a whole horizon the target is NULL.
     """
-    fr, bench_fr = R.Frames(keys.history()), R.Frames(calendar_order(keys.date))
+    fr, bench_fr = R.Frames(keys.history(), [keys.asset]), R.Frames(calendar_order(keys.date))
     own = fr.select(panel, R.forward_compound(fr, F.col(ret), n, min_periods).alias("__own"))
     leg = R.forward_compound(bench_fr, F.col(bench_ret), n, min_periods).alias("__bench")
     side = bench_fr.select(benchmark, leg).select(keys.date, "__bench")
@@ -137,7 +137,7 @@ def price_cash_targets(
 ) -> DataFrame:
     """Forward return as (price after n sessions + cash paid on the way) / price - 1, versus the
     benchmark's price change over its own n sessions; NULL without a whole horizon."""
-    fr, bench_fr = R.Frames(keys.history()), R.Frames(calendar_order(keys.date))
+    fr, bench_fr = R.Frames(keys.history(), [keys.asset]), R.Frames(calendar_order(keys.date))
     cash = fr.sum(F.col(value), 1, n)
     # The price after n sessions is NULL when fewer than n sessions follow, and so is the target.
     own = safe_div(fr.lead(F.col(price), n) + cash, F.col(price)) - 1.0
@@ -191,7 +191,7 @@ def technical_features(panel: DataFrame, keys: PanelKeys = KEYS, price: str = "c
     staged = panel.select(
         "*", F.lag(price, 1).over(w).alias("__prev"), R.simple_return(w, F.col(price)).alias("__ret")
     ).withColumns(gains_and_losses(F.col(price) - F.col("__prev")))
-    fr = R.Frames(w)
+    fr = R.Frames(w, [keys.asset])
     made = technical_columns(fr, price=price, ret="__ret", **spans)
     return fr.select(staged, *made).drop("__prev", "__ret", "__gain", "__loss")
 
@@ -227,7 +227,7 @@ def derived_features(
     dated, fr = _by_day(panel, keys)
     ret, paid = F.col("total_return"), F.col("dividend_value")
     known = fr.count(ret, -n, -1)
-    sharpe = safe_div(fr.sum(ret, -n, -1) / F.nullif(known, F.lit(0)), fr.rows(F.stddev_samp(ret), -n, -1))
+    sharpe = safe_div(fr.sum(ret, -n, -1) / F.nullif(known, F.lit(0)), fr.deviation(ret, -n, -1))
     yield_before = fr.lag(F.col("dividend_yield_12m"), 252)
     change = F.col(macro) - fr.lag(F.col(macro), n)
     return fr.select(

@@ -99,7 +99,7 @@ def feature_table(
     )
     base = base.withColumns(feat.gains_and_losses(F.col("close") - F.col("close_prev")))
 
-    fr = R.Frames(w)
+    fr = R.Frames(w, ["asset"])
     date, ret, paid = F.col("date"), F.col("total_return"), F.col("dividend_value")
     made = [fr.lag(ret).alias("return_1d")]
     made += [R.trailing_compound(fr, ret, n, min_periods).alias(f"return_{n}d") for n in (7, 30, 90)]

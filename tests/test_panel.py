@@ -307,3 +307,38 @@ def test_unknown_options_are_refused(frame):
         joins.asof_join(df, df, "date", direction="sideways")
     with pytest.raises(ValueError):
         joins.lagged_month_join(df, df, {"v": "never"})
+
+
+@pytest.mark.parametrize(("first", "last"), [(-19, 0), (-20, -1), (-90, -1), (1, 20), (3, 40), (-15, 14)])
+def test_spans_in_blocks_equal_spans_that_slide(frame, first, last):
+    rng = random.Random(first)
+    rows = []
+    for asset, n in (("a", 150), ("b", 40), ("c", 19), ("d", 20), ("e", 1), ("f", 7)):
+        for i in range(n):
+            x = rng.choice([None, rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(-1, 1)])
+            y = rng.choice([None, 0.1 if asset == "b" else rng.uniform(-1, 1), 0.1])
+            rows.append((asset, i, x, y))
+    rows += [("huge", i, 1e17 if i == 35 else 0.1 * i, 0.1 * (i % 7)) for i in range(120)]
+    rows += [("nan", i, math.nan if i == 35 else 0.1 * i, 0.3) for i in range(120)]
+    df = frame("asset string, date int, x double, y double", rows)
+    x, y = F.col("x"), F.col("y")
+    found = []
+    for by in (None, ["asset"]):
+        fr = R.Frames(KEYS.history(), by, short=16)
+        values = [fr.sum(x, first, last), fr.product(x, first, last), fr.max(x, first, last), fr.min(x, first, last)]
+        values += [fr.deviation(x, first, last), fr.slope(x, y, first, last), fr.slope(y, x, first, last)]
+        made = fr.select(df, *[v.alias(f"v{k}") for k, v in enumerate(values)])
+        found.append({(r["asset"], r["date"]): r for r in made.collect()})
+    slid, blocks = found
+    assert slid.keys() == blocks.keys() and len(slid) == len(rows)
+    for key, row in slid.items():
+        for k in range(7):
+            a, b = row[f"v{k}"], blocks[key][f"v{k}"]
+            assert (a is None) == (b is None), (key, k, a, b)
+            assert a is None or a == pytest.approx(b, rel=1e-6, abs=1e-9, nan_ok=True), (key, k, a, b)
+
+
+def test_spans_in_blocks_share_the_shuffle_of_the_panel(frame):
+    df = frame("asset string, date int, total_return double", [("a", i, 0.1) for i in range(50)])
+    text = feat.volatility(df, (130, 252))._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1
