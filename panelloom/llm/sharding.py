@@ -20,19 +20,80 @@ def _uniform(*parts: Column | int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*[p if isinstance(p, Column) else F.lit(p) for p in parts]), 12) + F.lit(0.5)) * F.lit(2.0**-52)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _log_factorial_step(a: Column, d: Column) -> Column:
+    """ln (a + d)! - ln a!, without the loss of digits that the difference of two large logarithms
+    has: Stirling's series eight places further up, where it is good to 1e-10."""
+    low, high = a + 8, a + d + 8
+    ratio = F.lit(1.0)
+    for i in range(1, 9):
+        ratio = ratio * ((a + d + i) / (a + i))
+
+    def tail(x: Column) -> Column:
+        return (F.lit(1 / 12) - (F.lit(1 / 360) - 1 / (x * x * 1260)) / (x * x)) / x
+
+    return (low + 0.5) * F.log1p(d / low) + d * (F.log(high) - 1) + tail(high) - tail(low) - F.log(ratio)
+
+
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
-    """How many of `drawn` rows, taken from `total` of which `marked` are marked, are marked: by
-    inversion of u over the whole support that a double can tell from nothing.
+    """How many of `drawn` rows, taken from `total` of which `marked` are marked, are marked.
 
-    The weights start with 1 at the mode and follow from the ratio of neighbours; as they fall at
-    least as fast as a normal curve, 12 standard deviations and 40 steps hold all above 1e-17.
+    Narrow laws are drawn by inversion of u over the whole support that a double can tell from
+    nothing, wide ones by rejection, whose number of steps doesn't grow with the law's width. Both
+    give the exact law, in double precision.
     """
-    total, marked, drawn = (x.cast("double") for x in (total, marked, drawn))
-    least = F.greatest(F.lit(0.0), drawn + marked - total)
-    most = F.least(drawn, marked)
-    mode = F.greatest(least, F.least(most, F.floor((drawn + 1) * (marked + 1) / (total + 2)).cast("double")))
-    spread = F.sqrt(drawn * marked * (total - marked) * (total - drawn)) / F.greatest(total, F.lit(1.0)) / F.sqrt(F.greatest(total - 1, F.lit(1.0)))
-    reach = F.ceil(spread * 12 + 40).cast("long")
+    given = F.struct(*[x.cast("double").alias(name) for x, name in ((total, "total"), (marked, "marked"), (drawn, "drawn"), (u, "u"))])
+
+    def draw(g: Column) -> Column:
+        total, marked, drawn = g["total"], g["marked"], g["drawn"]
+        least, most = F.greatest(F.lit(0.0), drawn + marked - total), F.least(drawn, marked)
+        mode = F.greatest(least, F.least(most, F.floor((drawn + 1) * (marked + 1) / (total + 2)).cast("double")))
+        spread = F.sqrt(drawn * marked / F.greatest(total, F.lit(1.0)) * ((total - marked) / F.greatest(total, F.lit(1.0))) * ((total - drawn) / F.greatest(total - 1, F.lit(1.0))))
+        whole = F.struct(g["total"], g["marked"], g["drawn"], g["u"], least.alias("least"), most.alias("most"), mode.alias("mode"), spread.alias("spread"))
+        return _let(whole, lambda h: F.when(h["least"] >= h["most"], h["least"]).when(h["spread"] >= 8, _rejection(h)).otherwise(_inversion(h)))
+
+    return _let(given, draw).cast("long")
+
+
+def _rejection(h: Column, tries: int = 64) -> Column:
+    """Ratio of uniforms under the hat of Stadlober (1990), which takes under two tries on average;
+    that all tries fail is far rarer than any weight a double can tell from nothing."""
+    mode = h["mode"]
+    rest = h["total"] - h["marked"] - h["drawn"]
+    centre = h["drawn"] * (h["marked"] / h["total"]) + 0.5
+    width = F.sqrt(h["spread"] * h["spread"] + 0.5) * (2 * math.sqrt(2 / math.e)) + (3 - 2 * math.sqrt(3 / math.e))
+
+    def attempt(found: Column, i: Column) -> Column:
+        point = F.struct(_uniform(h["u"], i, 1).alias("x"), _uniform(h["u"], i, 2).alias("y"))
+
+        def place(p: Column) -> Column:
+            return F.struct(p["x"], F.floor(centre + width * (p["y"] - 0.5) / p["x"]).cast("double").alias("k"))
+
+        def accepted(p: Column) -> Column:
+            d = p["k"] - mode
+            weight = -(
+                _log_factorial_step(mode, d)
+                + _log_factorial_step(h["marked"] - mode, -d)
+                + _log_factorial_step(h["drawn"] - mode, -d)
+                + _log_factorial_step(rest + mode, d)
+            )
+            return F.when((p["k"] >= h["least"]) & (p["k"] <= h["most"]), F.when(F.log(p["x"]) * 2 <= weight, p["k"]))
+
+        return F.when(found.isNotNull(), found).otherwise(_let(_let(point, place), accepted))
+
+    drawn = F.aggregate(F.sequence(F.lit(1), F.lit(tries)), F.lit(None).cast("double"), attempt)
+    return F.coalesce(drawn, mode)
+
+
+def _inversion(h: Column) -> Column:
+    """The weights start with 1 at the mode and follow from the ratio of neighbours; as they fall at
+    least as fast as a normal curve, 12 standard deviations and 40 steps hold all above 1e-17."""
+    total, marked, drawn, u, mode = (h[c] for c in ("total", "marked", "drawn", "u", "mode"))
+    reach = F.ceil(h["spread"] * 12 + 40).cast("long")
 
     def up(k: Column) -> Column:
         return (marked - k) * (drawn - k) / ((k + 1) * (total - marked - drawn + k + 1))
@@ -65,7 +126,7 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     # a row of arrays keeps each sum evaluated once
     sums = F.transform(F.array(F.struct(above.alias("a"), below.alias("b"))), lambda s: F.struct(s["a"].alias("a"), (u * (s["a"] + s["b"] + 1)).alias("t")))
     value = F.transform(sums, lambda s: F.when(s["t"] <= 1, mode).when(s["t"] <= s["a"] + 1, walk(up, 1, s["t"] - 1)).otherwise(walk(down, -1, s["t"] - 1 - s["a"])))
-    return F.when(least >= most, least).otherwise(F.element_at(value, 1)).cast("long")
+    return F.element_at(value, 1)
 
 
 def _split(room: Column, drawn: Column, *key: Column | int) -> Column:
@@ -82,6 +143,16 @@ def _split(room: Column, drawn: Column, *key: Column | int) -> Column:
     return F.aggregate(room, start, step, lambda s: s["out"])
 
 
+# Leaves of a subtree that one task draws, and tasks over which the subtrees of a level are spread.
+SUBTREE = 64
+MATRIX_TASKS = 1024
+
+
+def _even(total: Column, shards: int) -> Column:
+    """Places of each shard: equal, or one more."""
+    return F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: (F.floor(total * (s + 1) / shards) - F.floor(total * s / shards)).cast("long"))
+
+
 def communication_matrix(counts: DataFrame, partitions: int, shards: int, seed: int) -> DataFrame:
     """(part, quota): per partition the number of its rows that go to each shard.
 
@@ -89,13 +160,23 @@ def communication_matrix(counts: DataFrame, partitions: int, shards: int, seed:
     counts, column sums differ by at most one, and the matrix has the law that a uniform shuffle of all
     rows would give it. An empty table gives quotas of zero.
     """
-    listed = counts.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.col("part").cast("int"), "n"))).alias("by"))
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(partitions - 1)), lambda p: F.coalesce(F.element_at("by", p), F.lit(0)).cast("long"))
-    one = listed.select(sizes.alias("sizes"))
-    total = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    places = F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: (F.floor(total * (s + 1) / shards) - F.floor(total * s / shards)).cast("long"))
-    nodes = one.select(F.lit(0).alias("lo"), "sizes", places.alias("quota"))
-    width = partitions
+    if partitions == 1:
+        whole = counts.groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+        return whole.select(F.lit(0).alias("part"), _even(F.col("total"), shards).alias("quota"))
+    # The tree is cut into subtrees of a bounded number of leaves, rows of their own tasks.
+    leaves = min(partitions, SUBTREE)
+    group = F.floor(F.col("part") / leaves).cast("int")
+    place = (F.col("part") % leaves).cast("int")
+    sums = counts.groupBy(group.alias("part")).agg(F.sum("n").alias("n"))
+    listed = counts.groupBy(group.alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(place.alias("place"), "n"))).alias("by"))
+    roots = communication_matrix(sums, partitions // leaves, shards, seed)
+    if partitions > leaves:
+        roots = materialise(roots, "matrix-roots")
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(leaves - 1)), lambda p: F.coalesce(F.element_at("by", p), F.lit(0)).cast("long"))
+    nodes = roots.join(listed, "part", "left").select((F.col("part") * leaves).alias("lo"), sizes.alias("sizes"), "quota")
+    if partitions > leaves:
+        nodes = nodes.repartition(min(partitions // leaves, MATRIX_TASKS), "lo")
+    width = leaves
     while width > 1:
         half = width // 2
         left = F.slice("sizes", 1, half)

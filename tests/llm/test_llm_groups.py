@@ -232,6 +232,37 @@ def test_hypergeometric_law(spark, total, marked, drawn):
     assert min(got) >= max(0, drawn + marked - total) and max(got) <= min(drawn, marked)
 
 
+@pytest.mark.parametrize("total, marked, drawn", [(2000, 300, 900), (100_000, 4_166, 50_000), (500, 250, 350)])
+def test_wide_hypergeometric_law(spark, total, marked, drawn):
+    from math import exp, lgamma
+
+    n = 50_000
+    u = sharding._uniform(F.col("id"), 11)
+    rows = spark.range(n).select(sharding.hypergeometric(F.lit(total), F.lit(marked), F.lit(drawn), u).alias("k")).groupBy("k").count().collect()
+    got = {r["k"]: r["count"] for r in rows}
+
+    def ln_choose(a, b):
+        return lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+
+    whole = ln_choose(total, drawn)
+    odd = cells = 0
+    for k in range(max(0, drawn + marked - total), min(drawn, marked) + 1):
+        expected = n * exp(ln_choose(marked, k) + ln_choose(total - marked, drawn - k) - whole)
+        if expected >= 5:
+            odd, cells = odd + (got.get(k, 0) - expected) ** 2 / expected, cells + 1
+    assert cells > 20 and odd < cells + 4 * (2 * cells) ** 0.5
+
+
+def test_matrix_over_many_subtrees(spark):
+    parts, shards = 512, 5
+    counts = spark.range(parts).where("id % 7 != 3").select(F.col("id").cast("int").alias("part"), (F.col("id") % 90 + 1000 * (F.col("id") % 50 == 0).cast("int")).alias("n"))
+    sizes = {r["part"]: r["n"] for r in counts.collect()}
+    rows = {r["part"]: r["quota"] for r in sharding.communication_matrix(counts, parts, shards, 3).collect()}
+    assert {p: sum(q) for p, q in rows.items()} == {p: sizes.get(p, 0) for p in range(parts)}
+    columns = [sum(c) for c in zip(*rows.values())]
+    assert max(columns) - min(columns) <= 1
+
+
 def test_matrix_has_exact_sums(spark):
     counts = spark.createDataFrame([(0, 100), (1, 3), (2, 77), (5, 1000), (7, 1)], "part int, n long")
     rows = {r.part: r.quota for r in sharding.communication_matrix(counts, 8, 5, 3).collect()}
