@@ -160,21 +160,18 @@ def communication_matrix(counts: DataFrame, partitions: int, shards: int, seed:
     counts, column sums differ by at most one, and the matrix has the law that a uniform shuffle of all
     rows would give it. An empty table gives quotas of zero.
     """
-    if partitions == 1:
-        whole = counts.groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-        return whole.select(F.lit(0).alias("part"), _even(F.col("total"), shards).alias("quota"))
     # The tree is cut into subtrees of a bounded number of leaves, rows of their own tasks.
     leaves = min(partitions, SUBTREE)
-    group = F.floor(F.col("part") / leaves).cast("int")
     place = (F.col("part") % leaves).cast("int")
-    sums = counts.groupBy(group.alias("part")).agg(F.sum("n").alias("n"))
-    listed = counts.groupBy(group.alias("part")).agg(F.map_from_entries(F.collect_list(F.struct(place.alias("place"), "n"))).alias("by"))
-    roots = communication_matrix(sums, partitions // leaves, shards, seed)
-    if partitions > leaves:
-        roots = materialise(roots, "matrix-roots")
+    listed = F.map_from_entries(F.collect_list(F.struct(place.alias("place"), "n"))).alias("by")
     sizes = F.transform(F.sequence(F.lit(0), F.lit(leaves - 1)), lambda p: F.coalesce(F.element_at("by", p), F.lit(0)).cast("long"))
-    nodes = roots.join(listed, "part", "left").select((F.col("part") * leaves).alias("lo"), sizes.alias("sizes"), "quota")
-    if partitions > leaves:
+    if partitions == leaves:
+        whole = counts.groupBy().agg(listed, F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+        nodes = whole.select(F.lit(0).alias("lo"), sizes.alias("sizes"), _even(F.col("total"), shards).alias("quota"))
+    else:
+        grouped = counts.groupBy(F.floor(F.col("part") / leaves).cast("int").alias("part"))
+        roots = materialise(communication_matrix(grouped.agg(F.sum("n").alias("n")), partitions // leaves, shards, seed), "matrix-roots")
+        nodes = roots.join(grouped.agg(listed), "part", "left").select((F.col("part") * leaves).alias("lo"), sizes.alias("sizes"), "quota")
         nodes = nodes.repartition(min(partitions // leaves, MATRIX_TASKS), "lo")
     width = leaves
     while width > 1:
