@@ -315,3 +315,43 @@ def union_labelled(parts: dict[str, DataFrame], label: str = "source") -> DataFr
     for frame in frames[1:]:
         out = out.unionByName(frame)
     return out
+
+
+def profile_parts(df: DataFrame, by: Sequence[str], columns: Sequence[str], accuracy: int = 800, registers: int = 14) -> DataFrame:
+    """(*by, column, rows, known, least, most, values, ranks): mergeable profiles of numeric columns.
+
+    One row per part of the table and column: exact counts and extremes, a sketch of the distinct
+    values (2^`registers` counters, a standard error of 0.8 % at 14) and one of the ranks (an error of
+    about 0.4 % of all rows at an `accuracy` of 800). Both have a bounded size and are built map-side,
+    so a part that holds most rows costs one row per task in the shuffle. When a table grows, only its
+    new parts need to be read. NULL and NaN are not known values; 0.0 and -0.0 are one value.
+    """
+    cells = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(by), list(columns), "column", "value")
+    value = F.when(~F.isnan("value"), F.col("value") + F.lit(0.0))
+    return cells.groupBy(*by, "column").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(value).alias("known"),
+        F.min(value).alias("least"),
+        F.max(value).alias("most"),
+        F.hll_sketch_agg(value.cast("string"), registers).alias("values"),
+        F.kll_sketch_agg_double(value, accuracy).alias("ranks"),
+    )
+
+
+def merged_profile(parts: DataFrame, quantiles: Sequence[float] = (0.25, 0.5, 0.75), by: Sequence[str] = ()) -> DataFrame:
+    """(*by, column, rows, known, least, most, distinct_values, p25, ...) from `profile_parts` of any
+    parts: rows, known, least and most are exact, the rest is estimated. Without a known value the
+    extremes and quantiles are NULL and distinct_values is 0."""
+    merged = parts.groupBy(*by, "column").agg(
+        F.sum("rows").alias("rows"),
+        F.sum("known").alias("known"),
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
+        F.hll_sketch_estimate(F.hll_union_agg("values")).alias("distinct_values"),
+        F.kll_merge_agg_double(F.when(F.col("known") > 0, F.col("ranks"))).alias("__ranks"),
+    )
+    found = [
+        F.when(F.col("known") > 0, F.kll_sketch_get_quantile_double("__ranks", F.lit(float(q)))).alias(f"p{round(q * 100):02d}")
+        for q in quantiles
+    ]
+    return merged.select("*", *found).drop("__ranks")

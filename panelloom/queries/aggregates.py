@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from panelloom.functions import aggregates as A
+from panelloom.functions.scalars import month_start
 from panelloom.operators import profiles as P
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
@@ -109,6 +110,36 @@ def ag6(spark, sf):
     return df.select("column", "count", "min", "max", *[F.round(c, 4).alias(c) for c in rounded])
 
 
+_PARTED = ["l_quantity", "l_extendedprice", "l_partkey"]
+
+
+@query(
+    "ag6_merged_profile",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS known, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS most,
+       TRUE AS distinct_near, TRUE AS median_near FROM lineitem"""
+        for c in _PARTED
+    ),
+)
+def ag6_merged(spark, sf):
+    """The profile of all rows from the written sketches of each month; estimates are held against
+    the exact distinct count (5 %) and the exact ranks of the median (2 % of the rows)."""
+    items = roles.table(spark, sf, "lineitem")
+    monthly = items.withColumn("month", month_start(F.col("l_shipdate").cast("date")))
+    merged = materialise(P.merged_profile(materialise(P.profile_parts(monthly, ["month"], _PARTED), "profile-parts")), "merged-profile")
+    exact = P.cardinality_profile(items, _PARTED).select("column", F.col("distinct_values").alias("exact"))
+    cells = items.select(*[F.col(c).cast("double").alias(c) for c in _PARTED]).unpivot([], _PARTED, "column", "value")
+    ranks = cells.join(merged.select("column", "p50"), "column").groupBy("column").agg(
+        F.avg((F.col("value") < F.col("p50")).cast("double")).alias("below"),
+        F.avg((F.col("value") <= F.col("p50")).cast("double")).alias("upto"),
+    )
+    near = F.abs(F.col("distinct_values") - F.col("exact")) <= F.col("exact") * 0.05
+    return merged.join(exact, "column").join(ranks, "column").select(
+        "column", "rows", "known", "least", "most", near.alias("distinct_near"),
+        ((F.col("below") <= 0.52) & (F.col("upto") >= 0.48)).alias("median_near"),
+    )
+
+
 _CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 

@@ -11,7 +11,7 @@ from panelloom.functions import rolling as R
 from panelloom.keys import KEYS
 from panelloom.operators import calendar as cal
 from panelloom.operators import features as feat
-from panelloom.operators import joins, returns, splits, versions
+from panelloom.operators import joins, profiles, returns, splits, versions
 from panelloom.plans import feature_tables as ft
 
 DAY0 = dt.date(2024, 1, 1)
@@ -342,3 +342,22 @@ def test_spans_in_blocks_share_the_shuffle_of_the_panel(frame):
     df = frame("asset string, date int, total_return double", [("a", i, 0.1) for i in range(50)])
     text = feat.volatility(df, (130, 252))._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_profiles_of_parts_merge_to_the_whole(frame):
+    rng = random.Random(5)
+    rows = [("hot", 1.0)] * 8000 + [("hot", rng.paretovariate(1.1)) for _ in range(6000)]
+    rows += [("cold", rng.uniform(0, 50)) for _ in range(700)] + [("cold", None), ("cold", math.nan), ("none", None), (None, -0.0), (None, 0.0)]
+    parts = profiles.profile_parts(frame("part string, x double", rows), ["part"], ["x"])
+    assert {r["part"]: (r["rows"], r["known"]) for r in parts.collect()} == {"hot": (14000, 14000), "cold": (702, 700), "none": (1, 0), None: (2, 2)}
+    known = sorted(x for _, x in rows if x is not None and not math.isnan(x))
+    (whole,) = profiles.merged_profile(parts, (0.25, 0.5, 0.95)).collect()
+    assert (whole["rows"], whole["known"], whole["least"], whole["most"]) == (len(rows), len(known), known[0], known[-1])
+    assert abs(whole["distinct_values"] - len(set(known))) <= 0.04 * len(set(known))
+    for name, q in (("p25", 0.25), ("p50", 0.5), ("p95", 0.95)):
+        below, upto = (sum(f(x) for x in known) / len(known) for f in (lambda x: x < whole[name], lambda x: x <= whole[name]))
+        assert below <= q + 0.01 and upto >= q - 0.01
+    alone = {r["part"]: r for r in profiles.merged_profile(parts, (0.5,), ["part"]).collect()}
+    assert alone["none"]["p50"] is None and alone["none"]["distinct_values"] == 0 and alone[None]["distinct_values"] == 1
+    empty = profiles.profile_parts(frame("part string, x double", []), ["part"], ["x"])
+    assert profiles.merged_profile(empty).count() == 0
