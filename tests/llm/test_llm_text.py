@@ -379,3 +379,34 @@ def test_without_labels_and_within_the_bound(spark):
     none = quality_votes.fit(docs(spark, rows), labels.limit(0))
     assert {r.score for r in quality_votes.score(docs(spark, rows), none).collect()} == {0.5}
     assert len(quality_votes.fit(docs(spark, rows + rows), labels, most_labelled=10).labels) == 10
+
+
+def test_votes_equal_brute_force(spark):
+    draw = random.Random(9)
+    pool = "river stone garden light winter paper window pills quick money offer loans prize casino A1 BUY!! |x| 2024".split()
+    rows = [(i, " ".join(draw.choice(pool[draw.randrange(6) :]) for _ in range(draw.randint(5, 60)))) for i in range(300)]
+    label = {k: draw.random() < 0.5 for k, _ in rows}
+    labels = spark.createDataFrame([(k, int(v)) for k, v in label.items()], "doc_id long, quality int")
+    votes = quality_votes.fit(docs(spark, rows), labels)
+    got = {r.doc_id: r.score for r in quality_votes.score(docs(spark, rows), votes).collect()}
+
+    whole = {k: np.array(quality_votes.frequencies(t), np.float64) for k, t in rows}
+    learned = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    seen = np.sum([whole[k] > 0 for k in learned], axis=0)
+    rarity = np.log((1 + len(learned)) / (1 + seen)) + 1
+    assert np.allclose(rarity, votes.rarity, rtol=1e-5)
+    weighted = np.array([whole[k] * rarity for k in learned])
+    sizes = np.linalg.svd(weighted, compute_uv=False)[: votes.space.shape[1]]
+    assert ((weighted @ votes.space) ** 2).sum() == pytest.approx((sizes**2).sum(), rel=1e-4)
+
+    def cosine(a, b):
+        return float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
+
+    low = {k: whole[k] * rarity @ votes.space for k in whole}
+    for k, _ in rows:
+        nearest = sorted(((cosine(low[k], low[j]), label[j]) for j in learned), reverse=True)
+        if nearest[14][0] - nearest[15][0] < 1e-5:
+            continue  # the fifteenth is a matter of rounding
+        kept = [(max(c, 0.0), v) for c, v in nearest[:15]]
+        assert got[k] == pytest.approx(sum(c * v for c, v in kept) / sum(c for c, _ in kept), abs=1e-4)
+    assert 0 < min(got.values()) < 0.4 and 0.6 < max(got.values()) < 1
