@@ -12,11 +12,15 @@ stay in it for the rest of the series. Over long spans they are aggregated in bl
 the rows of a partition are cut into blocks as long as the span, and one growing frame runs forwards
 and one backwards inside each block. A span covers the end of one block and the start of the next at most, so it is
 merged from one value of each: a few steps per row for any span, and only rows of the span enter.
+Middle spans up to the current row are merged from short sliding parts: a span of 90 rows from the value of nine
+parts of 10 rows, which all spans and aggregates share. That takes no sort, and again only rows of the span enter.
 """
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,8 +28,15 @@ from pyspark.sql.window import WindowSpec
 
 _FIRST = Window.unboundedPreceding
 _END = Window.unboundedFollowing
-# Spans of up to this many rows slide: on wide rows two more sorts cost more than so few steps.
+# Spans of up to this many rows need no blocks: on wide rows two more sorts cost more than so few steps.
 _SHORT = 120
+# Rows of a part; spans of less than two parts slide.
+_PART = 10
+
+
+def _total(values: Sequence[Column]) -> Column:
+    """Sum of the known values, 0 without any."""
+    return reduce(operator.add, [F.coalesce(v, F.lit(0.0)) for v in values])
 
 
 class Frames:
@@ -33,7 +44,8 @@ class Frames:
 
     The methods return references to columns that `select` adds; the expressions built from them
     must be passed through `select` of the same object. `by` are the partition columns of the window;
-    only where they are given, spans of more than `short` rows are aggregated in blocks, else all slide.
+    only where they are given, spans of more than `short` rows are aggregated in blocks and shorter ones
+    in parts, else all slide.
     """
 
     def __init__(self, w: WindowSpec, by: Sequence[str] | None = None, short: int = _SHORT):
@@ -42,6 +54,8 @@ class Frames:
         self._short = short
         self._made: dict[str, tuple[str, Column]] = {}
         self._sides: dict[int, dict[str, tuple[str, Column]]] = {}
+        self._pieces: dict[str, tuple[str, Column]] = {}
+        self._merges: dict[str, tuple[str, Column]] = {}
 
     def _take(self, key: str, value: Column) -> Column:
         if key not in self._made:
@@ -91,6 +105,21 @@ class Frames:
             return value
         return self.lag(value, -offset) if offset < 0 else self.lead(value, offset)
 
+    def _in_parts(self, first: int, last: int) -> bool:
+        return self._by is not None and last <= 0 and 2 * _PART <= last - first + 1 <= self._short
+
+    def _parts(self, agg: Column, first: int, last: int) -> list[Column]:
+        """Aggregates over consecutive parts of rows first..last, the latest first; NULL for a part before
+        the series."""
+        whole, rest = divmod(last - first + 1, _PART)
+        sizes = [_PART] * whole + ([rest] if rest else [])
+        found = []
+        for number, size in enumerate(sizes):
+            frame = self._w.rowsBetween(1 - size, 0)
+            name, _ = self._pieces.setdefault(f"{agg} {size}", (f"__part_{len(self._pieces)}", agg.over(frame)))
+            found.append(self._at(F.col(name), last - number * _PART))
+        return found
+
     def _merged(self, agg: Column, first: int, last: int, merge) -> Column:
         if self._slides(first, last):
             return self.rows(agg, first, last)
@@ -98,17 +127,27 @@ class Frames:
 
     def sum(self, value: Column, first: int, last: int) -> Column:
         """Sum of the known values on rows first..last; 0 without any."""
+        if self._in_parts(first, last):
+            return _total(self._parts(F.sum(value), first, last))
         whole = self._merged(F.sum(value), first, last, lambda a, b: F.coalesce(a + b, a, b))
         return F.coalesce(whole, F.lit(0.0))
 
     def product(self, value: Column, first: int, last: int) -> Column:
         """Product of the known values on rows first..last."""
+        if self._in_parts(first, last):
+            parts = self._parts(F.product(value), first, last)
+            whole = reduce(operator.mul, [F.coalesce(p, F.lit(1.0)) for p in parts])
+            return F.when(F.coalesce(*parts).isNotNull(), whole)
         return self._merged(F.product(value), first, last, lambda a, b: F.coalesce(a * b, a, b))
 
     def max(self, value: Column, first: int, last: int) -> Column:
+        if self._in_parts(first, last):
+            return F.greatest(*self._parts(F.max(value), first, last))
         return self._merged(F.max(value), first, last, F.greatest)
 
     def min(self, value: Column, first: int, last: int) -> Column:
+        if self._in_parts(first, last):
+            return F.least(*self._parts(F.min(value), first, last))
         return self._merged(F.min(value), first, last, F.least)
 
     def _moments(self, first: int, last: int, x: Column, y: Column) -> tuple[Column, Column, Column]:
@@ -135,18 +174,57 @@ class Frames:
         level = F.greatest(*halves(F.max(x))) == F.least(*halves(F.min(x)))
         return n, F.when(level & ~F.isnan(squares), 0.0).otherwise(squares), products
 
+    def _moments_of_parts(self, first: int, last: int, x: Column, y: Column) -> tuple[Column, Column, Column]:
+        """What `_moments` gives, from parts: deviations within the parts and those of their means."""
+        same = str(x) == str(y)
+        if not same:
+            x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+
+        def parts(agg: Column) -> list[Column]:
+            return self._parts(agg, first, last)
+
+        def mean(means: Sequence[Column]) -> Column:
+            return _total([k * m for k, m in zip(counts, means)]) / F.nullif(n, F.lit(0))
+
+        def once(name: str, value: Column) -> Column:
+            """A value that several expressions use, as a column of its own."""
+            key = f"{name} {x} {y} {first} {last}"
+            return F.col(self._merges.setdefault(key, (f"__merge_{len(self._merges)}", value))[0])
+
+        counts, xs, within = parts(F.count(x)), parts(F.avg(x)), parts(F.var_pop(x))
+        n = self.count(x, first, last)
+        x_mean = once("x", mean(xs))
+        # Means of equal values may differ in their last digit, so their highest values are compared.
+        # An array function also keeps this long projection out of one method that the JVM won't compile.
+        highest = parts(F.max(x))
+        level = F.forall(F.array(*within), lambda v: F.coalesce(v, F.lit(0.0)) == 0.0) & (F.greatest(*highest) == F.least(*highest))
+        squares = _total([k * (v + (m - x_mean) * (m - x_mean)) for k, v, m in zip(counts, within, xs)])
+        squares = F.when(level, 0.0).otherwise(squares)
+        if same:
+            return n, squares, squares
+        ys, joint = parts(F.avg(y)), parts(F.covar_pop(x, y))
+        y_mean = once("y", mean(ys))
+        products = _total([k * (c + (a - x_mean) * (b - y_mean)) for k, c, a, b in zip(counts, joint, xs, ys)])
+        return n, squares, products
+
     def deviation(self, value: Column, first: int, last: int) -> Column:
         """Sample standard deviation on rows first..last; NULL under two known values."""
-        if self._slides(first, last):
+        if self._in_parts(first, last):
+            n, squares, _ = self._moments_of_parts(first, last, value, value)
+        elif self._slides(first, last):
             return self.rows(F.stddev_samp(value), first, last)
-        n, squares, _ = self._moments(first, last, value, value)
+        else:
+            n, squares, _ = self._moments(first, last, value, value)
         return F.when(n > 1, F.sqrt(squares / (n - 1)))
 
     def slope(self, y: Column, x: Column, first: int, last: int) -> Column:
         """Slope of y on x on rows first..last where both are known; NULL when x does not vary."""
-        if self._slides(first, last):
+        if self._in_parts(first, last):
+            _, squares, products = self._moments_of_parts(first, last, x, y)
+        elif self._slides(first, last):
             return self.rows(F.regr_slope(y, x), first, last)
-        _, squares, products = self._moments(first, last, x, y)
+        else:
+            _, squares, products = self._moments(first, last, x, y)
         return products / F.nullif(squares, F.lit(0.0))
 
     def select(self, df: DataFrame, *columns: Column) -> DataFrame:
@@ -160,7 +238,9 @@ class Frames:
             down = Window.partitionBy(*self._by, block).orderBy(F.col("__row").desc()).rowsBetween(_FIRST, 0)
             staged = staged.select("*", *[agg.over(up).alias(f"__up_{name}") for name, agg in sides.values()])
             staged = staged.select("*", *[agg.over(down).alias(f"__down_{name}") for name, agg in sides.values()])
-        staged = staged.select("*", *[value.alias(name) for name, value in self._made.values()])
+        for stage in (self._pieces, self._made, self._merges):
+            if stage:
+                staged = staged.select("*", *[value.alias(name) for name, value in stage.values()])
         return staged.select(*df.columns, *columns)
 
 

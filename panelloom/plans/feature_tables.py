@@ -1,8 +1,8 @@
 """The feature and target tables, each declared as one plan.
 
 Everything that depends on the date alone (benchmark horizons, benchmark target leg, macro
-series under their release rules) is computed on calendar-sized series and joined to the panel
-once. All panel windows then share one partition and order, so the panel is shuffled by asset
+series under their release rules) is computed on calendar-sized series and joined to the finished
+windows; only the benchmark return joins before them where a window reads it. All panel windows then share one partition and order, so the panel is shuffled by asset
 once and sorted once, whatever the number of features.
 """
 
@@ -83,12 +83,12 @@ def feature_table(
     if version not in ("v1", "v2", "v2_minimal"):
         raise ValueError("version is 'v1', 'v2' or 'v2_minimal'")
     facts = date_facts(prices, benchmark, macro, min_periods) if facts is None else facts
-    carried = [c for c in facts.columns if c != "date"]
-    dated = (
-        prices.select("asset", "date", "close", "volume")
-        .join(facts, "date", "left")
-        .withColumn("__day", day_number(F.col("date")))
-    )
+    # Of the facts only the technical windows read one; the others join the finished windows, so no
+    # shuffle, sort or window carries them.
+    carried = ["bench_return"] if version == "v2" else []
+    dated = prices.select("asset", "date", "close", "volume").withColumn("__day", day_number(F.col("date")))
+    if carried:
+        dated = dated.join(facts.select("date", *carried), "date", "left")
     if version == "v2":
         dated = feat.dividend_stability(dated, events)
         carried.append("dividend_stability")
@@ -114,7 +114,7 @@ def feature_table(
         made += feat.technical_columns(fr, min_periods=min_periods)
     elif version == "v2_minimal":
         made.append(R.distance_to_average(fr, F.col("close"), 7, min_periods).alias("price_vs_ma_7d"))
-    full = fr.select(base, *made).withColumns(
+    full = fr.select(base, *made).join(facts.drop(*carried), "date", "left").withColumns(
         {
             "alpha_30d": F.col("return_30d") - F.col("bench_return_30d"),
             "alpha_90d": F.col("return_90d") - F.col("bench_return_90d"),

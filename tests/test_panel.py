@@ -361,3 +361,39 @@ def test_profiles_of_parts_merge_to_the_whole(frame):
     assert alone["none"]["p50"] is None and alone["none"]["distinct_values"] == 0 and alone[None]["distinct_values"] == 1
     empty = profiles.profile_parts(frame("part string, x double", []), ["part"], ["x"])
     assert profiles.merged_profile(empty).count() == 0
+
+
+@pytest.mark.parametrize(("first", "last"), [(-89, 0), (-90, -1), (-30, -1), (-44, 0), (-24, -2)])
+def test_spans_in_parts_equal_spans_that_slide(frame, first, last):
+    rng = random.Random(first)
+    rows = [("a", i, rng.choice([None, rng.uniform(-1, 1), rng.uniform(-1, 1)]), rng.uniform(-1, 1)) for i in range(150)]
+    rows += [("short", i, rng.uniform(-1, 1), None if i % 3 else 0.2) for i in range(25)]
+    rows += [("level", i, 0.1, 0.1 * (i % 7)) for i in range(120)] + [("none", i, None, 0.3) for i in range(100)]
+    rows += [("huge", i, 1e17 if i == 35 else 0.1 * i, 0.1 * (i % 7)) for i in range(140)]
+    rows += [("nan", i, math.nan if i == 35 else 0.1 * i, 0.3) for i in range(140)] + [("one", 0, 0.4, 0.1)]
+    df = frame("asset string, date int, x double, y double", rows)
+    x, y = F.col("x"), F.col("y")
+    found = []
+    for by in (None, ["asset"]):
+        fr = R.Frames(KEYS.history(), by)
+        values = [fr.sum(x, first, last), fr.product(x, first, last), fr.max(x, first, last), fr.min(x, first, last)]
+        values += [fr.deviation(x, first, last), fr.slope(x, y, first, last), fr.slope(y, x, first, last)]
+        made = fr.select(df, *[v.alias(f"v{k}") for k, v in enumerate(values)])
+        found.append({(r["asset"], r["date"]): r for r in made.collect()})
+    slid, parts = found
+    assert slid.keys() == parts.keys() and len(slid) == len(rows)
+    for key, row in slid.items():
+        for k in range(7):
+            a, b = row[f"v{k}"], parts[key][f"v{k}"]
+            assert (a is None) == (b is None), (key, k, a, b)
+            assert a is None or a == pytest.approx(b, rel=1e-6, abs=1e-9, nan_ok=True), (key, k, a, b)
+        if key[0] == "level" and row["v4"] is not None:
+            assert parts[key]["v4"] == 0.0
+
+
+def test_middle_spans_are_not_aggregated_anew_for_every_row(frame):
+    df = frame("asset string, date int, total_return double", [("a", i, 0.1) for i in range(50)])
+    for made in (feat.volatility(df, (30, 90)), feat.trailing_returns(df, (30, 90))):
+        text = made._jdf.queryExecution().executedPlan().toString()
+        assert "RowFrame, -9, currentrow" in text
+        assert not any(f"RowFrame, -{n}, -1" in text for n in (30, 90)) and len(text) < 100_000
