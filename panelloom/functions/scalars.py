@@ -18,6 +18,18 @@ def safe_div(numerator: Column, denominator: Column) -> Column:
     return numerator / F.nullif(denominator, F.lit(0.0))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """What `F.round` gives for a double, without its decimal arithmetic where the digits leave no doubt.
+
+    Whole steps divided once are the double nearest to the decimal number. Near a tie, and for values of
+    too many steps, NaN or infinity, `F.round` itself decides.
+    """
+    steps = value * float(10**digits)
+    whole = F.rint(steps)
+    clear = (F.abs(steps - whole) < 0.499) & (F.abs(steps) < 1e12)
+    return F.when(clear, (whole + 0.0) / float(10**digits)).otherwise(F.round(value, digits))
+
+
 def band(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
     """Label of the half-open range [edge[i-1], edge[i]) that holds the value; NULL stays NULL."""
     if len(labels) != len(edges) + 1:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelloom.functions.scalars import rounded
 from panelloom.plans import feature_tables as ft
 from panelloom.queries import roles
 from panelloom.queries.registry import query, sql
@@ -24,9 +25,18 @@ EXACT = {
 FINE = {"dividend_yield_12m"}
 
 
+def _rounding(digits):
+    return lambda value: rounded(value, digits)
+
+
 def _rounded(df):
-    return df.select(
-        *[c if c in EXACT else F.round(c, 9 if c in FINE else 6).alias(c) for c in df.columns]
+    """All columns but the EXACT ones rounded, as one array per number of digits: a long list of
+    expressions would make one method too large for the JVM to compile."""
+    digits = {c: 9 if c in FINE else 6 for c in df.columns if c not in EXACT}
+    names = {n: [c for c in digits if digits[c] == n] for n in sorted(set(digits.values()))}
+    arrays = [F.transform(F.array(*some), _rounding(n)).alias(f"__round_{n}") for n, some in names.items()]
+    return df.select(*[c for c in df.columns if c in EXACT], *arrays).select(
+        *[c if c in EXACT else F.col(f"__round_{digits[c]}")[names[digits[c]].index(c)].alias(c) for c in df.columns]
     )
 
 

@@ -65,3 +65,21 @@ def test_variation_needs_three(frame):
     df = frame("k string, v double", [("a", 1.0), ("a", 2.0), ("b", 2.0), ("b", 2.0), ("b", 2.0)])
     got = df.groupBy("k").agg(A.variation_coefficient(F.col("v")).alias("cv")).orderBy("k").collect()
     assert [r.cv for r in got] == [None, 0.0]
+
+
+def test_rounded_equals_the_decimal_rounding(frame):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from panelloom.functions.scalars import rounded
+
+    rng = random.Random(3)
+    values = [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 12) for _ in range(3000)]
+    values += [(2 * rng.randint(-(10**7), 10**7) + 1) / 2e6 for _ in range(1500)] + [rng.randint(-(10**9), 10**9) / 1e7 for _ in range(1500)]
+    values += [0.0, -0.0, -1e-9, 1e-7, 5e-7, -5e-7, 1e300, float("inf"), float("-inf"), float("nan"), None]
+    df = frame("x double", [(v,) for v in values])
+    for digits in (6, 9):
+        made = df.select("x", F.round("x", digits).alias("want"), rounded(F.col("x"), digits).alias("got"))
+        wrong = [r for r in made.collect() if repr(r["want"]) != repr(r["got"])]
+        assert not wrong, wrong[:5]
