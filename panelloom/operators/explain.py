@@ -172,11 +172,17 @@ def _top_of_cells(df: DataFrame, keep: Sequence[str], k: int) -> DataFrame:
 def local_top(attr: DataFrame, k: int = 5) -> DataFrame:
     """Per row of a long table, its k largest and k smallest contributions with place and side.
 
-    The rows of one row_id are gathered into an array as long as the feature list.
+    The rows of one row_id are gathered into an array as long as the feature list. They are gathered by a
+    window after the shuffle: as an aggregate they would be sorted before it as well, which spills as
+    many bytes as the whole long table once a task's rows outgrow its memory.
     """
-    gathered = attr.groupBy("row_id").agg(
-        F.collect_list(F.struct("feature", "value", "contribution")).alias("__cells")
-    )
+    w = Window.partitionBy("row_id").orderBy("row_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gathered = attr.select(
+        "row_id",
+        F.collect_list(F.struct("feature", "value", "contribution")).over(whole).alias("__cells"),
+        F.row_number().over(w).alias("__first"),
+    ).where("__first = 1")
     return _top_of_cells(gathered, ["row_id"], k)
 
 

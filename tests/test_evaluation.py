@@ -418,3 +418,19 @@ def test_a_bad_value_stays_in_its_frames(frame):
             for v in values[i - 5 : i]:
                 want *= 1 + v / 100
             assert abs(got[i] - (want - 1)) < 1e-12
+
+
+def test_local_top_of_a_long_table_is_not_aggregated_before_its_shuffle(frame):
+    rows = [(i, f, 1.0 * j, (i * 7 + j * 3) % 5 - 2.0) for i in range(40) for j, f in enumerate("wxyz")]
+    rows += [(3, "w", 0.0, 9.0)] * 2 + [(None, "x", 1.0, 0.5), (None, "y", None, None)]
+    attr = frame("row_id int, feature string, value double, contribution double", rows)
+    top = E.local_top(attr, 2)
+    text = top._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in text and text.count("Exchange") == 1
+    got = sorted(((r.row_id, r.side, r.place, r.feature, r.contribution) for r in top.where("row_id is not null").collect()))
+    want = []
+    for i in range(40):
+        cells = [(c, f) for r, f, _, c in rows if r == i]
+        for side, order in (("raises", sorted(cells, key=lambda x: (-x[0], x[1]))), ("lowers", sorted(cells))):
+            want += [(i, side, place, f, c) for place, (c, f) in enumerate(order[:2], 1)]
+    assert got == sorted(want) and top.where("row_id is null").count() == 4
