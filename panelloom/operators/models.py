@@ -6,7 +6,7 @@ rows stay in DataFrames from scan to prediction.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from math import prod
 
@@ -28,6 +28,8 @@ from panelloom.sources.tables import literal_table, materialise, scratch_dir
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 10, "seed": 42}
 BOOSTED = {"maxIter": 200, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42}
 TUNED = {"maxIter": 150, "maxDepth": 6, "stepSize": 0.07, "subsamplingRate": 0.7, "seed": 42}
+#: model runs that one driver has under way at most
+MOST_RUNS = 32
 
 
 def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
@@ -98,13 +100,31 @@ def fit_boosted(
 ) -> PipelineModel:
     """Gradient-boosted trees under BOOSTED or TUNED settings, single ones replaced by `params`;
     `validation` marks the tail of train used for early stopping."""
+    return boosted_fits(train, features, label, validation, settings)(**params)
+
+
+def boosted_fits(
+    train: DataFrame,
+    features: Sequence[str],
+    label: str = "label",
+    validation: Column | None = None,
+    settings: dict = BOOSTED,
+) -> Callable[..., PipelineModel]:
+    """`fit_boosted` on one set of training rows, as a function of `params`: imputation is fitted once for all of them."""
     ready = _prepare(train.where(F.col(label).isNotNull()), features, label)
     extra = {}
     if validation is not None:
         ready = ready.withColumn("__validation", validation)
         extra = {"validationIndicatorCol": "__validation"}
-    model = GBTClassifier(featuresCol="__features", labelCol="__label", **{**settings, **params}, **extra)
-    return Pipeline(stages=[*_stages(features, scale=False), model]).fit(ready)
+    filling, assembling = _stages(features, scale=False)
+    filled = filling.fit(ready)
+    vectors = assembling.transform(filled.transform(ready))
+
+    def fit(**params) -> PipelineModel:
+        model = GBTClassifier(featuresCol="__features", labelCol="__label", **{**settings, **params}, **extra)
+        return PipelineModel([filled, assembling, model.fit(vectors)])
+
+    return fit
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], out: str = "prob") -> DataFrame:
@@ -202,11 +222,11 @@ def composite_score(summary: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
-def score_runs(runs: Sequence[tuple[dict, Callable[[], DataFrame]]], threads: int = 4) -> DataFrame:
+def score_runs(runs: Sequence[tuple[dict, Callable[[], DataFrame]]], threads: int | None = None) -> DataFrame:
     """One written table with the rows of all runs, each under its literal key columns.
 
-    A run fits a model and returns scored rows; a few run at a time, as one fit has idle moments between
-    its jobs. Metrics over all runs are then one plan over one table, not a branch per run.
+    A run fits a model and returns scored rows; several run at a time, as one fit has small jobs that follow each
+    other and idle moments between them. Metrics over all runs are then one plan over one table, not a branch per run.
     """
 
     def write(number: int) -> str:
@@ -217,35 +237,56 @@ def score_runs(runs: Sequence[tuple[dict, Callable[[], DataFrame]]], threads: in
         return target
 
     spark = SparkSession.getActiveSession()
+    return spark.read.parquet(*in_threads(write, range(len(runs)), threads))
+
+
+def in_threads(do: Callable, items: Iterable, threads: int | None = None) -> list:
+    """`do` of every item, in their order, under the caller's session: 4 to MOST_RUNS at a time, about two per core."""
+    spark = SparkSession.getActiveSession()
+    if threads is None:
+        threads = min(max(4, 2 * spark.sparkContext.defaultParallelism), MOST_RUNS)
     with ThreadPoolExecutor(threads) as pool:
-        targets = list(pool.map(inheritable_thread_target(spark)(write), range(len(runs))))
-    return spark.read.parquet(*targets)
+        return list(pool.map(inheritable_thread_target(spark)(do), items))
 
 
 def search(
     folds: DataFrame,
     features: Sequence[str],
     settings: Sequence[dict],
-    fit: Callable,
+    fits: Callable,
     label: str = "label",
     fold: str = "fold",
     fold_names: Sequence[str] = (),
 ) -> DataFrame:
     """(setting, fold, auc, rows): every setting fitted on every fold's training rows.
 
-    One fit per (setting, fold); each fit is a distributed job, and all metrics are one aggregate.
+    `fits(train, features, label)` does what all settings share, once per fold, and returns the fit of one setting.
+    One fit per (setting, fold); each fit is a distributed job, and all metrics are one aggregate. The rows of a
+    fold are kept in the executors' memory, or on their disks, until all its fits are done: a fit reads them many times.
     """
 
+    def prepared(name: str) -> tuple[DataFrame, Callable]:
+        part = folds.where(F.col(fold) == name)
+        train, held = (part.where(F.col("role") == role).persist() for role in ("train", "eval"))
+        kept.extend([train, held])
+        return held, fits(train, features, label)
+
     def run(params: dict, name: str) -> Callable[[], DataFrame]:
         def scored() -> DataFrame:
-            part = folds.where(F.col(fold) == name)
-            model = fit(part.where("role = 'train'"), features, label, **params)
-            return score(model, part.where("role = 'eval'"), features).select(label, "prob")
+            held, fit = shared[name]
+            return score(fit(**params), held, features).select(label, "prob")
 
         return scored
 
-    runs = [({"setting": number, "fold": name}, run(params, name)) for number, params in enumerate(settings) for name in fold_names]
-    return evaluate(score_runs(runs), ["setting", "fold"], label).select("setting", "fold", "auc", "rows")
+    kept: list[DataFrame] = []
+    try:
+        shared = dict(zip(fold_names, in_threads(prepared, fold_names)))
+        runs = [({"setting": number, "fold": name}, run(params, name)) for number, params in enumerate(settings) for name in fold_names]
+        scored = score_runs(runs)
+    finally:
+        for rows in kept:
+            rows.unpersist()
+    return evaluate(scored, ["setting", "fold"], label).select("setting", "fold", "auc", "rows")
 
 
 def ablation(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from panelloom.operators import calendar as cal
@@ -23,11 +25,19 @@ FEATURES = roles.FEATURES
 SEARCH_DRAWS = 100
 
 
-def _boosted(train, features, label="label", **params):
-    """A boosted fit in full settings, stopped early by the last tenth of the training dates."""
+def _boosted_fits(train, features, label="label"):
+    """Boosted fits in full settings, stopped early by the last tenth of the training dates."""
     first, last = train.agg(F.min("date"), F.max("date")).first()
     tail = F.col("date") > F.lit(last - (last - first) / 10)
-    return ml.fit_boosted(train, features, label, validation=tail, **params)
+    return ml.boosted_fits(train, features, label, validation=tail)
+
+
+def _boosted(train, features, label="label", **params):
+    return _boosted_fits(train, features, label)(**params)
+
+
+def _logistic_fits(train, features, label="label"):
+    return partial(ml.fit_logistic, train, features, label)
 
 
 def _frame(spark, sf):
@@ -89,7 +99,7 @@ def ml5(spark, sf):
     }
     drawn = ml.draw_settings(spark, grid, SEARCH_DRAWS, seed=42)
     settings = [r.asDict() for r in drawn.drop("setting").collect()]
-    results = ml.search(folds, FEATURES, settings, _boosted, fold_names=[f["fold"] for f in years])
+    results = ml.search(folds, FEATURES, settings, _boosted_fits, fold_names=[f["fold"] for f in years])
     return ml.composite_score(ml.summarise_folds(results))
 
 
@@ -185,7 +195,7 @@ def ml8_versions(spark, sf):
         names = ml.feature_columns(table, ["asset", "date", "label", "target_alpha_7d"])
         rows = table.withColumns({c: F.col(c).cast("double") for c in names})
         folds = materialise(splits.eval_gap(splits.expanding_folds(rows, "date", years), 7), "folds")
-        found = ml.search(folds, names, [{}], ml.fit_logistic, fold_names=[f["fold"] for f in years])
+        found = ml.search(folds, names, [{}], _logistic_fits, fold_names=[f["fold"] for f in years])
         found = found.withColumn("version", F.lit(version))
         results = found if results is None else results.unionByName(found)
     return ml.version_decision(results, "v1", "v2")

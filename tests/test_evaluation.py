@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import threading
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -329,6 +330,43 @@ def test_models_learn_a_separable_rule(spark):
         assert ml.evaluate(ml.score(model, df, ["x", "gap"])).first().auc > 0.99
 
 
+def test_search_prepares_a_fold_once_for_all_settings(spark):
+    """Each setting scores as a fit of its own; what the settings share is done once per fold, and its rows are released."""
+    df = spark.range(300).select(
+        F.when(F.col("id") % 7 != 0, F.col("id") % 20 * 1.0).alias("x"), (F.hash("id") % 5).cast("double").alias("y"),
+        ((F.col("id") % 20 >= 10) == (F.hash("id", F.lit(1)) % 4 != 0)).alias("label"),
+        F.explode(F.array(F.lit("1"), F.lit("2"))).alias("fold"),
+        F.when(F.col("id") % 3 == 0, "eval").otherwise("train").alias("role"),
+    )
+    prepared = []
+
+    def fits(train, features, label):
+        prepared.append(train.first().fold)
+        return ml.boosted_fits(train, features, label)
+
+    chosen = [{"maxIter": 1, "maxDepth": 1}, {"maxIter": 3, "maxDepth": 2}, {"maxIter": 2, "maxDepth": 4}]
+    found = {(r.setting, r.fold): (r.auc, r.rows) for r in ml.search(df, ["x", "y"], chosen, fits, fold_names=["1", "2"]).collect()}
+    assert sorted(prepared) == ["1", "2"] and len(found) == 6
+    for number, params in enumerate(chosen):
+        train, held = (df.where(f"fold = '1' and role = '{role}'") for role in ("train", "eval"))
+        alone = ml.evaluate(ml.score(ml.fit_boosted(train, ["x", "y"], **params), held, ["x", "y"])).first()
+        assert found[number, "1"] == found[number, "2"] == (alone.auc, alone.rows)
+    part = df.where(F.col("fold") == "1")
+    assert not part.where(F.col("role") == "train").storageLevel.useMemory and not part.where(F.col("role") == "eval").storageLevel.useMemory
+
+
+def test_runs_are_under_way_on_all_cores(spark):
+    """Eight runs that wait for each other end only if they run at the same time."""
+    meet = threading.Barrier(8)
+
+    def run():
+        meet.wait(60)
+        return spark.range(2)
+
+    out = ml.score_runs([({"run": i}, run) for i in range(8)]).collect()
+    assert sorted((r.run, r.id) for r in out) == [(i, j) for i in range(8) for j in range(2)]
+
+
 def test_walk_forward_scores_only_out_of_sample_dates(frame):
     rng = random.Random(3)
     rows = [(a, day(i), float(i % 5), rng.random() < 0.5) for i in range(60) for a in "ab"]
